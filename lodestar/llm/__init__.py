@@ -1,0 +1,11 @@
+"""Training-data operators: ten stages over documents, labels, benchmark and conversations.
+
+Nothing outside this subpackage imports it. Its Python functions are shipped by
+value, so executors need not have the repository on their path.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
