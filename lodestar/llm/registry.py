@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
-from . import simhash
+from . import langid, simhash, toxicity
 from .textops import table
 
 
+def op1_toxicity(spark, sf_dir):
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, radius=2)
 
 
-QUERIES = {"op2_simhash": op2_simhash}
+def op4_language(spark, sf_dir):
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_simhash": op2_simhash, "op4_language": op4_language}
 ORACLE: dict[str, str] = {}

@@ -7,7 +7,6 @@ about 2**-64, so counts and set overlaps over hashes are taken as exact.
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 import numpy as np
@@ -19,6 +18,8 @@ U = np.uint64
 BASE = 0x9E3779B97F4A7C55
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: White space, and every ASCII byte that is neither letter nor digit.
+PUNCTUATED = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 CHUNK = 1 << 21
@@ -72,7 +73,7 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
 
 
 def pieces(texts: list[bytes], limit: int = CHUNK):
-    """Chunks of (document index, bytes) of about limit bytes; long texts are cut at white space."""
+    """Chunks of (document index, bytes) of about limit bytes; long texts are cut after white space."""
     chunk, held = [], 0
     for i, text in enumerate(texts):
         at = 0
@@ -80,6 +81,7 @@ def pieces(texts: list[bytes], limit: int = CHUNK):
             end = at + limit
             while end < len(text) and not SPACE[text[end]]:
                 end += 1
+            end = min(end + 1, len(text))
             if chunk:
                 yield chunk
                 chunk, held = [], 0
@@ -101,9 +103,9 @@ def laid_out(chunk: list[tuple[int, bytes]]) -> tuple[np.ndarray, np.ndarray, np
     return buf, np.array([i for i, _ in chunk], np.int64), starts
 
 
-def word_spans(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_spans(buf: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
     """Start and end of each word of a buffer that begins and ends with white space."""
-    edge = np.diff(SPACE[buf].view(np.int8))
+    edge = np.diff(space[buf].view(np.int8))
     return np.flatnonzero(edge == -1) + 1, np.flatnonzero(edge == 1) + 1
 
 
@@ -120,11 +122,11 @@ def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return mix(total[stop] - total[stop - lens] + lens.astype(np.uint64) * U(0x632BE59BD9B4E019))
 
 
-def words(texts: list[bytes]):
+def words(texts: list[bytes], space: np.ndarray = SPACE):
     """Yields (document index of each word, hash of each word) by chunk, in order."""
     for chunk in pieces(texts):
         buf, docs, at = laid_out(chunk)
-        starts, ends = word_spans(buf)
+        starts, ends = word_spans(buf, space)
         yield docs[np.searchsorted(at, starts, side="right") - 1], span_hashes(buf, starts, ends)
 
 
@@ -133,7 +135,3 @@ def all_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     if not got:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     return np.concatenate([x[0] for x in got]), np.concatenate([x[1] for x in got])
-
-
-def env_tmp() -> str:
-    return os.environ.get("TMPDIR", tempfile.gettempdir())
