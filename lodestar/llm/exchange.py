@@ -20,6 +20,8 @@ BLOB = "part int, bucket int, blob binary"
 SCHEMA = pa.schema([("part", pa.int32()), ("bucket", pa.int32()), ("blob", pa.binary())])
 #: Bytes of text in a bucket, on average; a single longer text is a larger bucket.
 BUCKET_BYTES = 6 << 20
+#: The column of a document's bucket; tables may have columns of any other name.
+BUCKET = "__bucket"
 
 
 def shuffle_partitions(df: DataFrame) -> int:
@@ -33,9 +35,13 @@ def sized(docs: DataFrame, column: str = "text", of: int = BUCKET_BYTES) -> int:
 
 
 def bucketed(docs: DataFrame, buckets: int, key: list[str]) -> DataFrame:
-    """docs with column bucket, dealt by the hash of the key columns."""
-    dealt = docs.withColumn("bucket", F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int"))
-    return dealt.repartition(max(shuffle_partitions(docs), -(-buckets // 4)), "bucket")
+    """docs with column BUCKET, dealt by the hash of the key columns."""
+    dealt = docs.withColumn(BUCKET, F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int"))
+    return dealt.repartition(max(shuffle_partitions(docs), -(-buckets // 4)), BUCKET)
+
+
+def bucket_of(t: pa.Table) -> int:
+    return t[BUCKET][0].as_py()
 
 
 def packed(entries: np.ndarray, part: np.ndarray, bucket: int) -> Iterable[tuple[int, int, bytes]]:
@@ -76,9 +82,9 @@ def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
 
 def ask(dealt: DataFrame, requests: Callable[[pa.Table], pa.Table], answer: Callable[[pa.Table], pa.Table]) -> DataFrame:
     """Rows (part, bucket, blob) that answer what the buckets of `dealt` ask."""
-    return dealt.groupBy("bucket").applyInArrow(requests, BLOB).groupBy("part").applyInArrow(answer, BLOB)
+    return dealt.groupBy(BUCKET).applyInArrow(requests, BLOB).groupBy("part").applyInArrow(answer, BLOB)
 
 
 def tell(dealt: DataFrame, replies: DataFrame, finish: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
     """finish(documents of a bucket, replies to it) for every bucket."""
-    return dealt.groupBy("bucket").cogroup(replies.groupBy("bucket")).applyInArrow(finish, schema)
+    return dealt.groupBy(BUCKET).cogroup(replies.groupBy("bucket")).applyInArrow(finish, schema)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import langid, simhash, toxicity
+from . import chat, decontaminate, langid, linededup, mixing, prefixhash, repeats, simhash, suffixtree, toxicity
 from .textops import table
 
 
@@ -14,9 +14,37 @@ def op2_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, radius=2)
 
 
+def op3_lines(spark, sf_dir):
+    return linededup.dedup(table(spark, sf_dir, "documents"), threshold=0.8, report=True)
+
+
 def op4_language(spark, sf_dir):
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op2_simhash": op2_simhash, "op4_language": op4_language}
-ORACLE: dict[str, str] = {}
+def op5_suffixtree(spark, sf_dir):
+    return suffixtree.score(table(spark, sf_dir, "documents"))
+
+
+def op6_repeats(spark, sf_dir):
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"), length=400)
+
+
+def op7_chat(spark, sf_dir):
+    return chat.digest(chat.format_rows(chat.probe(table(spark, sf_dir, "conversations"))))
+
+
+def op8_decontaminate(spark, sf_dir):
+    return decontaminate.label(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op9_mixing(spark, sf_dir):
+    return mixing.digest(table(spark, sf_dir, "documents"))
+
+
+def op10_prefixhash(spark, sf_dir):
+    return prefixhash.fingerprints(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_simhash, op3_lines, op4_language, op5_suffixtree, op6_repeats, op7_chat, op8_decontaminate, op9_mixing, op10_prefixhash)}
+ORACLE = {"op7_chat": chat.ORACLE_SQL}

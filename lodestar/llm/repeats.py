@@ -4,10 +4,12 @@ Ranking every byte position would move a hundred times the input, so the suffix
 sparse: each `length`-byte string picks one anchor, the place of the smallest hash of
 GRAM bytes in it (leftmost of equals). Equal strings pick the same anchor, so only strings
 with equal ranks at their anchors can be equal. Ranks are hash values at growing offsets
-around the anchors, exchanged through Spark: first `half` bytes right and left of it and
-the whole span of all strings that pick it; those of unique rank drop out, those whose
-whole span is repeated are settled, and only what is left asks about its full strings one
-by one. Hashes are 64 bits of a rolling polynomial with a finaliser.
+around the anchors, exchanged through Spark in three rounds. First the whole span of the
+strings that pick an anchor: where it is repeated they are settled, and one run for each
+such span stands for all. Then half a string right and left of the anchor, of the open
+runs and those that stand for others: what is unique, or settled and shared with no open
+run, drops out. Last the full strings of what is left. Hashes are 64 bits of a rolling
+polynomial with a finaliser.
 """
 
 from __future__ import annotations
@@ -24,7 +26,8 @@ from .textops import BASE, U, as_bytes, mix, powers
 
 GRAM = 32
 KEY = np.dtype("<u8")
-AT = np.dtype("<u4")
+SPAN = np.dtype([("key", "<u8"), ("first", "u1")])
+SIDE = np.dtype([("key", "<u8"), ("open", "u1")])
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 _inverse = pow(BASE, -1, 1 << 64)
 _unpower = np.ones(1, np.uint64)
@@ -48,7 +51,7 @@ class Hashed:
     def spans(self, starts: np.ndarray, ends: np.ndarray, kind: int) -> np.ndarray:
         """Hashes of [starts, ends); spans of another kind or length never agree but by chance."""
         raw = (self.prefix[ends] - self.prefix[starts]) * self.down[starts]
-        return mix(raw + (ends - starts).astype(np.uint64) * U(0x9FB21C651E98DF25) + U(kind) * U(0xD6E8FEB86659FD93))
+        return mix(raw + (ends - starts).astype(np.uint64) * U(0x9FB21C651E98DF25) + U(kind * 0xD6E8FEB86659FD93 % (1 << 64)))
 
     def grams(self, width: int) -> np.ndarray:
         n = len(self.prefix) - width
@@ -101,91 +104,101 @@ def ranks(h: Hashed, size: int, length: int) -> tuple[np.ndarray, np.ndarray, np
 
 
 class Bucket:
-    """The texts of a bucket and the distinct keys they ask about in the first round."""
+    """The texts of a bucket, their runs, and the keys that they ask about."""
 
     def __init__(self, t: pa.Table, length: int):
         self.texts = as_bytes(t["text"])
         self.length = length
-        self.runs, span, right, left, owner = [], [], [], [], []
-        for i, text in enumerate(self.texts):
-            h = Hashed(text)
-            r, s, a, b = ranks(h, len(text), length)
-            self.runs.append(r)
-            span.append(s)
-            right.append(a)
-            left.append(b)
-            owner.append(np.full(len(s), i))
-        cat = lambda x: np.concatenate(x) if x else np.zeros(0, np.uint64)
-        self.owner = np.concatenate(owner) if owner else np.zeros(0, np.int64)
-        self.run = np.concatenate(self.runs, axis=1) if self.runs else np.zeros((3, 0), np.int64)
-        self.asked = np.concatenate([cat(span), cat(right), cat(left)])
-
-    def open_strings(self, repeated: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(document, start, hash) of the strings that the first round has not settled."""
-        n = len(self.owner)
-        span, right, left = repeated[:n], repeated[n : 2 * n], repeated[2 * n :]
+        got = [ranks(Hashed(text), len(text), length) for text in self.texts]
+        self.owner = np.repeat(np.arange(len(got)), [len(g[1]) for g in got])
+        self.run = np.concatenate([g[0] for g in got], axis=1)
+        self.span, self.right, self.left = (np.concatenate([g[k] for g in got]) for k in (1, 2, 3))
+
+    def after_spans(self, told: np.ndarray) -> None:
+        """Which runs are settled, and which of them stand for all of their span."""
+        self.settled, mine = among(self.span, told["key"]), among(self.span, told["key"][told["first"] == 1])
+        _, first = np.unique(self.span, return_index=True)
+        self.stands = np.zeros(len(self.span), bool)
+        self.stands[first] = mine[first]
+
+    def sides(self) -> np.ndarray:
+        """The keys of the second round, with whether their run is open."""
+        use = ~self.settled | self.stands
+        out = np.zeros(2 * int(use.sum()), SIDE)
+        out["key"], out["open"] = np.concatenate([self.right[use], self.left[use]]), np.tile(~self.settled[use], 2)
+        return out[out["key"] != 0]
+
+    def strings(self, sides: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(document, start, hash) of the strings that the first two rounds leave to the third."""
+        use = ~self.settled | self.stands
+        right, left = among(self.right, sides) & use, among(self.left, sides) & use
         half = self.length // 2
-        docs, starts, hashes = [], [], []
-        todo = np.flatnonzero(~span & (right | left))
-        for i in np.unique(self.owner[todo]):
+        docs, starts, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+        todo = np.flatnonzero(right | left)
+        for mine in np.split(todo, np.flatnonzero(np.diff(self.owner[todo])) + 1) if len(todo) else ():
+            i = self.owner[mine[0]]
             h = Hashed(self.texts[i])
-            mine = todo[self.owner[todo] == i]
             first, last, anchor = self.run[:, mine]
             # strings with half a string right of the anchor, and strings with half a string up to its gram's end
             split = anchor - (self.length - half)
-            a0, a1 = np.maximum(first, split), last
-            b0, b1 = first, np.minimum(last, split - 1)
-            for lo, hi, ok in ((a0, a1, right[mine]), (b0, b1, left[mine])):
-                n_each = np.where(ok, np.maximum(hi - lo + 1, 0), 0)
-                at = np.repeat(lo, n_each) + np.arange(n_each.sum()) - np.repeat(np.cumsum(n_each) - n_each, n_each)
+            for lo, hi, ok in ((np.maximum(first, split), last, right[mine]), (first, np.minimum(last, split - 1), left[mine])):
+                n = np.where(ok, np.maximum(hi - lo + 1, 0), 0)
+                at = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                 docs.append(np.full(len(at), i))
                 starts.append(at)
                 hashes.append(h.spans(at, at + self.length, 4))
-        if not docs:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
         return np.concatenate(docs), np.concatenate(starts), np.concatenate(hashes)
 
-    def settled(self, repeated: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(document, first, last start) of the runs whose strings are all repeated."""
-        span = repeated[: len(self.owner)]
-        return self.owner[span], self.run[0][span], self.run[1][span]
 
+def requests_of(keys: np.ndarray, parts: int, bucket: int) -> pa.Table:
+    """Each distinct entry once; one that the bucket itself repeats is sent twice."""
+    distinct, n = np.unique(keys, return_counts=True)
+    entries = np.repeat(distinct, np.minimum(n, 2))
+    return exchange.rows_table(exchange.packed(entries, exchange.part_of(entries["key"] if entries.dtype.names else entries, parts), bucket))
 
-def distinct(asked: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct keys of a bucket in the order of their parts' blobs, the inverse, and their counts."""
-    keys, inverse, n = np.unique(asked, return_inverse=True, return_counts=True)
-    return keys, inverse, n
 
+def answer_spans(t: pa.Table) -> pa.Table:
+    """To each bucket its keys that were sent more than once, and whether it is the first to have them."""
+    entries, bucket, _ = exchange.unpacked(t, KEY)
+    order = np.lexsort((bucket, entries))
+    key, who = entries[order], bucket[order]
+    new = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.zeros(0, bool)
+    again = ~new | np.append(~new[1:], False)
+    told = np.zeros(int(again.sum()), SPAN)
+    told["key"], told["first"] = key[again], new[again]
+    return exchange.replied(t["part"][0].as_py(), who[again], told)
 
-def requests_of(asked: np.ndarray, parts: int, bucket: int) -> pa.Table:
-    """Each distinct key once; a key that the bucket itself repeats is sent twice."""
-    keys, _, n = distinct(asked[asked != 0])
-    entries = np.repeat(keys, np.minimum(n, 2)).astype(KEY)
-    return exchange.rows_table(exchange.packed(entries, exchange.part_of(entries, parts), bucket))
 
+def answer_sides(t: pa.Table) -> pa.Table:
+    """To each bucket its keys that an open run has and that were sent more than once."""
+    entries, bucket, _ = exchange.unpacked(t, SIDE)
+    keys, inverse, n = np.unique(entries["key"], return_inverse=True, return_counts=True)
+    use = ((n > 1) & (np.bincount(inverse, entries["open"], len(keys)) > 0))[inverse]
+    return exchange.replied(t["part"][0].as_py(), bucket[use], entries["key"][use])
 
-def answer(t: pa.Table) -> pa.Table:
-    """To each bucket, the keys of it that were sent more than once, as sorted distinct keys."""
+
+def answer_strings(t: pa.Table) -> pa.Table:
+    """To each bucket its keys that were sent more than once."""
     entries, bucket, _ = exchange.unpacked(t, KEY)
-    order = np.lexsort((bucket, entries))
-    key, who = entries[order], bucket[order]
-    same = np.concatenate([[False], key[1:] == key[:-1]])
-    again = same | np.append(same[1:], False)
-    key, who = key[again], who[again]
-    first = np.concatenate([[True], (key[1:] != key[:-1]) | (who[1:] != who[:-1])]) if len(key) else np.zeros(0, bool)
-    return exchange.replied(t["part"][0].as_py(), who[first], key[first])
+    _, inverse, n = np.unique(entries, return_inverse=True, return_counts=True)
+    use = (n > 1)[inverse]
+    return exchange.replied(t["part"][0].as_py(), bucket[use], entries[use])
 
 
-def known(replies: pa.Table, kind: int) -> np.ndarray:
-    """The sorted repeated keys that a bucket was told in a round."""
-    mine = [np.frombuffer(b, KEY) for b, k in zip(replies["blob"].to_pylist(), replies["round"].to_pylist()) if k == kind]
-    return np.sort(np.concatenate(mine)) if mine else np.zeros(0, KEY)
+def known(replies: pa.Table, round_: int, dtype: np.dtype) -> np.ndarray:
+    """What a bucket was told in a round, sorted by key, each key once."""
+    mine = [np.frombuffer(b, dtype) for b, k in zip(replies["blob"].to_pylist(), replies["round"].to_pylist()) if k == round_]
+    told = np.concatenate(mine) if mine else np.zeros(0, dtype)
+    if dtype is not SPAN:
+        return np.unique(told)
+    told = told[np.lexsort((1 - told["first"], told["key"]))]
+    return told[np.concatenate([[True], told["key"][1:] != told["key"][:-1]])] if len(told) else told
 
 
-def among(asked: np.ndarray, repeated: np.ndarray) -> np.ndarray:
-    if not len(repeated):
+def among(asked: np.ndarray, sorted_keys: np.ndarray) -> np.ndarray:
+    if not len(sorted_keys):
         return np.zeros(len(asked), bool)
-    return (repeated[np.minimum(np.searchsorted(repeated, asked), len(repeated) - 1)] == asked) & (asked != 0)
+    return (sorted_keys[np.minimum(np.searchsorted(sorted_keys, asked), len(sorted_keys) - 1)] == asked) & (asked != 0)
 
 
 def removal(texts: list[bytes], docs: np.ndarray, first: np.ndarray, last: np.ndarray, length: int) -> list[np.ndarray]:
@@ -223,22 +236,30 @@ def remove_repeats(docs: DataFrame, length: int = 400, text: bool = False) -> Da
     parts = max(64, buckets)
     dealt = exchange.bucketed(docs, buckets, ["doc_id", "text"])
 
-    def first_round(t: pa.Table) -> pa.Table:
-        return requests_of(Bucket(t, length).asked, parts, t["bucket"][0].as_py())
+    def spans(t: pa.Table) -> pa.Table:
+        return requests_of(Bucket(t, length).span, parts, exchange.bucket_of(t))
 
-    def second_round(t: pa.Table, replies: pa.Table) -> pa.Table:
+    def sides(t: pa.Table, told: pa.Table) -> pa.Table:
         if not len(t):
             return exchange.rows_table([])
         b = Bucket(t, length)
-        return requests_of(b.open_strings(among(b.asked, known(replies, 1)))[2], parts, t["bucket"][0].as_py())
+        b.after_spans(known(told, 1, SPAN))
+        return requests_of(b.sides(), parts, exchange.bucket_of(t))
 
-    def finish(t: pa.Table, replies: pa.Table) -> pa.Table:
+    def strings(t: pa.Table, told: pa.Table) -> pa.Table:
+        if not len(t):
+            return exchange.rows_table([])
         b = Bucket(t, length)
-        repeated = among(b.asked, known(replies, 1))
-        doc, first, last = b.settled(repeated)
-        d, at, h = b.open_strings(repeated)
-        hit = among(h, known(replies, 2))
-        runs = removal(b.texts, np.append(doc, d[hit]), np.append(first, at[hit]), np.append(last, at[hit]), length)
+        b.after_spans(known(told, 1, SPAN))
+        return requests_of(b.strings(known(told, 2, KEY))[2], parts, exchange.bucket_of(t))
+
+    def finish(t: pa.Table, told: pa.Table) -> pa.Table:
+        b = Bucket(t, length)
+        b.after_spans(known(told, 1, SPAN))
+        doc, at, h = b.strings(known(told, 2, KEY))
+        hit = among(h, known(told, 3, KEY))
+        s = b.settled
+        runs = removal(b.texts, np.append(b.owner[s], doc[hit]), np.append(b.run[0][s], at[hit]), np.append(b.run[1][s], at[hit]), length)
         left = [kept(x, r) for x, r in zip(b.texts, runs)]
         columns = {
             "doc_id": t["doc_id"].combine_chunks(),
@@ -249,6 +270,10 @@ def remove_repeats(docs: DataFrame, length: int = 400, text: bool = False) -> Da
         }
         return pa.table(columns | ({"kept": pa.array(left, pa.binary())} if text else {}))
 
-    one = exchange.ask(dealt, first_round, answer).withColumn("round", F.lit(1))
-    two = exchange.tell(dealt, one, second_round, exchange.BLOB).groupBy("part").applyInArrow(answer, exchange.BLOB).withColumn("round", F.lit(2))
-    return exchange.tell(dealt, one.union(two), finish, SCHEMA + (", kept binary" if text else ""))
+    def round_(n: int, asked: DataFrame, answer) -> DataFrame:
+        return asked.groupBy("part").applyInArrow(answer, exchange.BLOB).withColumn("round", F.lit(n))
+
+    one = round_(1, dealt.groupBy(exchange.BUCKET).applyInArrow(spans, exchange.BLOB), answer_spans)
+    two = round_(2, exchange.tell(dealt, one, sides, exchange.BLOB), answer_sides)
+    three = round_(3, exchange.tell(dealt, one.union(two), strings, exchange.BLOB), answer_strings)
+    return exchange.tell(dealt, one.union(two).union(three), finish, SCHEMA + (", kept binary" if text else ""))

@@ -275,7 +275,7 @@ def score(docs: DataFrame, least_share: float = 2e-5, divergence: float = 40.0)
         _, _, keys, n, _ = vocabulary(t)
         entries = np.zeros(len(keys), ASKED)
         entries["key"], entries["n"] = keys, n
-        return exchange.rows_table(exchange.packed(entries, exchange.part_of(keys, parts), t["bucket"][0].as_py()))
+        return exchange.rows_table(exchange.packed(entries, exchange.part_of(keys, parts), exchange.bucket_of(t)))
 
     def answer(t: pa.Table) -> pa.Table:
         """Counts of the words that several buckets have; part -1 has this part's totals."""
