@@ -162,3 +162,27 @@ def identify(docs: DataFrame, per_language: int = 500, related: float = 0.6) ->
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).withColumn("held_out", crc_bucket("doc_id", 4) == 2)
     model = fit(docs.where("not held_out"), per_language, related)
     return predict(docs, model, ["doc_id", "held_out"], SCHEMA)
+
+
+def keep_identified(docs: DataFrame, least_score: float = 0.3, per_language: int = 500, related: float = 0.6) -> DataFrame:
+    """docs, all columns, without the rows that identification rejects: no letter, or a score under `least_score`.
+
+    Learns from the rows of docs themselves that have a lang, as identify() does; without
+    any, nothing can be told apart and only texts without a letter go.
+    """
+    spark = docs.sparkSession
+    small_batches(spark)
+    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    shipped = spark.sparkContext.broadcast(fit(known.where(crc_bucket("doc_id", 4) != 2), per_language, related))
+
+    def run(batches):
+        model = shipped.value
+        for b in batches:
+            texts = as_bytes(b.column("text"))
+            lettered = [i for i, t in enumerate(texts) if LETTER.search(t.decode("utf-8", "ignore"))]
+            if model and lettered:
+                _, sure = model.predict(features([texts[i] for i in lettered]))
+                lettered = [i for i, p in zip(lettered, sure) if p >= least_score]
+            yield b.take(pa.array(lettered, pa.int64()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from . import chat, decontaminate, langid, linededup, mixing, prefixhash, repeats, simhash, suffixtree, toxicity
 from .textops import table
 
@@ -46,5 +48,5 @@ def op10_prefixhash(spark, sf_dir):
     return prefixhash.fingerprints(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_simhash, op3_lines, op4_language, op5_suffixtree, op6_repeats, op7_chat, op8_decontaminate, op9_mixing, op10_prefixhash)}
-ORACLE = {"op7_chat": chat.ORACLE_SQL}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_simhash, op3_lines, op4_language, op5_suffixtree, op6_repeats, op7_chat, op8_decontaminate, op9_mixing, op10_prefixhash)} | {"pipeline": corpus_pipeline.run}
+ORACLE = {"op7_chat": chat.ORACLE_SQL} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .textops import as_bytes, checkpointed, small_batches
+from .textops import U, as_bytes, checkpointed, mix, small_batches
 
 BITS = 64
 
@@ -169,3 +169,134 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataF
     least = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
     named = labelled.join(least, "root").select("fp", "component_id")
     return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+# -- similarity of 0.8 or more: wide fingerprints, searched by segments ------------------------------
+
+WIDE = 4
+SEGMENT = 32
+
+
+def wide_fingerprint(text: bytes, shingle: int) -> tuple[int, np.ndarray]:
+    """A hash of the word sequence, and WIDE SimHash words of 64 bits from independent mixes of each shingle's XXH64."""
+    words = text.lower().split()
+    line = b" ".join(words)
+    ends = np.cumsum([len(w) + 1 for w in words]) - 1
+    n = max(1, len(words) - shingle + 1)
+    starts = np.concatenate([[0], ends[: n - 1] + 1]).astype(np.int64).tolist()
+    stops = ends[min(shingle, len(words)) - 1 :].tolist() if words else [0]
+    digest = xxhash.xxh64_intdigest
+    ones = np.zeros((WIDE, BITS), np.int64)
+    for at in range(0, n, 1 << 14):
+        h = np.array([digest(line[a:b], 42) for a, b in zip(starts[at : at + (1 << 14)], stops[at : at + (1 << 14)])], np.uint64)
+        for k in range(WIDE):
+            ones[k] += np.unpackbits(mix(h + U(0x9E3779B97F4A7C15 * (k + 1) % (1 << 64))).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return digest(line, 7), np.packbits(ones * 2 > n, axis=1, bitorder="little").view(np.uint64).ravel()
+
+
+def allowed_bits(similarity: float, bits: int) -> int:
+    """Differing bits of two fingerprints that a Jaccard similarity explains, with one and a half deviations to spare at half of them."""
+    p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return int(bits * p + 0.75 * np.sqrt(bits * p * (1 - p)))
+
+
+def similar_links(distinct: DataFrame, similarity: float, radius: int = 2) -> DataFrame:
+    """(u, v) links between contents (id, f0..f3) that keep the components of those a shard finds similar.
+
+    Each of the eight 32-bit segments of the fingerprint is searched by BK-trees within
+    `radius`, in shards that agree on some of its bits; a hit counts if the 128 bits around
+    the segment differ in no more bits than the similarity explains.
+    """
+    part = [list(range(i * SEGMENT // (radius + 1), (i + 1) * SEGMENT // (radius + 1))) for i in range(radius + 1)]
+    masks = []
+    for block in part:
+        rest = [i for i in range(SEGMENT) if i not in block]
+        masks += [sum(1 << i for i in block + more) for more in blocks(rest, radius + 1)]
+    allowed = allowed_bits(similarity, 2 * BITS)
+    entries = []
+    for s in range(2 * WIDE):
+        a, b = f"f{s // 4 * 2}", f"f{s // 4 * 2 + 1}"
+        value = F.shiftrightunsigned(F.col(f"f{s // 2}"), SEGMENT * (s % 2)).bitwiseAND(F.lit((1 << SEGMENT) - 1))
+        entries += [F.struct(F.xxhash64(F.lit(s), F.lit(m), value.bitwiseAND(F.lit(mask))).alias("shard"), F.lit(s % 4).cast("int").alias("s"), F.col(a).alias("a"), F.col(b).alias("b")) for m, mask in enumerate(masks)]
+    sharded = distinct.select("id", F.explode(F.array(*entries)).alias("e")).select("e.shard", "e.s", "id", "e.a", "e.b")
+
+    def links(rows: list[tuple[int, int, int, int]]) -> list[tuple[int, int]]:
+        """rows: (segment, id, a, b) of one shard."""
+        at = {}
+        for s, id_, a, b in rows:
+            whole = (b & (1 << 64) - 1) << 64 | a & (1 << 64) - 1
+            at.setdefault(whole >> SEGMENT * s & (1 << SEGMENT) - 1, {}).setdefault(whole, id_)
+            if at[whole >> SEGMENT * s & (1 << SEGMENT) - 1][whole] != id_:
+                yield id_, at[whole >> SEGMENT * s & (1 << SEGMENT) - 1][whole]
+        values = sorted(at)
+        tree = BKTree(values[0])
+        root = {}
+
+        def find(x):
+            while root.setdefault(x, x) != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        for v in values:
+            if v != values[0]:
+                tree.add(v)
+            near = [(w, i) for u in tree.within(v, radius) for w, i in at[u].items()]
+            for whole, id_ in at[v].items():
+                for w, i in near:
+                    if i != id_ and find(i) != find(id_) and (w ^ whole).bit_count() <= allowed:
+                        root[find(i)] = find(id_)
+                        yield id_, i
+
+    def run(batches):
+        held: list[tuple] = []
+        shard = None
+        for batch in batches:
+            out = []
+            shards = batch.column(0).to_numpy()
+            rows = list(zip(*(batch.column(i).to_pylist() for i in range(1, 5))))
+            cuts = [0, *(np.flatnonzero(np.diff(shards)) + 1).tolist(), len(shards)] if len(shards) else [0]
+            for lo, hi in itertools.pairwise(cuts):
+                if shards[lo] != shard:
+                    if len(held) > 1:
+                        out += links(held)
+                    held, shard = [], shards[lo]
+                held += rows[lo:hi]
+            a = np.array(out, np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(a[:, 0]), pa.array(a[:, 1])], ["u", "v"])
+        if len(held) > 1:
+            a = np.array(list(links(held)), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(a[:, 0]), pa.array(a[:, 1])], ["u", "v"])
+
+    n = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return sharded.repartition(n, "shard").sortWithinPartitions("shard").mapInArrow(run, "u long, v long").distinct()
+
+
+def one_of_each_group(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs, all columns, with one row of each group of near-duplicates: the one with the smallest (doc_id, text hash).
+
+    Groups are the components of links between texts whose wide SimHash fingerprints (five
+    words a shingle) differ in no more bits than a Jaccard similarity of `similarity`
+    explains. Texts with one word sequence, letter case aside, are one node, and of equal
+    rows one stays. A null text counts as empty; empty texts are one group. A null doc_id
+    comes first. An empty table gives an empty table.
+    """
+    small_batches(docs.sparkSession)
+    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc"), F.xxhash64(F.col("text").cast("string")).alias("h"), F.col("text").cast("string").alias("text"))
+
+    def run(batches):
+        for b in batches:
+            got = [wide_fingerprint(x, shingle) for x in as_bytes(b.column("text"))]
+            ids = pa.array(np.array([g[0] for g in got], np.uint64).view(np.int64))
+            f = np.array([g[1] for g in got], np.uint64).reshape(-1, WIDE).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column("doc"), b.column("h"), ids, *(pa.array(f[:, k].copy()) for k in range(WIDE))], ["doc", "h", "id", *(f"f{k}" for k in range(WIDE))])
+
+    fps = checkpointed(keyed.mapInArrow(run, "doc long, h long, id long, " + ", ".join(f"f{k} long" for k in range(WIDE))))
+    first = fps.groupBy("id", *(f"f{k}" for k in range(WIDE))).agg(F.min(F.struct("doc", "h")).alias("first"))
+    distinct = checkpointed(first)
+    roots = connected_components(similar_links(distinct.drop("first"), similarity))
+    chosen = distinct.join(roots, distinct.id == roots.node, "left").groupBy(F.coalesce("root", "id").alias("root")).agg(F.min("first").alias("first")).select("first.*")
+    kept = docs.withColumns({"__doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "__h": F.xxhash64(F.col("text").cast("string"))})
+    kept = kept.join(chosen, (F.col("__doc") == F.col("doc")) & (F.col("__h") == F.col("h")), "left_semi")
+    # the join has brought equal keys together: of equal rows one stays
+    return kept.dropDuplicates(["__doc", "__h"]).drop("__doc", "__h")
