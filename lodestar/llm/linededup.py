@@ -16,23 +16,28 @@ costs one entry a bucket. A line is marked once; pairs of marked lines are skipp
 from __future__ import annotations
 
 import hashlib
-import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import exchange
-from .textops import LOWER, U, as_bytes, mix, span_hashes, word_spans
+from .textops import LOWER, U, as_bytes, mix, sorted_set, span_hashes, word_spans
 
-COUNT = np.dtype([("key", "<u8"), ("n", "<u4")])
-TOLD = np.dtype([("at", "<u4"), ("n", "<u4")])
-ENTRY = np.dtype([("word", "<u8"), ("set", "<u8"), ("doc", "<i8"), ("tie", "<u4"), ("line", "<u4"), ("index", "<u4"), ("size", "<u4"), ("place", "<u2")])
+#: A word is known by its part and 32 bits of its hash here: words that share them only share a count.
+COUNT = np.dtype([("key", "<u4"), ("n", "<u2")])
+TOLD = np.dtype([("at", "<u4"), ("n", "<u2")])
+#: Ties in doc_id go by a byte of a hash of the text. A set is known by sign, set and size together; sign has, for each of 64 bins, the parity of its words.
+ENTRY = np.dtype([("word", "<u4"), ("sign", "<u8"), ("set", "<u4"), ("doc", "<i8"), ("tie", "u1"), ("index", "<u4"), ("size", "<u4"), ("place", "u1")])
 LINE = np.dtype("<u4")
 ROWS = "part int, bucket int, kind int, blob binary"
-#: Kinds of rows: lines to remove, prefix entries, lines to send, sent sets.
-GONE, ENTRIES, SEND, SETS = range(4)
+#: Kinds of rows: lines to remove, prefix entries, lines whose parities or sets are wanted, and these.
+GONE, ENTRIES, WANT_PARITIES, WANT_SET, PARITIES, SETS = range(6)
+#: Sets of more words differ in as many of 64 parities by chance as similar ones may; they are met by 512.
+SHORT = 80
+BUCKET_BYTES = 8 << 20
 CHUNK = 1 << 21
 
 
@@ -42,6 +47,27 @@ def rows(made) -> pa.Table:
     return pa.table([pa.array([m[i] for m in made], k) for i, k in enumerate(kinds)], names=["part", "bucket", "kind", "blob"])
 
 
+def tie_of(text: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(text, digest_size=4).digest(), "little")
+
+
+def squeezed(entries: np.ndarray) -> bytes:
+    """Entries by column and byte, compressed."""
+    planes = b"".join(np.ascontiguousarray(entries[c]).view(np.uint8).reshape(len(entries), -1).T.tobytes() for c in entries.dtype.names)
+    return len(entries).to_bytes(4, "little") + pa.compress(planes, codec="zstd", asbytes=True)
+
+
+def unsqueezed(blob: bytes, dtype: np.dtype) -> np.ndarray:
+    n, at = int.from_bytes(blob[:4], "little"), 0
+    planes = np.frombuffer(pa.decompress(blob[4:], decompressed_size=n * dtype.itemsize, codec="zstd", asbytes=True), np.uint8)
+    out = np.zeros(n, dtype)
+    for c in dtype.names:
+        width = dtype[c].itemsize
+        out[c] = np.ascontiguousarray(planes[at : at + n * width].reshape(width, n).T).view(dtype[c]).ravel()
+        at += n * width
+    return out
+
+
 class Lines:
     """The lines of a bucket's documents in their order: one index runs over all of them."""
 
@@ -49,7 +75,7 @@ class Lines:
         texts = as_bytes(t["text"])
         ids = [-(1 << 63) if x is None else int(x) for x in t["doc_id"].to_pylist()]
         #: Row of the table for each document in order.
-        self.order = sorted(range(len(ids)), key=lambda i: (ids[i], texts[i]))
+        self.order = sorted(range(len(ids)), key=lambda i: (ids[i], tie_of(texts[i]), texts[i]))
         self.texts = [texts[i] for i in self.order]
         self.ids = np.array([ids[i] for i in self.order], np.int64)
         self.first = np.cumsum([0] + [x.count(b"\n") + 1 for x in self.texts])
@@ -63,9 +89,9 @@ class Lines:
             end = len(self.all) if end < 0 else end
             buf = LOWER[np.frombuffer(b"\n" + self.all[at:end] + b"\n", np.uint8)]
             starts, ends = word_spans(buf)
-            breaks = np.flatnonzero(buf == 10)
-            got.append((line + np.searchsorted(breaks, starts) - 1, span_hashes(buf, starts, ends)))
-            line += len(breaks) - 1
+            breaks = np.cumsum(buf == 10)
+            got.append((line + breaks[starts] - 1, span_hashes(buf, starts, ends)))
+            line += int(breaks[-1]) - 1
             at = end + 1
         if not got:
             return np.zeros(0, np.int64), np.zeros(0, np.uint64)
@@ -75,8 +101,8 @@ class Lines:
         return np.searchsorted(self.first, line, side="right") - 1
 
     def ties(self) -> np.ndarray:
-        """Orders texts of one doc_id: by the text's place among equal ids, and a hash of it between buckets."""
-        return np.array([int.from_bytes(hashlib.blake2b(x, digest_size=4).digest(), "little") for x in self.texts], np.uint32)
+        """Orders texts of one doc_id between buckets; those that share it follow their buckets."""
+        return np.array([tie_of(x) >> 24 for x in self.texts], np.uint8)
 
     def kept(self, gone: np.ndarray) -> tuple[list[bytes], list[list[int]]]:
         """The texts without the lines of these indices, and their removed line numbers, by document in order."""
@@ -93,23 +119,29 @@ class Lines:
         return texts, numbers
 
 
-def order_of(e: np.ndarray) -> tuple:
+def order_of(e: np.ndarray, bucket: np.ndarray) -> tuple:
     """Keys for lexsort, the last the strongest, that put entries in document order."""
-    return e["line"], e["tie"], e["doc"]
+    return e["index"], bucket, e["tie"], e["doc"]
 
 
-def first_of_each_set(e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def first_of_each_set(e: np.ndarray, bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of the entries of each word, (the first of each set, the later ones), as indices."""
-    order = np.lexsort((*order_of(e), e["set"], e["word"]))
-    w, s = e["word"][order], e["set"][order]
-    new = np.concatenate([[True], (w[1:] != w[:-1]) | (s[1:] != s[:-1])]) if len(e) else np.zeros(0, bool)
+    names = ("word", "sign", "set", "size")
+    order = np.lexsort((*order_of(e, bucket), *(e[c] for c in names[::-1])))
+    new = np.ones(len(e), bool)
+    if len(e):
+        new[1:] = np.any([e[c][order][1:] != e[c][order][:-1] for c in names], axis=0)
     return order[new], order[~new]
 
 
 def near_pairs(e: np.ndarray, threshold: float):
-    """Yields (i, j) index arrays of pairs of one word that pass the length and positional filters."""
-    order = np.lexsort((*order_of(e), e["size"], e["word"]))
-    word, size, left = e["word"][order], e["size"][order].astype(np.int64), e["size"][order].astype(np.int64) - e["place"][order]
+    """Yields (i, j, differing words allowed) arrays of pairs of one word that pass the length, positional and parity filters.
+
+    The parities of two sets differ in no more bins than the sets differ in words.
+    """
+    order = np.lexsort((e["size"], e["word"]))
+    word, sign, size, place = e["word"][order], e["sign"][order], e["size"][order].astype(np.int64), e["place"][order]
+    left = size - place
     active = np.flatnonzero(size * (1 / threshold) >= size + 1)
     d = 0
     while len(active):
@@ -119,10 +151,12 @@ def near_pairs(e: np.ndarray, threshold: float):
         # longer sets follow shorter ones, so a pair too unlike in length ends the search for its first
         go = (word[active] == word[other]) & (size[active] >= threshold * size[other] - 1e-9)
         active, other = active[go], other[go]
-        need = np.ceil(threshold / (1 + threshold) * (size[active] + size[other]) - 1e-9)
-        ok = np.minimum(left[active], left[other]) >= need
+        both = size[active] + size[other]
+        need = np.ceil(threshold / (1 + threshold) * both - 1e-9).astype(np.int64)
+        spare = both - 2 * need
+        ok = (np.minimum(left[active], left[other]) >= need) & (np.bitwise_count(sign[active] ^ sign[other]) <= spare)
         if ok.any():
-            yield order[active[ok]], order[other[ok]]
+            yield order[active[ok]], order[other[ok]], spare[ok]
 
 
 def dedup(docs: DataFrame, threshold: float = 0.8, report: bool = False) -> DataFrame:
@@ -138,7 +172,7 @@ def dedup(docs: DataFrame, threshold: float = 0.8, report: bool = False) -> Data
     if report:
         docs = docs.select("doc_id", "text")
     names = docs.columns
-    buckets = exchange.sized(docs)
+    buckets = exchange.sized(docs, of=BUCKET_BYTES)
     parts = max(64, buckets)
     dealt = exchange.bucketed(docs, buckets, ["doc_id", "text"])
 
@@ -147,8 +181,8 @@ def dedup(docs: DataFrame, threshold: float = 0.8, report: bool = False) -> Data
         h.sort()
         first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
         entries = np.zeros(len(first), COUNT)
-        entries["key"], entries["n"] = h[first], np.diff([*first, len(h)])
-        return exchange.rows_table(exchange.packed(entries, exchange.part_of(entries["key"], parts), exchange.bucket_of(t)))
+        entries["key"], entries["n"] = h[first] & U(0xFFFFFFFF), np.minimum(np.diff(np.append(first, len(h))), 65535)
+        return exchange.rows_table(exchange.packed(entries, exchange.part_of(h[first], parts), exchange.bucket_of(t)))
 
     def tell_counts(t: pa.Table) -> pa.Table:
         entries, bucket, index = exchange.unpacked(t, COUNT)
@@ -156,7 +190,7 @@ def dedup(docs: DataFrame, threshold: float = 0.8, report: bool = False) -> Data
         total = np.bincount(inverse, entries["n"], len(keys))
         shared = asked[inverse] > 1
         told = np.zeros(int(shared.sum()), TOLD)
-        told["at"], told["n"] = index[shared], np.minimum(total[inverse[shared]], 2**32 - 1)
+        told["at"], told["n"] = index[shared], np.minimum(total[inverse[shared]], 65535)
         return exchange.replied(t["part"][0].as_py(), bucket[shared], told)
 
     def offer(t: pa.Table, counts: pa.Table) -> pa.Table:
@@ -176,13 +210,14 @@ def dedup(docs: DataFrame, threshold: float = 0.8, report: bool = False) -> Data
         by_rarity = np.lexsort((keys, n))
         rank[by_rarity] = np.arange(len(keys))
         # words of each line once, the rarest first
-        ordered = np.unique(line.astype(np.int64) << 32 | rank[word])
+        ordered = sorted_set(line.astype(np.int64) << 32 | rank[word])
         line, word = ordered >> 32, by_rarity[ordered & 0xFFFFFFFF]
         if not len(line):
             return rows([])
         first = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]]))
-        size = np.diff([*first, len(line)])
+        size = np.diff(np.append(first, len(line)))
         set_ = mix(np.add.reduceat(mix(keys[word] ^ U(0x51ED270B7F4A7C15)), first) + size.astype(np.uint64))
+        sign = np.bitwise_xor.reduceat(U(1) << (keys[word] & U(63)), first)
         _, kept = np.unique(set_, return_index=True)
         later = np.ones(len(first), bool)
         later[kept] = False
@@ -194,58 +229,73 @@ def dedup(docs: DataFrame, threshold: float = 0.8, report: bool = False) -> Data
         o = owner[use]
         at = line[first]
         doc = lines.doc_of(at)
-        e["word"], e["set"], e["doc"], e["tie"] = keys[word[use]], set_[o], lines.ids[doc][o], lines.ties()[doc][o]
-        e["line"], e["index"], e["size"], e["place"] = (at - lines.first[doc])[o], at[o], size[o], np.minimum(place[use], 65535)
-        made = [(p, b, ENTRIES, blob) for p, b, blob in exchange.packed(e, exchange.part_of(e["word"], parts), bucket)]
+        e["word"], e["sign"], e["set"], e["doc"], e["tie"] = keys[word[use]] & U(0xFFFFFFFF), sign[o], set_[o] >> U(32), lines.ids[doc][o], lines.ties()[doc][o]
+        e["index"], e["size"], e["place"] = at[o], size[o], np.minimum(place[use], 255)
+        made = [(p, b, ENTRIES, squeezed(np.frombuffer(blob, ENTRY))) for p, b, blob in exchange.packed(e, exchange.part_of(keys[word[use]], parts), bucket)]
         return rows([*made, (bucket % parts, bucket, GONE, at[later].astype(LINE).tobytes())])
 
     def entries_of(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         mine = t.filter(pa.compute.equal(t["kind"], ENTRIES))
-        e, bucket, _ = exchange.unpacked(mine, ENTRY)
-        return e, bucket
+        blobs = [unsqueezed(b, ENTRY) for b in mine["blob"].to_pylist()]
+        return np.concatenate(blobs) if blobs else np.zeros(0, ENTRY), np.repeat(np.array(mine["bucket"].to_pylist(), np.int64), [len(b) for b in blobs])
 
     def to_buckets(part: int, kind: int, bucket: np.ndarray, index: np.ndarray):
-        both = np.unique(bucket.astype(np.int64) << 32 | index)
+        both = sorted_set(bucket.astype(np.int64) << 32 | index)
         b = both >> 32
         for block in np.split(both, np.flatnonzero(np.diff(b)) + 1) if len(both) else ():
             yield part, int(block[0] >> 32), kind, (block & 0xFFFFFFFF).astype(LINE).tobytes()
 
     def meet(t: pa.Table) -> pa.Table:
-        """Later lines of equal sets are gone; the lines of pairs that pass the filters are to be sent."""
+        """Later lines of equal sets are gone; more is wanted of the lines of pairs that pass the filters."""
         part = t["part"][0].as_py()
         made = [(part, b, GONE, blob) for b, k, blob in zip(t["bucket"].to_pylist(), t["kind"].to_pylist(), t["blob"].to_pylist()) if k == GONE]
         e, bucket = entries_of(t)
-        reps, later = first_of_each_set(e)
+        reps, later = first_of_each_set(e, bucket)
         made += to_buckets(part, GONE, bucket[later], e["index"][later])
         e, bucket = e[reps], bucket[reps]
-        wanted = np.zeros(len(e), bool)
-        for i, j in near_pairs(e, threshold):
-            wanted[i] = wanted[j] = True
-        return rows([*made, *to_buckets(part, SEND, bucket[wanted], e["index"][wanted])])
+        short, long = np.zeros(len(e), bool), np.zeros(len(e), bool)
+        for i, j, _ in near_pairs(e, threshold):
+            big = np.maximum(e["size"][i], e["size"][j]) > SHORT
+            long[i[big]] = long[j[big]] = True
+            short[i[~big]] = short[j[~big]] = True
+        for kind, wanted in ((WANT_PARITIES, long), (WANT_SET, short)):
+            made += to_buckets(part, kind, bucket[wanted], e["index"][wanted])
+        return rows(made)
+
+    def send(t: pa.Table, asked: pa.Table, kind: int) -> pa.Table:
+        """What the parts want to know of lines: 512 parities, or word sets as 32 bits of each word's hash.
 
-    def send(t: pa.Table, asked: pa.Table) -> pa.Table:
-        """The word sets of the wanted lines, to the parts that want them."""
-        asked = asked.filter(pa.compute.equal(asked["kind"], SEND))
+        Two different words of a pair of lines agree in these once in four thousand million.
+        """
+        asked = asked.filter(pa.compute.equal(asked["kind"], kind))
         if not len(t) or not len(asked):
             return rows([])
         lines, bucket = Lines(t), exchange.bucket_of(t)
         every = lines.all.split(b"\n")
         wanted = [np.frombuffer(b, LINE) for b in asked["blob"].to_pylist()]
-        union = np.unique(np.concatenate(wanted))
-        at, sets = [0], []
+        union = sorted_set(np.concatenate(wanted))
+        at, sets, parities = [0], [], np.zeros((len(union), 8), np.uint64)
         for lo in range(0, len(union), 2000):
             chunk = union[lo : lo + 2000].tolist()
             buf = LOWER[np.frombuffer(b"\n" + b"\n".join(every[i] for i in chunk) + b"\n", np.uint8)]
             starts, ends = word_spans(buf)
-            owner = np.searchsorted(np.flatnonzero(buf == 10), starts) - 1
+            owner = np.cumsum(buf == 10)[starts] - 1
             h = span_hashes(buf, starts, ends)
             order = np.lexsort((h, owner))
             owner, h = owner[order], h[order]
             new = np.concatenate([[True], (owner[1:] != owner[:-1]) | (h[1:] != h[:-1])]) if len(h) else np.zeros(0, bool)
-            sets.append(h[new])
-            at += (at[-1] + np.cumsum(np.bincount(owner[new], minlength=len(chunk)))).tolist()
-        sets, at = np.concatenate(sets), np.array(at)
+            owner, h = owner[new], h[new]
+            if kind == WANT_PARITIES:
+                np.bitwise_xor.at(parities, (lo + owner, (h >> U(32) & U(7)).astype(np.int64)), U(1) << (h >> U(35) & U(63)))
+            else:
+                sets.append((h & U(0xFFFFFFFF)).astype(np.uint32))
+                at += (at[-1] + np.cumsum(np.bincount(owner, minlength=len(chunk)))).tolist()
         made = []
+        if kind == WANT_PARITIES:
+            for p, mine in zip(asked["part"].to_pylist(), wanted):
+                made.append((p, bucket, PARITIES, np.array([len(mine)], LINE).tobytes() + mine.tobytes() + parities[np.searchsorted(union, mine)].tobytes()))
+            return rows(made)
+        sets, at = np.concatenate(sets), np.array(at)
         for p, mine in zip(asked["part"].to_pylist(), wanted):
             k = np.searchsorted(union, mine)
             size = at[k + 1] - at[k]
@@ -253,6 +303,30 @@ def dedup(docs: DataFrame, threshold: float = 0.8, report: bool = False) -> Data
             made.append((p, bucket, SETS, np.array([len(mine)], LINE).tobytes() + mine.tobytes() + size.astype(LINE).tobytes() + flat.tobytes()))
         return rows(made)
 
+    def narrow(t: pa.Table, sent: pa.Table) -> pa.Table:
+        """Of the long lines, those of pairs whose 512 parities may belong to similar sets."""
+        if not len(t) or not len(sent):
+            return rows([])
+        known, found = [], []
+        for b, blob in zip(sent["bucket"].to_pylist(), sent["blob"].to_pylist()):
+            n = int(np.frombuffer(blob, LINE, 1)[0])
+            known.append(b << 32 | np.frombuffer(blob, LINE, n, 4).astype(np.int64))
+            found.append(np.frombuffer(blob[4 + 4 * n :], np.uint64).reshape(n, 8))
+        known, found = np.concatenate(known), np.concatenate(found)
+        order = np.argsort(known)
+        known, found = known[order], found[order]
+        e, bucket = entries_of(t)
+        reps, _ = first_of_each_set(e, bucket)
+        e, bucket = e[reps], bucket[reps]
+        at = np.minimum(np.searchsorted(known, bucket << 32 | e["index"].astype(np.int64)), len(known) - 1)
+        wanted = np.zeros(len(e), bool)
+        for i, j, spare in near_pairs(e, threshold):
+            big = np.maximum(e["size"][i], e["size"][j]) > SHORT
+            i, j, spare = i[big], j[big], spare[big]
+            ok = np.bitwise_count(found[at[i]] ^ found[at[j]]).sum(1) <= spare
+            wanted[i[ok]] = wanted[j[ok]] = True
+        return rows(to_buckets(t["part"][0].as_py(), WANT_SET, bucket[wanted], e["index"][wanted]))
+
     def verify(t: pa.Table, sent: pa.Table) -> pa.Table:
         """Lines with an earlier line of which enough words are shared are gone."""
         if not len(t) or not len(sent):
@@ -261,18 +335,21 @@ def dedup(docs: DataFrame, threshold: float = 0.8, report: bool = False) -> Data
         for b, blob in zip(sent["bucket"].to_pylist(), sent["blob"].to_pylist()):
             n = int(np.frombuffer(blob, LINE, 1)[0])
             index, size = np.frombuffer(blob, LINE, n, 4), np.frombuffer(blob, LINE, n, 4 + 4 * n)
-            flat = np.frombuffer(blob[4 + 8 * n :], "<u8")
+            flat = np.frombuffer(blob, "<u4", -1, 4 + 8 * n)
             for i, part_ in zip(index.tolist(), np.split(flat, np.cumsum(size)[:-1])):
                 sets[b, i] = part_
         e, bucket = entries_of(t)
-        reps, _ = first_of_each_set(e)
+        reps, _ = first_of_each_set(e, bucket)
         e, bucket = e[reps], bucket[reps]
         name = list(zip(bucket.tolist(), e["index"].tolist()))
+        held = np.array([n in sets for n in name], bool)
         rank = np.empty(len(e), np.int64)
-        rank[np.lexsort(order_of(e))] = np.arange(len(e))
+        rank[np.lexsort(order_of(e, bucket))] = np.arange(len(e))
         gone: set = set()
         made: dict = {}
-        for i, j in near_pairs(e, threshold):
+        for i, j, _ in near_pairs(e, threshold):
+            both_held = held[i] & held[j]
+            i, j = i[both_held], j[both_held]
             later, early = np.where(rank[i] > rank[j], i, j).tolist(), np.where(rank[i] > rank[j], j, i).tolist()
             for a, b in zip(early, later):
                 if name[b] in gone or name[a] == name[b]:
@@ -304,7 +381,9 @@ def dedup(docs: DataFrame, threshold: float = 0.8, report: bool = False) -> Data
     counts = exchange.ask(dealt, ask_counts, tell_counts)
     offered = exchange.tell(dealt, counts, offer, ROWS)
     met = offered.groupBy("part").applyInArrow(meet, ROWS)
-    sent = exchange.tell(dealt, met, send, ROWS)
+    parities = exchange.tell(dealt, met, lambda t, asked: send(t, asked, WANT_PARITIES), ROWS)
+    narrowed = offered.groupBy("part").cogroup(parities.groupBy("part")).applyInArrow(narrow, ROWS)
+    sent = exchange.tell(dealt, met.union(narrowed), lambda t, asked: send(t, asked, WANT_SET), ROWS)
     verified = offered.groupBy("part").cogroup(sent.groupBy("part")).applyInArrow(verify, ROWS)
     schema = "doc_id long, n_lines int, n_removed int, removed array<int>, kept_sha256 string" if report else docs.schema
     return exchange.tell(dealt, met.union(verified), finish, schema)

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import exchange
-from .textops import mix, small_batches
+from .textops import mix, small_batches, sorted_set
 
 P1, P2 = (1 << 31) - 1, (1 << 31) - 19
 B1, B2 = 1_103_515_245, 1_664_525_017
@@ -113,12 +113,12 @@ def fingerprint(chars: np.ndarray) -> tuple[int, int, np.ndarray, np.ndarray]:
                 both[-1] = both[-1] * np.uint64(pow(pow(base, len(block), p), -1, p)) % np.uint64(p)
             h = mix(both[0] << np.uint64(31) | both[1])
             cut = np.iinfo(np.uint64).max if m <= 8 * KEEP else int(4 * KEEP / m * float(np.iinfo(np.uint64).max))
-            few = np.unique(h[h <= np.uint64(cut)])
+            few = sorted_set(h[h <= np.uint64(cut)])
             if len(few) < KEEP and m > 8 * KEEP:
-                few = np.unique(h)
-            least = np.unique(np.concatenate([least, few[:KEEP]]))[:KEEP]
+                few = sorted_set(h)
+            least = sorted_set(np.concatenate([least, few[:KEEP]]))[:KEEP]
     whole = int(mix(np.array([carry[0] << 31 | carry[1]], np.uint64))[0]) if n else 0
-    return n, whole, marks >> np.uint64(40), np.unique(least >> np.uint64(32))
+    return n, whole, marks >> np.uint64(40), sorted_set(least >> np.uint64(32))
 
 
 def as_text(f: tuple[int, int, np.ndarray, np.ndarray]) -> str:
@@ -147,7 +147,7 @@ def likeness(a: tuple, b: tuple) -> float:
         return 1.0
     if not a[0] or not b[0]:
         return 0.0
-    union = np.unique(np.concatenate([a[3], b[3]]))[:KEEP]
+    union = sorted_set(np.concatenate([a[3], b[3]]))[:KEEP]
     shared = np.isin(union, a[3]) & np.isin(union, b[3])
     return min(1.0, max(float(shared.mean()), common_prefix(a, b) / max(a[0], b[0])))
 

@@ -22,22 +22,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import exchange
-from .textops import BASE, U, as_bytes, mix, powers
+from .textops import U, as_bytes, mix, powers, sorted_set, unpowers
 
 GRAM = 32
 KEY = np.dtype("<u8")
 SPAN = np.dtype([("key", "<u8"), ("first", "u1")])
 SIDE = np.dtype([("key", "<u8"), ("open", "u1")])
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-_inverse = pow(BASE, -1, 1 << 64)
-_unpower = np.ones(1, np.uint64)
-
-
-def unpowers(n: int) -> np.ndarray:
-    global _unpower
-    while len(_unpower) < n:
-        _unpower = np.concatenate([_unpower, _unpower * U(pow(_inverse, len(_unpower), 1 << 64))])
-    return _unpower[:n]
 
 
 class Hashed:
@@ -190,7 +181,7 @@ def known(replies: pa.Table, round_: int, dtype: np.dtype) -> np.ndarray:
     mine = [np.frombuffer(b, dtype) for b, k in zip(replies["blob"].to_pylist(), replies["round"].to_pylist()) if k == round_]
     told = np.concatenate(mine) if mine else np.zeros(0, dtype)
     if dtype is not SPAN:
-        return np.unique(told)
+        return sorted_set(told)
     told = told[np.lexsort((1 - told["first"], told["key"]))]
     return told[np.concatenate([[True], told["key"][1:] != told["key"][:-1]])] if len(told) else told
 

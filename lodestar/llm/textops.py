@@ -25,6 +25,7 @@ LOWER[65:91] += 32
 CHUNK = 1 << 21
 
 _powers = np.ones(1, np.uint64)
+_unpowers = np.ones(1, np.uint64)
 
 
 def powers(n: int) -> np.ndarray:
@@ -36,6 +37,15 @@ def powers(n: int) -> np.ndarray:
     return _powers[:n]
 
 
+def unpowers(n: int) -> np.ndarray:
+    """The inverses of powers(n)."""
+    global _unpowers
+    down = pow(BASE, -1, 1 << 64)
+    while len(_unpowers) < n:
+        _unpowers = np.concatenate([_unpowers, _unpowers * U(pow(down, len(_unpowers), 1 << 64))])
+    return _unpowers[:n]
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (splitmix64)."""
     h = (h ^ (h >> U(30))) * U(0xBF58476D1CE4E5B9)
@@ -110,16 +120,16 @@ def word_spans(buf: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray,
 
 
 def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each of the disjoint ascending spans, by its own bytes only."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    lens = ends - starts
-    owner = np.repeat(np.arange(len(starts)), lens)
-    within = np.arange(len(owner)) - np.repeat(np.cumsum(lens) - lens, lens)
-    values = (buf[within + starts[owner]].astype(np.uint64) + U(1)) * powers(int(lens.max()))[within]
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values, dtype=np.uint64)])
-    stop = np.cumsum(lens)
-    return mix(total[stop] - total[stop - lens] + lens.astype(np.uint64) * U(0x632BE59BD9B4E019))
+    """A 64-bit hash of each span of the buffer, by its own bytes only, from differences of prefix sums."""
+    sums = np.zeros(len(buf) + 1, np.uint64)
+    np.cumsum((buf.astype(np.uint64) + U(1)) * powers(len(buf)), out=sums[1:])
+    return mix((sums[ends] - sums[starts]) * unpowers(len(buf) + 1)[starts] + (ends - starts).astype(np.uint64) * U(0x632BE59BD9B4E019))
+
+
+def sorted_set(x: np.ndarray) -> np.ndarray:
+    """Distinct values in ascending order, by sorting."""
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
 
 
 def words(texts: list[bytes], space: np.ndarray = SPACE):

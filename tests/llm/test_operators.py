@@ -370,3 +370,19 @@ def test_edits_stay_near_and_others_do_not(spark):
     rows = [(i, " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 7))) for _ in range(200))) for i in range(30)]
     got = prefixhash.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert min(r.near_edited for r in got) > 0.4 and max(r.near_next for r in got) < 0.2
+
+
+def test_long_lines_match_brute_force(spark):
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(700)]
+    base = [rng.sample(words, rng.randint(90, 260)) for _ in range(25)]
+    lines = list(base)
+    for b in base:
+        for share in (0.05, 0.09, 0.11, 0.13, 0.2):
+            n = int(len(b) * share)
+            lines.append(b[n:] + rng.sample(words, n))
+    rng.shuffle(lines)
+    want = {i for i, b in enumerate(lines) for a in lines[:i] if len({*a} & {*b}) >= 0.8 * len({*a} | {*b}) - 1e-9}
+    table = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(lines)], "doc_id long, text string")
+    got = {r.doc_id for r in linededup.dedup(table, report=True).collect() if r.n_removed}
+    assert got == want and 25 < len(want) < len(lines) - 25
