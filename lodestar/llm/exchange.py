@@ -29,15 +29,25 @@ def shuffle_partitions(df: DataFrame) -> int:
 
 
 def sized(docs: DataFrame, column: str = "text", of: int = BUCKET_BYTES) -> int:
-    """Buckets of about `of` bytes of text each, and no fewer than the shuffle has partitions."""
+    """Buckets of about `of` bytes of text each; of less, half a MB at least, if the shuffle has more partitions."""
     total = docs.agg(F.sum(F.octet_length(column))).first()[0] or 0
-    return max(shuffle_partitions(docs), -(-total // of))
+    return max(-(-total // of), min(shuffle_partitions(docs), -(-total // (1 << 19))), 1)
 
 
 def bucketed(docs: DataFrame, buckets: int, key: list[str]) -> DataFrame:
     """docs with column BUCKET, dealt by the hash of the key columns."""
     dealt = docs.withColumn(BUCKET, F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int"))
-    return dealt.repartition(max(shuffle_partitions(docs), -(-buckets // 4)), BUCKET)
+    return dealt.repartition(partitions(docs, buckets), BUCKET)
+
+
+def partitions(docs: DataFrame, buckets: int) -> int:
+    """Of the shuffles between buckets and parts."""
+    return max(shuffle_partitions(docs), -(-buckets // 4))
+
+
+def once(replies: DataFrame, n: int) -> DataFrame:
+    """replies behind an exchange by bucket, which several readers share instead of making them again."""
+    return replies.repartition(n, "bucket")
 
 
 def bucket_of(t: pa.Table) -> int:

@@ -22,10 +22,14 @@ from pyspark.sql import functions as F
 from .textops import LOWER, as_bytes, crc_bucket, small_batches
 
 FEATURES = 4096
-LETTER = re.compile(r"[^\W\d_]")
+LATIN = re.compile(rb"[A-Za-z]")
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
 
 
+def has_letter(text: bytes) -> bool:
+    return bool(LATIN.search(text)) or any(map(str.isalpha, text.decode("utf-8", "ignore")))
+
+
 def features(texts: list[bytes]) -> np.ndarray:
     """A unit vector of hashed trigrams for each text, zero where it has under three bytes."""
     out = np.zeros((len(texts), FEATURES), np.float32)
@@ -117,7 +121,7 @@ def fit(train: DataFrame, per_language: int = 500, related: float = 0.6) -> Lang
     def run(batches):
         for b in batches:
             texts = as_bytes(b.column(0))
-            keep = [i for i, t in enumerate(texts) if LETTER.search(t.decode("utf-8", "ignore"))]
+            keep = [i for i, t in enumerate(texts) if has_letter(t)]
             x = features([texts[i] for i in keep]).astype(np.float16)
             yield pa.RecordBatch.from_arrays([b.column(1).take(pa.array(keep, pa.int64())), pa.array([r.tobytes() for r in x], pa.binary())], ["lang", "x"])
 
@@ -138,7 +142,7 @@ def predict(docs: DataFrame, model: LanguageModel | None, keep: list[str], schem
         model = shipped.value
         for b in batches:
             texts = as_bytes(b.column("text"))
-            lettered = [i for i, t in enumerate(texts) if LETTER.search(t.decode("utf-8", "ignore"))] if model else []
+            lettered = [i for i, t in enumerate(texts) if has_letter(t)] if model else []
             lang, score = ["und"] * len(texts), np.zeros(len(texts))
             if lettered:
                 got, sure = model.predict(features([texts[i] for i in lettered]))
@@ -179,7 +183,7 @@ def keep_identified(docs: DataFrame, least_score: float = 0.3, per_language: int
         model = shipped.value
         for b in batches:
             texts = as_bytes(b.column("text"))
-            lettered = [i for i, t in enumerate(texts) if LETTER.search(t.decode("utf-8", "ignore"))]
+            lettered = [i for i, t in enumerate(texts) if has_letter(t)]
             if model and lettered:
                 _, sure = model.predict(features([texts[i] for i in lettered]))
                 lettered = [i for i, p in zip(lettered, sure) if p >= least_score]

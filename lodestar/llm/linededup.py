@@ -30,11 +30,14 @@ from .textops import LOWER, U, as_bytes, mix, sorted_set, span_hashes, word_span
 COUNT = np.dtype([("key", "<u4"), ("n", "<u2")])
 TOLD = np.dtype([("at", "<u4"), ("n", "<u2")])
 #: Ties in doc_id go by a byte of a hash of the text. A set is known by sign, set and size together; sign has, for each of 64 bins, the parity of its words.
-ENTRY = np.dtype([("word", "<u4"), ("sign", "<u8"), ("set", "<u4"), ("doc", "<i8"), ("tie", "u1"), ("index", "<u4"), ("size", "<u4"), ("place", "u1")])
+#: prev is the word before in the line's entries (0: none); two lines with one prev have met there.
+ENTRY = np.dtype([("word", "<u4"), ("prev", "<u4"), ("sign", "<u8"), ("set", "<u4"), ("doc", "<i8"), ("tie", "u1"), ("index", "<u4"), ("size", "<u4"), ("place", "u1")])
+#: The same of the lines that a part wants to know more of, with their buckets.
+MET = np.dtype([*ENTRY.descr, ("bucket", "<u4")])
 LINE = np.dtype("<u4")
 ROWS = "part int, bucket int, kind int, blob binary"
-#: Kinds of rows: lines to remove, prefix entries, lines whose parities or sets are wanted, and these.
-GONE, ENTRIES, WANT_PARITIES, WANT_SET, PARITIES, SETS = range(6)
+#: Kinds of rows: lines to remove, prefix entries, lines whose parities or sets are wanted, these, and what a part keeps.
+GONE, ENTRIES, WANT_PARITIES, WANT_SET, PARITIES, SETS, STATE = range(7)
 #: Sets of more words differ in as many of 64 parities by chance as similar ones may; they are met by 512.
 SHORT = 80
 BUCKET_BYTES = 8 << 20
@@ -126,21 +129,27 @@ def order_of(e: np.ndarray, bucket: np.ndarray) -> tuple:
 
 def first_of_each_set(e: np.ndarray, bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of the entries of each word, (the first of each set, the later ones), as indices."""
-    names = ("word", "sign", "set", "size")
-    order = np.lexsort((*order_of(e, bucket), *(e[c] for c in names[::-1])))
-    new = np.ones(len(e), bool)
-    if len(e):
-        new[1:] = np.any([e[c][order][1:] != e[c][order][:-1] for c in names], axis=0)
-    return order[new], order[~new]
+    key = mix(e["sign"] ^ mix(e["set"].astype(np.uint64) << U(32) | e["word"]) ^ (e["size"].astype(np.uint64) << U(40)))
+    order = np.argsort(key)
+    new = np.ones(len(e) + 1, bool)
+    new[1:-1] = key[order][1:] != key[order][:-1]
+    alone = new[1:] & new[:-1]
+    several = order[~alone]
+    several = several[np.lexsort((*order_of(e[several], bucket[several]), key[several]))]
+    first = np.ones(len(several), bool)
+    first[1:] = key[several][1:] != key[several][:-1]
+    return np.concatenate([order[alone], several[first]]), several[~first]
 
 
 def near_pairs(e: np.ndarray, threshold: float):
     """Yields (i, j, differing words allowed) arrays of pairs of one word that pass the length, positional and parity filters.
 
-    The parities of two sets differ in no more bins than the sets differ in words.
+    The parities of two sets differ in no more bins than the sets differ in words. A pair
+    passes at the first word that both prefixes have, if at any: the positional bound holds
+    there, and the words before differ. Where they agree, the pair has met at that word.
     """
-    order = np.lexsort((e["size"], e["word"]))
-    word, sign, size, place = e["word"][order], e["sign"][order], e["size"][order].astype(np.int64), e["place"][order]
+    order = np.argsort(e["word"].astype(np.uint64) << U(32) | e["size"])
+    word, prev, sign, size, place = e["word"][order], e["prev"][order], e["sign"][order], e["size"][order].astype(np.int64), e["place"][order]
     left = size - place
     active = np.flatnonzero(size * (1 / threshold) >= size + 1)
     d = 0
@@ -154,7 +163,7 @@ def near_pairs(e: np.ndarray, threshold: float):
         both = size[active] + size[other]
         need = np.ceil(threshold / (1 + threshold) * both - 1e-9).astype(np.int64)
         spare = both - 2 * need
-        ok = (np.minimum(left[active], left[other]) >= need) & (np.bitwise_count(sign[active] ^ sign[other]) <= spare)
+        ok = (np.minimum(left[active], left[other]) >= need) & (np.bitwise_count(sign[active] ^ sign[other]) <= spare) & ((prev[active] != prev[other]) | (prev[active] == 0))
         if ok.any():
             yield order[active[ok]], order[other[ok]], spare[ok]
 
@@ -231,6 +240,9 @@ def dedup(docs: DataFrame, threshold: float = 0.8, report: bool = False) -> Data
         doc = lines.doc_of(at)
         e["word"], e["sign"], e["set"], e["doc"], e["tie"] = keys[word[use]] & U(0xFFFFFFFF), sign[o], set_[o] >> U(32), lines.ids[doc][o], lines.ties()[doc][o]
         e["index"], e["size"], e["place"] = at[o], size[o], np.minimum(place[use], 255)
+        before = np.zeros(len(use), np.uint32)
+        before[1:] = np.where(o[1:] == o[:-1], np.maximum(e["word"][:-1], 1), 0)
+        e["prev"] = before
         made = [(p, b, ENTRIES, squeezed(np.frombuffer(blob, ENTRY))) for p, b, blob in exchange.packed(e, exchange.part_of(keys[word[use]], parts), bucket)]
         return rows([*made, (bucket % parts, bucket, GONE, at[later].astype(LINE).tobytes())])
 
@@ -251,6 +263,7 @@ def dedup(docs: DataFrame, threshold: float = 0.8, report: bool = False) -> Data
         made = [(part, b, GONE, blob) for b, k, blob in zip(t["bucket"].to_pylist(), t["kind"].to_pylist(), t["blob"].to_pylist()) if k == GONE]
         e, bucket = entries_of(t)
         reps, later = first_of_each_set(e, bucket)
+        later = later[e["prev"][later] == 0]
         made += to_buckets(part, GONE, bucket[later], e["index"][later])
         e, bucket = e[reps], bucket[reps]
         short, long = np.zeros(len(e), bool), np.zeros(len(e), bool)
@@ -260,8 +273,18 @@ def dedup(docs: DataFrame, threshold: float = 0.8, report: bool = False) -> Data
             short[i[~big]] = short[j[~big]] = True
         for kind, wanted in ((WANT_PARITIES, long), (WANT_SET, short)):
             made += to_buckets(part, kind, bucket[wanted], e["index"][wanted])
+        if (wanted := short | long).any():
+            kept = np.zeros(int(wanted.sum()), MET)
+            for c in ENTRY.names:
+                kept[c] = e[c][wanted]
+            kept["bucket"] = bucket[wanted]
+            made.append((part, part, STATE, squeezed(kept)))
         return rows(made)
 
+    def state_of(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        e = np.concatenate([unsqueezed(b, MET) for b in t["blob"].to_pylist()])
+        return e, e["bucket"].astype(np.int64)
+
     def send(t: pa.Table, asked: pa.Table, kind: int) -> pa.Table:
         """What the parts want to know of lines: 512 parities, or word sets as 32 bits of each word's hash.
 
@@ -315,9 +338,7 @@ def dedup(docs: DataFrame, threshold: float = 0.8, report: bool = False) -> Data
         known, found = np.concatenate(known), np.concatenate(found)
         order = np.argsort(known)
         known, found = known[order], found[order]
-        e, bucket = entries_of(t)
-        reps, _ = first_of_each_set(e, bucket)
-        e, bucket = e[reps], bucket[reps]
+        e, bucket = state_of(t)
         at = np.minimum(np.searchsorted(known, bucket << 32 | e["index"].astype(np.int64)), len(known) - 1)
         wanted = np.zeros(len(e), bool)
         for i, j, spare in near_pairs(e, threshold):
@@ -338,9 +359,7 @@ def dedup(docs: DataFrame, threshold: float = 0.8, report: bool = False) -> Data
             flat = np.frombuffer(blob, "<u4", -1, 4 + 8 * n)
             for i, part_ in zip(index.tolist(), np.split(flat, np.cumsum(size)[:-1])):
                 sets[b, i] = part_
-        e, bucket = entries_of(t)
-        reps, _ = first_of_each_set(e, bucket)
-        e, bucket = e[reps], bucket[reps]
+        e, bucket = state_of(t)
         name = list(zip(bucket.tolist(), e["index"].tolist()))
         held = np.array([n in sets for n in name], bool)
         rank = np.empty(len(e), np.int64)
@@ -378,12 +397,13 @@ def dedup(docs: DataFrame, threshold: float = 0.8, report: bool = False) -> Data
     def schema_table(_) -> pa.Table:
         return pa.table({"doc_id": pa.array([], pa.int64()), "n_lines": pa.array([], pa.int32()), "n_removed": pa.array([], pa.int32()), "removed": pa.array([], pa.list_(pa.int32())), "kept_sha256": pa.array([], pa.string())}) if report else None
 
+    n = exchange.partitions(docs, buckets)
     counts = exchange.ask(dealt, ask_counts, tell_counts)
-    offered = exchange.tell(dealt, counts, offer, ROWS)
-    met = offered.groupBy("part").applyInArrow(meet, ROWS)
-    parities = exchange.tell(dealt, met, lambda t, asked: send(t, asked, WANT_PARITIES), ROWS)
-    narrowed = offered.groupBy("part").cogroup(parities.groupBy("part")).applyInArrow(narrow, ROWS)
-    sent = exchange.tell(dealt, met.union(narrowed), lambda t, asked: send(t, asked, WANT_SET), ROWS)
-    verified = offered.groupBy("part").cogroup(sent.groupBy("part")).applyInArrow(verify, ROWS)
+    met = exchange.once(exchange.tell(dealt, counts, offer, ROWS).groupBy("part").applyInArrow(meet, ROWS), n)
+    told, state = met.where(f"kind <> {STATE}"), met.where(f"kind = {STATE}")
+    parities = exchange.tell(dealt, told, lambda t, asked: send(t, asked, WANT_PARITIES), ROWS)
+    narrowed = exchange.once(state.groupBy("part").cogroup(parities.groupBy("part")).applyInArrow(narrow, ROWS), n)
+    sent = exchange.tell(dealt, told.union(narrowed), lambda t, asked: send(t, asked, WANT_SET), ROWS)
+    verified = state.groupBy("part").cogroup(sent.groupBy("part")).applyInArrow(verify, ROWS)
     schema = "doc_id long, n_lines int, n_removed int, removed array<int>, kept_sha256 string" if report else docs.schema
-    return exchange.tell(dealt, met.union(verified), finish, schema)
+    return exchange.tell(dealt, told.union(verified), finish, schema)
