@@ -50,13 +50,18 @@ def rows(made) -> pa.Table:
     return pa.table([pa.array([m[i] for m in made], k) for i, k in enumerate(kinds)], names=["part", "bucket", "kind", "blob"])
 
 
+#: Columns that mostly rise along a bucket's entries, kept as differences.
+ASCENDING = ("doc", "index")
+
+
 def tie_of(text: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(text, digest_size=4).digest(), "little")
 
 
 def squeezed(entries: np.ndarray) -> bytes:
     """Entries by column and byte, compressed."""
-    planes = b"".join(np.ascontiguousarray(entries[c]).view(np.uint8).reshape(len(entries), -1).T.tobytes() for c in entries.dtype.names)
+    column = lambda c: np.diff(entries[c], prepend=entries[c].dtype.type(0)) if c in ASCENDING else np.ascontiguousarray(entries[c])
+    planes = b"".join(column(c).view(np.uint8).reshape(len(entries), -1).T.tobytes() for c in entries.dtype.names)
     return len(entries).to_bytes(4, "little") + pa.compress(planes, codec="zstd", asbytes=True)
 
 
@@ -66,7 +71,8 @@ def unsqueezed(blob: bytes, dtype: np.dtype) -> np.ndarray:
     out = np.zeros(n, dtype)
     for c in dtype.names:
         width = dtype[c].itemsize
-        out[c] = np.ascontiguousarray(planes[at : at + n * width].reshape(width, n).T).view(dtype[c]).ravel()
+        values = np.ascontiguousarray(planes[at : at + n * width].reshape(width, n).T).view(dtype[c]).ravel()
+        out[c] = np.cumsum(values, dtype=values.dtype) if c in ASCENDING else values
         at += n * width
     return out
 
@@ -282,7 +288,8 @@ def dedup(docs: DataFrame, threshold: float = 0.8, report: bool = False) -> Data
         return rows(made)
 
     def state_of(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        e = np.concatenate([unsqueezed(b, MET) for b in t["blob"].to_pylist()])
+        blobs = [unsqueezed(b, MET) for b, k in zip(t["blob"].to_pylist(), t["kind"].to_pylist()) if k == STATE]
+        e = np.concatenate(blobs) if blobs else np.zeros(0, MET)
         return e, e["bucket"].astype(np.int64)
 
     def send(t: pa.Table, asked: pa.Table, kind: int) -> pa.Table:
@@ -328,7 +335,8 @@ def dedup(docs: DataFrame, threshold: float = 0.8, report: bool = False) -> Data
 
     def narrow(t: pa.Table, sent: pa.Table) -> pa.Table:
         """Of the long lines, those of pairs whose 512 parities may belong to similar sets."""
-        if not len(t) or not len(sent):
+        e, bucket = state_of(t)
+        if not len(e) or not len(sent):
             return rows([])
         known, found = [], []
         for b, blob in zip(sent["bucket"].to_pylist(), sent["blob"].to_pylist()):
@@ -338,7 +346,6 @@ def dedup(docs: DataFrame, threshold: float = 0.8, report: bool = False) -> Data
         known, found = np.concatenate(known), np.concatenate(found)
         order = np.argsort(known)
         known, found = known[order], found[order]
-        e, bucket = state_of(t)
         at = np.minimum(np.searchsorted(known, bucket << 32 | e["index"].astype(np.int64)), len(known) - 1)
         wanted = np.zeros(len(e), bool)
         for i, j, spare in near_pairs(e, threshold):
@@ -350,7 +357,8 @@ def dedup(docs: DataFrame, threshold: float = 0.8, report: bool = False) -> Data
 
     def verify(t: pa.Table, sent: pa.Table) -> pa.Table:
         """Lines with an earlier line of which enough words are shared are gone."""
-        if not len(t) or not len(sent):
+        e, bucket = state_of(t)
+        if not len(e) or not len(sent):
             return rows([])
         sets = {}
         for b, blob in zip(sent["bucket"].to_pylist(), sent["blob"].to_pylist()):
@@ -359,7 +367,6 @@ def dedup(docs: DataFrame, threshold: float = 0.8, report: bool = False) -> Data
             flat = np.frombuffer(blob, "<u4", -1, 4 + 8 * n)
             for i, part_ in zip(index.tolist(), np.split(flat, np.cumsum(size)[:-1])):
                 sets[b, i] = part_
-        e, bucket = state_of(t)
         name = list(zip(bucket.tolist(), e["index"].tolist()))
         held = np.array([n in sets for n in name], bool)
         rank = np.empty(len(e), np.int64)
@@ -381,8 +388,8 @@ def dedup(docs: DataFrame, threshold: float = 0.8, report: bool = False) -> Data
         return rows(to_buckets(t["part"][0].as_py(), GONE, found[:, 0], found[:, 1]))
 
     def finish(t: pa.Table, told: pa.Table) -> pa.Table:
-        if not len(t):
-            return schema_table([])
+        if not len(t):  # a part's rows lie under its number, which may be no bucket's
+            return nothing if report else t.drop_columns([exchange.BUCKET])
         lines = Lines(t)
         gone = [np.frombuffer(b, LINE) for b, k in zip(told["blob"].to_pylist(), told["kind"].to_pylist()) if k == GONE]
         texts, numbers = lines.kept(np.concatenate(gone) if gone else np.zeros(0, LINE))
@@ -394,16 +401,14 @@ def dedup(docs: DataFrame, threshold: float = 0.8, report: bool = False) -> Data
         text = pa.array([None if z else x.decode("utf-8", "surrogatepass") for x, z in zip(texts, null)], pa.string())
         return t.set_column(names.index("text"), "text", text)
 
-    def schema_table(_) -> pa.Table:
-        return pa.table({"doc_id": pa.array([], pa.int64()), "n_lines": pa.array([], pa.int32()), "n_removed": pa.array([], pa.int32()), "removed": pa.array([], pa.list_(pa.int32())), "kept_sha256": pa.array([], pa.string())}) if report else None
-
+    nothing = pa.table({"doc_id": pa.array([], pa.int64()), "n_lines": pa.array([], pa.int32()), "n_removed": pa.array([], pa.int32()), "removed": pa.array([], pa.list_(pa.int32())), "kept_sha256": pa.array([], pa.string())})
     n = exchange.partitions(docs, buckets)
     counts = exchange.ask(dealt, ask_counts, tell_counts)
     met = exchange.once(exchange.tell(dealt, counts, offer, ROWS).groupBy("part").applyInArrow(meet, ROWS), n)
-    told, state = met.where(f"kind <> {STATE}"), met.where(f"kind = {STATE}")
-    parities = exchange.tell(dealt, told, lambda t, asked: send(t, asked, WANT_PARITIES), ROWS)
-    narrowed = exchange.once(state.groupBy("part").cogroup(parities.groupBy("part")).applyInArrow(narrow, ROWS), n)
-    sent = exchange.tell(dealt, told.union(narrowed), lambda t, asked: send(t, asked, WANT_SET), ROWS)
-    verified = state.groupBy("part").cogroup(sent.groupBy("part")).applyInArrow(verify, ROWS)
+    # what readers leave out they leave out themselves: a filter would move below the exchange and split it
+    parities = exchange.tell(dealt, met, lambda t, asked: send(t, asked, WANT_PARITIES), ROWS)
+    narrowed = exchange.once(met.groupBy("part").cogroup(parities.groupBy("part")).applyInArrow(narrow, ROWS), n)
+    sent = exchange.tell(dealt, met.union(narrowed), lambda t, asked: send(t, asked, WANT_SET), ROWS)
+    verified = met.groupBy("part").cogroup(sent.groupBy("part")).applyInArrow(verify, ROWS)
     schema = "doc_id long, n_lines int, n_removed int, removed array<int>, kept_sha256 string" if report else docs.schema
-    return exchange.tell(dealt, told.union(verified), finish, schema)
+    return exchange.tell(dealt, met.union(verified), finish, schema)
