@@ -50,8 +50,8 @@ def rows(made) -> pa.Table:
     return pa.table([pa.array([m[i] for m in made], k) for i, k in enumerate(kinds)], names=["part", "bucket", "kind", "blob"])
 
 
-#: Columns that mostly rise along a bucket's entries, kept as differences.
-ASCENDING = ("doc", "index")
+#: Columns that rise along a blob, or mostly do, kept as differences.
+ASCENDING = ("doc", "index", "key", "at")
 
 
 def tie_of(text: bytes) -> int:
@@ -197,16 +197,21 @@ def dedup(docs: DataFrame, threshold: float = 0.8, report: bool = False) -> Data
         first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
         entries = np.zeros(len(first), COUNT)
         entries["key"], entries["n"] = h[first] & U(0xFFFFFFFF), np.minimum(np.diff(np.append(first, len(h))), 65535)
-        return exchange.rows_table(exchange.packed(entries, exchange.part_of(h[first], parts), exchange.bucket_of(t)))
+        order = np.argsort(entries["key"], kind="stable")
+        made = exchange.packed(entries[order], exchange.part_of(h[first][order], parts), exchange.bucket_of(t))
+        return exchange.rows_table((p, b, squeezed(np.frombuffer(blob, COUNT))) for p, b, blob in made)
 
     def tell_counts(t: pa.Table) -> pa.Table:
-        entries, bucket, index = exchange.unpacked(t, COUNT)
+        blobs = [unsqueezed(b, COUNT) for b in t["blob"].to_pylist()]
+        entries, index = np.concatenate(blobs), np.concatenate([np.arange(len(b)) for b in blobs])
+        bucket = np.repeat(np.array(t["bucket"].to_pylist(), np.int64), [len(b) for b in blobs])
         keys, inverse, asked = np.unique(entries["key"], return_inverse=True, return_counts=True)
         total = np.bincount(inverse, entries["n"], len(keys))
         shared = asked[inverse] > 1
         told = np.zeros(int(shared.sum()), TOLD)
         told["at"], told["n"] = index[shared], np.minimum(total[inverse[shared]], 65535)
-        return exchange.replied(t["part"][0].as_py(), bucket[shared], told)
+        replies = exchange.replied(t["part"][0].as_py(), bucket[shared], told)
+        return exchange.rows_table((p, b, squeezed(np.frombuffer(blob, TOLD))) for p, b, blob in zip(*(replies[c].to_pylist() for c in ("part", "bucket", "blob"))))
 
     def offer(t: pa.Table, counts: pa.Table) -> pa.Table:
         """Prefix entries of the first line of each set; later lines of a set are gone already."""
@@ -216,10 +221,10 @@ def dedup(docs: DataFrame, threshold: float = 0.8, report: bool = False) -> Data
         line, h = lines.words()
         keys, word, n = np.unique(h, return_inverse=True, return_counts=True)
         part = exchange.part_of(keys, parts)
-        by_part = np.argsort(part, kind="stable")
+        by_part = np.lexsort((keys & U(0xFFFFFFFF), part))
         start = np.searchsorted(part[by_part], np.arange(parts))
         for p, blob in zip(counts["part"].to_pylist(), counts["blob"].to_pylist()):
-            told = np.frombuffer(blob, TOLD)
+            told = unsqueezed(blob, TOLD)
             n[by_part[start[p] + told["at"]]] = told["n"]
         rank = np.empty(len(keys), np.int64)
         by_rarity = np.lexsort((keys, n))
@@ -412,3 +417,19 @@ def dedup(docs: DataFrame, threshold: float = 0.8, report: bool = False) -> Data
     verified = met.groupBy("part").cogroup(sent.groupBy("part")).applyInArrow(verify, ROWS)
     schema = "doc_id long, n_lines int, n_removed int, removed array<int>, kept_sha256 string" if report else docs.schema
     return exchange.tell(dealt, met.union(verified), finish, schema)
+
+
+#: DuckDB's twin of the report at a threshold of 0.8, for documents with one row for each doc_id.
+ORACLE_SQL = r"""
+WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS n FROM documents),
+w AS (SELECT *, row_number() OVER (ORDER BY doc_id NULLS FIRST, n) AS rn, list_distinct(regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')) AS words FROM l),
+t AS (SELECT rn, len(words) AS size, unnest(words) AS word FROM w),
+r AS (SELECT rn, size, word, row_number() OVER (PARTITION BY rn ORDER BY df, word) AS place FROM (SELECT *, count(*) OVER (PARTITION BY word) AS df FROM t)),
+p AS (SELECT * FROM r WHERE place <= size - ceil(0.8 * size - 1e-9) + 1),
+c AS (SELECT DISTINCT a.rn AS a, b.rn AS b FROM p a JOIN p b ON a.word = b.word AND a.rn < b.rn AND a.size >= 0.8 * b.size AND b.size >= 0.8 * a.size),
+v AS (SELECT c.b, len(list_intersect(x.words, y.words)) AS n, len(x.words) + len(y.words) AS whole FROM c JOIN w x ON c.a = x.rn JOIN w y ON c.b = y.rn),
+g AS (SELECT DISTINCT b AS rn FROM v WHERE n >= 0.8 * (whole - n) - 1e-9)
+SELECT doc_id, count(*)::INT AS n_lines, count(g.rn)::INT AS n_removed, coalesce(string_agg(n::VARCHAR, ',' ORDER BY n) FILTER (g.rn IS NOT NULL), '') AS removed,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (g.rn IS NULL), '')) AS kept_sha256
+FROM w LEFT JOIN g ON w.rn = g.rn GROUP BY doc_id
+"""
