@@ -16,10 +16,10 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textops import LOWER, as_bytes, crc_bucket, small_batches
+from .textops import LOWER, as_bytes, crc_bucket, small_batches, smallest
 
 FEATURES = 4096
 LATIN = re.compile(rb"[A-Za-z]")
@@ -115,8 +115,7 @@ def fit(train: DataFrame, per_language: int = 500, related: float = 0.6) -> Lang
     spark = train.sparkSession
     small_batches(spark)
     known = train.where("lang is not null and text is not null")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = known.select("lang", "doc_id").withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language).select("lang", "doc_id").distinct()
+    ids = smallest(known.where("doc_id is not null"), "lang", per_language)
 
     def run(batches):
         for b in batches:

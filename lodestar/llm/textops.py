@@ -11,7 +11,7 @@ import tempfile
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 U = np.uint64
@@ -70,6 +70,20 @@ def crc_bucket(column: str, n: int):
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % n
 
 
+def smallest(df: DataFrame, group: str, n: int) -> DataFrame:
+    """Rows (group, doc_id): of each group the n with the smallest hashes of doc_id, each once.
+
+    Groups are counted first, and only rows whose hash lies where about 4n of the group's
+    do go on to be ranked, so a group with most rows sends no more than a small one. In a
+    group that a few ids fill, fewer than n may be left.
+    """
+    ids = df.select(group, "doc_id", (F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(1 << 40)) / F.lit(float(1 << 40))).alias("at"))
+    counts = ids.groupBy(F.col(group).alias("g")).agg(F.count("*").alias("all"))
+    near = ids.join(counts, F.col(group) == F.col("g")).where(F.col("at") * F.col("all") <= 4 * n).select(group, "doc_id", "at").distinct()
+    order = Window.partitionBy(group).orderBy("at", "doc_id")
+    return near.withColumn("n", F.row_number().over(order)).where(F.col("n") <= n).select(group, "doc_id")
+
+
 def as_bytes(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
     """Texts as UTF-8; null becomes empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

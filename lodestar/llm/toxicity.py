@@ -15,10 +15,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textops import PUNCTUATED, as_bytes, crc_bucket, small_batches, words
+from .textops import PUNCTUATED, as_bytes, crc_bucket, small_batches, smallest, words
 
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int, nearest array<long>, similarity array<double>"
 
@@ -138,8 +138,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int, terms: int, k: int)
     spark = docs.sparkSession
     known = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     present = known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
-    order = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = present.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_class).drop("n")
+    chosen = smallest(present, "toxic", per_class)
     sizes = {r.toxic: r.n for r in present.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if len(sizes) < 2:
         return None
