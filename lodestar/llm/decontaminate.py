@@ -109,3 +109,30 @@ def clean(docs: DataFrame, benchmark: DataFrame, share: float = 0.5) -> DataFram
     """docs, all columns, without the rows that label() marks."""
     hits = contaminated(docs, benchmark, share).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_h"))
     return docs.join(hits, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_h")), "left_anti")
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def oracle_sql(share: float = 0.5) -> str:
+    """DuckDB's twin of label(), for documents with one row for each doc_id."""
+    units = ", ".join(map(_quoted, UNITS))
+    tokens = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+    return rf"""
+WITH raw AS (SELECT 'd' AS side, doc_id AS id, unnest({tokens}) AS x, generate_subscripts({tokens}, 1) AS i FROM documents
+  UNION ALL SELECT 'b', item_id, unnest({tokens}), generate_subscripts({tokens}, 1) FROM benchmark),
+pl AS (SELECT *, trim(lower(x), {_quoted(EDGES)}) AS value, lag(x) OVER (PARTITION BY side, id ORDER BY i) AS before FROM raw),
+wo AS (SELECT side, id, i, value, CASE WHEN regexp_matches(value, '^[^\p{{L}}]*\d[^\p{{L}}]*$') THEN '{NUMBER}' WHEN value IN ({units}) THEN '{UNIT}'
+  WHEN x <> lower(x) AND regexp_matches(x, '^\p{{Lu}}\p{{Ll}}') AND i > 1 AND NOT regexp_matches(before, '[.!?:]$') THEN '{NAME}' ELSE value END AS word FROM pl),
+k AS (SELECT side, id, word, value, row_number() OVER (PARTITION BY side, id ORDER BY i) - 1 AS pos FROM wo WHERE word <> ''),
+wi AS (SELECT side, id, pos, list(word) OVER z AS words, list(value) OVER z AS slots FROM k WINDOW z AS (PARTITION BY side, id ORDER BY pos ROWS BETWEEN CURRENT ROW AND {WINDOW - 1} FOLLOWING)),
+f AS (SELECT * FROM wi WHERE len(words) = {WINDOW}),
+m AS (SELECT d.id AS doc_id, b.id AS item_id, b.pos AS item_at, d.pos - b.pos AS diagonal, d.words, d.slots, b.slots AS item_slots FROM f d JOIN f b ON d.side = 'd' AND b.side = 'b' AND d.words = b.words),
+s AS (SELECT doc_id, item_id, diagonal, unnest(words) AS kind, unnest(item_slots) AS item_value, unnest(slots) AS value FROM m),
+bad AS (SELECT DISTINCT doc_id, item_id, diagonal FROM s WHERE kind IN ('{NUMBER}', '{UNIT}', '{NAME}') GROUP BY doc_id, item_id, diagonal, kind, item_value HAVING count(DISTINCT value) > 1),
+tot AS (SELECT id AS item_id, count(*) AS total FROM f WHERE side = 'b' GROUP BY id),
+cov AS (SELECT m.doc_id, m.item_id, least(1.0, count(DISTINCT item_at) / any_value(total)) AS part FROM m JOIN tot ON m.item_id = tot.item_id ANTI JOIN bad ON m.doc_id = bad.doc_id AND m.item_id = bad.item_id AND m.diagonal = bad.diagonal GROUP BY m.doc_id, m.item_id),
+hit AS (SELECT doc_id, string_agg(item_id::VARCHAR, ',' ORDER BY item_id) AS items, max(part) AS best FROM cov WHERE part >= {share} GROUP BY doc_id)
+SELECT d.doc_id, h.doc_id IS NOT NULL AS contaminated, coalesce(items, '') AS items, coalesce(best, 0.0)::DOUBLE AS best FROM documents d LEFT JOIN hit h ON d.doc_id = h.doc_id
+"""

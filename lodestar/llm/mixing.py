@@ -100,8 +100,9 @@ def mix(docs: DataFrame, schedule: Callable[[Column], Column] = cycling, most: i
     text = F.col("text").cast("string")
     key = F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit(NULL_SOURCE))
     buckets = max(16, -(-docs.count() // PER_BUCKET))
-    keyed = docs.withColumns({"size": size_of(text), "__h": F.xxhash64(F.lit(9), "doc_id", text), "__source": key})
-    keyed = keyed.withColumn("__bucket", F.pmod("__h", F.lit(buckets)))
+    keyed = docs.withColumns({"size": size_of(text), "__h": F.md5(F.concat_ws(":", F.col("doc_id").cast("string"), text)), "__source": key})
+    # the line is in hash order, so buckets are ranges of the hash
+    keyed = keyed.withColumn("__bucket", F.floor(F.conv(F.substring("__h", 1, 8), 16, 10).cast("double") * buckets / float(1 << 32)).cast("int"))
     sums = checkpointed(keyed.groupBy(F.col("__source").alias("source"), F.col("__bucket").alias("b")).agg(F.sum("size").alias("words")))
     of = targets(sums.groupBy("source").agg(F.sum("words").alias("source_size")), schedule, most).withColumnRenamed("source", "s")
     ahead = Window.partitionBy("source").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
@@ -127,5 +128,24 @@ def in_order(mixed: DataFrame) -> DataFrame:
 
 def digest(docs: DataFrame) -> DataFrame:
     """(doc_id, size, source_size, target, taken, position) of every row of documents, range-sorted by position."""
-    mixed = mix(docs.select("doc_id", "source", "text")).select("doc_id", "size", "source_size", "target", "taken", "position")
+    mixed = mix(docs.select("doc_id", "source", "text")).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken", F.round("position", 9).alias("position"))
     return mixed.orderBy(F.col("position").asc_nulls_last(), "doc_id")
+
+
+#: DuckDB's twin of digest() with the schedule cycling().
+ORACLE_SQL = r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5(concat_ws(':', doc_id::VARCHAR, text)) AS h FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank FROM d GROUP BY source),
+w AS (SELECT *, (rank % 3 + 1)::DOUBLE AS w, 3.0::DOUBLE * source_size AS most FROM s),
+l AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(most) OVER (ORDER BY most / w, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+  / nullif(sum(w) OVER () - coalesce(sum(w) OVER (ORDER BY most / w, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 0) AS level FROM w),
+t AS (SELECT source, source_size, w, w * CASE WHEN rank % 2 = 0 THEN 0.5 ELSE 1.5 END AS w0, least(most, max(level) OVER () * w) AS target FROM l),
+p AS (SELECT d.*, source_size, w, w0, target, round(target)::BIGINT AS goal, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+q AS (SELECT *, w - w0 AS a, least(1.0, start / nullif(target, 0.0)) * w AS c FROM p)
+SELECT doc_id, size, source_size, round(target, 6) AS target,
+  (CASE WHEN start < goal THEN least(size, goal - start) ELSE 0 END + CASE WHEN start + source_size < goal THEN least(size, goal - start - source_size) ELSE 0 END
+   + CASE WHEN start + 2 * source_size < goal THEN least(size, goal - start - 2 * source_size) ELSE 0 END)::BIGINT AS taken,
+  CASE WHEN start < goal THEN round(least(1.0, coalesce(least(2 * c / nullif(w0 + sqrt(greatest(0.0, w0 * w0 + 4 * a * c)), 0.0), 1.0), 0.0)), 9) END AS position
+FROM q
+"""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 
 from . import chat, decontaminate, langid, linededup, mixing, prefixhash, repeats, simhash, suffixtree, toxicity
@@ -17,7 +19,8 @@ def op2_simhash(spark, sf_dir):
 
 
 def op3_lines(spark, sf_dir):
-    return linededup.dedup(table(spark, sf_dir, "documents"), threshold=0.8, report=True)
+    report = linededup.dedup(table(spark, sf_dir, "documents"), threshold=0.8, report=True)
+    return report.withColumn("removed", F.array_join(F.col("removed").cast("array<string>"), ","))
 
 
 def op4_language(spark, sf_dir):
@@ -37,7 +40,8 @@ def op7_chat(spark, sf_dir):
 
 
 def op8_decontaminate(spark, sf_dir):
-    return decontaminate.label(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    labelled = decontaminate.label(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return labelled.withColumn("items", F.array_join(F.col("items").cast("array<string>"), ","))
 
 
 def op9_mixing(spark, sf_dir):
@@ -49,4 +53,4 @@ def op10_prefixhash(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_simhash, op3_lines, op4_language, op5_suffixtree, op6_repeats, op7_chat, op8_decontaminate, op9_mixing, op10_prefixhash)} | {"pipeline": corpus_pipeline.run}
-ORACLE = {"op7_chat": chat.ORACLE_SQL} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+ORACLE = {"op3_lines": linededup.ORACLE_SQL, "op7_chat": chat.ORACLE_SQL, "op8_decontaminate": decontaminate.oracle_sql(), "op9_mixing": mixing.ORACLE_SQL} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
