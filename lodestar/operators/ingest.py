@@ -48,8 +48,16 @@ def structure_changed(before: DataFrame, after: DataFrame) -> bool:
     return not (a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty())
 
 
-def in_directory(path: Column, directory: Column) -> Column:
-    return F.lower(path).startswith(F.concat(F.lower(F.rtrim(directory, F.lit("/"))), F.lit("/")))
+def folders(path: Column) -> Column:
+    """All folders above a path, in lower case."""
+    parts = F.split(F.lower(path), "/")
+    return F.when(F.size(parts) > 1, F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, 1, i), "/"))).otherwise(F.array().cast("array<string>"))
+
+
+def below(nodes: DataFrame, directories: DataFrame) -> DataFrame:
+    """(id) of nodes whose source lies below one of the directories, by an equi-join over their folders."""
+    above = nodes.where("span is not null").select("id", F.explode(folders(F.col("span.file_path"))).alias("folder"))
+    return above.join(directories.select(F.lower(F.rtrim("directory", F.lit("/"))).alias("folder")), "folder", "left_semi").select("id").distinct()
 
 
 def merge_nodes(previous: DataFrame, changed_directories: DataFrame, new: DataFrame) -> DataFrame:
@@ -57,13 +65,13 @@ def merge_nodes(previous: DataFrame, changed_directories: DataFrame, new: DataFr
 
     Nodes without a span stay until they are emitted again.
     """
-    stale = previous.where("span is not null").join(F.broadcast(changed_directories), in_directory(F.col("span.file_path"), F.col("directory")), "left_semi").select("id")
+    stale = below(previous, changed_directories)
     return previous.join(stale, "id", "left_anti").join(new.select("id"), "id", "left_anti").unionByName(new)
 
 
 def merge_edges(previous: DataFrame, previous_nodes: DataFrame, changed_directories: DataFrame, new: DataFrame) -> DataFrame:
     """Edges after a partial rebuild: previous ones whose source is outside the changed directories and that are not emitted again, then the new ones."""
-    stale = previous_nodes.where("span is not null").join(F.broadcast(changed_directories), in_directory(F.col("span.file_path"), F.col("directory")), "left_semi").select(F.col("id").alias("from_id"))
+    stale = below(previous_nodes, changed_directories).withColumnRenamed("id", "from_id")
     return previous.join(stale, "from_id", "left_anti").join(new.select(*EDGE_KEY).distinct(), EDGE_KEY, "left_anti").select(*previous.columns).unionByName(new)
 
 
@@ -124,3 +132,39 @@ def content_hash(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     text = lambda df: F.to_json(F.struct("*"))
     both = a.select(text(a).alias("a")).join(F.broadcast(b.select(text(b).alias("b"))))
     return both.select(F.sha2(F.concat_ws("|", "a", "b"), 256).alias("content_hash"))
+
+
+# Fixed value: the summary of a symbol that has no documentation of its own.
+NO_DOCUMENTATION = "No documentation provided."
+VISIBLE = ["Public", "Protected", "ProtectedInternal"]
+
+
+def visible(nodes: DataFrame) -> DataFrame:
+    """Symbols that other projects can see; an implicit column, if any, leaves compiler-made ones out."""
+    kept = nodes.where(F.col("accessibility").isin(VISIBLE))
+    return kept.where(~F.coalesce("implicit", F.lit(False))) if "implicit" in nodes.columns else kept
+
+
+def stamped(nodes: DataFrame, project: str) -> DataFrame:
+    """nodes with their project set."""
+    return nodes.withColumn("project_origin", F.lit(project))
+
+
+def documented(nodes: DataFrame, own: DataFrame, inherited: DataFrame | None = None) -> DataFrame:
+    """nodes with docs: their own (id, docs), else inherited ones, else a placeholder summary."""
+    from ..model import empty_docs
+
+    out = nodes.drop("docs").join(own.select("id", F.col("docs").alias("_own")), "id", "left")
+    out = out.join(inherited.select("id", F.col("docs").alias("_base")), "id", "left") if inherited is not None else out.withColumn("_base", F.lit(None).cast(out.schema["_own"].dataType))
+    return out.withColumn("docs", F.coalesce("_own", "_base", empty_docs(F.lit(NO_DOCUMENTATION)))).select(*nodes.columns)
+
+
+def type_references(uses: DataFrame) -> DataFrame:
+    """References edges of (from_id, type_id, arguments array<string>, special boolean).
+
+    Of a generic type only its arguments count, arrays stand for their element, and
+    special types give no edge; repeats stay, one for each use.
+    """
+    plain = lambda t: F.regexp_replace(t, r"(\[,*\])+$", "")
+    targets = F.when(F.size("arguments") > 0, F.transform("arguments", plain)).otherwise(F.array(plain(F.col("type_id"))))
+    return uses.where(~F.coalesce("special", F.lit(False))).select("from_id", F.explode(targets).alias("to_id"), F.lit("References").alias("kind"), F.lit("IntraProject").alias("scope"))

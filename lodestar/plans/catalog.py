@@ -478,7 +478,8 @@ IN_CHANGED = "(path IS NOT NULL AND regexp_matches(lower(path), '^(asia|brand#1|
 @query(f", new AS (SELECT * FROM b_nodes WHERE {IN_CHANGED}), m AS (SELECT id, summary FROM a_nodes WHERE NOT coalesce({IN_CHANGED}, false) AND id NOT IN (SELECT id FROM new) UNION ALL SELECT id, summary FROM new) SELECT * FROM m")
 def incremental_merge_nodes(spark, d):
     dirs = directories(spark)
-    new = g.after(spark, d)[0].join(F.broadcast(dirs), ingest.in_directory(F.col("span.file_path"), F.col("directory")), "left_semi")
+    after = g.after(spark, d)[0]
+    new = after.join(ingest.below(after, dirs), "id", "left_semi")
     return ingest.merge_nodes(g.before(spark, d)[0], dirs, new).select("id", "docs.summary")
 
 
@@ -487,7 +488,7 @@ def incremental_merge_nodes(spark, d):
 def incremental_merge_edges(spark, d):
     dirs = directories(spark)
     (an, ae), (bn, be) = g.before(spark, d), g.after(spark, d)
-    mine = bn.join(F.broadcast(dirs), ingest.in_directory(F.col("span.file_path"), F.col("directory")), "left_semi").select(F.col("id").alias("from_id"))
+    mine = ingest.below(bn, dirs).withColumnRenamed("id", "from_id")
     return ingest.merge_edges(ae, an, dirs, be.join(mine, "from_id", "left_semi")).select("from_id", "to_id", "kind")
 
 

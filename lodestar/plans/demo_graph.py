@@ -21,7 +21,7 @@ def accessibility(k):
 def symbols(spark: SparkSession, d: str) -> DataFrame:
     """Nodes with their key k: regions, nations, suppliers, customers, orders and parts."""
     t = lambda n: table(spark, d, n)
-    nations = F.broadcast(t("nation").join(F.broadcast(t("region")), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "r_name", F.concat_ws(".", "r_name", "n_name").alias("nation")))
+    nations = t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "r_name", F.concat_ws(".", "r_name", "n_name").alias("nation"))
     null = F.lit(None).cast("string")
 
     def rows(df, prefix, kind, key, name, fqn, project, returns=null, node_kind=F.lit("Real")):
@@ -65,7 +65,7 @@ def nodes(spark: SparkSession, d: str) -> DataFrame:
 def links(spark: SparkSession, d: str) -> DataFrame:
     """Edges with the keys of both ends (from_k, to_k)."""
     t = lambda n: table(spark, d, n)
-    nations = F.broadcast(t("nation").join(F.broadcast(t("region")), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "n_regionkey", "r_name"))
+    nations = t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "n_regionkey", "r_name")
     customers = t("customer").join(nations, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "c_nationkey", F.col("r_name").alias("c_region"))
     suppliers = t("supplier").join(nations, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "s_nationkey", F.col("r_name").alias("s_region"))
     orders = t("orders").join(customers, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "o_custkey", F.col("c_region").alias("o_region"))

@@ -240,3 +240,27 @@ def test_rendering(spark):
     assert json.loads(render.to_tron(page, "search")) == {"$schema": ["id", "score", "kind", "displayName", "snippet"], "data": [["a|b", 1.2346, "Type", "n", ""]]}
     assert json.loads(render.to_json(page, total_count=1)) == {"totalCount": 1, "items": [{"id": "a|b", "score": 1.23456, "kind": "Type", "displayName": "n", "snippet": None}]}
     assert render.to_markdown(page, "T").splitlines()[2:] == ["| id | score | kind | display_name | snippet |", "| --- | --- | --- | --- | --- |", "| a\\|b | 1.23456 | Type | n |  |"]
+
+
+def test_snapshots_from_a_stream(spark, tmp_path):
+    from lodestar.streaming.ingest import write_snapshots
+
+    store, source = SnapshotStore(spark, str(tmp_path / "store")), str(tmp_path / "in")
+    made = [[("/a/x.sh", "dotnet test\n"), ("/a/Dockerfile", "FROM a\n")], [("/a/x.sh", "dotnet build\n")]]
+    for rows in made:
+        spark.createDataFrame(rows, "path string, text string").coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema("path string, text string").parquet(source)
+        write_snapshots(stream, store, "S", str(tmp_path / "c")).awaitTermination(120)
+    nodes_, edges_ = store.load(store.latest("S"))
+    assert ids(nodes_) == ["T:docker/Dockerfile::Stage/0", "T:script/sh/x.sh"]
+    assert [r.to_id for r in edges_.collect()] == ["T:tool/dotnet/build"]
+
+
+def test_builder_rules(spark):
+    n = nodes(spark, node("M:a"), node("M:b", access="Internal"), node("M:c", access="ProtectedInternal"))
+    assert ids(ingest.visible(n)) == ["M:a", "M:c"] and {r.project_origin for r in ingest.stamped(n, "Z").collect()} == {"Z"}
+    own, base = nodes(spark, node("M:a", docs=doc("own"))), nodes(spark, node("M:a", docs=doc("base")), node("M:b", docs=doc("base")))
+    got = {r.id: r.docs.summary for r in ingest.documented(n, own, base).collect()}
+    assert got == {"M:a": "own", "M:b": "base", "M:c": "No documentation provided."}
+    uses = spark.createDataFrame([("M:a", "T:List", ["T:X[]", "T:Y"], False), ("M:a", "T:Z[][,]", [], False), ("M:a", "T:Z", [], None), ("M:a", "System.Int32", [], True)], "from_id string, type_id string, arguments array<string>, special boolean")
+    assert sorted(r.to_id for r in ingest.type_references(uses).collect()) == ["T:X", "T:Y", "T:Z", "T:Z"]
