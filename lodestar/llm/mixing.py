@@ -88,7 +88,7 @@ def targets(sizes: DataFrame, schedule: Callable[[Column], Column], most: float)
 
 
 def mix(docs: DataFrame, schedule: Callable[[Column], Column] = cycling, most: int = 3) -> DataFrame:
-    """docs with size, source_size, target, taken, positions (one for each time it is taken) and position, sorted by position.
+    """docs with size, source_size, target, taken, positions (one for each time it is taken) and position, the first of them.
 
     Columns of docs of these names are replaced. A null text has size 0; a null source is
     a source of its own, the last. Documents of size 0 are taken with 0 words. Equal rows

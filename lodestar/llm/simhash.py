@@ -195,7 +195,7 @@ def wide_fingerprint(text: bytes, shingle: int) -> tuple[int, np.ndarray]:
 
 
 def allowed_bits(similarity: float, bits: int) -> int:
-    """Differing bits of two fingerprints that a Jaccard similarity explains, with one and a half deviations to spare at half of them."""
+    """Differing bits expected of two fingerprints at a Jaccard similarity, and three quarters of a standard deviation."""
     p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
     return int(bits * p + 0.75 * np.sqrt(bits * p * (1 - p)))
 
