@@ -264,3 +264,25 @@ def test_builder_rules(spark):
     assert got == {"M:a": "own", "M:b": "base", "M:c": "No documentation provided."}
     uses = spark.createDataFrame([("M:a", "T:List", ["T:X[]", "T:Y"], False), ("M:a", "T:Z[][,]", [], False), ("M:a", "T:Z", [], None), ("M:a", "System.Int32", [], True)], "from_id string, type_id string, arguments array<string>, special boolean")
     assert sorted(r.to_id for r in ingest.type_references(uses).collect()) == ["T:X", "T:Y", "T:Z", "T:Z"]
+
+
+def test_file_filters_and_structure(spark):
+    paths = spark.createDataFrame([("/r/src/A.ts",), ("/r/node_modules/b.ts",), ("/r/tsconfig.json",), ("/r/x.cs",), ("/r/UserTests.cs",), ("/r/BaseTests.cs",), ("/r/c.tsx",)], "path string")
+    assert [r.path for r in files.typescript_files(paths).collect()] == ["/r/c.tsx", "/r/src/A.ts", "/r/tsconfig.json"]
+    assert ids(files.source_files(paths, include=["**/*.cs"]), "path") == ["/r/BaseTests.cs", "/r/x.cs"]
+    assert ids(files.source_files(paths, include=["**/*.cs"], exclude=["**/x.cs"], tests=True), "path") == ["/r/BaseTests.cs", "/r/UserTests.cs"]
+    names_ = spark.createDataFrame([("A.Tests",), ("A.test",), ("Tests.A",)], "n string")
+    assert [r[0] for r in names_.select(text.is_test_project(F.col("n"))).collect()] == [True, True, False]
+    p = lambda *x: spark.createDataFrame([(i,) for i in x], "path string")
+    assert not ingest.structure_changed(p("/A", "/b"), p("/B", "/a")) and ingest.structure_changed(p("/a"), p("/a", "/b"))
+    one = spark.createDataFrame([("a", 1, 2)], "path string, length long, t long").select("path", "length", F.timestamp_micros("t").alias("modified"))
+    assert files.fingerprint(one.union(one)).first() == files.fingerprint(one.union(one).repartition(2)).first() != files.fingerprint(one).first()
+
+
+def test_windowed_counts(spark, tmp_path):
+    from lodestar.streaming import audit
+
+    spark.range(20).selectExpr("'t' as tool", "timestamp_seconds(1704067200 + id * 6) as timestamp").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("tool string, timestamp timestamp").parquet(str(tmp_path / "in"))
+    audit.rolling_counts(stream).writeStream.format("memory").queryName("rolled").outputMode("complete").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start().awaitTermination(120)
+    assert sorted(r.calls for r in spark.table("rolled").collect()) == [10, 10]
