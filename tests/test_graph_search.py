@@ -37,6 +37,13 @@ def test_project_filter_kind_and_paging(corpus):
     assert ids(search.substring_search(corpus, "USED here")) == ["M:Unrelated"]
 
 
+def test_statistics_of_nodes_are_those_of_the_index(corpus):
+    index = search.postings(corpus)
+    key = lambda df: sorted(tuple(r) for r in df.select("field", "documents", "average_length").collect())
+    assert key(search.node_statistics(corpus)) == key(search.statistics(index, corpus))
+    assert search.search(corpus, "getSymbol used", index=index).collect() == search.search(corpus, "getSymbol used").collect()
+
+
 def test_kind_comes_after_the_top_fifty(spark):
     many = nodes(spark, *[node(f"M:{i:03}", name="word") for i in range(60)], node("T:zz", "Type", name="word filler filler filler"))
     assert search.search(many, "word", kind="Type").count() == 0 and search.search(many, "word", limit=100).count() == 50
