@@ -23,6 +23,8 @@ PUNCTUATED = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 CHUNK = 1 << 21
+#: Groups whose counts are broadcast.
+MOST_GROUPS = 100_000
 
 _powers = np.ones(1, np.uint64)
 _unpowers = np.ones(1, np.uint64)
@@ -78,7 +80,9 @@ def smallest(df: DataFrame, group: str, n: int) -> DataFrame:
     group that a few ids fill, fewer than n may be left.
     """
     ids = df.select(group, "doc_id", (F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(1 << 40)) / F.lit(float(1 << 40))).alias("at"))
-    counts = ids.groupBy(F.col(group).alias("g")).agg(F.count("*").alias("all"))
+    counts = checkpointed(ids.groupBy(F.col(group).alias("g")).agg(F.count("*").alias("all")))
+    if counts.count() <= MOST_GROUPS:  # else the engine joins as it sees fit
+        counts = F.broadcast(counts)
     near = ids.join(counts, F.col(group) == F.col("g")).where(F.col("at") * F.col("all") <= 4 * n).select(group, "doc_id", "at").distinct()
     order = Window.partitionBy(group).orderBy("at", "doc_id")
     return near.withColumn("n", F.row_number().over(order)).where(F.col("n") <= n).select(group, "doc_id")
