@@ -16,7 +16,7 @@ import itertools
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
@@ -171,14 +171,17 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataF
     return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-# -- similarity of 0.8 or more: wide fingerprints, searched by segments ------------------------------
+# -- similarity of 0.8 or more: rare shingles propose, wide fingerprints thin out, shingle sets decide ----
 
 WIDE = 4
-SEGMENT = 32
+#: Rows of the sample that tells common shingles, in how many of them a shingle is common, and how many are sent out.
+SAMPLE, COMMON, MOST_COMMON = 20_000, 8, 200_000
+#: Bits of the map that tells a scan which texts are asked for; others that share a bit are dropped by the join after it.
+SLOTS = 1 << 24
 
 
-def wide_fingerprint(text: bytes, shingle: int) -> tuple[int, np.ndarray]:
-    """A hash of the word sequence, and WIDE SimHash words of 64 bits from independent mixes of each shingle's XXH64."""
+def shingle_hashes(text: bytes, shingle: int) -> tuple[int, np.ndarray]:
+    """A hash of the word sequence, and the XXH64 of each shingle in order; a text of fewer words is one shingle."""
     words = text.lower().split()
     line = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
@@ -186,115 +189,172 @@ def wide_fingerprint(text: bytes, shingle: int) -> tuple[int, np.ndarray]:
     starts = np.concatenate([[0], ends[: n - 1] + 1]).astype(np.int64).tolist()
     stops = ends[min(shingle, len(words)) - 1 :].tolist() if words else [0]
     digest = xxhash.xxh64_intdigest
+    return digest(line, 7), np.fromiter((digest(line[a:b], 42) for a, b in zip(starts, stops)), np.uint64, n)
+
+
+def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
+    """WIDE SimHash words of 64 bits from independent mixes of a set of shingle hashes."""
     ones = np.zeros((WIDE, BITS), np.int64)
-    for at in range(0, n, 1 << 14):
-        h = np.array([digest(line[a:b], 42) for a, b in zip(starts[at : at + (1 << 14)], stops[at : at + (1 << 14)])], np.uint64)
+    for at in range(0, len(hashes), 1 << 14):
+        h = hashes[at : at + (1 << 14)]
         for k in range(WIDE):
             ones[k] += np.unpackbits(mix(h + U(0x9E3779B97F4A7C15 * (k + 1) % (1 << 64))).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return digest(line, 7), np.packbits(ones * 2 > n, axis=1, bitorder="little").view(np.uint64).ravel()
+    return np.packbits(ones * 2 > len(hashes), axis=1, bitorder="little").view(np.uint64).ravel()
 
 
 def allowed_bits(similarity: float, bits: int) -> int:
-    """Differing bits expected of two fingerprints at a Jaccard similarity, and three quarters of a standard deviation."""
+    """Differing bits expected of two fingerprints at a Jaccard similarity, and eight standard deviations.
+
+    No pair at the similarity is lost to it in practice; what passes is still verified.
+    """
     p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    return int(bits * p + 0.75 * np.sqrt(bits * p * (1 - p)))
+    return int(bits * p + 8 * np.sqrt(bits * p * (1 - p)))
 
 
-def similar_links(distinct: DataFrame, similarity: float, radius: int = 2) -> DataFrame:
-    """(u, v) links between contents (id, f0..f3) that keep the components of those a shard finds similar.
+def rarest(hashes: np.ndarray, common: np.ndarray, similarity: float) -> np.ndarray:
+    """The first shingles of a set in the order: common ones last, then by hash.
 
-    Each of the eight 32-bit segments of the fingerprint is searched by BK-trees within
-    `radius`, in shards that agree on some of its bits; a hit counts if the 128 bits around
-    the segment differ in no more bits than the similarity explains.
+    Sets of a Jaccard similarity of `similarity` or more share one of these, whichever
+    shingles count as common, as long as all sets are put into the same order.
     """
-    part = [list(range(i * SEGMENT // (radius + 1), (i + 1) * SEGMENT // (radius + 1))) for i in range(radius + 1)]
-    masks = []
-    for block in part:
-        rest = [i for i in range(SEGMENT) if i not in block]
-        masks += [sum(1 << i for i in block + more) for more in blocks(rest, radius + 1)]
-    allowed = allowed_bits(similarity, 2 * BITS)
-    entries = []
-    for s in range(2 * WIDE):
-        a, b = f"f{s // 4 * 2}", f"f{s // 4 * 2 + 1}"
-        value = F.shiftrightunsigned(F.col(f"f{s // 2}"), SEGMENT * (s % 2)).bitwiseAND(F.lit((1 << SEGMENT) - 1))
-        entries += [F.struct(F.xxhash64(F.lit(s), F.lit(m), value.bitwiseAND(F.lit(mask))).alias("shard"), F.lit(s % 4).cast("int").alias("s"), F.col(a).alias("a"), F.col(b).alias("b")) for m, mask in enumerate(masks)]
-    sharded = distinct.select("id", F.explode(F.array(*entries)).alias("e")).select("e.shard", "e.s", "id", "e.a", "e.b")
-
-    def links(rows: list[tuple[int, int, int, int]]) -> list[tuple[int, int]]:
-        """rows: (segment, id, a, b) of one shard."""
-        at = {}
-        for s, id_, a, b in rows:
-            whole = (b & (1 << 64) - 1) << 64 | a & (1 << 64) - 1
-            at.setdefault(whole >> SEGMENT * s & (1 << SEGMENT) - 1, {}).setdefault(whole, id_)
-            if at[whole >> SEGMENT * s & (1 << SEGMENT) - 1][whole] != id_:
-                yield id_, at[whole >> SEGMENT * s & (1 << SEGMENT) - 1][whole]
-        values = sorted(at)
-        tree = BKTree(values[0])
-        root = {}
-
-        def find(x):
-            while root.setdefault(x, x) != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
-
-        for v in values:
-            if v != values[0]:
-                tree.add(v)
-            near = [(w, i) for u in tree.within(v, radius) for w, i in at[u].items()]
-            for whole, id_ in at[v].items():
-                for w, i in near:
-                    if i != id_ and find(i) != find(id_) and (w ^ whole).bit_count() <= allowed:
-                        root[find(i)] = find(id_)
-                        yield id_, i
+    n = len(hashes)
+    keep = n - int(np.ceil(similarity * n - 1e-9)) + 1
+    if len(common):
+        at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
+        hashes = hashes[np.argsort(common[at] == hashes, kind="stable")]
+    return hashes[:keep]
+
+
+def common_shingles(docs: DataFrame, shingle: int) -> np.ndarray:
+    """Shingle hashes that many rows of a sample have, ascending. Of results nothing hangs on them, only the work does."""
+    rate = min(1.0, SAMPLE / max(1, docs.count()))
+    some = docs.where(F.pmod(F.xxhash64(F.lit(9), "text"), F.lit(1 << 30)) < F.lit(int(rate * (1 << 30)))).select("text").distinct()
 
     def run(batches):
-        held: list[tuple] = []
-        shard = None
-        for batch in batches:
-            out = []
-            shards = batch.column(0).to_numpy()
-            rows = list(zip(*(batch.column(i).to_pylist() for i in range(1, 5))))
-            cuts = [0, *(np.flatnonzero(np.diff(shards)) + 1).tolist(), len(shards)] if len(shards) else [0]
-            for lo, hi in itertools.pairwise(cuts):
-                if shards[lo] != shard:
-                    if len(held) > 1:
-                        out += links(held)
-                    held, shard = [], shards[lo]
-                held += rows[lo:hi]
-            a = np.array(out, np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(a[:, 0]), pa.array(a[:, 1])], ["u", "v"])
-        if len(held) > 1:
-            a = np.array(list(links(held)), np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(a[:, 0]), pa.array(a[:, 1])], ["u", "v"])
+        for b in batches:
+            sets = [np.unique(shingle_hashes(x, shingle)[1]) for x in as_bytes(b.column(0))]
+            keys, n = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], ["k", "n"])
+
+    counts = some.mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON)
+    found = counts.orderBy(F.desc("n"), "k").limit(MOST_COMMON).select("k").toArrow().column(0).to_numpy()
+    return np.sort(found.view(np.uint64))
+
+
+def verified(pairs: DataFrame, distinct: DataFrame, keyed: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs (u, v) whose shingle sets have a Jaccard similarity of `similarity` or more, by the sets themselves."""
+    prints = distinct.select("id", "n", *(f"f{k}" for k in range(WIDE)))
+    a, b = (prints.select(*(F.col(c).alias(x + c) for c in prints.columns)) for x in "uv")
+    bits = sum((F.bit_count(F.col(f"uf{k}").bitwiseXOR(F.col(f"vf{k}"))) for k in range(WIDE)), F.lit(0))
+    near = pairs.join(a, F.col("u") == F.col("uid")).join(b, F.col("v") == F.col("vid"))
+    near = checkpointed(near.where((F.least("un", "vn") >= F.lit(similarity - 1e-9) * F.greatest("un", "vn")) & (bits <= allowed_bits(similarity, WIDE * BITS))).select("u", "v"))
+    asked = near.select(F.col("u").alias("id")).union(near.select("v")).distinct().join(distinct.select("id", "first.doc", "first.h"), "id")
+    slot = F.pmod(F.xxhash64("doc", "h"), F.lit(SLOTS))
+    marked = np.zeros(SLOTS, bool)
+    for r in asked.select(slot.alias("s")).groupBy(F.bitmap_bucket_number("s").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("bits")).collect():
+        # bucket b has the values from (b-1)*32768+1 on; value 0 alone is in bucket 0
+        bits = np.flatnonzero(np.unpackbits(np.frombuffer(r.bits, np.uint8), bitorder="little"))
+        marked[(bits + (r.b - 1) * 32768 + 1) % SLOTS if r.b > 0 else 0] = True
+    wanted = keyed.sparkSession.sparkContext.broadcast(np.packbits(marked))
+
+    def sets(batches):
+        mine = np.unpackbits(wanted.value).view(bool)
+        for b in batches:
+            b = b.filter(pa.array(mine[b.column("slot").to_numpy()]))
+            blobs = [np.unique(shingle_hashes(x, shingle)[1]).tobytes() for x in as_bytes(b.column("text"))]
+            yield pa.RecordBatch.from_arrays([b.column("doc"), b.column("h"), pa.array(blobs, pa.binary())], ["doc", "h", "set"])
+
+    def decide(batches):
+        for b in batches:
+            x, y = ([np.frombuffer(s, np.uint64) for s in b.column(k).to_pylist()] for k in (2, 3))
+            both = np.array([len(np.intersect1d(p, q, assume_unique=True)) for p, q in zip(x, y)], float)
+            either = np.array([len(p) + len(q) for p, q in zip(x, y)], float) - both
+            yield b.select(["u", "v"]).filter(pa.array(both >= (similarity - 1e-12) * either))
+
+    found = keyed.select("doc", "h", slot.alias("slot"), "text").mapInArrow(sets, "doc long, h long, set binary")
+    held = checkpointed(found.join(asked, ["doc", "h"]).select("id", "set").dropDuplicates(["id"]))
+    full = near.join(held.select(F.col("id").alias("u"), F.col("set").alias("us")), "u").join(held.select(F.col("id").alias("v"), F.col("set").alias("vs")), "v")
+    return full.select("u", "v", "us", "vs").mapInArrow(decide, "u long, v long")
+
+
+def similar_roots(distinct: DataFrame, entries: DataFrame, keyed: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(node, root) of the components of all pairs at the similarity.
 
+    Each shingle's members (key, id) are linked to their neighbours by id first, so a large
+    group becomes one component by a few links; then every pair of members that is in
+    different components still is verified, so no link that joins components is left out.
+    """
+    order = Window.partitionBy("key").orderBy("id")
+    beside = entries.select("key", "id", F.lag("id").over(order).alias("before"), F.lead("id").over(order).alias("after"))
+    shared = checkpointed(beside.where("before is not null or after is not null"))
+    first = shared.where("before is not null").select(F.col("before").alias("u"), F.col("id").alias("v")).distinct()
+    links = checkpointed(verified(first, distinct, keyed, shingle, similarity))
+    roots = connected_components(links)
+    placed = shared.select("key", "id").join(roots, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("root", "id").alias("root"))
+    mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+    placed = checkpointed(placed.join(mixed, "key"))
+    prints = placed.join(distinct.select("id", "n", *(f"f{k}" for k in range(WIDE))), "id").select("key", "id", "root", "n", *(f"f{k}" for k in range(WIDE)))
     n = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return sharded.repartition(n, "shard").sortWithinPartitions("shard").mapInArrow(run, "u long, v long").distinct()
+    allowed = allowed_bits(similarity, WIDE * BITS)
+
+    def pairs(rows: np.ndarray) -> list[np.ndarray]:
+        """Pairs of ids in different components that may be similar; rows: (key, id, root, n, f0..f3) of one shingle."""
+        rows = rows[np.argsort(rows[:, 1])]
+        out = []
+        for i in range(len(rows) - 1):
+            x, more = rows[i], rows[i + 1 :]
+            more = more[(more[:, 2] != x[2]) & (np.minimum(more[:, 3], x[3]) >= (similarity - 1e-9) * np.maximum(more[:, 3], x[3]))]
+            more = more[np.bitwise_count((more[:, 4:] ^ x[4:]).view(np.uint64)).sum(1, dtype=np.int64) <= allowed]
+            out.append(np.column_stack([np.full(len(more), x[1]), more[:, 1]]))
+        return out
+
+    def run(batches):
+        held = np.zeros((0, 4 + WIDE), np.int64)
+        for b in itertools.chain(batches, [None]):
+            if b is not None:
+                held = np.concatenate([held, np.column_stack([c.to_numpy() for c in b.columns])])
+            # the last key may go on in the next batch
+            cuts = np.flatnonzero(np.diff(held[:, 0])) + 1
+            blocks = np.split(held, cuts)
+            held = blocks.pop() if b is not None else held[:0]
+            found = np.concatenate([np.zeros((0, 2), np.int64), *(p for block in blocks for p in pairs(block))])
+            found = np.unique(found, axis=0) if len(found) else found
+            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0].copy()), pa.array(found[:, 1].copy())], ["u", "v"])
+
+    rest = prints.repartition(n, "key").sortWithinPartitions("key").mapInArrow(run, "u long, v long").distinct().join(first, ["u", "v"], "left_anti")
+    return connected_components(links.union(verified(rest, distinct, keyed, shingle, similarity)))
 
 
 def one_of_each_group(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs, all columns, with one row of each group of near-duplicates: the one with the smallest (doc_id, text hash).
 
-    Groups are the components of links between texts whose wide SimHash fingerprints (five
-    words a shingle) differ in no more bits than a Jaccard similarity of `similarity`
-    explains. Texts with one word sequence, letter case aside, are one node, and of equal
-    rows one stays. A null text counts as empty; empty texts are one group. A null doc_id
-    comes first. An empty table gives an empty table.
+    Groups are the components of all pairs of texts whose sets of shingles (five words)
+    have a Jaccard similarity of `similarity` or more. Pairs that share a shingle among
+    the rarest of each set are candidates, which loses none; those whose wide SimHash
+    fingerprints cannot be of similar texts go, and the others' sets are compared. Texts
+    with one word sequence, letter case aside, are one node, and of equal rows one stays.
+    A null text counts as empty; empty texts are one group. A null doc_id comes first. An
+    empty table gives an empty table.
     """
     small_batches(docs.sparkSession)
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc"), F.xxhash64(F.col("text").cast("string")).alias("h"), F.col("text").cast("string").alias("text"))
+    common = docs.sparkSession.sparkContext.broadcast(common_shingles(keyed, shingle))
+    names = ["doc", "h", "id", "n", *(f"f{k}" for k in range(WIDE)), "keys"]
 
     def run(batches):
         for b in batches:
-            got = [wide_fingerprint(x, shingle) for x in as_bytes(b.column("text"))]
+            got = [(i, np.unique(h)) for i, h in (shingle_hashes(x, shingle) for x in as_bytes(b.column("text")))]
             ids = pa.array(np.array([g[0] for g in got], np.uint64).view(np.int64))
-            f = np.array([g[1] for g in got], np.uint64).reshape(-1, WIDE).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("doc"), b.column("h"), ids, *(pa.array(f[:, k].copy()) for k in range(WIDE))], ["doc", "h", "id", *(f"f{k}" for k in range(WIDE))])
-
-    fps = checkpointed(keyed.mapInArrow(run, "doc long, h long, id long, " + ", ".join(f"f{k} long" for k in range(WIDE))))
-    first = fps.groupBy("id", *(f"f{k}" for k in range(WIDE))).agg(F.min(F.struct("doc", "h")).alias("first"))
-    distinct = checkpointed(first)
-    roots = connected_components(similar_links(distinct.drop("first"), similarity))
+            f = np.array([wide_fingerprint(g[1]) for g in got], np.uint64).reshape(-1, WIDE).view(np.int64)
+            keys = pa.array([rarest(g[1], common.value, similarity).view(np.int64) for g in got], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column("doc"), b.column("h"), ids, pa.array([len(g[1]) for g in got], pa.int64()), *(pa.array(f[:, k].copy()) for k in range(WIDE)), keys], names)
+
+    fps = checkpointed(keyed.mapInArrow(run, "doc long, h long, id long, n long, " + ", ".join(f"f{k} long" for k in range(WIDE)) + ", keys array<long>"))
+    prints = ["id", "n", *(f"f{k}" for k in range(WIDE))]
+    distinct = checkpointed(fps.groupBy(*prints).agg(F.min(F.struct("doc", "h")).alias("first")))
+    firsts = fps.join(distinct.select("id", "first.doc", "first.h"), ["id", "doc", "h"], "left_semi").dropDuplicates(["id"])
+    entries = firsts.select("id", F.explode("keys").alias("key"))
+    roots = similar_roots(distinct, entries, keyed, shingle, similarity)
     chosen = distinct.join(roots, distinct.id == roots.node, "left").groupBy(F.coalesce("root", "id").alias("root")).agg(F.min("first").alias("first")).select("first.*")
     kept = docs.withColumns({"__doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "__h": F.xxhash64(F.col("text").cast("string"))})
     kept = kept.join(chosen, (F.col("__doc") == F.col("doc")) & (F.col("__h") == F.col("h")), "left_semi")

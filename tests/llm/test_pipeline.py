@@ -92,6 +92,22 @@ def test_similar_texts_are_found_by_segments(spark):
     assert sum(2 * i + 1 not in kept for i in high) >= 0.95 * len(high) > 50
 
 
+def test_near_dedup_links_just_the_pairs_at_the_similarity(spark):
+    rng = random.Random(9)
+    texts = []
+    for i in range(240):
+        w = [word(rng, "en") + str(rng.randint(0, 999)) for _ in range(150)]
+        texts.append(" ".join(w))
+        for at in rng.sample(range(5, 145), i % 6 + 1):
+            w[at] = f"edit{i}"
+        texts.append(" ".join(w))
+    alike = {i for i in range(240) if jaccard(texts[2 * i], texts[2 * i + 1]) >= 0.8}
+    apart = {i for i in range(240) if 0.65 <= jaccard(texts[2 * i], texts[2 * i + 1]) < 0.8}
+    assert min(len(alike), len(apart)) > 40
+    out = simhash.one_of_each_group(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert {r.doc_id for r in out.collect()} == {d for d in range(480) if d % 2 == 0 or d // 2 not in alike}
+
+
 def test_run_is_the_stages_and_their_decisions_hold(spark, corpus, folder):
     docs, kind, _ = corpus
     got = {r.doc_id: r for r in corpus_pipeline.run(spark, folder).collect()}
