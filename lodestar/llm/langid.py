@@ -2,11 +2,12 @@
 
 Features are hashed byte trigrams of the lower-cased text (FEATURES bins, square-rooted
 counts scaled to unit length). Families come from the training rows: languages whose mean
-vectors have a cosine over `related` belong together. One linear SVM for each pair of
-families votes for the family; one for each pair of languages inside it votes for the
-language. The fit uses at most `per_language` rows of each language, those with the
-smallest hash of doc_id: a bounded sample, and the only thing here that does not cover
-all rows.
+vectors are more alike than languages are on average are joined, the most alike first, by
+the average likeness of their members. One linear SVM for each pair of families votes for
+the family; one for each pair of languages inside it votes for the language. Each pair is
+fitted by a task of its own. The fit uses at most `per_language` rows of each language,
+those with the smallest hash of doc_id: a bounded sample, and the only thing here that
+does not cover all rows.
 """
 
 from __future__ import annotations
@@ -19,9 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textops import LOWER, as_bytes, crc_bucket, small_batches, smallest
+from .textops import LOWER, SPACE, Shipped, as_bytes, crc_bucket, small_batches, smallest
 
 FEATURES = 4096
+#: How much less likely a trigram of a text that is kept may be than an evenly drawn one, in nats.
+SLACK = 0.5
 LATIN = re.compile(rb"[A-Za-z]")
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
 
@@ -43,27 +46,45 @@ def features(texts: list[bytes]) -> np.ndarray:
     return out
 
 
+def bins(text: bytes) -> np.ndarray:
+    """How many of the text's trigrams of letters and spaces, two letters at least, fall into each bin."""
+    out = np.zeros(FEATURES, np.int64)
+    for at in range(0, len(text), 1 << 20):
+        b = LOWER[np.frombuffer(text[at : at + (1 << 20) + 2], np.uint8)]
+        letter = ((b >= 97) & (b <= 122) | (b >= 128)).view(np.uint8)
+        plain = letter.astype(bool) | SPACE[b]
+        use = plain[:-2] & plain[1:-1] & plain[2:] & (letter[:-2] + letter[1:-1] + letter[2:] >= 2)
+        b = b.astype(np.uint32)
+        out += np.bincount(((b[:-2] << 16 | b[1:-1] << 8 | b[2:])[use] * np.uint32(2654435761)) >> np.uint32(20), minlength=FEATURES)
+    return out
+
+
 def svm(x: np.ndarray, y: np.ndarray, c: float = 20.0, rounds: int = 150) -> tuple[np.ndarray, float]:
     """Weights and bias of a linear SVM with squared hinge loss, classes weighed evenly (accelerated gradient)."""
     x = np.hstack([x, np.ones((len(x), 1), np.float32)])
-    weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum()))
-    w = v = np.zeros(x.shape[1])
-    step, t = 1 / (1 + 4 * c), 1.0
+    y = y.astype(np.float32)
+    weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())).astype(np.float32)
+    w = v = np.zeros(x.shape[1], np.float32)
+    step, t = np.float32(1 / (1 + 4 * c)), 1.0
     for _ in range(rounds):
         slack = np.maximum(0, 1 - y * (x @ v))
-        after = v - step * (v - 2 * c * (x.T @ (weight * slack * y)))
+        after = v - step * (v - np.float32(2 * c) * ((weight * slack * y) @ x))
         t, before = (1 + np.sqrt(1 + 4 * t * t)) / 2, t
-        w, v = after, after + (before - 1) / t * (after - w)
+        w, v = after, after + np.float32((before - 1) / t) * (after - w)
     return w[:-1], float(w[-1])
 
 
-def one_versus_one(x: np.ndarray, label: np.ndarray, classes: list) -> list[tuple[int, int, np.ndarray, float]]:
-    """(a, b, weights, bias) for each pair of classes, by index; positive means a."""
-    out = []
-    for a, b in itertools.combinations(range(len(classes)), 2):
-        rows = (label == a) | (label == b)
-        out.append((a, b, *svm(x[rows], np.where(label[rows] == a, 1.0, -1.0))))
-    return out
+def families_of(likeness: np.ndarray) -> list[list[int]]:
+    """Indices grouped by a symmetric table of likeness: the two most alike groups join while they are more alike, on average of their members, than two members are on average of all."""
+    n = len(likeness)
+    groups = [[i] for i in range(n)]
+    usual = likeness[np.triu_indices(n, 1)].mean() if n > 1 else 0.0
+    while len(groups) > 1:
+        alike, a, b = max((likeness[np.ix_(groups[a], groups[b])].mean(), -a, -b) for a, b in itertools.combinations(range(len(groups)), 2))
+        if alike <= usual + 1e-9:
+            break
+        groups[-a] += groups.pop(-b)
+    return [sorted(g) for g in groups]
 
 
 def vote(x: np.ndarray, machines: list, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -80,25 +101,57 @@ def vote(x: np.ndarray, machines: list, n: int) -> tuple[np.ndarray, np.ndarray]
     return best, score[np.arange(len(x)), best]
 
 
+def fit_here(tasks: list, x: np.ndarray, of: np.ndarray, label: np.ndarray) -> list:
+    """(level, a, b, weights, bias) of each task (level, a, b): level -1 tells families a and b apart, level k languages of family k."""
+    out = []
+    for level, a, b in tasks:
+        kind = of if level < 0 else label
+        rows = (kind == a) | (kind == b)
+        out.append((level, a, b, *svm(x[rows], np.where(kind[rows] == a, 1.0, -1.0))))
+    return out
+
+
 class LanguageModel:
-    """A family classifier and, in each family, a language classifier."""
+    """A family classifier and, in each family, a language classifier.
+
+    With a session, each pair of classes is fitted by a task of its own; without one, here.
+    """
 
-    def __init__(self, x: np.ndarray, langs: list[str], related: float = 0.6):
+    def __init__(self, x: np.ndarray, langs: list[str], counts: np.ndarray | None = None, spark=None):
         self.langs = sorted(set(langs))
-        label = np.array([self.langs.index(y) for y in langs])
+        label = np.searchsorted(np.array(self.langs, object), np.array(langs, object))
         means = np.array([x[label == i].mean(0) for i in range(len(self.langs))])
         means /= np.maximum(np.linalg.norm(means, axis=1, keepdims=True), 1e-9)
-        family = list(range(len(self.langs)))
-        for a, b in itertools.combinations(range(len(self.langs)), 2):
-            if means[a] @ means[b] > related:
-                family = [family[a] if f == family[b] else f for f in family]
-        self.families = [[i for i, f in enumerate(family) if f == g] for g in dict.fromkeys(family)]
-        of = np.array([next(k for k, f in enumerate(self.families) if i in f) for i in range(len(self.langs))])
-        self.top = one_versus_one(x, of[label], self.families)
-        self.inner = []
-        for members in self.families:
-            rows = np.isin(label, members)
-            self.inner.append(one_versus_one(x[rows], np.array([members.index(i) for i in label[rows]]), members))
+        self.families = families_of(means @ means.T)
+        of = np.zeros(len(self.langs), np.int64)
+        for k, members in enumerate(self.families):
+            of[members] = k
+        tasks = [(-1, a, b) for a, b in itertools.combinations(range(len(self.families)), 2)]
+        tasks += [(k, a, b) for k, members in enumerate(self.families) for a, b in itertools.combinations(members, 2)]
+        fitted = self.spread(spark, tasks, x, of[label], label) if spark else fit_here(tasks, x, of[label], label)
+        self.top = [m[1:] for m in fitted if m[0] < 0]
+        place = {i: (k, j) for k, members in enumerate(self.families) for j, i in enumerate(members)}
+        self.inner = [[(place[a][1], place[b][1], w, bias) for level, a, b, w, bias in fitted if level == k] for k in range(len(self.families))]
+        #: log-share of each bin among a language's trigrams, and that of a bin drawn evenly.
+        if counts is not None:
+            total = np.array([counts[label == i].sum(0) for i in range(len(self.langs))], float) + 0.5
+            self.log_share = np.log(total / total.sum(1, keepdims=True))
+
+    @staticmethod
+    def spread(spark, tasks: list, x: np.ndarray, of: np.ndarray, label: np.ndarray) -> list:
+        """fit_here() of the tasks, dealt over the executors."""
+        if not tasks:
+            return []
+        shipped = Shipped(spark, (tasks, x.astype(np.float16), of, label))
+
+        def run(batches):
+            tasks, x, of, label = shipped.value
+            for b in batches:
+                got = fit_here([tasks[i] for i in b.column(0).to_pylist()], x.astype(np.float32), of, label)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([w.astype(np.float32).tobytes() for *_, w, _ in got], pa.binary()), pa.array([g[-1] for g in got], pa.float64())], ["task", "w", "bias"])
+
+        rows = spark.range(0, len(tasks), 1, min(len(tasks), 512)).mapInArrow(run, "task long, w binary, bias double").collect()
+        return [(*tasks[r.task], np.frombuffer(r.w, np.float32), r.bias) for r in sorted(rows)]
 
     def predict(self, x: np.ndarray) -> tuple[list[str], np.ndarray]:
         family, sure = vote(x, self.top, len(self.families))
@@ -109,8 +162,13 @@ class LanguageModel:
                 lang[rows], sure[rows] = np.array(members)[best], sure[rows] * p
         return [self.langs[i] for i in lang], sure
 
+    def belongs(self, text: bytes) -> bool:
+        """Whether the text's trigrams fit a learned language: SLACK nats each, at most, less than trigrams drawn evenly from all bins. Too few to tell do."""
+        n = bins(text)
+        return bool(n.sum() < 8 or (self.log_share @ n).max() > -n.sum() * (np.log(FEATURES) + SLACK))
+
 
-def fit(train: DataFrame, per_language: int = 500, related: float = 0.6) -> LanguageModel | None:
+def fit(train: DataFrame, per_language: int = 500) -> LanguageModel | None:
     """A model from (doc_id, text, lang) rows; None where no row has a text with a letter and a language."""
     spark = train.sparkSession
     small_batches(spark)
@@ -122,20 +180,21 @@ def fit(train: DataFrame, per_language: int = 500, related: float = 0.6) -> Lang
             texts = as_bytes(b.column(0))
             keep = [i for i, t in enumerate(texts) if has_letter(t)]
             x = features([texts[i] for i in keep]).astype(np.float16)
-            yield pa.RecordBatch.from_arrays([b.column(1).take(pa.array(keep, pa.int64())), pa.array([r.tobytes() for r in x], pa.binary())], ["lang", "x"])
+            n = np.array([bins(texts[i]) for i in keep], np.float32).reshape(len(keep), FEATURES)
+            yield pa.RecordBatch.from_arrays([b.column(1).take(pa.array(keep, pa.int64())), pa.array([r.tobytes() for r in x], pa.binary()), pa.array([r.astype(np.float16).tobytes() for r in np.minimum(n, 60000)], pa.binary())], ["lang", "x", "n"])
 
-    rows = known.join(F.broadcast(ids), ["lang", "doc_id"], "left_semi").select("text", "lang").mapInArrow(run, "lang string, x binary").collect()
+    rows = known.join(F.broadcast(ids), ["lang", "doc_id"], "left_semi").select("text", "lang").mapInArrow(run, "lang string, x binary, n binary").collect()
     if not rows:
         return None
-    rows.sort(key=lambda r: (r.lang, r.x))
-    return LanguageModel(np.array([np.frombuffer(r.x, np.float16) for r in rows], np.float32), [r.lang for r in rows], related)
+    rows.sort()
+    return LanguageModel(np.array([np.frombuffer(r.x, np.float16) for r in rows], np.float32), [r.lang for r in rows], np.array([np.frombuffer(r.n, np.float16) for r in rows], np.float32), spark)
 
 
 def predict(docs: DataFrame, model: LanguageModel | None, keep: list[str], schema: str) -> DataFrame:
     """Columns `keep` of docs with lang_pred and score; schema names all of them."""
     spark = docs.sparkSession
     small_batches(spark)
-    shipped = spark.sparkContext.broadcast(model)
+    shipped = Shipped(spark, model)
 
     def run(batches):
         model = shipped.value
@@ -153,30 +212,35 @@ def predict(docs: DataFrame, model: LanguageModel | None, keep: list[str], schem
     return docs.select(*keep, *({"text"} - set(keep))).mapInArrow(run, schema)
 
 
-def identify(docs: DataFrame, per_language: int = 500, related: float = 0.6) -> DataFrame:
+def identify(docs: DataFrame, per_language: int = 500) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) of every row of documents.
 
     Learns from rows whose crc32(doc_id as text) mod 4 is not 2 and whose lang is not
     null. A null text, or one without a letter, is `und` with score 0, and so is every
     text when there is nothing to learn from. Repeated rows stay; ties go to the first
-    language in code point order; an empty table gives an empty table. A sample that
-    many rows of one doc_id share is still bounded by per_language ids.
+    language in code point order; other columns are not read; an empty table gives an
+    empty table. A sample that many rows of one doc_id share is still bounded by
+    per_language ids.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).withColumn("held_out", crc_bucket("doc_id", 4) == 2)
-    model = fit(docs.where("not held_out"), per_language, related)
+    model = fit(docs.where("not held_out"), per_language)
     return predict(docs, model, ["doc_id", "held_out"], SCHEMA)
 
 
-def keep_identified(docs: DataFrame, least_score: float = 0.3, per_language: int = 500, related: float = 0.6) -> DataFrame:
-    """docs, all columns, without the rows that identification rejects: no letter, or a score under `least_score`.
+def keep_identified(docs: DataFrame, per_language: int = 500) -> DataFrame:
+    """docs, all columns, without the rows that identification rejects: no letter, or no language that they belong to.
 
-    Learns from the rows of docs themselves that have a lang, as identify() does; without
-    any, nothing can be told apart and only texts without a letter go.
+    A text belongs to no learned language if its letter trigrams are clearly likelier drawn
+    evenly from all bins than from those of any language's training rows: lettered noise, or a
+    script that no training row has. The machines always name some language, so their votes
+    are no measure of that. Learns from the rows of docs themselves that have
+    a lang, as identify() does; without any, nothing can be told apart and only texts
+    without a letter go.
     """
     spark = docs.sparkSession
     small_batches(spark)
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    shipped = spark.sparkContext.broadcast(fit(known.where(crc_bucket("doc_id", 4) != 2), per_language, related))
+    shipped = Shipped(spark, fit(known.where(crc_bucket("doc_id", 4) != 2), per_language))
 
     def run(batches):
         model = shipped.value
@@ -184,8 +248,7 @@ def keep_identified(docs: DataFrame, least_score: float = 0.3, per_language: int
             texts = as_bytes(b.column("text"))
             lettered = [i for i, t in enumerate(texts) if has_letter(t)]
             if model and lettered:
-                _, sure = model.predict(features([texts[i] for i in lettered]))
-                lettered = [i for i, p in zip(lettered, sure) if p >= least_score]
+                lettered = [i for i in lettered if model.belongs(texts[i])]
             yield b.take(pa.array(lettered, pa.int64()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import exchange
-from .textops import CHUNK, SPACE, U, all_words, as_bytes, checkpointed, crc_bucket, laid_out, pieces, small_batches
+from .textops import CHUNK, SPACE, Shipped, U, all_words, as_bytes, checkpointed, crc_bucket, laid_out, pieces, small_batches
 
 DEPTH = 4
 SYMBOLS = 64
@@ -257,7 +257,7 @@ def score(docs: DataFrame, least_share: float = 2e-5, divergence: float = 40.0)
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("held_out", crc_bucket("doc_id", 10) == 0)
     spark = docs.sparkSession
-    tree = spark.sparkContext.broadcast(fit(docs.where("not held_out"), least_share, divergence))
+    tree = Shipped(spark, fit(docs.where("not held_out"), least_share, divergence))
     buckets = exchange.sized(docs)
     parts = max(64, buckets)
     dealt = exchange.bucketed(docs, buckets, ["doc_id", "text"])

@@ -7,10 +7,12 @@ about 2**-64, so counts and set overlaps over hashes are taken as exact.
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -59,14 +61,43 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or the checkpoint folder in use.
+
+    Where neither is set, a temporary folder serves a local master; on a cluster no
+    executor could read that, so it is an error there.
+    """
+    sc = spark.sparkContext
+    folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not folder and not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return folder or tempfile.mkdtemp(prefix="checkpoints-")
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df written to the shared checkpoint folder; sets a temporary one only where none is set."""
+    """df written to the shared checkpoint folder."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
+class Shipped:
+    """A broadcast value whose classes travel with it, so workers need not be able to import this package."""
+
+    def __init__(self, spark: SparkSession, value):
+        self.box = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+    @property
+    def value(self):
+        if "held" not in self.__dict__:
+            self.held = pickle.loads(self.box.value)  # noqa: S301  our own bytes
+        return self.held
+
+    def __getstate__(self):
+        return {"box": self.box}
+
+
 def crc_bucket(column: str, n: int):
     """crc32(column as text) mod n; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % n

@@ -1,14 +1,17 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
 The examples are at most `per_class` labelled rows of each class, those with the smallest
-hash of doc_id. Their terms with the strongest association to the label (chi-square, at
-most `terms`) are the vector space; document frequencies are counted over all documents.
-Examples with one and the same vector are one index entry with its labels counted, so
-ties cannot push each other out. The index keeps entries in blocks with the greatest
-weight of each term in the block: a block is scored only if that bound can still reach
-the k nearest found so far, so the neighbours are exact. Votes weigh by closeness and by
-the inverse of the class's sampling rate, and a logistic curve fitted to leave-one-out
-votes calibrates them.
+hash of doc_id. Every term of an example is a dimension; its document frequency is counted
+over all documents. A term's TF-IDF weight is scaled by how far its presence goes with
+either label (chi-square x, scaled by (x / (x + HALF))^2), so words that tell nothing fade
+without a cut. Examples with one and the same bag of terms are one index entry with its
+labels counted, so ties cannot push each other out.
+
+The index keeps postings by term, entries in blocks, and for each term the greatest weight
+in each block. A query's terms bound what each block can reach; the blocks of the highest
+bounds are scored first, and then only those whose bound still reaches the k nearest found,
+so the neighbours are exact. Votes weigh by closeness and by the inverse of the class's
+sampling rate, and a logistic curve fitted to leave-one-out votes calibrates them.
 """
 
 from __future__ import annotations
@@ -18,81 +21,148 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textops import PUNCTUATED, as_bytes, crc_bucket, small_batches, smallest, words
+from .textops import PUNCTUATED, Shipped, as_bytes, crc_bucket, small_batches, smallest, words
 
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int, nearest array<long>, similarity array<double>"
+#: The chi-square at which a term's weight is a quarter of its TF-IDF weight.
+HALF = 15.0
+#: Entries in a block, and the share of entries above which a term's postings are one dense row.
+BLOCK, DENSE = 64, 1 / 16
+#: Terms in one message of document frequencies.
+STRIDE = 1 << 13
 
 
-def counts(texts: list[bytes], vocabulary: np.ndarray) -> np.ndarray:
-    """How often each text has each term of the sorted vocabulary of hashes."""
-    out = np.zeros((len(texts), len(vocabulary)), np.float32)
-    if len(vocabulary):
-        for doc, h in words(texts, PUNCTUATED):
-            at = np.minimum(np.searchsorted(vocabulary, h), len(vocabulary) - 1)
-            hit = vocabulary[at] == h
-            np.add.at(out, (doc[hit], at[hit]), 1)
-    return out
+def bags(texts: list[bytes], vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, term, count) of all terms of the sorted vocabulary of hashes, by text and term."""
+    keys = [np.zeros(0, np.int64)]
+    for doc, h in words(texts, PUNCTUATED) if len(vocabulary) else ():
+        at = np.minimum(np.searchsorted(vocabulary, h), len(vocabulary) - 1)
+        hit = vocabulary[at] == h
+        keys.append(doc[hit] * len(vocabulary) + at[hit])
+    key, n = np.unique(np.concatenate(keys), return_counts=True)
+    return key // max(1, len(vocabulary)), key % max(1, len(vocabulary)), n.astype(np.float32)
 
 
-def weighed(tf: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    """Unit TF-IDF vectors; zero where no term occurs."""
-    v = np.log1p(tf) * idf
-    return (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)).astype(np.float32)
+def unit(row: np.ndarray, weight: np.ndarray, rows: int) -> np.ndarray:
+    """The weights of each row scaled to a norm of one."""
+    norm = np.sqrt(np.bincount(row, weight.astype(float) ** 2, rows))
+    return (weight / np.maximum(norm, 1e-12)[row]).astype(np.float32)
+
+
+def ranges(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """The indices of all ranges [lo, hi), one after the other."""
+    n = hi - lo
+    return np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
 
 
 class BlockMaxIndex:
-    """Unit vectors in blocks of postings, each with its greatest weight for every term."""
-
-    def __init__(self, vectors: np.ndarray, size: int = 64):
-        self.order = np.lexsort((np.arange(len(vectors)), vectors.argmax(1) if vectors.size else np.zeros(len(vectors))))
-        sorted_ = vectors[self.order]
-        self.size = size
-        #: For each block its postings: for each term, the weight in each of the block's entries.
-        self.postings = [np.ascontiguousarray(sorted_[i : i + size].T) for i in range(0, len(sorted_), size)]
-        self.tops = np.array([p.max(1) for p in self.postings], np.float32).reshape(len(self.postings), vectors.shape[1])
-
-    def nearest(self, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Indices (-1: none) and cosines of the k nearest entries of each query, nearest first."""
-        n = len(queries)
-        best = np.full((n, k), -1.0, np.float32)
-        ids = np.full((n, k), -1, np.int64)
-        bound = queries @ self.tops.T
-        ranked = np.argsort(-bound, axis=1, kind="stable")
-        for r in range(len(self.postings)):
-            active = np.flatnonzero((bound[np.arange(n), ranked[:, r]] + 1e-5 >= best[:, -1]) & (bound[np.arange(n), ranked[:, r]] > 0))
-            if not len(active):
+    """Sparse unit vectors as postings by term, with each block's greatest weight for every term."""
+
+    def __init__(self, row: np.ndarray, term: np.ndarray, weight: np.ndarray, rows: int, terms: int):
+        # entries lie by their heaviest term, so alike entries share blocks
+        heaviest = np.full(rows, terms)
+        order = np.lexsort((weight, row))
+        heaviest[row[order]] = term[order]
+        self.order = np.lexsort((np.arange(rows), heaviest))
+        place = np.empty(rows, np.int64)
+        place[self.order] = np.arange(rows)
+        at = place[row]
+        order = np.lexsort((at, term))
+        self.at, self.weight, term = at[order].astype(np.int32), weight[order].astype(np.float32), term[order]
+        self.first = np.searchsorted(term, np.arange(terms + 1))
+        self.rows, self.blocks = rows, -(-rows // BLOCK)
+        df = np.diff(self.first)
+        #: Terms with most postings have a dense row: its number, or -1.
+        self.dense = np.where(df > max(BLOCK, DENSE * rows), 0, -1)
+        common = np.flatnonzero(self.dense == 0)
+        self.dense[common] = np.arange(len(common))
+        self.table = np.zeros((len(common), self.blocks * BLOCK), np.float32)
+        for i, t in enumerate(common):
+            mine = slice(self.first[t], self.first[t + 1])
+            self.table[i, self.at[mine]] = self.weight[mine]
+        self.table_tops = self.table.reshape(len(common), self.blocks, BLOCK).max(2)
+        # block maxima of the other terms: one entry for each term and block that has it
+        block = self.at // BLOCK
+        new = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (block[1:] != block[:-1])])) if len(term) else np.zeros(0, np.int64)
+        self.top = np.maximum.reduceat(self.weight, new) if len(new) else np.zeros(0, np.float32)
+        self.top_block = block[new]
+        self.top_first = np.searchsorted(term[new], np.arange(terms + 1))
+
+    def bounds(self, rare: np.ndarray, weight: np.ndarray, common: np.ndarray, common_weight: np.ndarray) -> np.ndarray:
+        """The most that an entry of each block can have in common with the query."""
+        lo, hi = self.top_first[rare], self.top_first[rare + 1]
+        at = ranges(lo, hi)
+        return np.bincount(self.top_block[at], self.top[at] * np.repeat(weight, hi - lo), self.blocks) + common_weight @ self.table_tops[common]
+
+    def nearest(self, terms: np.ndarray, weight: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Indices and cosines of the k nearest entries of one query, nearest first, ties by index; none at zero."""
+        dense = self.dense[terms]
+        sparse = dense < 0
+        rare, w, common, cw = terms[sparse], weight[sparse], dense[~sparse], weight[~sparse]
+        bound = self.bounds(rare, w, common, cw) + 1e-5
+        lo, hi = self.first[rare], self.first[rare + 1]
+        at = ranges(lo, hi)
+        entry, part = self.at[at], self.weight[at] * np.repeat(w, hi - lo)
+        by_bound = np.argsort(-bound, kind="stable")
+        ids, sims, done = np.zeros(0, np.int64), np.zeros(0), 0
+        ahead = -(-k // BLOCK) + 1
+        while done < self.blocks:
+            worst = sims[k - 1] if len(sims) >= k else 0.0
+            chosen = by_bound[done : done + ahead]
+            chosen = chosen[(bound[chosen] > 1.5e-5) & (bound[chosen] >= worst)]
+            if not len(chosen):
                 break
-            for b in np.unique(ranked[active, r]):
-                rows = active[ranked[active, r] == b]
-                sims = queries[rows] @ self.postings[b]
-                own = self.order[b * self.size : b * self.size + sims.shape[1]]
-                all_s = np.hstack([best[rows], sims])
-                all_i = np.hstack([ids[rows], np.broadcast_to(own, sims.shape)])
-                top = np.lexsort((all_i, -all_s), axis=1)[:, :k]
-                best[rows], ids[rows] = np.take_along_axis(all_s, top, 1), np.take_along_axis(all_i, top, 1)
-        return np.where(best > 0, ids, -1), np.maximum(best, 0)
+            slot = np.full(self.blocks, -1)
+            slot[chosen] = np.arange(len(chosen))
+            here = slot[entry // BLOCK]
+            mine = here >= 0
+            score = np.bincount(here[mine] * BLOCK + entry[mine] % BLOCK, part[mine], len(chosen) * BLOCK).astype(float)
+            score += (cw @ self.table[common].reshape(len(common), self.blocks, BLOCK)[:, chosen].reshape(len(common), -1)) if len(common) else 0
+            hit = np.flatnonzero(score > 1e-9)
+            if len(hit) > k:
+                hit = hit[score[hit] >= np.partition(score[hit], -k)[-k]]
+            own = chosen[hit // BLOCK] * BLOCK + hit % BLOCK
+            ids, sims = np.concatenate([ids, self.order[own]]), np.concatenate([sims, score[hit]])
+            top = np.lexsort((ids, -sims))[:k]
+            ids, sims = ids[top], sims[top]
+            done, ahead = done + ahead, self.blocks
+        return ids, sims
 
 
 class ToxicityModel:
     """Neighbours' votes over a block-max index, with a calibration curve."""
 
-    def __init__(self, vocabulary: np.ndarray, idf: np.ndarray, tf: np.ndarray, toxic: np.ndarray, ids: np.ndarray, weight: np.ndarray, k: int):
-        self.vocabulary, self.idf, self.k = vocabulary, idf, k
-        vectors, self.group = np.unique(np.round(weighed(tf, idf), 6), axis=0, return_inverse=True)
-        self.group = self.group.ravel()
-        n = len(vectors)
+    def __init__(self, vocabulary: np.ndarray, scale: np.ndarray, bag: tuple, toxic: np.ndarray, ids: np.ndarray, weight: np.ndarray, k: int):
+        """bag: (row, term, count) of the examples; scale: each term's weight at one occurrence."""
+        self.vocabulary, self.scale, self.k = vocabulary, scale, k
+        row, term, count = bag
+        cut = np.searchsorted(row, np.arange(len(toxic) + 1))
+        kinds: dict[bytes, int] = {}
+        self.group = np.array([kinds.setdefault(term[a:b].tobytes() + count[a:b].tobytes(), len(kinds)) for a, b in zip(cut[:-1], cut[1:])], np.int64)
+        n = len(kinds)
         self.toxic = np.bincount(self.group, weight * toxic, n)
         self.total = np.bincount(self.group, weight, n)
-        self.empty = int(np.flatnonzero(~vectors.any(1))[0]) if n and (~vectors.any(1)).any() else -1
-        self.examples = np.array([ids[self.group == g][:1] for g in range(n)]).reshape(n)
+        first = np.unique(self.group, return_index=True)[1]
+        self.examples = ids[first]
+        self.empty = kinds.get(b"", -1)
         self.prior = float((weight * toxic).sum() / weight.sum())
         self.smooth = float(weight.mean()) * 0.5
-        self.index = BlockMaxIndex(vectors, 64)
-        near, sims = self.neighbours(vectors)
+        use = np.isin(row, first)
+        group = self.group[row[use]]
+        self.index = BlockMaxIndex(group, term[use], unit(group, self.weights(term[use], count[use]), n), n, len(vocabulary))
+        near, sims = self.neighbours(self.group_bags(term, count, cut[first], cut[first + 1]))
         own = near[self.group] == self.group[:, None]
         raw = self.votes(near[self.group], sims[self.group], own * weight[:, None], own * (weight * toxic)[:, None])
         self.slope, self.shift = self.calibrate(self.logit(raw), toxic, weight)
 
+    def weights(self, term: np.ndarray, count: np.ndarray) -> np.ndarray:
+        return np.log1p(count) * self.scale[term]
+
+    @staticmethod
+    def group_bags(term, count, lo, hi) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+        at = ranges(lo, hi)
+        return np.repeat(np.arange(len(lo)), hi - lo), term[at], count[at], len(lo)
+
     @staticmethod
     def logit(p: np.ndarray) -> np.ndarray:
         p = np.clip(p, 1e-6, 1 - 1e-6)
@@ -111,13 +181,18 @@ class ToxicityModel:
             a, b = max(0.05, a + step[0]), b + step[1]
         return float(a), float(b)
 
-    def neighbours(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Entries nearest to each vector; a zero vector's neighbour is the entry without terms."""
-        near, sims = self.index.nearest(vectors, self.k)
-        bare = ~vectors.any(1)
-        near[bare], sims[bare] = -1, 0
-        if self.empty >= 0:
-            near[bare, 0], sims[bare, 0] = self.empty, 1
+    def neighbours(self, bag: tuple[np.ndarray, np.ndarray, np.ndarray, int]) -> tuple[np.ndarray, np.ndarray]:
+        """Entries (-1: none) nearest to each text of (row, term, count, rows); a text without a term has the entry without one."""
+        row, term, count, rows = bag
+        weight = unit(row, self.weights(term, count), rows)
+        near, sims = np.full((rows, self.k), -1, np.int64), np.zeros((rows, self.k))
+        cut = np.searchsorted(row, np.arange(rows + 1)).tolist()
+        for i, (a, b) in enumerate(zip(cut[:-1], cut[1:])):
+            if a < b:
+                ids, s = self.index.nearest(term[a:b], weight[a:b], self.k)
+                near[i, : len(ids)], sims[i, : len(ids)] = ids, s
+            elif self.empty >= 0:
+                near[i, 0], sims[i, 0] = self.empty, 1
         return near, sims
 
     def votes(self, near: np.ndarray, sims: np.ndarray, less: np.ndarray | float = 0.0, less_toxic: np.ndarray | float = 0.0) -> np.ndarray:
@@ -128,12 +203,20 @@ class ToxicityModel:
 
     def score(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Calibrated scores, and the ids and cosines of up to three nearest examples (-1: none)."""
-        near, sims = self.neighbours(weighed(counts(texts, self.vocabulary), self.idf))
+        near, sims = self.neighbours((*bags(texts, self.vocabulary), len(texts)))
         p = 1 / (1 + np.exp(-(self.slope * self.logit(self.votes(near, sims)) + self.shift)))
         return p, np.where(near[:, :3] >= 0, self.examples[near[:, :3]], -1), sims[:, :3]
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int, terms: int, k: int) -> ToxicityModel | None:
+def association(term: np.ndarray, term_toxic: np.ndarray, toxic: np.ndarray, terms: int) -> np.ndarray:
+    """The chi-square of each term's presence against the label."""
+    df, a = np.bincount(term, minlength=terms), np.bincount(term, term_toxic, terms)
+    n, t = len(toxic), toxic.sum()
+    expected = df * t / n
+    return (a - expected) ** 2 / np.maximum(expected * (1 - t / n) * (1 - df / n), 1e-9)
+
+
+def fit(docs: DataFrame, labels: DataFrame, per_class: int, k: int) -> ToxicityModel | None:
     """A model from labels (doc_id, toxic) of documents; None without labelled rows of both classes."""
     spark = docs.sparkSession
     known = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -161,60 +244,66 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int, terms: int, k: int)
     rows.sort(key=lambda r: (r.doc_id, r.terms))
     toxic = np.array([r.toxic for r in rows], float)
     size = [len(r.terms) // 12 for r in rows]
-    term = np.concatenate([np.frombuffer(r.terms, np.uint64, n) for r, n in zip(rows, size)])
+    hashes = np.concatenate([np.frombuffer(r.terms, np.uint64, n) for r, n in zip(rows, size)])
     tf = np.concatenate([np.frombuffer(r.terms, np.float32, n, 8 * n) for r, n in zip(rows, size)])
     row = np.repeat(np.arange(len(rows)), size)
-    vocabulary = associated(term, toxic[row], toxic, terms)
-    at = np.minimum(np.searchsorted(vocabulary, term), max(0, len(vocabulary) - 1))
-    hit = vocabulary[at] == term if len(vocabulary) else np.zeros(len(term), bool)
-    matrix = np.zeros((len(rows), len(vocabulary)), np.float32)
-    matrix[row[hit], at[hit]] = tf[hit]
+    vocabulary, term = np.unique(hashes, return_inverse=True)
     df, n = document_frequencies(docs, vocabulary)
-    idf = np.log((1 + n) / (1 + df)) + 1
+    chi = association(term, toxic[row], toxic, len(vocabulary))
+    scale = (np.log((1 + n) / (1 + df)) + 1) * (chi / (chi + HALF)) ** 2 + 1e-6
     sampled = {c: max(1, int((toxic == c).sum())) for c in (0, 1)}
     weight = np.where(toxic == 1, sizes[1] / sampled[1], sizes[0] / sampled[0])
-    return ToxicityModel(vocabulary, idf, matrix, toxic, np.array([r.doc_id for r in rows]), weight / weight.mean(), k)
+    return ToxicityModel(vocabulary, scale, (row, term, tf), toxic, np.array([r.doc_id for r in rows]), weight / weight.mean(), k)
 
 
-def associated(term: np.ndarray, term_toxic: np.ndarray, toxic: np.ndarray, most: int, least: float = 15.0) -> np.ndarray:
-    """The sorted terms with the greatest chi-square against the label, each of at least `least`."""
-    u, inverse, df = np.unique(term, return_inverse=True, return_counts=True)
-    a = np.bincount(inverse, term_toxic, len(u))
-    n, t = len(toxic), toxic.sum()
-    expected = df * t / n
-    chi = (a - expected) ** 2 / np.maximum(expected * (1 - t / n) * (1 - df / n), 1e-9)
-    keep = np.flatnonzero((chi >= least) & (df >= 3))
-    return np.sort(u[keep[np.argsort(-chi[keep], kind="stable")[:most]]])
+def document_frequencies(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray, int]:
+    """In how many of all documents each term occurs, and how many documents there are.
 
+    Each task counts all terms and sends its counts in packed strides, which add up on the
+    executors: the driver gets one count for each term of the bounded sample.
+    """
+    shipped = Shipped(docs.sparkSession, vocabulary)
+    strides = -(-len(vocabulary) // STRIDE)
 
-def document_frequencies(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray, int]:
-    """In how many of all documents each term occurs, and how many documents there are."""
     def run(batches):
-        total = np.zeros(len(vocabulary) + 1, np.int64)
+        mine = shipped.value
+        total, rows = np.zeros(strides * STRIDE, np.int64), 0
         for b in batches:
             texts = as_bytes(b.column(0))
-            total[:-1] += (counts(texts, vocabulary) > 0).sum(0)
-            total[-1] += len(texts)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total)), pa.int32()), pa.array(total)], ["term", "n"])
+            total += np.bincount(bags(texts, mine)[1], minlength=len(total))
+            rows += len(texts)
+        parts = [*range(strides), -1]
+        blobs = [*(pa.compress(x.tobytes(), codec="zstd", asbytes=True) for x in total.reshape(strides, STRIDE)), pa.compress(np.full(STRIDE, rows).tobytes(), codec="zstd", asbytes=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(blobs, pa.binary())], ["part", "n"])
+
+    def add(batches):
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for part, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                n = np.frombuffer(pa.decompress(blob, decompressed_size=8 * STRIDE, codec="zstd", asbytes=True), np.int64)
+                sums[part] = sums.get(part, 0) + n
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["part", "n"])
 
-    got = {r.term: r.n for r in docs.select("text").mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
-    return np.array([got.get(i, 0) for i in range(len(vocabulary))], float), got.get(len(vocabulary), 0)
+    counted = docs.select("text").mapInArrow(run, "part int, n binary").repartition(strides + 1, "part").mapInArrow(add, "part int, n binary")
+    got = {r.part: np.frombuffer(r.n, np.int64) for r in counted.collect()}
+    df = np.concatenate([got.get(i, np.zeros(STRIDE, np.int64)) for i in range(strides)]) if strides else np.zeros(0, np.int64)
+    return df[: len(vocabulary)].astype(float), int(got[-1][0]) if -1 in got else 0
 
 
-def score(docs: DataFrame, labels: DataFrame, per_class: int = 3000, terms: int = 512, k: int = 25) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, per_class: int = 3000, k: int = 25) -> DataFrame:
     """(doc_id, held_out, score, predicted, nearest, similarity) of every row of documents.
 
     Learns from labels of documents whose crc32(doc_id as text) mod 5 is not 0; lang,
     source and doc_id are never inputs. A null text is empty; a text without any indexed
     term (empty ones too) scores as the labelled examples without one. Null labels and
     labels without a document are left out; a doc_id with both labels counts as toxic.
-    Without labels of both classes every score is 0. Repeated rows stay; an empty table
-    gives an empty table. nearest and similarity are the evidence: up to three examples.
+    Without labels of both classes every score is 0. Repeated rows stay, other columns are
+    not read, and an empty table gives an empty table. nearest and similarity are the
+    evidence: up to three examples.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("held_out", crc_bucket("doc_id", 5) == 0)
     labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
-    model = fit(docs, labels.where(crc_bucket("doc_id", 5) != 0), per_class, terms, k)
-    shipped = docs.sparkSession.sparkContext.broadcast(model)
+    shipped = Shipped(docs.sparkSession, fit(docs, labels.where(crc_bucket("doc_id", 5) != 0), per_class, k))
     small_batches(docs.sparkSession)
 
     def run(batches):

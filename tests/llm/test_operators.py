@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import pathlib
 import random
 import zlib
 
@@ -147,6 +148,31 @@ def test_language_learns_and_marks_texts_without_letters(spark, empty):
     assert langid.identify(empty).count() == 0
 
 
+def test_languages_share_families_and_inner_machines_part_them(spark):
+    import numpy as np
+
+    rng = random.Random(1)
+    common = {"north": ["sk", "en", "et"], "south": ["ci", "on", "os"]}
+    own = {"n1": ("north", ["ø", "ae"]), "n2": ("north", ["ä", "ö"]), "s1": ("south", ["ñ", "ll"]), "s2": ("south", ["ão", "lh"])}
+    langs = [x for x in own for _ in range(60)]
+    texts = [" ".join("".join(rng.choices(common[own[x][0]] * 2 + own[x][1], k=3)) for _ in range(30)).encode() for x in langs]
+    x = langid.features(texts)
+    model = langid.LanguageModel(x[::2], langs[::2], np.array([langid.bins(t) for t in texts[::2]]), spark)
+    assert sorted(sorted(model.langs[i] for i in f) for f in model.families) == [["n1", "n2"], ["s1", "s2"]]
+    assert len(model.top) == 1 and [len(m) for m in model.inner] == [1, 1]
+    assert np.mean(np.array(model.predict(x[1::2])[0]) == np.array(langs[1::2])) > 0.95
+    here = langid.LanguageModel(x[::2], langs[::2])
+    assert here.predict(x[1::2])[0] == model.predict(x[1::2])[0]
+    noise = "".join(rng.choice("bcdfghjkmpqrstvwxz ") for _ in range(300)).encode()
+    assert all(model.belongs(t) for t in texts[1::2]) and not model.belongs(noise) and not model.belongs("漢字仮名交じり文".encode() * 5)
+
+
+@pytest.mark.skipif(not pathlib.Path("/root/testdata/sf0.01").exists(), reason="needs the driver's tables")
+def test_families_on_the_drivers_languages(spark):
+    model = langid.fit(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), per_language=100)
+    assert max(map(len, model.families)) >= 2 and any(model.inner)
+
+
 def test_toxicity_learns_and_is_exact(spark, empty):
     import numpy as np
 
@@ -166,16 +192,59 @@ def test_toxicity_learns_and_is_exact(spark, empty):
     held = [r for r in got if r.held_out and r.doc_id is not None and r.doc_id < 400]
     assert sum(r.predicted == int(r.doc_id % 4 == 0) for r in held) >= 0.95 * len(held) > 20
     g = np.random.default_rng(0)
-    v = np.abs(g.normal(size=(500, 20))) * (g.random((500, 20)) < 0.2)
-    v = (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)).astype(np.float32)
-    index = toxicity.BlockMaxIndex(v[:400], 16)
-    _, sims = index.nearest(v[400:], 7)
-    want = -np.sort(-np.maximum(v[400:] @ v[:400].T, 0), axis=1)[:, :7]
-    assert np.allclose(sims, want, atol=1e-5)
+    v = np.abs(g.normal(size=(500, 60))) * (g.random((500, 60)) < np.where(np.arange(60) < 6, 0.7, 0.05))
+    v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
+    row, term = np.nonzero(v[:400])
+    index = toxicity.BlockMaxIndex(row, term, v[row, term], 400, 60)
+    assert 0 < len(index.table) < 60 and index.blocks > 2
+    for q in v[400:]:
+        ids, sims = index.nearest(np.flatnonzero(q), q[q > 0], 7)
+        cosines = v[:400] @ q
+        want = np.sort(cosines[cosines > 1e-9])[::-1][:7]
+        assert len(ids) == len(want) and np.allclose(sims, want, atol=1e-5) and np.allclose(cosines[ids], sims, atol=1e-5)
     no_labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert all(r.score == 0 for r in toxicity.score(spark.createDataFrame(rows, "doc_id long, text string"), no_labels).collect())
 
 
+def test_toxicity_scores_match_brute_force(spark):
+    """The whole score again, with dense vectors over all terms and all examples."""
+    import numpy as np
+
+    from lodestar.llm import textops
+
+    rng = random.Random(7)
+    rows = [(i, " ".join(rng.choice("abcdefghij") + str(rng.randint(0, 30)) for _ in range(rng.randint(0, 60)))) for i in range(300)]
+    rows += [(300, rows[1][1]), (301, "long " * 50_000 + "a1 b2")]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, int("a1" in t)) for i, t in rows], "doc_id long, toxic int")
+    model = toxicity.fit(docs.withColumn("held_out", textops.crc_bucket("doc_id", 5) == 0), labels.where(textops.crc_bucket("doc_id", 5) != 0), 3000, 25)
+    got = {r.doc_id: r.score for r in toxicity.score(docs, labels).collect()}
+    train = [(i, t) for i, t in rows if zlib.crc32(str(i).encode()) % 5]
+    bag = lambda t: count(t.split())
+    vocabulary = sorted({w for _, t in train for w in t.split()})
+    df = np.array([sum(w in bag(t) for _, t in rows) for w in vocabulary])
+    y = np.array([int("a1" in t) for _, t in train])
+    held = np.array([[w in bag(t) for w in vocabulary] for _, t in train], float)
+    d, a, n = held.sum(0), (held * y[:, None]).sum(0), len(train)
+    e = d * y.sum() / n
+    chi = (a - e) ** 2 / np.maximum(e * (1 - y.sum() / n) * (1 - d / n), 1e-9)
+    scale = (np.log((1 + len(rows)) / (1 + df)) + 1) * (chi / (chi + toxicity.HALF)) ** 2 + 1e-6
+    vector = lambda t: np.log1p(np.array([bag(t)[w] for w in vocabulary])) * scale
+    norm = lambda v: v / max(np.linalg.norm(v), 1e-12)
+    kinds = {}
+    for (_, t), label in zip(train, y):
+        kinds.setdefault(tuple(sorted(bag(t).items())), []).append(label)
+    entries = [(norm(vector(" ".join(w for w, c in k for _ in range(c)))), len(v), sum(v)) for k, v in kinds.items()]
+    for i, t in rows:
+        q = norm(vector(t))
+        near = sorted(((float(v @ q), c, s) for v, c, s in entries if v @ q > 1e-9), reverse=True)[:25] if q.any() else [(1.0, c, s) for v, c, s in entries if not v.any()]
+        if len(near) == 25 and sorted(float(v @ q) for v, *_ in entries)[-26] > near[-1][0] - 1e-6:
+            continue  # a tie at the last place may go either way
+        close = [s / (1.02 - min(s, 1)) for s, _, _ in near]
+        p = (sum(c * x[2] for c, x in zip(close, near)) + model.smooth * model.prior) / (sum(c * x[1] for c, x in zip(close, near)) + model.smooth)
+        logit = math.log(min(max(p, 1e-6), 1 - 1e-6) / (1 - min(max(p, 1e-6), 1 - 1e-6)))
+        assert abs(got[i] - 1 / (1 + math.exp(-(model.slope * logit + model.shift)))) < 2e-3
+
+
 def test_suffix_tree_base_is_exact(docs, empty, rows):
     held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 10 == 0
     end = object()
