@@ -20,6 +20,8 @@ BLOB = "part int, bucket int, blob binary"
 SCHEMA = pa.schema([("part", pa.int32()), ("bucket", pa.int32()), ("blob", pa.binary())])
 #: Bytes of text in a bucket, on average; a single longer text is a larger bucket.
 BUCKET_BYTES = 6 << 20
+#: Buckets up to which only their number grows, how many times larger they become at most, and the partitions of a shuffle.
+FEW, LARGER, MOST_PARTITIONS = 2048, 8, 20_000
 #: The column of a document's bucket; tables may have columns of any other name.
 BUCKET = "__bucket"
 
@@ -29,9 +31,15 @@ def shuffle_partitions(df: DataFrame) -> int:
 
 
 def sized(docs: DataFrame, column: str = "text", of: int = BUCKET_BYTES) -> int:
-    """Buckets of about `of` bytes of text each; of less, half a MB at least, if the shuffle has more partitions."""
+    """Buckets of about `of` bytes of text each; of less, half a MB at least, if the shuffle has more partitions.
+
+    Beyond FEW buckets they grow in size as well as in number, by the square root of the
+    input up to LARGER times `of`, so the messages between buckets and parts keep their
+    length for longer. Past that messages become short; there are never more than keys.
+    """
     total = docs.agg(F.sum(F.octet_length(column))).first()[0] or 0
-    return max(-(-total // of), min(shuffle_partitions(docs), -(-total // (1 << 19))), 1)
+    buckets = max(-(-total // of), min(shuffle_partitions(docs), -(-total // (1 << 19))), 1)
+    return max(1, round(buckets / min(LARGER, max(1.0, (buckets / FEW) ** 0.5))))
 
 
 def bucketed(docs: DataFrame, buckets: int, key: list[str]) -> DataFrame:
@@ -41,8 +49,8 @@ def bucketed(docs: DataFrame, buckets: int, key: list[str]) -> DataFrame:
 
 
 def partitions(docs: DataFrame, buckets: int) -> int:
-    """Of the shuffles between buckets and parts."""
-    return max(shuffle_partitions(docs), -(-buckets // 4))
+    """Of the shuffles between buckets and parts: few enough that their blocks, which are the square of it, can be kept track of."""
+    return max(shuffle_partitions(docs), min(MOST_PARTITIONS, -(-buckets // 4)))
 
 
 def once(replies: DataFrame, n: int) -> DataFrame:

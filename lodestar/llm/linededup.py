@@ -42,6 +42,8 @@ GONE, ENTRIES, WANT_PARITIES, WANT_SET, PARITIES, SETS, STATE = range(7)
 SHORT = 80
 BUCKET_BYTES = 8 << 20
 CHUNK = 1 << 21
+#: Entries of a word from which its pairs are sought by classes.
+HOT = 512
 
 
 def rows(made) -> pa.Table:
@@ -147,16 +149,29 @@ def first_of_each_set(e: np.ndarray, bucket: np.ndarray) -> tuple[np.ndarray, np
     return np.concatenate([order[alone], several[first]]), several[~first]
 
 
-def near_pairs(e: np.ndarray, threshold: float):
+def near_pairs(e: np.ndarray, threshold: float, settled: tuple[np.ndarray, np.ndarray], rank: np.ndarray | None = None):
     """Yields (i, j, differing words allowed) arrays of pairs of one word that pass the length, positional and parity filters.
 
     The parities of two sets differ in no more bins than the sets differ in words. A pair
     passes at the first word that both prefixes have, if at any: the positional bound holds
     there, and the words before differ. Where they agree, the pair has met at that word.
+
+    Of a word with many entries, i seeks a partner j, before it if there is a rank, and
+    stops once the reader has marked it in settled[0], or [1] where one of the two is long.
     """
     order = np.argsort(e["word"].astype(np.uint64) << U(32) | e["size"])
+    word = e["word"][order]
+    cuts = np.concatenate([[0], np.flatnonzero(word[1:] != word[:-1]) + 1, [len(word)]]) if len(word) else np.zeros(1, np.int64)
+    many = np.flatnonzero(np.diff(cuts) >= HOT)
+    few = np.ones(len(order), bool)
+    for g in many:
+        few[cuts[g] : cuts[g + 1]] = False
+        yield from hot_pairs(e, order[cuts[g] : cuts[g + 1]], threshold, settled, rank)
+    order = order[few]
     word, prev, sign, size, place = e["word"][order], e["prev"][order], e["sign"][order], e["size"][order].astype(np.int64), e["place"][order]
     left = size - place
+    # the longest partner that the positional bound leaves to each
+    most = np.minimum(size / threshold, left * ((1 + threshold) / threshold) - size) + 1e-9
     active = np.flatnonzero(size * (1 / threshold) >= size + 1)
     d = 0
     while len(active):
@@ -164,16 +179,50 @@ def near_pairs(e: np.ndarray, threshold: float):
         active = active[active + d < len(order)]
         other = active + d
         # longer sets follow shorter ones, so a pair too unlike in length ends the search for its first
-        go = (word[active] == word[other]) & (size[active] >= threshold * size[other] - 1e-9)
+        go = (word[active] == word[other]) & (size[other] <= most[active])
         active, other = active[go], other[go]
         both = size[active] + size[other]
         need = np.ceil(threshold / (1 + threshold) * both - 1e-9).astype(np.int64)
         spare = both - 2 * need
-        ok = (np.minimum(left[active], left[other]) >= need) & (np.bitwise_count(sign[active] ^ sign[other]) <= spare) & ((prev[active] != prev[other]) | (prev[active] == 0))
+        ok = (left[other] >= need) & (np.bitwise_count(sign[active] ^ sign[other]) <= spare) & ((prev[active] != prev[other]) | (prev[active] == 0))
         if ok.any():
             yield order[active[ok]], order[other[ok]], spare[ok]
 
 
+def hot_pairs(e: np.ndarray, mine: np.ndarray, threshold: float, settled: tuple[np.ndarray, np.ndarray], rank: np.ndarray | None):
+    """near_pairs() of one word's entries, by classes of equal size and place.
+
+    Two classes pass or fail the length and positional filters as a whole, so lines of one
+    template with too many words of their own cost nothing. In a pair of classes every
+    open entry tries the other's entries in document order: lines that are all alike find
+    their first at once.
+    """
+    size, place = e["size"][mine].astype(np.int64), e["place"][mine].astype(np.int64)
+    by = np.lexsort((rank[mine] if rank is not None else mine, place, size))
+    mine, size, place = mine[by], size[by], place[by]
+    first = np.flatnonzero(np.concatenate([[True], (size[1:] != size[:-1]) | (place[1:] != place[:-1])]))
+    ends = np.append(first[1:], len(mine))
+    kinds, left = size[first], (size - place)[first]
+    for a in range(len(first)):
+        both = kinds[a] + kinds
+        need = np.ceil(threshold / (1 + threshold) * both - 1e-9).astype(np.int64)
+        for b in np.flatnonzero((np.minimum(kinds, kinds[a]) >= threshold * np.maximum(kinds, kinds[a]) - 1e-9) & (np.minimum(left, left[a]) >= need)):
+            spare = int(both[b] - 2 * need[b])
+            done = settled[int(max(kinds[a], kinds[b]) > SHORT)]
+            seekers = mine[first[a] : ends[a]]
+            for partner in mine[first[b] : ends[b]]:
+                seekers = seekers[~done[seekers]]
+                if rank is not None:
+                    # both classes are in document order: who does not follow this partner follows no later one
+                    seekers = seekers[rank[seekers] > rank[partner]]
+                if not len(seekers):
+                    break
+                ok = (np.bitwise_count(e["sign"][seekers] ^ e["sign"][partner]) <= spare) & ((e["prev"][seekers] != e["prev"][partner]) | (e["prev"][partner] == 0)) & (seekers != partner)
+                if ok.any():
+                    found = seekers[ok]
+                    yield found, np.full(len(found), partner), np.full(len(found), spare)
+
+
 def dedup(docs: DataFrame, threshold: float = 0.8, report: bool = False) -> DataFrame:
     """docs with the later similar lines taken out of text; with report, (doc_id, n_lines, n_removed, removed, kept_sha256).
 
@@ -278,7 +327,7 @@ def dedup(docs: DataFrame, threshold: float = 0.8, report: bool = False) -> Data
         made += to_buckets(part, GONE, bucket[later], e["index"][later])
         e, bucket = e[reps], bucket[reps]
         short, long = np.zeros(len(e), bool), np.zeros(len(e), bool)
-        for i, j, _ in near_pairs(e, threshold):
+        for i, j, _ in near_pairs(e, threshold, (short, long)):
             big = np.maximum(e["size"][i], e["size"][j]) > SHORT
             long[i[big]] = long[j[big]] = True
             short[i[~big]] = short[j[~big]] = True
@@ -353,7 +402,7 @@ def dedup(docs: DataFrame, threshold: float = 0.8, report: bool = False) -> Data
         known, found = known[order], found[order]
         at = np.minimum(np.searchsorted(known, bucket << 32 | e["index"].astype(np.int64)), len(known) - 1)
         wanted = np.zeros(len(e), bool)
-        for i, j, spare in near_pairs(e, threshold):
+        for i, j, spare in near_pairs(e, threshold, (np.ones(len(e), bool), wanted)):
             big = np.maximum(e["size"][i], e["size"][j]) > SHORT
             i, j, spare = i[big], j[big], spare[big]
             ok = np.bitwise_count(found[at[i]] ^ found[at[j]]).sum(1) <= spare
@@ -378,7 +427,10 @@ def dedup(docs: DataFrame, threshold: float = 0.8, report: bool = False) -> Data
         rank[np.lexsort(order_of(e, bucket))] = np.arange(len(e))
         gone: set = set()
         made: dict = {}
-        for i, j, _ in near_pairs(e, threshold):
+        _, line = np.unique(np.stack([bucket, e["index"].astype(np.int64)]), axis=1, return_inverse=True)
+        line = line.ravel()
+        out, settled = np.zeros(int(line.max()) + 1, bool), np.zeros(len(e), bool)
+        for i, j, _ in near_pairs(e, threshold, (settled, settled), rank):
             both_held = held[i] & held[j]
             i, j = i[both_held], j[both_held]
             later, early = np.where(rank[i] > rank[j], i, j).tolist(), np.where(rank[i] > rank[j], j, i).tolist()
@@ -389,6 +441,8 @@ def dedup(docs: DataFrame, threshold: float = 0.8, report: bool = False) -> Data
                 both = len(one & two)
                 if both >= threshold * (len(one) + len(two) - both) - 1e-9:
                     gone.add(name[b])
+                    out[line[b]] = True
+            settled[:] = out[line]
         found = np.array(sorted(gone), np.int64).reshape(-1, 2)
         return rows(to_buckets(t["part"][0].as_py(), GONE, found[:, 0], found[:, 1]))
 

@@ -2,12 +2,15 @@
 
 The prefix array of a text holds the polynomial hash of every prefix modulo two 31-bit
 primes; two differences and two products then compare any spans, and bisection over the
-span length finds the longest common extension of any two places. A fingerprint is text
-of four fields: the length, the hash of the whole text, hashes of prefixes at STEPS
-multiples of a power of two, and the KEEP smallest mixed hashes of spans of SPAN code
-points (a bottom-k sketch). Two fingerprints compare without their texts: the share of
-common spans among the smallest, or the common prefix found by bisection over the stored
-prefix hashes, whichever is greater; equal texts give 1.
+span length finds the longest common extension of any two places. Long texts have their
+arrays block by block, with the hash of the prefix before each block.
+
+A fingerprint is text of four fields: the length, the hash of the whole text, hashes of
+prefixes at STEPS multiples of a power of two, and the KEEP smallest mixed hashes of spans
+of SPAN code points (a bottom-k sketch). Where both texts are at hand, likeness is the
+share of common spans among the smallest, or the part of the longer text that the longest
+common extensions from both ends cover, whichever is greater; from two fingerprints alone
+the stored prefix hashes bound the common prefix from below. Equal texts give 1.
 """
 
 from __future__ import annotations
@@ -26,6 +29,8 @@ P1, P2 = (1 << 31) - 1, (1 << 31) - 19
 B1, B2 = 1_103_515_245, 1_664_525_017
 SPAN, KEEP, STEPS = 8, 32, 16
 BLOCK = 1 << 17
+#: Text of a range of documents, and the ranges up to which they grow in number.
+RANGE_BYTES, MOST_RANGES = 16 << 20, 4096
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 _pow: dict[int, np.ndarray] = {}
 
@@ -46,10 +51,10 @@ def points(text: str) -> np.ndarray:
 class PrefixHash:
     """Prefix hashes of one text; a span is a half-open pair of places."""
 
-    def __init__(self, chars: np.ndarray):
+    def __init__(self, chars: np.ndarray, arrays: list | None = None):
         self.n = len(chars)
-        self.arrays = []
-        for base, p in ((B1, P1), (B2, P2)):
+        self.arrays = arrays or []
+        for base, p in ((B1, P1), (B2, P2)) if arrays is None else ():
             terms = (chars.astype(np.int64) + 1) * powers(base, p, self.n) % p
             self.arrays.append((np.concatenate([[0], np.cumsum(terms)]) % p, p, base))
 
@@ -75,6 +80,62 @@ class PrefixHash:
             lo, hi = (mid, hi) if self.equal(a, b, mid, other) else (lo, mid - 1)
         return lo
 
+    def common_prefix(self, other: PrefixHash) -> int:
+        """common(0, 0, other): from one origin the prefix hashes compare as they are."""
+        (x, *_), (y, *_) = self.arrays
+        (u, *_), (v, *_) = other.arrays
+        lo, hi = 0, min(self.n, other.n)
+        while lo < hi:
+            mid = (lo + hi + 1) // 2
+            lo, hi = (mid, hi) if x[mid] == u[mid] and y[mid] == v[mid] else (lo, mid - 1)
+        return lo
+
+    def common_suffix(self, other: PrefixHash) -> int:
+        """The longest common extension of the two ends towards the starts: doubling, then bisection."""
+        most = min(self.n, other.n)
+        lo, hi = 0, 1
+        while hi <= most and self.equal(self.n - hi, other.n - hi, hi, other):
+            lo, hi = hi, hi * 2
+        hi = min(hi - 1, most)
+        while lo < hi:
+            mid = (lo + hi + 1) // 2
+            lo, hi = (mid, hi) if self.equal(self.n - mid, other.n - mid, mid, other) else (lo, mid - 1)
+        return lo
+
+
+class Prefixes:
+    """Prefix hashes of a text of any length: those before each block, and the array of a block on demand."""
+
+    def __init__(self, chars: np.ndarray, before: list[tuple[int, int]], first: list | None):
+        """before: residues of the prefix at each multiple of BLOCK; first: the arrays of the only block, if it is the only one."""
+        self.chars, self.before = chars, before
+        self.only = PrefixHash(chars, first) if first else None
+
+    def block(self, k: int, reverse: bool = False) -> PrefixHash:
+        if self.only and not reverse:
+            return self.only
+        return PrefixHash(self.chars[len(self.chars) - (k + 1) * BLOCK if (k + 1) * BLOCK < len(self.chars) else 0 : len(self.chars) - k * BLOCK] if reverse else self.chars[k * BLOCK : (k + 1) * BLOCK])
+
+    def common_prefix(self, other: Prefixes) -> int:
+        lo, hi = 0, min(len(self.before), len(other.before)) - 1
+        while lo < hi:
+            mid = (lo + hi + 1) // 2
+            lo, hi = (mid, hi) if self.before[mid] == other.before[mid] else (lo, mid - 1)
+        return lo * BLOCK + self.block(lo).common_prefix(other.block(lo))
+
+    def common_suffix(self, other: Prefixes) -> int:
+        if not len(self.chars) or not len(other.chars) or self.chars[-1] != other.chars[-1]:
+            return 0
+        if self.only and other.only:
+            return self.only.common_suffix(other.only)
+        k = 0
+        while k * BLOCK < min(len(self.chars), len(other.chars)):
+            n = self.block(k, True).common_suffix(other.block(k, True))
+            if n < BLOCK:
+                return k * BLOCK + n
+            k += 1
+        return min(len(self.chars), len(other.chars))
+
 
 def step_of(n: int) -> int:
     """The power of two whose multiples up to n are STEPS at most."""
@@ -85,8 +146,14 @@ def step_of(n: int) -> int:
 
 
 def fingerprint(chars: np.ndarray) -> tuple[int, int, np.ndarray, np.ndarray]:
-    """(length, whole hash, prefix hashes, smallest span hashes), block by block."""
+    """(length, whole hash, prefix hashes, smallest span hashes)."""
+    return fingerprint_and_prefixes(chars)[0]
+
+
+def fingerprint_and_prefixes(chars: np.ndarray) -> tuple[tuple[int, int, np.ndarray, np.ndarray], Prefixes]:
+    """The fingerprint, block by block, and the prefix hashes that it is made from."""
     n = len(chars)
+    before, first = [(0, 0)], None
     step = step_of(n)
     marks = np.zeros(n // step, np.uint64)
     carry = [0, 0]
@@ -102,6 +169,9 @@ def fingerprint(chars: np.ndarray) -> tuple[int, int, np.ndarray, np.ndarray]:
             whole = (carry[k] + prefix[: own + 1] * pow(base, at, p)) % p
             carry[k] = int(whole[own])
             sums.append((prefix, whole, base, p))
+        before.append((carry[0], carry[1]))
+        if n <= BLOCK:
+            first = [(whole, p, base) for _, whole, base, p in sums]
         inside = np.arange(-(-(at + 1) // step) * step, at + own + 1, step)
         marks[inside // step - 1] = mix(sums[0][1][inside - at].astype(np.uint64) << np.uint64(31) | sums[1][1][inside - at].astype(np.uint64))
         m = len(block) - width + 1
@@ -118,7 +188,7 @@ def fingerprint(chars: np.ndarray) -> tuple[int, int, np.ndarray, np.ndarray]:
                 few = sorted_set(h)
             least = sorted_set(np.concatenate([least, few[:KEEP]]))[:KEEP]
     whole = int(mix(np.array([carry[0] << 31 | carry[1]], np.uint64))[0]) if n else 0
-    return n, whole, marks >> np.uint64(40), sorted_set(least >> np.uint64(32))
+    return (n, whole, marks >> np.uint64(40), sorted_set(least >> np.uint64(32))), Prefixes(chars, before[: max(1, -(-n // BLOCK))], first)
 
 
 def as_text(f: tuple[int, int, np.ndarray, np.ndarray]) -> str:
@@ -141,15 +211,31 @@ def common_prefix(a: tuple, b: tuple) -> int:
     return lo * step
 
 
+def spans_shared(a: tuple, b: tuple) -> float:
+    """The share of common spans among the smallest of two fingerprints."""
+    union = sorted_set(np.concatenate([a[3], b[3]]))[:KEEP]
+    return float((np.isin(union, a[3]) & np.isin(union, b[3])).mean())
+
+
 def likeness(a: tuple, b: tuple) -> float:
     """0 to 1, from two fingerprints alone."""
     if a[:2] == b[:2]:
         return 1.0
     if not a[0] or not b[0]:
         return 0.0
-    union = sorted_set(np.concatenate([a[3], b[3]]))[:KEEP]
-    shared = np.isin(union, a[3]) & np.isin(union, b[3])
-    return min(1.0, max(float(shared.mean()), common_prefix(a, b) / max(a[0], b[0])))
+    return min(1.0, max(spans_shared(a, b), common_prefix(a, b) / max(a[0], b[0])))
+
+
+def likeness_of(one: tuple[tuple, Prefixes], two: tuple[tuple, Prefixes]) -> float:
+    """0 to 1, from two fingerprints and the prefix arrays that they were made from."""
+    (a, x), (b, y) = one, two
+    if a[:2] == b[:2]:
+        return 1.0
+    if not a[0] or not b[0]:
+        return 0.0
+    prefix = x.common_prefix(y)
+    ends = min(prefix + (x.common_suffix(y) if prefix < min(a[0], b[0]) else 0), a[0], b[0])
+    return min(1.0, max(spans_shared(a, b), ends / max(a[0], b[0])))
 
 
 def edited(text: str, after: str) -> str:
@@ -174,15 +260,17 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     Rows follow each other by doc_id (null first), rows of one doc_id by text, and the
     first follows the last; a row alone follows itself. A null text is empty. Documents
-    are cut into ranges of doc_id at approximate quantiles; the first row of each range
-    also goes to the range before it, so a range is a task of its own. Ranges are by
-    doc_id alone, so rows of one doc_id stay together.
+    are cut into ranges of doc_id at approximate quantiles, of RANGE_BYTES of text each but
+    no more than MOST_RANGES unless the shuffle has more partitions; the first row of each
+    range also goes to the range before it, so a range is a task of its own, which streams
+    its rows in order. Ranges are by doc_id alone, so rows of one doc_id stay together.
     """
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     low = -(1 << 63)
-    ranges = exchange.shuffle_partitions(docs)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ranges = max(exchange.shuffle_partitions(docs), min(MOST_RANGES, -(-size // RANGE_BYTES)))
     cuts = sorted(set(docs.select(F.col("doc_id").cast("double")).approxQuantile("doc_id", [i / ranges for i in range(1, ranges)], 0.2 / ranges)))
     placed = docs.withColumn("place", F.coalesce("doc_id", F.lit(low))).withColumn("range", range_of(F.col("doc_id").cast("double"), cuts))
     heads = {r.range: r.first for r in placed.groupBy("range").agg(F.min("place").alias("first")).collect()}
@@ -203,8 +291,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
         def row(one, after):
             text = edited(one[1], after[1])
-            f = fingerprint(points(text)) if text != one[1] else one[2]
-            return one[0], len(one[1]), hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest(), as_text(one[2]), as_text(f), likeness(one[2], f), likeness(one[2], after[2])
+            f = fingerprint_and_prefixes(points(text)) if text != one[1] else one[2]
+            return one[0], len(one[1]), hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest(), as_text(one[2][0]), as_text(f[0]), likeness_of(one[2], f), likeness_of(one[2], after[2])
 
         def batch():
             columns = list(zip(*out)) or [[]] * 7
@@ -217,7 +305,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                     at, waiting, found = range_, None, False
                 if found:
                     continue  # further rows of the next range's first doc_id
-                one = doc_id, text, fingerprint(points(text))
+                one = doc_id, text, fingerprint_and_prefixes(points(text))
                 if waiting is not None:
                     out.append(row(waiting, one))
                 waiting, found = one, bool(after)
@@ -226,5 +314,4 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                     out = []
         yield batch()
 
-    n = max(ranges, len(used))
-    return dealt.repartition(n, "range").sortWithinPartitions("range", "after", "place", "text").select("doc_id", "text", "range", "after").mapInArrow(run, SCHEMA)
+    return dealt.repartitionById(used[-1] + 1, F.col("range")).sortWithinPartitions("range", "after", "place", "text").select("doc_id", "text", "range", "after").mapInArrow(run, SCHEMA)
