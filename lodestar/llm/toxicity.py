@@ -27,7 +27,9 @@ SCHEMA = "doc_id long, held_out boolean, score double, predicted int, nearest ar
 #: The chi-square at which a term's weight is a quarter of its TF-IDF weight.
 HALF = 15.0
 #: Entries in a block, and the share of entries above which a term's postings are one dense row.
-BLOCK, DENSE = 64, 1 / 16
+BLOCK, DENSE = 64, 1 / 32
+#: Queries that are scored at once.
+CHUNK = 256
 #: Terms in one message of document frequencies.
 STRIDE = 1 << 13
 
@@ -88,21 +90,35 @@ class BlockMaxIndex:
         self.top_block = block[new]
         self.top_first = np.searchsorted(term[new], np.arange(terms + 1))
 
-    def bounds(self, rare: np.ndarray, weight: np.ndarray, common: np.ndarray, common_weight: np.ndarray) -> np.ndarray:
-        """The most that an entry of each block can have in common with the query."""
-        lo, hi = self.top_first[rare], self.top_first[rare + 1]
+    def all_nearest(self, row: np.ndarray, term: np.ndarray, weight: np.ndarray, rows: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Indices (-1: none) and cosines of the k nearest entries of each query, nearest first, ties by index; none at zero."""
+        ids, sims = np.full((rows, k), -1, np.int64), np.zeros((rows, k))
+        dense = self.dense[term]
+        common = dense >= 0
+        cut = np.searchsorted(row, np.arange(rows + 1))
+        for lo in range(0, rows, CHUNK):
+            hi = min(lo + CHUNK, rows)
+            mine = slice(cut[lo], cut[hi])
+            # what the terms with dense rows add, for the whole chunk at once
+            q = np.zeros((hi - lo, len(self.table)), np.float32)
+            use = common[mine]
+            q[row[mine][use] - lo, dense[mine][use]] = weight[mine][use]
+            base = q @ self.table
+            for i in range(lo, hi):
+                own = slice(cut[i], cut[i + 1])
+                rare = ~common[own]
+                found, s = self.nearest(base[i - lo], term[own][rare], weight[own][rare], k)
+                ids[i, : len(found)], sims[i, : len(found)] = found, s
+        return ids, sims
+
+    def nearest(self, base: np.ndarray, terms: np.ndarray, weight: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The k nearest entries of one query, which has `base` in common with each entry by its dense terms."""
+        lo, hi = self.top_first[terms], self.top_first[terms + 1]
         at = ranges(lo, hi)
-        return np.bincount(self.top_block[at], self.top[at] * np.repeat(weight, hi - lo), self.blocks) + common_weight @ self.table_tops[common]
-
-    def nearest(self, terms: np.ndarray, weight: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Indices and cosines of the k nearest entries of one query, nearest first, ties by index; none at zero."""
-        dense = self.dense[terms]
-        sparse = dense < 0
-        rare, w, common, cw = terms[sparse], weight[sparse], dense[~sparse], weight[~sparse]
-        bound = self.bounds(rare, w, common, cw) + 1e-5
-        lo, hi = self.first[rare], self.first[rare + 1]
+        bound = np.bincount(self.top_block[at], self.top[at] * np.repeat(weight, hi - lo), self.blocks) + base.reshape(self.blocks, BLOCK).max(1) + 1e-5
+        lo, hi = self.first[terms], self.first[terms + 1]
         at = ranges(lo, hi)
-        entry, part = self.at[at], self.weight[at] * np.repeat(w, hi - lo)
+        entry, part = self.at[at], self.weight[at] * np.repeat(weight, hi - lo)
         by_bound = np.argsort(-bound, kind="stable")
         ids, sims, done = np.zeros(0, np.int64), np.zeros(0), 0
         ahead = -(-k // BLOCK) + 1
@@ -116,9 +132,8 @@ class BlockMaxIndex:
             slot[chosen] = np.arange(len(chosen))
             here = slot[entry // BLOCK]
             mine = here >= 0
-            score = np.bincount(here[mine] * BLOCK + entry[mine] % BLOCK, part[mine], len(chosen) * BLOCK).astype(float)
-            score += (cw @ self.table[common].reshape(len(common), self.blocks, BLOCK)[:, chosen].reshape(len(common), -1)) if len(common) else 0
-            hit = np.flatnonzero(score > 1e-9)
+            score = np.bincount(here[mine] * BLOCK + entry[mine] % BLOCK, part[mine], len(chosen) * BLOCK) + base.reshape(self.blocks, BLOCK)[chosen].ravel()
+            hit = np.flatnonzero(score > max(1e-9, worst - 1e-9))
             if len(hit) > k:
                 hit = hit[score[hit] >= np.partition(score[hit], -k)[-k]]
             own = chosen[hit // BLOCK] * BLOCK + hit % BLOCK
@@ -185,14 +200,10 @@ class ToxicityModel:
         """Entries (-1: none) nearest to each text of (row, term, count, rows); a text without a term has the entry without one."""
         row, term, count, rows = bag
         weight = unit(row, self.weights(term, count), rows)
-        near, sims = np.full((rows, self.k), -1, np.int64), np.zeros((rows, self.k))
-        cut = np.searchsorted(row, np.arange(rows + 1)).tolist()
-        for i, (a, b) in enumerate(zip(cut[:-1], cut[1:])):
-            if a < b:
-                ids, s = self.index.nearest(term[a:b], weight[a:b], self.k)
-                near[i, : len(ids)], sims[i, : len(ids)] = ids, s
-            elif self.empty >= 0:
-                near[i, 0], sims[i, 0] = self.empty, 1
+        near, sims = self.index.all_nearest(row, term, weight, rows, self.k)
+        if self.empty >= 0:
+            bare = np.bincount(row, minlength=rows) == 0
+            near[bare, 0], sims[bare, 0] = self.empty, 1
         return near, sims
 
     def votes(self, near: np.ndarray, sims: np.ndarray, less: np.ndarray | float = 0.0, less_toxic: np.ndarray | float = 0.0) -> np.ndarray:
