@@ -14,9 +14,20 @@ def percent(part: Column, whole: Column) -> Column:
     return F.when(whole == 0, F.lit(0.0)).otherwise(F.bround(part / whole * 100.0, 1))
 
 
+# Fixed value: the attribute that takes a symbol out of documentation coverage.
+OPT_OUT = "ExcludeFromDocCoverage"
+
+
+def opted_in(nodes: DataFrame) -> DataFrame:
+    """nodes without those whose attributes (array<string>, if there is such a column) opt out of coverage."""
+    if "attributes" not in nodes.columns:
+        return nodes
+    return nodes.where(~F.coalesce(F.exists("attributes", lambda a: a.isin(OPT_OUT, f"{OPT_OUT}Attribute")), F.lit(False)))
+
+
 def candidates(nodes: DataFrame, project: str | None = None) -> DataFrame:
     """Real public-surface symbols of the kinds that should be documented."""
-    found = nodes.where((F.col("node_kind") == "Real") & F.col("kind").isin(DOC_KINDS) & F.col("accessibility").isin(PUBLIC_SURFACE))
+    found = opted_in(nodes).where((F.col("node_kind") == "Real") & F.col("kind").isin(DOC_KINDS) & F.col("accessibility").isin(PUBLIC_SURFACE))
     return found if project is None else found.where(F.col("project_origin") == project)
 
 
@@ -55,7 +66,7 @@ def doc_coverage(nodes: DataFrame, project: str | None = None) -> DataFrame:
 
 def undocumented(nodes: DataFrame, threshold: float = 80.0, shown: int = 20) -> DataFrame:
     """One row: the share of public symbols with a summary, whether it is under the threshold, and the first undocumented ids."""
-    public = nodes.where((F.col("node_kind") == "Real") & (F.col("accessibility") == "Public"))
+    public = opted_in(nodes).where((F.col("node_kind") == "Real") & (F.col("accessibility") == "Public"))
     first = public.where(F.col("docs.summary").isNull()).orderBy("id").limit(shown).agg(F.array_sort(F.collect_list("id")).alias("first"))
     total, documented = F.count("*"), F.count("docs.summary")
     share = public.agg(total.alias("total"), documented.alias("documented"), percent(documented, total).alias("coverage_percent"))
@@ -64,7 +75,7 @@ def undocumented(nodes: DataFrame, threshold: float = 80.0, shown: int = 20) ->
 
 def parity(nodes: DataFrame) -> DataFrame:
     """Public members without a summary."""
-    return nodes.where((F.col("node_kind") == "Real") & (F.col("accessibility") == "Public") & F.col("docs.summary").isNull()).select("id", "kind", "display_name")
+    return opted_in(nodes).where((F.col("node_kind") == "Real") & (F.col("accessibility") == "Public") & F.col("docs.summary").isNull()).select("id", "kind", "display_name")
 
 
 def suspicious_edits(nodes: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -73,13 +75,38 @@ def fragments(nodes: DataFrame) -> DataFrame:
     return both.select("project_id", "project_origin", F.posexplode(names).alias("n", "fragment")).select(F.struct("project_origin", "n").alias("place"), F.lower("fragment").alias("fragment"), "project_id")
 
 
+def lengths(df: DataFrame, column: str) -> list[int]:
+    """The lengths that a column of names has: as many as the longest name is long, at most."""
+    return sorted(r[0] for r in df.select(F.length(column)).distinct().collect() if r[0])
+
+
+def pieces(text: Column, sizes: list[int], starts: Callable[[Column, int], Column]) -> Column:
+    """Distinct substrings of the given sizes at the places that starts(text, size) gives."""
+    def of(size: int) -> Column:
+        inside = F.filter(starts(text, size), lambda i: (i > 0) & (i + size - 1 <= F.length(text)))
+        return F.transform(inside, lambda i: F.substring(text, i, size))
+
+    return F.array_distinct(F.concat(*map(of, sizes))) if sizes else F.array().cast("array<string>")
+
+
+def anywhere(text: Column, size: int) -> Column:
+    return F.when(F.length(text) >= size, F.sequence(F.lit(1), F.length(text) - size + 1)).otherwise(F.array().cast("array<int>"))
+
+
+def last_or_dotted(text: Column, size: int) -> Column:
+    """The place of the last `size` characters, and each place after a dot."""
+    dots = F.filter(F.sequence(F.lit(2), F.length(text) + 1), lambda i: F.substring(text, i - 1, 1) == ".")
+    return F.array_append(dots, F.length(text) - size + 1)
+
+
 def by_path(paths: DataFrame, nodes: DataFrame) -> DataFrame:
     """Invokes edges from (from_id, path) to the first project, by name, whose fragment the path contains.
 
-    The fragments are one or two for each project, and are broadcast only as small as the
-    engine's own limit allows; the join is by containment, so it has no key.
+    Paths are cut into all their pieces of a fragment's length, so containment is a hash join.
     """
-    hits = paths.withColumn("path", F.lower(plain_path(F.col("path")))).join(fragments(nodes), F.col("path").contains(F.col("fragment")))
+    known = fragments(nodes)
+    cut = paths.withColumn("path", F.lower(plain_path(F.col("path"))))
+    hits = cut.select("from_id", "path", F.explode(pieces(F.col("path"), lengths(known, "fragment"), anywhere)).alias("fragment")).join(known, "fragment")
     return hits.groupBy("from_id", "path").agg(F.min_by("project_id", "place").alias("to_id")).select("from_id", "to_id", F.lit("Invokes").alias("kind"))
 
 
@@ -92,7 +119,9 @@ def detect(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     named = own.where("kind = 'References'").select("from_id", F.col("to_id").alias("fqn")).join(types, "fqn").select("from_id", "to_id", F.lit("References").alias("kind"))
     parsed = scripts.where("lower(ltrim(docs.summary)) like 'dotnet%'").select(F.col("id").alias("from_id"), command(F.col("docs.summary")).alias("c")).select("from_id", "c.*").where("verb is not null")
     wanted = parsed.where("instr(filter, '~') > 0").select("from_id", F.expr("substring(filter, instr(filter, '~') + 1)").alias("name")).select("from_id", F.btrim("name", F.lit("\"'")).alias("name"))
-    filtered = wanted.join(types, F.col("fqn").endswith(F.col("name")) | F.col("fqn").contains(F.concat(F.lit("."), F.col("name")))).select("from_id", "to_id", F.lit("References").alias("kind"))
+    # a type matches by its last characters, or by what follows a dot
+    tails = types.select("to_id", F.explode(pieces(F.col("fqn"), lengths(wanted, "name"), last_or_dotted)).alias("name"))
+    filtered = wanted.join(tails, "name").select("from_id", "to_id", F.lit("References").alias("kind"))
     targets = invoked.union(parsed.where("project is not null").select("from_id", F.col("project").alias("path")))
     found = by_path(targets, nodes).union(named).union(filtered).dropDuplicates(EDGE_KEY)
     return found.join(edges.select(*EDGE_KEY).distinct(), EDGE_KEY, "left_anti").withColumn("scope", F.lit("CrossProject"))

@@ -1,6 +1,7 @@
 """Differences of two snapshots: a plain one by id, and a semantic one by category.
 
-Both are one full outer join of the nodes. `semantic_diff` compares whole tables of many
+Both are one full outer join of the nodes; the plain one keeps its differing rows in the
+checkpoint folder, as it reads them several times. `semantic_diff` compares whole tables of many
 projects at once when `by` names a column that both sides share.
 """
 
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..model import CHANGE_CATEGORIES, PUBLIC_SURFACE, rank
+from .graph import stored
 
 ARROW = "→"
 
@@ -20,18 +22,18 @@ def graph_diff(before: DataFrame, after: DataFrame) -> DataFrame:
     An added symbol whose previous ids name removed ones is a rename of the first of them;
     a removed id is used up by one symbol, the smallest by id.
     """
-    a, b = before.select("id").withColumn("in_a", F.lit(True)), after.select("id", "previous_ids").withColumn("in_b", F.lit(True))
-    both = a.join(b, "id", "full_outer")
-    removed, added = both.where("in_b is null").select("id"), both.where("in_a is null").select("id", "previous_ids")
+    sides = [df.select("id", F.struct("display_name", "fqn", "accessibility", "kind", F.col("docs.summary").alias("summary"), *more).alias(name)) for df, name, more in ((before, "x", ()), (after, "y", ("previous_ids",)))]
+    # one join carries both sides; what is looked up again are only the ids on one side alone
+    both = stored(sides[0].join(sides[1], "id", "full_outer").where("x is null or y is null or not (x.display_name <=> y.display_name and x.fqn <=> y.fqn and x.accessibility <=> y.accessibility and x.kind <=> y.kind and x.summary <=> y.summary)"))
+    removed, added = both.where("y is null").select("id"), both.where("x is null").select("id", "y.previous_ids")
     olds = added.select("id", F.posexplode("previous_ids").alias("place", "old")).join(removed.withColumnRenamed("id", "old"), "old", "left_semi")
     first = olds.groupBy("id").agg(F.min_by("old", "place").alias("old"))
     renames = first.groupBy("old").agg(F.min("id").alias("id"))
     arrow = lambda name, x, y: F.concat(F.lit(f"{name}: "), F.coalesce(x, F.lit("")), F.lit(f" {ARROW} "), F.coalesce(y, F.lit("")))
     columns = {"name": "display_name", "fqn": "fqn", "accessibility": "accessibility", "kind": "kind"}
-    x, y = before.alias("x"), after.alias("y")
     texts = [F.when(~F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}")), arrow(name, F.col(f"x.{c}"), F.col(f"y.{c}"))) for name, c in columns.items()]
-    texts.append(F.when(~F.col("x.docs.summary").eqNullSafe(F.col("y.docs.summary")), F.lit("doc changed")))
-    common = x.join(y, F.col("x.id") == F.col("y.id")).select(F.col("x.id").alias("id"), F.concat_ws("; ", *texts).alias("summary")).where("summary <> ''")
+    texts.append(F.when(~F.col("x.summary").eqNullSafe(F.col("y.summary")), F.lit("doc changed")))
+    common = both.where("x is not null and y is not null").select("id", F.concat_ws("; ", *texts).alias("summary"))
     entry = lambda df, change, summary: df.select("id", F.lit(change).alias("change"), summary.alias("summary"))
     return (
         entry(renames, "Modified", F.concat(F.lit("renamed from "), F.col("old")))
@@ -104,9 +106,9 @@ def semantic_diff(before: DataFrame, before_edges: DataFrame, after: DataFrame,
     the key of both tables.
     """
     keys = by or []
-    once = lambda df: df.dropDuplicates([*keys, "id"])
     body = ["display_name", "accessibility", "return_type", "parameters", "generic_constraints", "docs"]
-    pack = lambda df, name: once(df).select(*keys, "id", F.struct(*body).alias(name))
+    greatest = F.max_by(F.struct(*body), F.struct(*body[:-1], comparable(F.col("docs")).alias("docs")))
+    pack = lambda df, name: df.groupBy(*keys, "id").agg(greatest.alias(name))
     deps = dependency_changes(before_edges, after_edges, keys)
     joined = pack(before, "b").join(pack(after, "a"), [*keys, "id"], "full_outer").join(deps, [*keys, "id"], "left")
     old, new = parents(before_edges, keys).withColumnRenamed("parent_id", "old_parent"), parents(after_edges, keys).withColumnRenamed("parent_id", "new_parent")

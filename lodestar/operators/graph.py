@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..model import EDGE_KINDS, rank
@@ -82,9 +82,9 @@ def implementations(nodes: DataFrame, edges: DataFrame, id_: str) -> DataFrame:
     return real(nodes).join(incoming, "id").select("id", "relation", "kind", "display_name", "project_origin")
 
 
-def overview(nodes: DataFrame, edges: DataFrame, first: int = 100, types: int = 20, children: int = 10) -> dict[str, DataFrame]:
-    """Sections of a project overview over its first symbols by id: namespaces, stats, types with their first children."""
-    page = real(nodes).orderBy("id").limit(first)
+def overview(nodes: DataFrame, edges: DataFrame, first: int | None = 100, types: int = 20, children: int = 10) -> dict[str, DataFrame]:
+    """Sections of a project overview over its first symbols by id (all without `first`): namespaces, stats, types with their first children."""
+    page = real(nodes) if first is None else real(nodes).orderBy("id").limit(first)
     namespaces = page.where("kind = 'Namespace'").select("id", "display_name", "fqn")
     stats = page.groupBy("kind").agg(F.count("*").alias("n"))
     top = page.where(F.col("kind").isin("Type", "Delegate")).orderBy("id").limit(types)
@@ -133,17 +133,60 @@ def topological_levels(projects: DataFrame, edges: DataFrame) -> DataFrame:
     return done if done is not None else left.withColumn("level", F.lit(0))
 
 
-def cyclic(edges: DataFrame) -> DataFrame:
-    """(name) every project on or between cycles: what is left after peeling off ends from both sides."""
-    depends = stored(edges.select(F.lower("from_project").alias("name"), F.lower("to_project").alias("on")).distinct())
+def peeled(depends: DataFrame) -> DataFrame:
+    """Edges (name, on) that are left after taking off, again and again, nodes without an edge in or out."""
+    depends = stored(depends)
     n = depends.count()
-    while True:
+    while n:
         kept = depends.join(depends.select(F.col("name").alias("on")).distinct(), "on", "left_semi").select("name", "on")
         kept = stored(kept.join(kept.select(F.col("on").alias("name")).distinct(), "name", "left_semi").select("name", "on"))
         m = kept.count()
         if m == n:
-            return kept.select("name").union(kept.select("on")).distinct()
+            break
         depends, n = kept, m
+    return depends
+
+
+def cyclic(edges: DataFrame) -> DataFrame:
+    """(name) every project that depends on itself, directly or by way of others; one between two cycles does not.
+
+    What peeling leaves is split by colours: each node takes the greatest name that leads
+    to it, and the nodes of a colour that lead to the node of that name are a strongly
+    connected component. Components go, the rest is peeled, until nothing is left.
+    """
+    depends = edges.select(F.lower("from_project").alias("name"), F.lower("to_project").alias("on")).distinct()
+    found = depends.where("name = on").select("name")
+    depends = peeled(depends.where("name <> on"))
+    while not depends.isEmpty():
+        colours = depends.select("name").union(depends.select("on")).distinct().withColumn("colour", F.col("name"))
+        while True:
+            ahead = depends.join(colours, "name").groupBy(F.col("on").alias("name")).agg(F.max("colour").alias("more"))
+            after = stored(colours.join(ahead, "name", "left").select("name", F.greatest("colour", "more").alias("colour"), (F.col("more") > F.col("colour")).alias("changed")))
+            colours = after.select("name", "colour")
+            if after.where("changed").isEmpty():
+                break
+        inner = stored(depends.join(colours, "name").join(colours.toDF("on", "on_colour"), "on").where("colour = on_colour").select("name", "on", "colour"))
+        members = frontier = stored(colours.where("name = colour"))
+        while not frontier.isEmpty():
+            frontier = stored(inner.join(frontier.select(F.col("name").alias("on")), "on").select("name", "colour").distinct().join(members, ["name", "colour"], "left_anti"))
+            members = stored(members.union(frontier))
+        large = members.groupBy("colour").agg(F.count("*").alias("n")).where("n > 1")
+        found = found.union(members.join(large, "colour", "left_semi").select("name"))
+        gone = members.select("name")
+        depends = peeled(depends.join(gone, "name", "left_anti").join(gone.toDF("on"), "on", "left_anti").select("name", "on"))
+    return found.distinct()
+
+
+def cycle_list(edges: DataFrame) -> DataFrame:
+    """(cycle, place, name): cycles of a project graph as a table, each closed by its first name again.
+
+    Only projects on a cycle reach the driver, where a depth-first search closes the cycles.
+    """
+    on = cyclic(edges)
+    depends = edges.select(F.lower("from_project").alias("a"), F.lower("to_project").alias("b")).distinct()
+    pairs = depends.join(on.toDF("a"), "a", "left_semi").join(on.toDF("b"), "b", "left_semi").collect()
+    rows = [(i, k, name) for i, found in enumerate(cycles([(r.a, r.b) for r in pairs])) for k, name in enumerate(found)]
+    return edges.sparkSession.createDataFrame(rows, "cycle int, place int, name string")
 
 
 def cycles(pairs: list[tuple[str, str]]) -> list[list[str]]:
@@ -176,11 +219,20 @@ def cycles(pairs: list[tuple[str, str]]) -> list[list[str]]:
     return found
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """df cut from its lineage, in the session's checkpoint folder."""
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder, which driver and executors share; a local master without one gets a temporary folder."""
     import tempfile
 
+    sc = spark.sparkContext
+    folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not folder and not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return folder or tempfile.mkdtemp(prefix="checkpoints-")
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df cut from its lineage, in the session's checkpoint folder."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()

@@ -6,11 +6,15 @@ operators compute is written out again in SQL.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import coverage, crosslang, diff, govern, graph, ingest, review, search, solution
+from ..sources import parsers
+from ..store import SnapshotStore
 from . import demo_graph as g
 
 QUERIES: dict = {}
@@ -90,7 +94,7 @@ def analyzer_suspicious_edit(spark, d):
 CAMEL = r"list_filter(regexp_split_to_array(coalesce({0}, ''), '[ \t\r\n]+'), lambda t: t <> '')"
 PARTS = r"regexp_split_to_array(regexp_replace(regexp_replace(t, '([a-z])([A-Z])', '\1' || chr(1) || '\2', 'g'), '([A-Z])([A-Z][a-z])', '\1' || chr(1) || '\2', 'g'), chr(1))"
 CAMEL_TOKENS = "list_transform(flatten(list_transform(" + CAMEL + f", lambda t: CASE WHEN len({PARTS}) > 1 THEN list_concat([t], {PARTS}) ELSE [t] END)), lambda t: lower(t))"
-STOPS = ", ".join(f"'{w}'" for w in text.STOP_WORDS)
+STOPS = "'a','an','and','are','as','at','be','but','by','for','if','in','into','is','it','no','not','of','on','or','such','that','the','their','then','there','these','they','this','to','was','will','with'"
 STANDARD = "list_filter(regexp_extract_all(lower(coalesce({0}, '')), '[\\p{{L}}\\p{{N}}_'']+'), lambda t: NOT list_contains([" + STOPS + "], t))"
 POSTINGS = f""", docs AS (SELECT id, 'name' AS field, {CAMEL_TOKENS.format('display_name')} AS tokens FROM g_nodes WHERE node_kind = 'Real'
   UNION ALL SELECT id, 'fqn', {CAMEL_TOKENS.format('fqn')} FROM g_nodes WHERE node_kind = 'Real'
@@ -116,22 +120,22 @@ def ranked(df: DataFrame) -> DataFrame:
     return df.withColumn("score", F.round("score", 4))
 
 
-@query(bm25_sql(search.query_tokens("blue widget NATION_3")) + "SELECT id, score, kind, display_name, project_origin FROM top WHERE place <= 20")
+@query(bm25_sql(["blue", "widget", "nation_3"]) + "SELECT id, score, kind, display_name, project_origin FROM top WHERE place <= 20")
 def search_bm25(spark, d):
     return ranked(search.search(g.nodes(spark, d), "blue widget NATION_3", limit=20))
 
 
-@query(bm25_sql(search.query_tokens("red ring red"), "AND n.project_origin = 'Brand#7'") + "SELECT id, score, kind, display_name, project_origin FROM top WHERE place <= 20")
+@query(bm25_sql(["red", "ring", "red"], "AND n.project_origin = 'Brand#7'") + "SELECT id, score, kind, display_name, project_origin FROM top WHERE place <= 20")
 def search_bm25_project(spark, d):
     return ranked(search.search(g.nodes(spark, d), "red ring red", project="Brand#7", limit=20))
 
 
-@query(bm25_sql(search.query_tokens("About NATION_5")) + "SELECT id, score, kind, display_name, project_origin FROM top WHERE kind = 'Type' ORDER BY place LIMIT 10")
+@query(bm25_sql(["about", "nation_5"]) + "SELECT id, score, kind, display_name, project_origin FROM top WHERE kind = 'Type' ORDER BY place LIMIT 10")
 def search_kind_postfilter(spark, d):
     return ranked(search.search(g.nodes(spark, d), "About NATION_5", kind="type", limit=10))
 
 
-@query(bm25_sql(search.query_tokens("small ring")) + "SELECT id, score, kind, display_name, project_origin FROM top WHERE place > 10 AND place <= 25")
+@query(bm25_sql(["small", "ring"]) + "SELECT id, score, kind, display_name, project_origin FROM top WHERE place > 10 AND place <= 25")
 def search_offset_limit(spark, d):
     return ranked(search.search(g.nodes(spark, d), "small ring", offset=10, limit=15))
 
@@ -223,24 +227,21 @@ def implementations(spark, d):
     return graph.implementations(g.nodes(spark, d), g.edges(spark, d), "T:p11")
 
 
-PAGE = ", pg AS (SELECT * FROM g_nodes WHERE node_kind = 'Real' AND kind IN ('Namespace', 'Type') AND (kind = 'Namespace' OR id LIKE 'T:n%') ORDER BY id LIMIT 100) "
-
-
 def overview_of(spark, d, section):
-    return graph.overview(g.nodes(spark, d).where("kind = 'Namespace' or id like 'T:n%'"), g.edges(spark, d))[section]
+    return graph.overview(g.nodes(spark, d), g.edges(spark, d), first=None)[section]
 
 
-@query(PAGE + "SELECT kind, count(*) AS n FROM pg GROUP BY kind")
+@query("SELECT kind, count(*) AS n FROM g_nodes WHERE node_kind = 'Real' GROUP BY kind")
 def project_overview_stats(spark, d):
     return overview_of(spark, d, "stats")
 
 
-@query(PAGE + "SELECT id, display_name, fqn FROM pg WHERE kind = 'Namespace'")
+@query("SELECT id, display_name, fqn FROM g_nodes WHERE node_kind = 'Real' AND kind = 'Namespace'")
 def project_overview_namespaces(spark, d):
     return overview_of(spark, d, "namespaces")
 
 
-@query(PAGE + """, ty AS (SELECT id, display_name, fqn FROM pg WHERE kind IN ('Type', 'Delegate') ORDER BY id LIMIT 20),
+@query(""", ty AS (SELECT id, display_name, fqn FROM g_nodes WHERE node_kind = 'Real' AND kind IN ('Type', 'Delegate') ORDER BY id LIMIT 20),
 ch AS (SELECT from_id, to_id FROM g_edges WHERE kind = 'Contains' QUALIFY row_number() OVER (PARTITION BY from_id ORDER BY to_id) <= 10)
 SELECT id, display_name, fqn, string_agg(to_id, ',' ORDER BY to_id) AS children FROM ty LEFT JOIN ch ON id = from_id GROUP BY ALL""")
 def project_overview_types(spark, d):
@@ -413,9 +414,9 @@ def review_summary(spark, d):
     return review.review_summary(changes(spark, d))
 
 
-@query(FINDINGS + ", sc AS (SELECT to_id, string_agg(from_id, ',' ORDER BY from_id) AS s FROM b_edges GROUP BY 1) SELECT id, category, severity, coalesce(s, '') AS impact_scope FROM fi LEFT JOIN sc ON id = to_id WHERE id LIKE 'P:%'")
+@query(FINDINGS + ", sc AS (SELECT to_id, string_agg(from_id, ',' ORDER BY from_id) AS s FROM b_edges GROUP BY 1) SELECT id, category, severity, coalesce(s, '') AS impact_scope FROM fi LEFT JOIN sc ON id = to_id")
 def review_impact(spark, d):
-    found = review.findings(changes(spark, d)).where("id like 'P:%'")
+    found = review.findings(changes(spark, d))
     return review.impact(found, g.after(spark, d)[1]).select("id", "category", "severity", joined("impact_scope").alias("impact_scope"))
 
 
@@ -455,9 +456,10 @@ def manifest_diff(spark, d):
     return ingest.manifest_diff(*manifests(spark, d))
 
 
-@query(FILES + "SELECT path, 'Added' AS change FROM b", graph_sql=False)
+@query("SELECT source || '/' || doc_id AS path, 'Added' AS change FROM documents", graph_sql=False)
 def manifest_diff_first(spark, d):
-    return ingest.manifest_diff(None, manifests(spark, d)[1])
+    docs = g.table(spark, d, "documents")
+    return ingest.manifest_diff(None, docs.select(F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("path"), F.sha2("text", 256).alias("sha256")))
 
 
 @query(FILES + ", n AS (SELECT doc_id, source || '/' || (doc_id - doc_id % 2) AS file_path FROM documents) SELECT path AS file_path, change AS change_kind, CASE WHEN change = 'Removed' THEN '' ELSE coalesce(string_agg('D:' || doc_id, ',' ORDER BY 'D:' || doc_id), '') END AS affected_symbol_ids FROM md LEFT JOIN n ON path = n.file_path GROUP BY path, change", graph_sql=False)
@@ -484,7 +486,7 @@ def incremental_merge_nodes(spark, d):
 
 
 @query(f", new AS (SELECT from_id, to_id, kind FROM b_edges WHERE from_id IN (SELECT id FROM b_nodes WHERE {IN_CHANGED})), stale AS (SELECT id FROM a_nodes WHERE {IN_CHANGED}) "
-       "SELECT from_id, to_id, kind FROM a_edges WHERE from_id NOT IN (SELECT id FROM stale) AND (from_id, to_id, kind) NOT IN (SELECT (from_id, to_id, kind) FROM new) UNION ALL SELECT * FROM new")
+       "SELECT o.from_id, o.to_id, o.kind FROM a_edges o ANTI JOIN stale ON o.from_id = stale.id ANTI JOIN new ON o.from_id = new.from_id AND o.to_id = new.to_id AND o.kind = new.kind UNION ALL SELECT * FROM new")
 def incremental_merge_edges(spark, d):
     dirs = directories(spark)
     (an, ae), (bn, be) = g.before(spark, d), g.after(spark, d)
@@ -527,10 +529,34 @@ def test_file_filter(spark, d):
 test_file_filter.__test__ = False
 
 
-@query("SELECT p_brand AS project_name, max(p_partkey) AS ingested FROM part GROUP BY 1", graph_sql=False)
+def saved(spark: SparkSession, d: str) -> SnapshotStore:
+    """A store of its own in the checkpoint folder, with both snapshots of the demo graph, the first saved twice."""
+    store = SnapshotStore(spark, f"{graph.shared_folder(spark).rstrip('/')}/store-{uuid.uuid4().hex}")
+    for side in (g.before, g.after, g.before):
+        store.save(*side(spark, d), "demo")
+    return store
+
+
+@query("SELECT 'demo' AS project_name, (SELECT count(*) FROM a_nodes)::INT AS node_count, (SELECT count(*) FROM a_edges)::INT AS edge_count UNION ALL SELECT 'demo', (SELECT count(*) FROM b_nodes), (SELECT count(*) FROM b_edges)")
+def snapshot_list(spark, d):
+    return saved(spark, d).entries().select("project_name", "node_count", "edge_count")
+
+
+@query("SELECT n.id, n.kind, n.summary, coalesce(e.n, 0) AS outgoing FROM a_nodes n LEFT JOIN (SELECT from_id, count(*) AS n FROM a_edges GROUP BY 1) e ON n.id = e.from_id")
 def snapshot_latest(spark, d):
-    manifest = g.table(spark, d, "part").select(F.col("p_brand").alias("project_name"), F.col("p_partkey").alias("ingested"))
-    return manifest.groupBy("project_name").agg(F.max_by("ingested", "ingested").alias("ingested"))
+    """What is read back of the snapshot that was saved last."""
+    nodes, edges = saved(spark, d).load()
+    out = edges.groupBy(F.col("from_id").alias("id")).agg(F.count("*").alias("outgoing"))
+    return nodes.select("id", "kind", "docs.summary").join(out, "id", "left").fillna(0, ["outgoing"])
+
+
+@query(bm25_sql(["blue", "widget", "nation_3"]).replace("g_nodes", "a_nodes") + "SELECT id, score, kind, display_name, project_origin FROM top WHERE place <= 20")
+def search_stored_index(spark, d):
+    """The search over an index that was built and stored once."""
+    store = saved(spark, d)
+    latest = store.latest("demo")
+    store.build_index(latest)
+    return ranked(search.search(store.load(latest)[0], "blue widget NATION_3", store.index(latest), limit=20))
 
 
 # -- project graphs ------------------------------------------------------------------------------
@@ -561,6 +587,17 @@ def cycles(spark, d):
     return graph.cyclic(project_edges(spark, d, acyclic=False))
 
 
+@query("""WITH RECURSIVE e AS (SELECT n_nationkey AS a, (n_nationkey * 3 + 1) % 25 AS b FROM nation WHERE n_nationkey > 0),
+r(origin, place, n) AS (SELECT a, b, 1 FROM e UNION ALL SELECT origin, e.b, n + 1 FROM r JOIN e ON r.place = e.a WHERE r.place <> origin AND n < 25),
+c AS (SELECT origin, n FROM r WHERE place = origin), m(a, b) AS (SELECT origin, origin FROM c UNION SELECT m.a, e.b FROM m JOIN e ON m.b = e.a)
+SELECT DISTINCT 'p' || low AS first, n::INT AS length FROM c JOIN (SELECT a, min(b) AS low FROM m GROUP BY a) ON origin = a""", graph_sql=False)
+def cycle_lengths(spark, d):
+    """Each cycle by its smallest project and its length; projects have one dependency each here, so cycles do not overlap."""
+    listed = graph.cycle_list(project_edges(spark, d, acyclic=False))
+    number = F.expr("cast(substring(name, 2) as int)")
+    return listed.groupBy("cycle").agg(F.concat(F.lit("p"), F.min(number).cast("string")).alias("first"), F.max("place").alias("length")).drop("cycle")
+
+
 # -- scripts and code ----------------------------------------------------------------------------
 
 SCRIPTS = """, scripts AS (SELECT 'T:script/' || s_suppkey AS id, s_suppkey AS k FROM supplier),
@@ -571,7 +608,7 @@ s1 AS (SELECT from_id, min(p.id) AS to_id, 'Invokes' AS kind FROM old JOIN proje
 s2 AS (SELECT from_id, n.id AS to_id, 'References' AS kind FROM old JOIN g_nodes n ON n.fqn = old.to_id AND n.kind = 'Type' WHERE old.kind = 'References'),
 s4 AS (SELECT s.id AS from_id, n.id AS to_id, 'References' AS kind FROM scripts s JOIN g_nodes n ON n.kind = 'Type' AND s.k % 4 = 1 AND (ends_with(n.fqn, 'NATION_' || (s.k % 25)) OR contains(n.fqn, '.NATION_' || (s.k % 25)))
   UNION ALL SELECT s.id, p.id, 'Invokes' FROM scripts s JOIN projects p ON s.k % 4 = 1 AND p.project_origin = 'EUROPE'),
-xl AS (SELECT DISTINCT * FROM (FROM s1 UNION ALL FROM s2 UNION ALL FROM s4) x WHERE (from_id, to_id, kind) NOT IN (SELECT (from_id, to_id, kind) FROM old))
+xl AS (SELECT DISTINCT x.* FROM (FROM s1 UNION ALL FROM s2 UNION ALL FROM s4) x ANTI JOIN old ON x.from_id = old.from_id AND x.to_id = old.to_id AND x.kind = old.kind)
 """
 
 
@@ -588,8 +625,7 @@ def with_scripts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     old = suppliers.select(id_.alias("from_id"), F.concat(F.lit("dotnet-build:./src/"), target).alias("to_id"), F.lit("Invokes").alias("kind"), scope)
     old = old.union(suppliers.select(id_, F.concat(F.lit("AFRICA.NATION_"), (k % 25).cast("string")), F.lit("References"), scope))
     old = old.union(spark.createDataFrame([("T:script/0", "N:r0", "Invokes", "IntraProject")], "from_id string, to_id string, kind string, scope string"))
-    code = g.nodes(spark, d).where("kind in ('Namespace', 'Type')")
-    return code.unionByName(scripts), old
+    return g.nodes(spark, d).unionByName(scripts), old
 
 
 @query(SCRIPTS + "SELECT *, 'CrossProject' AS scope FROM xl")
@@ -603,11 +639,124 @@ def xlang_enrich(spark, d):
     return ingest.enrich(edges, crosslang.detect(nodes, edges))
 
 
+# -- artifact files ------------------------------------------------------------------------------
+
+def parsed(spark: SparkSession, d: str, path: str, lines: list[str]) -> DataFrame:
+    """What parse() makes of one file for each supplier: {k} in its path and lines is the supplier's key, {m} the key modulo 3."""
+    k = F.col("s_suppkey")
+    filled = lambda t: F.replace(F.replace(F.lit(t), F.lit("{k}"), k.cast("string")), F.lit("{m}"), (k % 3).cast("string"))
+    made = g.table(spark, d, "supplier").select(filled(path).alias("path"), filled("\n".join(lines) + "\n").alias("text"))
+    return parsers.parse(made, "/r").select("row", "id", "kind", "display_name", "start_line", "end_line", "summary", "remarks", "from_id", "to_id")
+
+
+def expected(nodes: list[tuple], edges: list[tuple] = ()) -> str:
+    """SQL of the rows that parsed() should give, from templates with {k} and {m}: (id, kind, name, start, end, summary, remarks) and (from, to, kind)."""
+    def filled(x) -> str:
+        if x is None or isinstance(x, int):
+            return "NULL" if x is None else str(x)
+        return "replace(replace('" + x.replace("'", "''") + "', '{k}', k::VARCHAR), '{m}', (k % 3)::VARCHAR)"
+
+    rows = ["SELECT 'node', " + ", ".join(map(filled, n)) + ", NULL, NULL FROM s" for n in nodes]
+    rows += [f"SELECT 'edge', NULL, {filled(kind)}, NULL, NULL, NULL, NULL, NULL, {filled(a)}, {filled(b)} FROM s" for a, b, kind in edges]
+    types = {"row": "VARCHAR", "id": "VARCHAR", "kind": "VARCHAR", "display_name": "VARCHAR", "start_line": "INT", "end_line": "INT", "summary": "VARCHAR", "remarks": "VARCHAR", "from_id": "VARCHAR", "to_id": "VARCHAR"}
+    return f"WITH s AS (SELECT s_suppkey AS k FROM supplier), x({', '.join(types)}) AS ({' UNION ALL '.join(rows)}) SELECT " + ", ".join(f"{c}::{t} AS {c}" for c, t in types.items()) + " FROM x"
+
+
+_IMAGE = "T:docker/s{k}/Dockerfile::Stage/"
+
+
+@query(expected(
+    [(_IMAGE + "base", "DockerStage", "Stage: base", 1, 4, None, None), (_IMAGE + "1", "DockerStage", "Stage: 1", 5, 9, None, None),
+     (_IMAGE + "base::Instruction/2_WORKDIR", "DockerInstruction", "WORKDIR /src/{k}", 2, 2, None, None), (_IMAGE + "base::Instruction/3_RUN", "DockerInstruction", "RUN dotnet restore  && dotnet build {m}", 3, 3, None, None),
+     (_IMAGE + "1::Instruction/6_COPY", "DockerInstruction", "COPY --from=BASE /src/{k} /app", 6, 6, "COPY --from=BASE /src/{k} /app", None), (_IMAGE + "1::Instruction/7_EXPOSE", "DockerInstruction", "EXPOSE 808{m}", 7, 7, None, None),
+     (_IMAGE + "1::Instruction/9_ENTRYPOINT", "DockerInstruction", "ENTRYPOINT [\"p\", \"--name-of-{m}\", \"a-rather-long-argument-that-has-to-be-...", 9, 9, None, None)],
+    [*((_IMAGE + x.split("::")[0], _IMAGE + x, "Contains") for x in ("base::Instruction/2_WORKDIR", "base::Instruction/3_RUN", "1::Instruction/6_COPY", "1::Instruction/7_EXPOSE", "1::Instruction/9_ENTRYPOINT")),
+     (_IMAGE + "1", _IMAGE + "base", "DependsOn"), (_IMAGE + "base::Instruction/3_RUN", "T:tool/dotnet/restore", "Invokes"), (_IMAGE + "base::Instruction/3_RUN", "T:tool/dotnet/build", "Invokes")],
+), graph_sql=False)
+def dockerfile_parse(spark, d):
+    return parsed(spark, d, "/r/s{k}/Dockerfile", ["FROM sdk:{k} AS base", "WORKDIR /src/{k}", "RUN dotnet restore \\", "  && dotnet build {m}", "from run:{m}", "COPY --from=BASE /src/{k} /app", "EXPOSE 808{m}", "# last", 'ENTRYPOINT ["p", "--name-of-{m}", "a-rather-long-argument-that-has-to-be-cut"]'])
+
+
+_SH = "T:script/sh/s{k}/go.sh"
+
+
+@query(expected(
+    [(_SH, "Script", "go.sh", 1, 10, "Builds {k}.", "#!/usr/bin/env bash"), (_SH + "::Function/build{m}", "ScriptFunction", "build{m}()", 4, 7, None, None)],
+    [(_SH, _SH + "::Function/build{m}", "Contains"), (_SH, "T:tool/dotnet/test", "Invokes"), (_SH, "T:script/sh/s{k}/lib/a{m}.sh", "Imports"), (_SH, "T:script/sh/s{k}/lib/a{m}.sh", "Invokes"), (_SH, "T:script/sh/s{k}/run{k}.sh", "Invokes")],
+), graph_sql=False)
+def shell_parse(spark, d):
+    return parsed(spark, d, "/r/s{k}/go.sh", ["#!/usr/bin/env bash", "# Builds {k}.", "echo", "build{m}() {", '  echo "${x}"', "  dotnet test p{k}", "}", "", "source ./lib/a{m}.sh", "true && ./run{k}.sh --fast"])
+
+
+_PS = "T:script/ps1/s{k}/go.ps1"
+
+
+@query(expected(
+    [(_PS, "Script", "go.ps1", 1, 14, "Ships {k} at once", None), (_PS + "::Function/Send-P{m}", "ScriptFunction", "Send-P{m}", 9, 13, None, None),
+     (_PS + "::Function/Send-P{m}::Param/Path", "ScriptParameter", "Path", 9, 9, "Mandatory parameter", None), (_PS + "::Function/Send-P{m}::Param/Times", "ScriptParameter", "Times", 9, 9, None, None)],
+    [(_PS, "T:module/Pester{m}", "Imports"), (_PS, "T:script/ps1/./lib/b{k}.ps1", "Imports"), (_PS, "T:tool/dotnet/publish", "Invokes"), (_PS, "T:System.IO.Path", "References"), (_PS, _PS + "::Function/Send-P{m}", "Contains"),
+     (_PS + "::Function/Send-P{m}", _PS + "::Function/Send-P{m}::Param/Path", "Contains"), (_PS + "::Function/Send-P{m}", _PS + "::Function/Send-P{m}::Param/Times", "Contains")],
+), graph_sql=False)
+def powershell_parse(spark, d):
+    return parsed(spark, d, "/r/s{k}/go.ps1", ["<#", ".SYNOPSIS", "Ships {k}", "  at once", ".NOTES", "#>", "#Requires -Modules Pester{m}", ". .\\lib\\b{k}.ps1", "function Send-P{m} {", " param([Parameter(Mandatory = $true)][string]$Path, [int]$Times = 3)", " & dotnet Publish p{k}", " [System.IO.Path]::GetFullPath('x')", "}"])
+
+
+@query(expected(
+    [("T:msbuild-target/b{k}.targets/Pack", "BuildTarget", "Pack", 3, 3, "MSBuild target 'Pack'", None), ("T:msbuild-prop/b{k}.targets/V{m}", "BuildProperty", "V{m}", 2, 2, "MSBuild property 'V{m}' = {k}", "Condition: c{m}"), ("T:msbuild-task/b{k}.targets/T{k}", "BuildTask", "T{k}", 4, 4, "MSBuild task 'T{k}' from f.dll", None)],
+    [*(("T:msbuild-target/b{k}.targets/Pack", f"T:msbuild-target/b{{k}}.targets/{x}", "DependsOn") for x in ("A", "B{m}", "C")), ("T:msbuild-task/b{k}.targets/T{k}", "T:assembly/f.dll", "References")],
+), graph_sql=False)
+def msbuild_parse(spark, d):
+    return parsed(spark, d, "/r/b{k}.targets", ['<Project xmlns="http://schemas.microsoft.com/developer/msbuild/2003">', '<PropertyGroup><V{m} Condition="c{m}">{k}</V{m}></PropertyGroup>', '<Target Name="Pack" DependsOnTargets="A; B{m};" AfterTargets="C"/>', '<UsingTask TaskName="T{k}" AssemblyFile="f.dll"/>', "</Project>"])
+
+
+@query(expected([("T:dotnet-tool/t{k}", "Tool", "t{k}", 2, 2, "dotnet tool v1.{m}.{k}; commands: run{k}, x", None), ("T:dotnet-tool/bare{m}", "Tool", "bare{m}", 3, 3, "dotnet tool vunknown; commands: (none)", None)]), graph_sql=False)
+def dotnet_tools_parse(spark, d):
+    return parsed(spark, d, "/r/s{k}/dotnet-tools.json", ['{"version": 1, "tools": {', '"t{k}": {"version": "1.{m}.{k}", "commands": ["run{k}", "x"]},', '"bare{m}": {}}}'])
+
+
+_CI = "T:ci/github/c{k}.yml"
+
+
+@query(expected(
+    [(_CI, "CIWorkflow", "CI {k}", 1, 1, "Triggers: push, pull_request", None), (_CI + "::Job/build", "CIJob", "build", 4, 4, None, "runs-on: host{m}"), (_CI + "::Job/ship", "CIJob", "Ship it", 9, 9, None, None),
+     (_CI + "::Job/build::Step/0_get_it@v{m}", "CIStep", "get/it@v{m}", 7, 7, None, None), (_CI + "::Job/build::Step/1_Make_{k}", "CIStep", "Make {k}", 8, 8, None, None)],
+    [(_CI, _CI + "::Job/build", "Contains"), (_CI, _CI + "::Job/ship", "Contains"), (_CI + "::Job/ship", _CI + "::Job/build", "DependsOn"), (_CI + "::Job/build", _CI + "::Job/build::Step/0_get_it@v{m}", "Contains"), (_CI + "::Job/build", _CI + "::Job/build::Step/1_Make_{k}", "Contains"),
+     (_CI + "::Job/build::Step/0_get_it@v{m}", "T:ci/action/get/it@v{m}", "Invokes"), (_CI + "::Job/build::Step/1_Make_{k}", "T:ci/cmd/dotnet build", "Invokes"), (_CI + "::Job/build::Step/1_Make_{k}", "T:ci/cmd/dotnet test", "Invokes")],
+), graph_sql=False)
+def workflow_parse(spark, d):
+    """Needs a YAML reader on the executors; without one there are no rows."""
+    return parsed(spark, d, "/r/.github/workflows/c{k}.yml", ["name: CI {k}", "on: [push, pull_request]", "jobs:", "  build:", "    runs-on: host{m}", "    steps:", "    - uses: get/it@v{m}", "    - {name: Make {k}, run: 'dotnet build && dotnet test; dotnet build'}", "  ship:", "    name: Ship it", "    needs: build"])
+
+
+_AZ = "T:ci/azure/azure-pipelines.yml"
+
+
+@query(expected(
+    [(_AZ, "CIWorkflow", "azure-pipelines.yml", 1, 1, "Triggers: main{k}", None), (_AZ + "::Job/J{k}", "CIJob", "Job {m}", 3, 3, None, None), (_AZ + "::Job/J{k}::Step/0_T{k}@1", "CIStep", "T{k}@1", 7, 7, None, None)],
+    [(_AZ, _AZ + "::Job/J{k}", "Contains"), (_AZ + "::Job/J{k}", _AZ + "::Job/A{m}", "DependsOn"), (_AZ + "::Job/J{k}", _AZ + "::Job/J{k}::Step/0_T{k}@1", "Contains"), (_AZ + "::Job/J{k}::Step/0_T{k}@1", "T:ci/task/T{k}@1", "Invokes")],
+), graph_sql=False)
+def pipeline_file_parse(spark, d):
+    """Needs a YAML reader on the executors; without one there are no rows."""
+    return parsed(spark, d, "/r/s{k}/azure-pipelines.yml", ["trigger: [main{k}]", "jobs:", "- job: J{k}", "  displayName: Job {m}", "  dependsOn: [A{m}]", "  steps:", "  - task: T{k}@1"])
+
+
+@query("""SELECT s_suppkey AS k, CASE s_suppkey % 4 WHEN 0 THEN 'About ' || s_name WHEN 1 THEN '[Parse warning] About ' || s_name WHEN 2 THEN '[Parse warning] <summary>' || s_name END AS summary,
+CASE WHEN s_suppkey % 4 < 2 THEN 'p' || s_suppkey || '=the ' || s_nationkey ELSE '' END AS params, CASE WHEN s_suppkey % 4 = 0 THEN 'T:N' || s_nationkey ELSE '' END AS see FROM supplier""", graph_sql=False)
+def xmldoc_parse(spark, d):
+    k, text_ = F.col("s_suppkey"), lambda c: F.col(c).cast("string")
+    body = F.concat(F.lit("<summary>About\n   "), "s_name", F.lit("</summary><param name='p"), text_("s_suppkey"), F.lit("'>the "), text_("s_nationkey"), F.lit("</param>"))
+    see = F.concat(F.lit("<seealso cref='T:N"), text_("s_nationkey"), F.lit("'/>"))
+    xml = F.when(k % 4 == 0, F.concat(F.lit("<member>"), body, see, F.lit("</member>"))).when(k % 4 == 1, body).when(k % 4 == 2, F.concat(F.lit("<summary>"), "s_name"))
+    found = g.table(spark, d, "supplier").select(k.alias("k"), xml.alias("xml")).select("k", parsers.xml_docs(F.col("xml")).alias("docs"))
+    pairs = F.transform(F.map_entries("docs.params"), lambda e: F.concat_ws("=", e["key"], e["value"]))
+    return found.select("k", "docs.summary", F.coalesce(F.array_join(pairs, ","), F.lit("")).alias("params"), F.coalesce(F.array_join("docs.see_also", ","), F.lit("")).alias("see"))
+
+
 # -- governance ----------------------------------------------------------------------------------
 
 PHRASE = "CASE doc_id % 7 WHEN 0 THEN ' Ignore  previous instruction' WHEN 1 THEN ' YOU ARE NOW' WHEN 2 THEN ' the System Prompt' WHEN 3 THEN ' forget everything, act as me' WHEN 4 THEN ' disregard this' ELSE '' END"
-MARKED = f"left(text, 200) || {PHRASE}"
-for _p in text.SUSPICIOUS:
+MARKED = f"text || {PHRASE}"
+for _p in (r"ignore\s+previous\s+instructions?", r"you\s+are\s+now\b", r"\bsystem\s+prompt\b", r"forget\s+everything", r"\bact\s+as\b", r"\bdisregard\b"):
     MARKED = f"regexp_replace({MARKED}, '({_p})', '[SUSPICIOUS: \\1]', 'gi')"
 
 
@@ -617,10 +766,10 @@ def phrased() -> F.Column:
     out = F.lit("")
     for i, p in enumerate(phrases):
         out = F.when(k == i, p).otherwise(out)
-    return F.concat(F.left("text", F.lit(200)), out)
+    return F.concat("text", out)
 
 
-@query(f"SELECT doc_id, {MARKED} AS sanitized, doc_id % 7 < 5 AS warning FROM documents", graph_sql=False)
+@query(f"SELECT doc_id, {MARKED} AS sanitized, {MARKED} <> text || {PHRASE} AS warning FROM documents", graph_sql=False)
 def injection_scan(spark, d):
     docs = g.table(spark, d, "documents")
     return docs.select("doc_id", text.marked(phrased()).alias("sanitized"), text.is_suspicious(phrased()).alias("warning"))

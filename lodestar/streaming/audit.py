@@ -19,11 +19,13 @@ def write_audit(calls: DataFrame, folder: str, checkpoint: str, patterns: list[s
     return lines.writeStream.format("text").option("path", folder).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def token_buckets(calls: DataFrame, limits: dict[str, int] | None = None, seconds: int = WINDOW_SECONDS) -> DataFrame:
+def token_buckets(calls: DataFrame, limits: dict[str, int] | None = None, seconds: int = WINDOW_SECONDS, keys: tuple[str, ...] = ()) -> DataFrame:
     """(call_id, tool, accepted, retry_after_ms) of a stream of (call_id, tool, timestamp).
 
     Each bucket starts full and is filled by its limit every `seconds`; a call takes a
-    token or is turned away. State is one row for each bucket, kept between batches.
+    token or is turned away. State is one row for each bucket, kept between batches. With
+    `keys`, columns such as the caller, each of their values has buckets of its own, and a
+    busy stream is spread over them.
     """
     limits = limits or {"query": QUERY_LIMIT, "ingestion": INGEST_LIMIT}
 
@@ -44,7 +46,7 @@ def token_buckets(calls: DataFrame, limits: dict[str, int] | None = None, second
         state.update((int(tokens), float(since)))
         yield pd.DataFrame(out, columns=["call_id", "tool", "accepted", "retry_after_ms"])
 
-    grouped = calls.withColumn("bucket", bucket_of(F.col("tool"))).groupBy("bucket")
+    grouped = calls.withColumn("bucket", bucket_of(F.col("tool"))).groupBy("bucket", *keys)
     return grouped.applyInPandasWithState(take, "call_id long, tool string, accepted boolean, retry_after_ms long", "tokens int, since double", "append", GroupStateTimeout.NoTimeout)
 
 

@@ -16,7 +16,7 @@ def test_names_match():
 
 
 @pytest.mark.skipif(not DATA.exists(), reason="needs the driver's tables")
-@pytest.mark.parametrize("name", ["coverage_grouping_sets", "search_bm25", "symbol_diff", "review_findings", "incremental_merge_edges", "xlang_enrich", "rate_limit_fixed_window"])
+@pytest.mark.parametrize("name", sorted(catalog.ORACLE))
 def test_twins_agree(spark, name):
     import duckdb
 
