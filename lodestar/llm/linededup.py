@@ -427,8 +427,7 @@ def dedup(docs: DataFrame, threshold: float = 0.8, report: bool = False) -> Data
         rank[np.lexsort(order_of(e, bucket))] = np.arange(len(e))
         gone: set = set()
         made: dict = {}
-        _, line = np.unique(np.stack([bucket, e["index"].astype(np.int64)]), axis=1, return_inverse=True)
-        line = line.ravel()
+        _, line = np.unique(bucket << 32 | e["index"].astype(np.int64), return_inverse=True)
         out, settled = np.zeros(int(line.max()) + 1, bool), np.zeros(len(e), bool)
         for i, j, _ in near_pairs(e, threshold, (settled, settled), rank):
             both_held = held[i] & held[j]
