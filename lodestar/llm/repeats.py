@@ -1,15 +1,20 @@
 """Suffix-array dedup: removes every byte covered by a long string that also starts elsewhere.
 
-Ranking every byte position would move a hundred times the input, so the suffix order is
-sparse: each `length`-byte string picks one anchor, the place of the smallest hash of
-GRAM bytes in it (leftmost of equals). Equal strings pick the same anchor, so only strings
-with equal ranks at their anchors can be equal. Ranks are hash values at growing offsets
-around the anchors, exchanged through Spark in three rounds. First the whole span of the
-strings that pick an anchor: where it is repeated they are settled, and one run for each
-such span stands for all. Then half a string right and left of the anchor, of the open
-runs and those that stand for others: what is unique, or settled and shared with no open
-run, drops out. Last the full strings of what is left. Hashes are 64 bits of a rolling
-polynomial with a finaliser.
+Ranking every byte position would move a hundred times the input, so the suffix array is
+sparse: each `length`-byte string picks one anchor, the place of the smallest hash of GRAM
+bytes in it (leftmost of equals). Equal strings pick the same anchor, so strings can be
+equal only where their anchors have equal surroundings, and no string is lost.
+
+Anchors are ranked by prefix doubling. A rank starts as the name of the GRAM bytes at the
+anchor; every round pairs it with the name of the bytes at the next offset, Spark sorts
+the pairs, a group's new rank is its first place, and anchors of a rank of their own drop
+out. Offsets grow to half a string to the right of the anchor, and likewise to the left, as
+every string has one of the two halves. Where a whole span of strings that pick an anchor
+is repeated, they are settled at once, and one anchor stands for all of that span. What is
+left is ranked in steps of STEP neighbouring strings, by the bytes common to them, and at
+last string by string, as the pair of the names of its halves. A name is a 64-bit hash of a
+rolling polynomial; two are only compared where the names before agree, and what is
+removed agrees in a pair of them at least.
 """
 
 from __future__ import annotations
@@ -22,13 +27,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import exchange
-from .textops import U, as_bytes, mix, powers, sorted_set, unpowers
+from .textops import U, as_bytes, checkpointed, mix, powers, sorted_set, unpowers
 
 GRAM = 32
+#: Neighbouring strings that are ranked together before each is ranked alone.
+STEP = 16
 KEY = np.dtype("<u8")
-SPAN = np.dtype([("key", "<u8"), ("first", "u1")])
-SIDE = np.dtype([("key", "<u8"), ("open", "u1")])
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+#: done: settled within the bucket, without ranks. twice: the span occurs again in the bucket.
+ANCHORS = "bucket int, text long, first int, last int, anchor int, done boolean, twice boolean, rank long, r1 long, r2 long, l1 long, l2 long, s1 long, s2 long"
+STEPS = "bucket int, text long, anchor int, first int, last int, open boolean, rank long, core long, h1 long, h2 long"
 
 
 class Hashed:
@@ -80,116 +88,157 @@ def segments(h: Hashed, size: int, length: int) -> tuple[np.ndarray, np.ndarray,
     return first, np.append(first[1:], len(anchor)) - 1, anchor[first]
 
 
-def ranks(h: Hashed, size: int, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The runs, with hashes of the whole span and of half a string right and left of the anchor.
+def blocks(h: Hashed, size: int, length: int) -> dict[str, np.ndarray]:
+    """The runs of string starts with one anchor, and the names around it.
 
-    A side that the text is too short for holds no string, and gets the run's own place in
-    place of a rank; it is marked by zero.
+    rank is the gram's name; r1 and r2 the next bytes up to half a string right of the anchor,
+    l1 and l2 up to half a string left of the gram's end; s1 and s2 halve the whole span. A
+    side that the text is too short for holds no string and is named by zero.
     """
     first, last, anchor = segments(h, size, length)
     half = length // 2
-    span = h.spans(first, last + length, 1)
-    right = np.where(anchor + half <= size, h.spans(anchor, np.minimum(anchor + half, size), 2), U(0))
-    left = np.where(anchor + GRAM >= half, h.spans(np.maximum(anchor + GRAM - half, 0), anchor + GRAM, 3), U(0))
-    return np.stack([first, last, anchor]), span, right, left
+    near = (half + GRAM) // 2
+    to_right, to_left = anchor + half <= size, anchor + GRAM >= half
+    named = lambda ok, lo, hi, kind: np.where(ok, h.spans(np.clip(lo, 0, size), np.clip(hi, 0, size), kind) | U(1), U(0))
+    middle = (first + last + length) // 2
+    return {
+        "first": first, "last": last, "anchor": anchor, "rank": h.spans(anchor, anchor + GRAM, 1),
+        "r1": named(to_right, anchor + GRAM, anchor + near, 2), "r2": named(to_right, anchor + near, anchor + half, 3),
+        "l1": named(to_left, anchor + GRAM - near, anchor, 4), "l2": named(to_left, anchor + GRAM - half, anchor + GRAM - near, 5),
+        "s1": h.spans(first, middle, 6), "s2": h.spans(middle, last + length, 7),
+    }
 
 
 class Bucket:
-    """The texts of a bucket, their runs, and the keys that they ask about."""
-
-    def __init__(self, t: pa.Table, length: int):
-        self.texts = as_bytes(t["text"])
-        self.length = length
-        got = [ranks(Hashed(text), len(text), length) for text in self.texts]
-        self.owner = np.repeat(np.arange(len(got)), [len(g[1]) for g in got])
-        self.run = np.concatenate([g[0] for g in got], axis=1)
-        self.span, self.right, self.left = (np.concatenate([g[k] for g in got]) for k in (1, 2, 3))
-
-    def after_spans(self, told: np.ndarray) -> None:
-        """Which runs are settled, and which of them stand for all of their span."""
-        self.settled, mine = among(self.span, told["key"]), among(self.span, told["key"][told["first"] == 1])
-        _, first = np.unique(self.span, return_index=True)
-        self.stands = np.zeros(len(self.span), bool)
-        self.stands[first] = mine[first]
-
-    def sides(self) -> np.ndarray:
-        """The keys of the second round, with whether their run is open."""
-        use = ~self.settled | self.stands
-        out = np.zeros(2 * int(use.sum()), SIDE)
-        out["key"], out["open"] = np.concatenate([self.right[use], self.left[use]]), np.tile(~self.settled[use], 2)
-        return out[out["key"] != 0]
-
-    def strings(self, sides: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(document, start, hash) of the strings that the first two rounds leave to the third."""
-        use = ~self.settled | self.stands
-        right, left = among(self.right, sides) & use, among(self.left, sides) & use
-        half = self.length // 2
-        docs, starts, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
-        todo = np.flatnonzero(right | left)
-        for mine in np.split(todo, np.flatnonzero(np.diff(self.owner[todo])) + 1) if len(todo) else ():
-            i = self.owner[mine[0]]
-            h = Hashed(self.texts[i])
-            first, last, anchor = self.run[:, mine]
-            # strings with half a string right of the anchor, and strings with half a string up to its gram's end
-            split = anchor - (self.length - half)
-            for lo, hi, ok in ((np.maximum(first, split), last, right[mine]), (first, np.minimum(last, split - 1), left[mine])):
-                n = np.where(ok, np.maximum(hi - lo + 1, 0), 0)
-                at = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                docs.append(np.full(len(at), i))
-                starts.append(at)
-                hashes.append(h.spans(at, at + self.length, 4))
-        return np.concatenate(docs), np.concatenate(starts), np.concatenate(hashes)
-
-
-def requests_of(keys: np.ndarray, parts: int, bucket: int) -> pa.Table:
-    """Each distinct entry once; one that the bucket itself repeats is sent twice."""
-    distinct, n = np.unique(keys, return_counts=True)
-    entries = np.repeat(distinct, np.minimum(n, 2))
-    return exchange.rows_table(exchange.packed(entries, exchange.part_of(entries["key"] if entries.dtype.names else entries, parts), bucket))
-
-
-def answer_spans(t: pa.Table) -> pa.Table:
-    """To each bucket its keys that were sent more than once, and whether it is the first to have them."""
-    entries, bucket, _ = exchange.unpacked(t, KEY)
-    order = np.lexsort((bucket, entries))
-    key, who = entries[order], bucket[order]
-    new = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.zeros(0, bool)
-    again = ~new | np.append(~new[1:], False)
-    told = np.zeros(int(again.sum()), SPAN)
-    told["key"], told["first"] = key[again], new[again]
-    return exchange.replied(t["part"][0].as_py(), who[again], told)
+    """The distinct texts of a bucket, by their hash, and how often each occurs."""
+
+    def __init__(self, t: pa.Table):
+        self.number = exchange.bucket_of(t)
+        self.names = np.array(t["name"].to_pylist(), np.int64)
+        self.all = as_bytes(t["text"])
+        self.distinct: dict[int, bytes] = dict(zip(self.names.tolist(), self.all))
+        self.times = np.unique(self.names, return_counts=True)
+
+    def again(self, name: int) -> bool:
+        return bool(self.times[1][np.searchsorted(self.times[0], name)] > 1)
+
+
+def none_of(schema: str) -> pa.Table:
+    """No rows of a schema."""
+    return pa.schema([(f.split()[0], {"int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_()}[f.split()[1]]) for f in schema.split(", ")]).empty_table()
 
 
-def answer_sides(t: pa.Table) -> pa.Table:
-    """To each bucket its keys that an open run has and that were sent more than once."""
-    entries, bucket, _ = exchange.unpacked(t, SIDE)
-    keys, inverse, n = np.unique(entries["key"], return_inverse=True, return_counts=True)
-    use = ((n > 1) & (np.bincount(inverse, entries["open"], len(keys)) > 0))[inverse]
-    return exchange.replied(t["part"][0].as_py(), bucket[use], entries["key"][use])
+def signed(x: np.ndarray) -> pa.Array:
+    return pa.array(np.ascontiguousarray(x, np.uint64).view(np.int64))
 
 
-def answer_strings(t: pa.Table) -> pa.Table:
-    """To each bucket its keys that were sent more than once."""
+def gram_names(t: pa.Table, length: int) -> np.ndarray:
+    """The gram names of a bucket's anchors, each once, or twice if the bucket has it at several anchors."""
+    b = Bucket(t)
+    got = [np.zeros(0, np.uint64)]
+    for name, text in b.distinct.items():
+        h = Hashed(text)
+        _, _, anchor = segments(h, len(text), length)
+        got.append(np.repeat(h.spans(anchor, anchor + GRAM, 1), 1 + b.again(name)))
+    keys, n = np.unique(np.concatenate(got), return_counts=True)
+    return np.repeat(keys, np.minimum(n, 2))
+
+
+def repeated(t: pa.Table) -> pa.Table:
+    """To each bucket its names that were sent more than once."""
     entries, bucket, _ = exchange.unpacked(t, KEY)
     _, inverse, n = np.unique(entries, return_inverse=True, return_counts=True)
     use = (n > 1)[inverse]
     return exchange.replied(t["part"][0].as_py(), bucket[use], entries[use])
 
 
-def known(replies: pa.Table, round_: int, dtype: np.dtype) -> np.ndarray:
-    """What a bucket was told in a round, sorted by key, each key once."""
-    mine = [np.frombuffer(b, dtype) for b, k in zip(replies["blob"].to_pylist(), replies["round"].to_pylist()) if k == round_]
-    told = np.concatenate(mine) if mine else np.zeros(0, dtype)
-    if dtype is not SPAN:
-        return sorted_set(told)
-    told = told[np.lexsort((1 - told["first"], told["key"]))]
-    return told[np.concatenate([[True], told["key"][1:] != told["key"][:-1]])] if len(told) else told
+def anchors(t: pa.Table, told: pa.Table, length: int) -> pa.Table:
+    """ANCHORS rows of a bucket: the anchors whose gram is repeated, those with one and the same span once."""
+    b = Bucket(t)
+    known = sorted_set(np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(x, KEY) for x in told["blob"].to_pylist())]))
+    found: dict[str, list] = {}
+    for name, text in b.distinct.items() if len(known) else ():
+        h = Hashed(text)
+        got = blocks(h, len(text), length)
+        use = among(got["rank"], known)
+        for k, v in got.items():
+            found.setdefault(k, []).append(v[use])
+        found.setdefault("text", []).append(np.full(int(use.sum()), name))
+        found.setdefault("twice", []).append(np.full(int(use.sum()), b.again(name)))
+    if not found:
+        return none_of(ANCHORS)
+    a = {k: np.concatenate(v) for k, v in found.items()}
+    _, first, inverse, n = np.unique(np.stack([a["s1"], a["s2"]], axis=1).view([("a", "<u8"), ("b", "<u8")]).ravel(), return_index=True, return_inverse=True, return_counts=True)
+    stands = np.zeros(len(inverse), bool)
+    stands[first] = True
+    twice = (n > 1)[inverse] | a["twice"]
+    ints = lambda x: pa.array(x.astype(np.int32))
+    columns = [ints(np.full(len(inverse), b.number)), pa.array(a["text"]), ints(a["first"]), ints(a["last"]), ints(a["anchor"]), pa.array(~stands), pa.array(twice), *(signed(a[k]) for k in ("rank", "r1", "r2", "l1", "l2", "s1", "s2"))]
+    return pa.table(columns, names=[f.split()[0] for f in ANCHORS.split(", ")])
+
+
+def steps(t: pa.Table, told: pa.Table, length: int, step: int) -> pa.Table:
+    """STEPS rows: the strings [first, last] of what is still in question, `step` neighbours at a time.
+
+    Strings are dealt by their distance to the anchor, so equal ones fall into one step
+    wherever their run begins. core names the bytes that all strings of a whole step have in
+    common, h1 and h2 halve the bytes from the first to the last of these strings.
+    """
+    texts = Bucket(t).distinct if len(t) and len(told) else {}
+    names = [f.split()[0] for f in STEPS.split(", ")]
+    out: dict[str, list] = {k: [np.zeros(0, np.int64)] for k in names}
+    if texts:
+        q = {c: np.array(told[c].to_pylist()) for c in ("text", "anchor", "first", "last", "open", "rank")}
+        order = np.argsort(q["text"], kind="stable")
+        for mine in np.split(order, np.flatnonzero(np.diff(q["text"][order])) + 1):
+            h = Hashed(texts[int(q["text"][mine[0]])])
+            anchor, lo, hi = (q[c][mine].astype(np.int64) for c in ("anchor", "first", "last"))
+            # the farthest string of a run has the greatest distance
+            least, most = (anchor - hi) // step, (anchor - lo) // step
+            n = most - least + 1
+            row = np.repeat(np.arange(len(mine)), n)
+            k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + least[row]
+            near, far = anchor[row] - k * step, anchor[row] - k * step - step + 1
+            first, last = np.maximum(far, lo[row]), np.minimum(near, hi[row])
+            middle = (first + last + length) // 2
+            mine = mine[row]
+            made = {
+                "text": q["text"][mine], "anchor": anchor[row], "first": first, "last": last, "open": q["open"][mine], "rank": q["rank"][mine],
+                "core": (h.spans(near, far + length, 8) + k.astype(np.uint64) * U(0x9E3779B97F4A7C15)).view(np.int64),
+                "h1": h.spans(first, middle, 9).view(np.int64), "h2": h.spans(middle, last + length, 10).view(np.int64),
+            }
+            for c, v in made.items():
+                out[c].append(v)
+    number = exchange.bucket_of(t) if len(t) else 0
+    flat = {c: np.concatenate(v) for c, v in out.items() if c != "bucket"} | {"bucket": np.full(sum(map(len, out["text"])), number)}
+    kinds = {"int": np.int32, "long": np.int64, "boolean": bool}
+    return pa.table([pa.array(flat[f.split()[0]].astype(kinds[f.split()[1]])) for f in STEPS.split(", ")], names=names)
 
 
 def among(asked: np.ndarray, sorted_keys: np.ndarray) -> np.ndarray:
     if not len(sorted_keys):
         return np.zeros(len(asked), bool)
-    return (sorted_keys[np.minimum(np.searchsorted(sorted_keys, asked), len(sorted_keys) - 1)] == asked) & (asked != 0)
+    return sorted_keys[np.minimum(np.searchsorted(sorted_keys, asked), len(sorted_keys) - 1)] == asked
+
+
+def reranked(rows: DataFrame, pair: list[str]) -> DataFrame:
+    """rows whose pair of names is shared by several rows, one of them open, with the group's first place as their rank.
+
+    Groups are counted before the rows are dealt by them, so a hot pair is one row of the
+    counts; the join's side of many rows is split where one key has most of them.
+    """
+    groups = rows.groupBy(*pair).agg(F.count("*").alias("n"), F.max("open").alias("any"), F.min("place").alias("least")).where("n > 1 and any")
+    groups = groups.select(*(F.col(c).alias(f"_{c}") for c in pair), "least")
+    on = [F.col(c) == F.col(f"_{c}") for c in pair]
+    return rows.join(groups, on).withColumn("rank", F.col("least")).drop("least", *(f"_{c}" for c in pair))
+
+
+def settled_by(rows: DataFrame, span: list[str], twice: str) -> DataFrame:
+    """rows with `settled`, whether their span is repeated, and `stands`, whether they are the first of it or open."""
+    groups = rows.groupBy(*span).agg(F.count("*").alias("n"), F.max(twice).alias("again"), F.min("place").alias("least")).where("n > 1 or again")
+    groups = groups.select(*(F.col(c).alias(f"_{c}") for c in span), "least")
+    joined = rows.join(groups, [F.col(c) == F.col(f"_{c}") for c in span], "left")
+    return joined.withColumns({"settled": F.col("least").isNotNull(), "stands": F.col("least").isNull() | (F.col("least") == F.col("place"))}).drop("least", *(f"_{c}" for c in span))
 
 
 def removal(texts: list[bytes], docs: np.ndarray, first: np.ndarray, last: np.ndarray, length: int) -> list[np.ndarray]:
@@ -209,7 +258,7 @@ def removal(texts: list[bytes], docs: np.ndarray, first: np.ndarray, last: np.nd
     return out
 
 
-def kept(text: bytes, runs: np.ndarray) -> bytes:
+def kept_of(text: bytes, runs: np.ndarray) -> bytes:
     edges = [0, *runs.ravel().tolist(), len(text)]
     return b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2]))
 
@@ -220,51 +269,63 @@ def remove_repeats(docs: DataFrame, length: int = 400, text: bool = False) -> Da
     With text=True the remaining bytes follow in column kept. A null text is empty; a text
     shorter than `length` bytes keeps everything. Strings of the same row count as
     elsewhere if they start at another byte, overlapping or not; repeated rows are each
-    other's elsewhere. An empty table gives an empty table.
+    other's elsewhere. Other columns are not read. An empty table gives an empty table.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("name", F.xxhash64("text"))
     buckets = exchange.sized(docs, of=4 << 20)
     parts = max(64, buckets)
     dealt = exchange.bucketed(docs, buckets, ["doc_id", "text"])
 
-    def spans(t: pa.Table) -> pa.Table:
-        return requests_of(Bucket(t, length).span, parts, exchange.bucket_of(t))
-
-    def sides(t: pa.Table, told: pa.Table) -> pa.Table:
-        if not len(t):
-            return exchange.rows_table([])
-        b = Bucket(t, length)
-        b.after_spans(known(told, 1, SPAN))
-        return requests_of(b.sides(), parts, exchange.bucket_of(t))
-
-    def strings(t: pa.Table, told: pa.Table) -> pa.Table:
-        if not len(t):
-            return exchange.rows_table([])
-        b = Bucket(t, length)
-        b.after_spans(known(told, 1, SPAN))
-        return requests_of(b.strings(known(told, 2, KEY))[2], parts, exchange.bucket_of(t))
+    def requests(t: pa.Table) -> pa.Table:
+        keys = gram_names(t, length)
+        return exchange.rows_table(exchange.packed(keys, exchange.part_of(keys, parts), exchange.bucket_of(t)))
+
+    def find(t: pa.Table, told: pa.Table) -> pa.Table:
+        return anchors(t, told, length) if len(t) else none_of(ANCHORS)
+
+    found = exchange.tell(dealt, exchange.ask(dealt, requests, repeated), find, ANCHORS)
+    found = checkpointed(found.withColumn("place", F.monotonically_increasing_id()))
+    ranked = settled_by(found.where("not done"), ["s1", "s2"], "twice")
+    ranked = checkpointed(ranked.withColumn("open", ~F.col("settled")))
+    standing = ranked.where("stands").select("bucket", "text", "first", "last", "anchor", "open", "place", "rank", "r1", "r2", "l1", "l2")
+
+    # doubling to the right, and to the left; strings with half of theirs right of the anchor, and the others
+    half, split = length // 2, F.col("anchor") - (length - length // 2)
+    sides = []
+    for one, two, lo, hi in (("r1", "r2", F.greatest("first", split), F.col("last")), ("l1", "l2", F.col("first"), F.least("last", split - 1))):
+        side = standing.where(F.col(one) != 0).withColumns({"first": lo, "last": hi}).where("first <= last").select("bucket", "text", "first", "last", "anchor", "open", "place", "rank", one, two)
+        side = reranked(reranked(side, ["rank", one]), ["rank", two])
+        sides.append(side.select("bucket", "text", "anchor", "first", "last", "open", "rank"))
+    left = sides[0].union(sides[1])
+
+    def in_steps(step: int):
+        return lambda t, told: steps(t, told, length, step)
+
+    gone = []
+    for step in (STEP, 1):
+        asked = exchange.tell(dealt, left, in_steps(step), STEPS)
+        made = checkpointed(asked.withColumn("place", F.monotonically_increasing_id()))
+        kept = reranked(made, ["rank", "core"])
+        hulls = settled_by(kept.withColumn("never", F.lit(False)), ["rank", "h1", "h2"], "never")
+        hulls = checkpointed(hulls) if step > 1 else hulls
+        gone.append(hulls.where("open and settled").select("bucket", "text", "first", "last"))
+        left = hulls.where("stands").select("bucket", "text", "anchor", "first", "last", (F.col("open") & ~F.col("settled")).alias("open"), "rank")
+    spans = ranked.where("settled").select("bucket", "text", "first", "last").union(found.where("done").select("bucket", "text", "first", "last")).union(gone[0]).union(gone[1])
 
     def finish(t: pa.Table, told: pa.Table) -> pa.Table:
-        b = Bucket(t, length)
-        b.after_spans(known(told, 1, SPAN))
-        doc, at, h = b.strings(known(told, 2, KEY))
-        hit = among(h, known(told, 3, KEY))
-        s = b.settled
-        runs = removal(b.texts, np.append(b.owner[s], doc[hit]), np.append(b.run[0][s], at[hit]), np.append(b.run[1][s], at[hit]), length)
-        left = [kept(x, r) for x, r in zip(b.texts, runs)]
+        names, texts = np.array(t["name"].to_pylist(), np.int64), as_bytes(t["text"])
+        owner, first, last = (np.array(told[c].to_pylist(), np.int64) for c in ("text", "first", "last"))
+        distinct, inverse = np.unique(names, return_inverse=True)
+        runs = removal(list(range(len(distinct))), np.searchsorted(distinct, owner), first, last, length)
+        runs = [runs[i] for i in inverse]
+        left = [kept_of(x, r) for x, r in zip(texts, runs)]
         columns = {
             "doc_id": t["doc_id"].combine_chunks(),
-            "n_bytes": pa.array([len(x) for x in b.texts], pa.int64()),
-            "n_removed": pa.array([len(x) - len(y) for x, y in zip(b.texts, left)], pa.int64()),
+            "n_bytes": pa.array([len(x) for x in texts], pa.int64()),
+            "n_removed": pa.array([len(x) - len(y) for x, y in zip(texts, left)], pa.int64()),
             "n_spans": pa.array([len(r) for r in runs], pa.int64()),
             "kept_sha256": pa.array([hashlib.sha256(y).hexdigest() for y in left], pa.string()),
         }
         return pa.table(columns | ({"kept": pa.array(left, pa.binary())} if text else {}))
 
-    def round_(n: int, asked: DataFrame, answer) -> DataFrame:
-        return asked.groupBy("part").applyInArrow(answer, exchange.BLOB).withColumn("round", F.lit(n))
-
-    one = round_(1, dealt.groupBy(exchange.BUCKET).applyInArrow(spans, exchange.BLOB), answer_spans)
-    two = round_(2, exchange.tell(dealt, one, sides, exchange.BLOB), answer_sides)
-    three = round_(3, exchange.tell(dealt, one.union(two), strings, exchange.BLOB), answer_strings)
-    return exchange.tell(dealt, one.union(two).union(three), finish, SCHEMA + (", kept binary" if text else ""))
+    return exchange.tell(dealt, spans, finish, SCHEMA + (", kept binary" if text else ""))

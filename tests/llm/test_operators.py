@@ -197,10 +197,11 @@ def test_toxicity_learns_and_is_exact(spark, empty):
     row, term = np.nonzero(v[:400])
     index = toxicity.BlockMaxIndex(row, term, v[row, term], 400, 60)
     assert 0 < len(index.table) < 60 and index.blocks > 2
-    for q in v[400:]:
-        ids, sims = index.nearest(np.flatnonzero(q), q[q > 0], 7)
+    row, term = np.nonzero(v[400:])
+    for q, ids, sims in zip(v[400:], *index.all_nearest(row, term, v[400:][row, term], 100, 7)):
         cosines = v[:400] @ q
-        want = np.sort(cosines[cosines > 1e-9])[::-1][:7]
+        want = np.sort(cosines[cosines > 1e-6])[::-1][:7]
+        ids, sims = ids[ids >= 0], sims[ids >= 0]
         assert len(ids) == len(want) and np.allclose(sims, want, atol=1e-5) and np.allclose(cosines[ids], sims, atol=1e-5)
     no_labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert all(r.score == 0 for r in toxicity.score(spark.createDataFrame(rows, "doc_id long, text string"), no_labels).collect())
@@ -420,13 +421,17 @@ def test_prefix_hashes(docs, empty, rows):
     for r in rows:
         text_of[r[0]].add(r[1] or "")
     for r in got:
-        assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
+        assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 and (r.n_chars < 2 or r.near_edited >= 0.5)
         if len(text_of[r.doc_id]) == 1:
             assert prints.setdefault(next(iter(text_of[r.doc_id])), r.fingerprint) == r.fingerprint
     assert len(set(prints.values())) == len(prints)
     assert prefixhash.fingerprints(empty).count() == 0
     a, b = prefixhash.PrefixHash(prefixhash.points("xxabcdefg")), prefixhash.PrefixHash(prefixhash.points("abcdeZZZZZZZ"))
     assert a.common(2, 0, b) == 5 and a.equal(0, 1, 1) and not a.equal(0, 2, 1)
+    for one, two in [("abcXdef", "abcYYdef"), ("", "a"), ("same", "same"), ("aaaa", "aa"), ("xab", "ab"), ("q" * 140_000 + "left" + "z" * 300_000, "q" * 140_000 + "rite" + "z" * 300_000)]:
+        x, y = (prefixhash.fingerprint_and_prefixes(prefixhash.points(t))[1] for t in (one, two))
+        assert x.common_prefix(y) == next((i for i, (a, b) in enumerate(zip(one, two)) if a != b), min(len(one), len(two)))
+        assert x.common_suffix(y) == next((i for i, (a, b) in enumerate(zip(one[::-1], two[::-1])) if a != b), min(len(one), len(two)))
     long = prefixhash.points("abcdefghij" * 30000)
     assert prefixhash.fingerprint(long)[3].tolist() == prefixhash.fingerprint(np.concatenate([long, long]))[3].tolist()
     f = prefixhash.fingerprint(long)
@@ -455,3 +460,30 @@ def test_long_lines_match_brute_force(spark):
     table = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(lines)], "doc_id long, text string")
     got = {r.doc_id for r in linededup.dedup(table, report=True).collect() if r.n_removed}
     assert got == want and 25 < len(want) < len(lines) - 25
+
+
+def test_templated_lines_do_not_meet_pair_by_pair(spark):
+    """200,000 lines of one template: with two words of their own each they stay, with one they are one line."""
+    import time
+
+    began = time.perf_counter()
+    apart = [f"posted on day{i} at the old town hall by user{i}" for i in range(100_000)]
+    alike = [f"this page was last changed by somebody of the name of visitor{i} today" for i in range(100_000)]
+    table = spark.createDataFrame([(k, "\n".join(apart[k::50] + alike[k::50])) for k in range(50)], "doc_id long, text string")
+    got = {r.doc_id: r.n_removed for r in linededup.dedup(table, report=True).collect()}
+    assert got == {k: 2000 - (k == 0) for k in range(50)}
+    assert time.perf_counter() - began < 60
+
+
+def test_hot_words_match_brute_force(spark, monkeypatch):
+    rng = random.Random(12)
+    lines = []
+    for i in range(400):
+        words = ["hot", *rng.sample([f"c{k}" for k in range(14)], rng.randint(5, 12))]
+        lines.append(" ".join(words + [f"own{i}"] * (i % 2)))
+    sets = [frozenset(x.split()) for x in lines]
+    want = {i for i, b in enumerate(sets) for a in sets[:i] if len(a & b) >= 0.8 * len(a | b) - 1e-9}
+    table = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    monkeypatch.setattr(linededup, "HOT", 2)
+    got = {r.doc_id for r in linededup.dedup(table, report=True).collect() if r.n_removed}
+    assert got == want and len(want) > 50
