@@ -1,263 +1,483 @@
 """Language-model scores: a probabilistic suffix tree over bytes, beside an exact unigram base.
 
-Symbols are the bytes of the lower-cased text with each run of white space as one space: the 62 most
-frequent training bytes have a symbol each, the rest share one, and symbol 0 ends a
-text and fills the context before it. Contexts have up to DEPTH symbols. A context is
-kept if its share of training symbols is at least `least_share` and its next-symbol
-distribution diverges from that of its longest kept suffix (count times the
-Kullback-Leibler divergence of at least `divergence` nats). Distributions mix with
-their suffix's in Witten-Bell's manner down to the uniform one. A text is scored by
-the longest kept suffix state at each of its symbols.
-
-All training texts are counted: five-symbol strings are packed into 30-bit codes and
-counted in each task, and parts of the code space that share their last two context
-symbols merge the counts, so shorter contexts are exact sums. `least_share` bounds the
-tree that is sent to executors (at most 1/least_share contexts of each length).
+Symbols are the bytes of the lower-cased text, each run of white space after a word being
+one space, and none before the first; the line feed, which that leaves free, ends a text
+and fills the context before it. Contexts have up to NEAR symbols, or FAR. A context is
+kept if it occurs `least` times or more and its next-symbol distribution diverges from the
+one that its longest kept suffix gives (count times the Kullback-Leibler divergence of at
+least `divergence` nats). Kept distributions mix with their suffix's in Witten-Bell's
+manner, down to the uniform one. A text is scored by the longest kept suffix state at each
+of its symbols.
+
+All training texts are counted, in three passes. The first counts strings of NEAR + 1
+symbols, which settles contexts of up to NEAR. A context of FAR symbols can occur `least`
+times only if all strings of NEAR + 1 in it do: the second pass counts the hashes of such
+contexts, and the third the next symbols of those whose hash occurs often enough. What the
+filters let through by chance is counted exactly in the end, so they lose and add nothing.
+Counts are merged, and contexts tested, on the executors, in parts by the newest two
+symbols. `least` is a number of occurrences, so the tree grows with the corpus; it travels
+in pieces of about PIECE entries, of which a worker holds one at a time.
 """
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import exchange
-from .textops import CHUNK, SPACE, Shipped, U, all_words, as_bytes, checkpointed, crc_bucket, laid_out, pieces, small_batches
-
-DEPTH = 4
-SYMBOLS = 64
-CODE = np.dtype([("code", "<u4"), ("n", "<u4")])
+from .textops import CHUNK, SPACE, Shipped, U, all_words, as_bytes, checkpointed, crc_bucket, laid_out, mix, pieces, small_batches
+
+NEAR, FAR = 5, 8
+END_SYMBOL = 10
+LEVELS = (*range(1, NEAR + 1), FAR)
+#: Slots of the filters between the passes, in bits, and the segments that they are merged by.
+SLOT_BITS, SEGMENTS = 25, 64
+#: Entries of a piece of the tree.
+PIECE = 4_000_000
 ASKED = np.dtype([("key", "<u8"), ("n", "<u4")])
 TOLD = np.dtype([("at", "<u4"), ("n", "<u8")])
-STATS = np.dtype([("tokens", "<u8"), ("distinct", "<u8")])
 END = U(0xA5A5F00DE17DBEEF)
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, log_sum double, score double"
+#: Rows of the tree: kind 0 has contexts with the logarithm of their share for unseen symbols, kind 1 context and next symbol with the logarithm of the probability.
+TREE = "part int, level int, kind int, keys binary, next binary, logs binary"
+
+
+# -- symbols ---------------------------------------------------------------------------------------
+
+def sequences(texts: list[bytes]):
+    """Yields (document index, symbols before, symbols) of each piece of each text, in order."""
+    doc, before = -1, np.full(FAR, END_SYMBOL, np.uint8)
+    for chunk in pieces(texts):
+        buf, docs, at = laid_out(chunk)
+        space = SPACE[buf]
+        keep = ~space
+        keep[1:-1] |= space[1:-1] & ~space[:-2]
+        symbols = np.where(space, np.uint8(32), buf)
+        for k, lo in enumerate(at):
+            hi = lo + len(chunk[k][1])
+            s = symbols[lo:hi][keep[lo:hi]]
+            if docs[k] != doc:
+                doc, before = int(docs[k]), np.full(FAR, END_SYMBOL, np.uint8)
+            yield doc, before, s
+            before = np.concatenate([before, s])[-FAR:]
+
+
+def runs(texts: list[bytes]):
+    """Yields (document, context, next) arrays, an entry for each predicted symbol; a context is its FAR last symbols, the newest lowest."""
+    docs: list[int] = []
+    held: list[np.ndarray] = []
+    for doc, before, s in sequences(texts):
+        if docs and docs[-1] != doc:
+            held[-1] = np.append(held[-1], np.uint8(END_SYMBOL))
+            if sum(map(len, held)) > CHUNK:
+                yield coded(docs, held)
+                docs, held = [], []
+        docs.append(doc)
+        held.append(np.concatenate([before, s]))
+    if docs:
+        held[-1] = np.append(held[-1], np.uint8(END_SYMBOL))
+        yield coded(docs, held)
+
+
+def coded(docs: list[int], held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    flat = np.concatenate(held)
+    context = np.zeros(len(flat), np.uint64)
+    for j in range(FAR):
+        context[FAR:] |= flat[j : len(flat) - FAR + j].astype(np.uint64) << U(8 * (FAR - 1 - j))
+    sizes = np.array([len(h) for h in held])
+    real = np.ones(len(flat), bool)
+    first = np.cumsum(sizes) - sizes
+    for j in range(FAR):
+        real[first + j] = False
+    return np.repeat(docs, sizes - FAR), context[real], flat[real]
 
 
-def byte_counts(docs: DataFrame) -> np.ndarray:
-    """How often each byte value occurs in the lower-cased texts."""
-    def run(batches):
-        total = np.zeros(256, np.int64)
-        for b in batches:
-            for chunk in pieces(as_bytes(b.column(0))):
-                total += np.bincount(laid_out(chunk)[0], minlength=256)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(256), pa.int32()), pa.array(total)], ["b", "n"])
+def low(context: np.ndarray, k: int) -> np.ndarray:
+    """The newest k symbols of contexts."""
+    return context if k == FAR else context & U((1 << 8 * k) - 1)
 
-    out = np.zeros(256, np.int64)
-    for r in docs.select("text").mapInArrow(run, "b int, n long").groupBy("b").agg(F.sum("n").alias("n")).collect():
-        out[r.b] = r.n
-    return out
 
+def part_of(context: np.ndarray, parts: int) -> np.ndarray:
+    """The part of a context, by its newest two symbols."""
+    return (mix(low(context, 2)) % U(parts)).astype(np.int64)
 
-class Alphabet:
-    """Bytes to symbols, and the share of a byte among those of its symbol."""
-
-    def __init__(self, counts: np.ndarray):
-        counts = counts.copy()
-        space = counts[SPACE].sum()
-        counts[SPACE] = 0
-        counts[32] = space
-        self.symbol = np.full(256, SYMBOLS - 1, np.uint8)
-        top = [b for b in np.argsort(-counts, kind="stable") if counts[b]][: SYMBOLS - 2]
-        self.symbol[top] = np.arange(1, len(top) + 1)
-        self.symbol[SPACE] = self.symbol[32]
-        rest = self.symbol == SYMBOLS - 1
-        share = np.where(rest, counts + 1.0, 1.0)
-        self.log_share = np.where(rest, np.log10(share / max(1.0, share[rest].sum())), 0.0)
-
-    def sequences(self, texts: list[bytes]):
-        """Yields (document index, symbols before, symbols, byte log-shares) of each piece of each text, in order."""
-        doc, before = -1, np.zeros(DEPTH, np.uint8)
-        for chunk in pieces(texts):
-            buf, docs, at = laid_out(chunk)
-            space = SPACE[buf]
-            keep = ~space
-            keep[1:-1] |= space[1:-1] & ~space[:-2]
-            symbols, shares = self.symbol[buf], self.log_share[buf]
-            for k, lo in enumerate(at):
-                hi = lo + len(chunk[k][1])
-                here = keep[lo:hi]
-                s = symbols[lo:hi][here]
-                if docs[k] != doc:
-                    doc, before = int(docs[k]), np.zeros(DEPTH, np.uint8)
-                yield doc, before, s, shares[lo:hi][here]
-                before = np.concatenate([before, s])[-DEPTH:]
-
-    def runs(self, texts: list[bytes]):
-        """Yields (document, code, log-share) arrays with one entry for each predicted symbol.
-
-        A code is DEPTH context symbols and the next one; each text ends with symbol 0.
-        """
-        docs: list[int] = []
-        held: list[np.ndarray] = []
-        shares: list[np.ndarray] = []
-        for doc, before, s, w in self.sequences(texts):
-            if docs and docs[-1] != doc:
-                held[-1], shares[-1] = np.append(held[-1], np.uint8(0)), np.append(shares[-1], 0.0)
-                if sum(map(len, held)) > CHUNK:
-                    yield coded(docs, held, shares)
-                    docs, held, shares = [], [], []
-            docs.append(doc)
-            held.append(np.concatenate([before, s]))
-            shares.append(w)
-        if docs:
-            held[-1], shares[-1] = np.append(held[-1], np.uint8(0)), np.append(shares[-1], 0.0)
-            yield coded(docs, held, shares)
-
-
-def coded(docs: list[int], held: list[np.ndarray], shares: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    flat = np.concatenate(held)
-    code = np.zeros(len(flat), np.uint32)
-    for j in range(DEPTH + 1):
-        code[DEPTH:] |= flat[j : len(flat) - DEPTH + j].astype(np.uint32) << np.uint32(6 * (DEPTH - j))
-    sizes = np.array([len(h) for h in held])
-    real = np.ones(len(flat), bool)
-    for j in range(DEPTH):
-        real[np.cumsum(sizes) - sizes + j] = False
-    return np.repeat(docs, sizes - DEPTH), code[real], np.concatenate(shares)
 
+def slot_of(x: np.ndarray) -> np.ndarray:
+    return (mix(x) >> U(64 - SLOT_BITS)).astype(np.int64)
 
-class SuffixTree:
-    """Kept contexts with their next-symbol log10 probabilities."""
-
-    def __init__(self, alphabet: Alphabet, codes: list[np.ndarray], counts: list[np.ndarray]):
-        """codes[k]: kept contexts of k symbols, oldest first; counts[k]: their next-symbol counts."""
-        self.alphabet, self.codes, self.counts = alphabet, codes, counts
-
-    @lru_cache(maxsize=1)  # noqa: B019  one tree in a worker
-    def tables(self) -> tuple[np.ndarray, np.ndarray]:
-        """State of every context of DEPTH symbols, and log10 probabilities by state and symbol."""
-        state = np.zeros(SYMBOLS**DEPTH, np.int32)
-        probs = [mixed(self.counts[0], np.full((1, SYMBOLS), 1 / SYMBOLS))]
-        base = 1
-        for k in range(1, DEPTH + 1):
-            codes = self.codes[k].astype(np.int64)
-            parents = state.reshape(-1, SYMBOLS**k)[0][codes]
-            below = np.concatenate(probs)[parents]
-            probs.append(mixed(self.counts[k], below))
-            state.reshape(-1, SYMBOLS**k)[:, codes] = np.arange(base, base + len(codes), dtype=np.int32)
-            base += len(codes)
-        return state, np.log10(np.concatenate(probs)).ravel()
 
-    def log10(self, texts: list[bytes]) -> np.ndarray:
-        """log10 of the probability of each text, its end included."""
-        state, logs = self.tables()
-        out = np.zeros(len(texts))
-        for doc, code, share in self.alphabet.runs(texts):
-            at = state[code >> np.uint32(6)].astype(np.int64) * SYMBOLS + (code & np.uint32(SYMBOLS - 1))
-            out += np.bincount(doc, logs[at] + share, len(texts))
-        return out
+# -- counts ----------------------------------------------------------------------------------------
 
+def added(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in ascending order, with their counts summed."""
+    order = np.argsort(keys, kind="stable")
+    keys, n = keys[order], n[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.add.reduceat(n, first) if len(first) else n[:0]
 
-def mixed(counts: np.ndarray, below: np.ndarray) -> np.ndarray:
-    """Witten-Bell: a context's own shares, and below's in the measure of its distinct next symbols."""
-    n, kinds = counts.sum(1, keepdims=True), np.maximum((counts > 0).sum(1, keepdims=True), 1)
-    return (counts + kinds * below) / (n + kinds)
 
+class Counter:
+    """Counts of 64-bit keys, merged whenever many are waiting."""
 
-def merged(pairs: list[np.ndarray]) -> np.ndarray:
-    """CODE entries with the counts of equal codes summed."""
-    both = np.concatenate(pairs) if pairs else np.zeros(0, CODE)
-    order = np.argsort(both["code"], kind="stable")
-    code, n = both["code"][order], both["n"][order].astype(np.uint64)
-    first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]])) if len(code) else np.zeros(0, np.int64)
-    out = np.zeros(len(first), CODE)
-    if len(first):
-        out["code"], out["n"] = code[first], np.minimum(np.add.reduceat(n, first), 2**32 - 1)
-    return out
+    def __init__(self, wait: int = 4_000_000):
+        self.wait, self.keys, self.n = wait, [], []
 
+    def add(self, keys: np.ndarray, n: np.ndarray | None = None) -> None:
+        if n is None:
+            keys = np.sort(keys)
+            cut = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]])) if len(keys) else np.zeros(1, np.int64)
+            keys, n = keys[cut[:-1]], np.diff(cut)
+        self.keys.append(keys)
+        self.n.append(n.astype(np.int64))
+        if len(self.keys) > 1 and sum(map(len, self.keys[1:])) > self.wait:
+            self.total()
 
-def divergent(counts: np.ndarray, parent: np.ndarray) -> np.ndarray:
-    """Count times divergence, in nats, of each row's distribution from its parent's."""
-    n = counts.sum(1, keepdims=True)
-    p = counts / np.maximum(n, 1)
-    q = mixed(parent, np.full_like(parent, 1 / SYMBOLS))
-    return (n * p * np.log(np.maximum(p, 1e-300) / q)).sum(1) * 1.0
+    def total(self) -> tuple[np.ndarray, np.ndarray]:
+        keys, n = added(np.concatenate([np.zeros(0, np.uint64), *self.keys]), np.concatenate([np.zeros(0, np.int64), *self.n]))
+        self.keys, self.n = [keys], [n]
+        return keys, n
 
 
-def dense(codes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Contexts of sorted context-and-next codes, and their next-symbol counts."""
-    context, row = np.unique(codes >> 6, return_inverse=True)
-    out = np.zeros((len(context), SYMBOLS))
-    np.add.at(out, (row, codes & SYMBOLS - 1), n)
-    return context, out
+def squeezed(*columns: np.ndarray) -> bytes:
+    """Columns of one length, the first as differences, by byte and compressed."""
+    first = np.diff(columns[0], prepend=columns[0].dtype.type(0))
+    planes = b"".join(np.ascontiguousarray(c).view(np.uint8).reshape(len(c), -1).T.tobytes() for c in (first, *columns[1:]))
+    return len(first).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
 
 
-def fit(docs: DataFrame, least_share: float = 2e-5, divergence: float = 40.0) -> SuffixTree:
-    """The tree of all texts of docs."""
-    small_batches(docs.sparkSession)
-    counts = byte_counts(docs)
-    alphabet = Alphabet(counts)
-    least = max(2.0, least_share * counts.sum())
-    parts = 64
-
-    def count(batches):
-        held: list[np.ndarray] = []
+def unsqueezed(blob: bytes, *kinds) -> list[np.ndarray]:
+    n, at, out = int.from_bytes(blob[:8], "little"), 0, []
+    widths = [np.dtype(k).itemsize for k in kinds]
+    planes = np.frombuffer(pa.decompress(blob[8:], decompressed_size=n * sum(widths), codec="zstd", asbytes=True), np.uint8)
+    for k, w in zip(kinds, widths):
+        out.append(np.ascontiguousarray(planes[at : at + n * w].reshape(w, n).T).view(k).ravel())
+        at += n * w
+    out[0] = np.cumsum(out[0], dtype=out[0].dtype)
+    return out
+
+
+def counted(docs: DataFrame, keys_of, parts: int, part, level: int) -> DataFrame:
+    """(part, level, blob) of the counts of all keys that keys_of(context, next) gives, in parts by part(keys)."""
+    def run(batches):
+        held = Counter()
         for b in batches:
-            for _, code, _ in alphabet.runs(as_bytes(b.column(0))):
-                code.sort()
-                first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
-                got = np.zeros(len(first), CODE)
-                got["code"], got["n"] = code[first], np.diff([*first, len(code)])
-                held.append(got)
-            if sum(map(len, held)) > 4_000_000:
-                held = [merged(held)]
-        total = merged(held)
-        for p, _, blob in exchange.packed(total, (total["code"] >> np.uint32(6)).astype(np.int64) % parts, 0):
-            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([blob], pa.binary())], ["part", "blob"])
-
-    def tree(t: pa.Table) -> pa.Table:
-        """Parts are by the newest context symbol: contexts of 1 to DEPTH symbols are whole here."""
-        part: list[np.ndarray] = []
-        for b in t["blob"].to_pylist():
-            part.append(np.frombuffer(b, CODE))
-            if len(part) > 16:
-                part = [merged(part)]
-        all_ = merged(part)
-        code, n = all_["code"].astype(np.int64), all_["n"].astype(float)
+            for _, context, next_ in runs(as_bytes(b.column(0))):
+                held.add(keys_of(context, next_))
+        keys, n = held.total()
+        where = part(keys)
+        for p in np.unique(where).tolist():
+            mine = where == p
+            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([level], pa.int32()), pa.array([squeezed(keys[mine], n[mine])], pa.binary())], ["part", "level", "blob"])
+
+    return docs.select("text").mapInArrow(run, "part int, level int, blob binary").repartition(parts, "part")
+
+
+def merged(t: pa.Table, level: int) -> tuple[np.ndarray, np.ndarray]:
+    held = Counter(1_000_000)
+    for blob, k in zip(t["blob"].to_pylist(), t["level"].to_pylist()):
+        if k == level:
+            held.add(*unsqueezed(blob, np.uint64, np.int64))
+    return held.total()
+
+
+def slots(counts: DataFrame, level: int, least: int) -> np.ndarray:
+    """A bitmap of the slots of all keys of the counts that occur `least` times or more; segments of it are joined on the executors."""
+    width = (1 << SLOT_BITS) // 8 // SEGMENTS
+
+    def mark(t: pa.Table) -> pa.Table:
+        keys, n = merged(t, level)
+        at = np.unique(slot_of(keys[n >= least]))
         rows = []
-        parent_codes, parent_counts = dense(code & SYMBOLS**2 - 1, n)
-        rows += [(1, int(c), r.tobytes()) for c, r in zip(parent_codes, parent_counts)]
-        for k in range(2, DEPTH + 1):
-            low = code & SYMBOLS ** (k + 1) - 1
-            contexts, inverse = np.unique(low >> 6, return_inverse=True)
-            big = np.bincount(inverse, n) >= least
-            use = big[inverse]
-            contexts, own = dense(low[use], n[use])
-            keep = np.zeros(0, bool)
-            if len(contexts):
-                suffix = contexts & SYMBOLS ** (k - 1) - 1
-                at = np.minimum(np.searchsorted(parent_codes, suffix), len(parent_codes) - 1)
-                keep = divergent(own, parent_counts[at]) >= divergence
-            rows += [(k, int(c), r.tobytes()) for c, r in zip(contexts[keep], own[keep])]
-            if not len(contexts):
+        for segment in np.unique(at // (8 * width)).tolist():
+            bits = np.zeros(8 * width, bool)
+            bits[at[at // (8 * width) == segment] % (8 * width)] = True
+            rows.append((segment, pa.compress(np.packbits(bits).tobytes(), codec="zstd", asbytes=True)))
+        return pa.table([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["segment", "bits"])
+
+    def join(t: pa.Table) -> pa.Table:
+        bits = np.zeros(width, np.uint8)
+        for b in t["bits"].to_pylist():
+            bits |= np.frombuffer(pa.decompress(b, decompressed_size=width, codec="zstd", asbytes=True), np.uint8)
+        return pa.table([t["segment"].slice(0, 1), pa.array([bits.tobytes()], pa.binary())], names=["segment", "bits"])
+
+    rows = counts.groupBy("part").applyInArrow(mark, "segment int, bits binary").groupBy("segment").applyInArrow(join, "segment int, bits binary").collect()
+    out = np.zeros((SEGMENTS, width), np.uint8)
+    for r in rows:
+        out[r.segment] = np.frombuffer(r.bits, np.uint8)
+    return np.unpackbits(out.ravel()).view(bool)
+
+
+# -- the tree --------------------------------------------------------------------------------------
+
+def tested(keys: np.ndarray, next_: np.ndarray, n: np.ndarray, below: np.ndarray, least: int, divergence: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of pairs (context, next) in order of context with counts, and the probabilities that the suffix gives: the kept contexts and their
+    shares for unseen symbols, which pairs are kept, their probabilities, and of all pairs the probability in the longest kept state."""
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    if not len(first):
+        return keys, below, np.zeros(0, bool), below, below
+    row = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(keys))))
+    total, kinds = np.add.reduceat(n, first).astype(float), np.diff(np.append(first, len(keys)))
+    nats = np.add.reduceat(n * np.log(n / total[row] / below), first)
+    keep = (total >= least) & (nats >= divergence)
+    own = (n + kinds[row] * below) / (total + kinds)[row]
+    use = keep[row]
+    return keys[first[keep]], (kinds / (total + kinds))[keep], use, own[use], np.where(use, own, below)
+
+
+class Table:
+    """64-bit keys to numbers by open addressing, for arrays of keys at once."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.bits = max(4, int(np.ceil(np.log2(max(1, len(keys)) * 2.5))))
+        home = (mix(keys) >> U(64 - self.bits)).astype(np.int64)
+        order = np.argsort(home, kind="stable")
+        at = np.maximum.accumulate(home[order] - np.arange(len(keys))) + np.arange(len(keys)) if len(keys) else home
+        self.far = int((at - home[order]).max()) if len(keys) else 0
+        self.keys, self.values, self.used = np.zeros((1 << self.bits) + self.far + 1, np.uint64), np.zeros((1 << self.bits) + self.far + 1, np.float32), np.zeros((1 << self.bits) + self.far + 1, bool)
+        self.keys[at], self.values[at], self.used[at] = keys[order], values[order], True
+
+    def get(self, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(found, values) of the asked keys."""
+        at = (mix(asked) >> U(64 - self.bits)).astype(np.int64)
+        found, value = np.zeros(len(asked), bool), np.zeros(len(asked), np.float32)
+        todo = np.arange(len(asked))
+        for d in range(self.far + 1):
+            here = at[todo] + d
+            todo, here = todo[self.used[here]], here[self.used[here]]
+            if not len(todo):
                 break
-            parent_codes, parent_counts = contexts, own
-        return pa.table({"k": pa.array([r[0] for r in rows], pa.int32()), "code": pa.array([r[1] for r in rows], pa.int32()), "n": pa.array([r[2] for r in rows], pa.binary())})
+            hit = self.keys[here] == asked[todo]
+            found[todo[hit]], value[todo[hit]] = True, self.values[here[hit]]
+            todo = todo[~hit]
+        return found, value
+
+
+def pair_key(context: np.ndarray, next_: np.ndarray) -> np.ndarray:
+    return mix(context + U(0x632BE59BD9B4E019)) ^ (next_.astype(np.uint64) + U(1)) * U(0x9E3779B97F4A7C15)
+
+
+class Root:
+    """Probabilities without a context and after one symbol, as dense tables."""
+
+    def __init__(self, pairs: np.ndarray, least: int = 1, divergence: float = 0.0):
+        """pairs: counts of (symbol before, next)."""
+        n = pairs.sum(0).astype(float)
+        kinds = max(1, (n > 0).sum())
+        self.none = (n + kinds / 256) / (n.sum() + kinds)
+        total, many = pairs.sum(1, keepdims=True), np.maximum((pairs > 0).sum(1, keepdims=True), 1)
+        nats = (pairs * np.log(np.maximum(pairs, 1e-300) / np.maximum(total, 1) / self.none)).sum(1)
+        keep = (total[:, 0] >= least) & (nats >= divergence)
+        self.one = np.where(keep[:, None], (pairs + many * self.none) / (total + many), self.none)
+
+
+class Piece:
+    """Kept contexts of two symbols or more, of some parts."""
+
+    def __init__(self, rows: list):
+        self.share, self.pairs = {}, {}
+        for level in LEVELS[1:]:
+            mine = [r for r in rows if r[0] == level]
+            contexts = [np.frombuffer(k, np.uint64) for _, kind, k, _, _ in mine if kind == 0]
+            if sum(map(len, contexts)):
+                self.share[level] = Table(np.concatenate(contexts), np.concatenate([np.frombuffer(v, np.float32) for _, kind, _, _, v in mine if kind == 0]))
+                keys = [pair_key(np.frombuffer(k, np.uint64), np.frombuffer(x, np.uint8)) for _, kind, k, x, _ in mine if kind == 1]
+                self.pairs[level] = Table(np.concatenate(keys), np.concatenate([np.frombuffer(v, np.float32) for _, kind, _, _, v in mine if kind == 1]))
+
+    def log10(self, context: np.ndarray, next_: np.ndarray, root: np.ndarray) -> np.ndarray:
+        """log10 of the probability of each next symbol in the longest kept state of its context."""
+        out = np.zeros(len(context))
+        todo = np.arange(len(context))
+        for level in sorted(self.share, reverse=True):
+            c = low(context[todo], level)
+            kept, share = self.share[level].get(c)
+            mine = np.flatnonzero(kept)
+            seen, value = self.pairs[level].get(pair_key(c[mine], next_[todo[mine]]))
+            out[todo[mine]] += np.where(seen, value, share[mine])
+            done = np.zeros(len(todo), bool)
+            done[mine[seen]] = True
+            todo = todo[~done]
+        out[todo] += root[(context[todo] & U(255)).astype(np.int64) * 256 + next_[todo]]
+        return out
+
+
+class SuffixTree:
+    """A root, and the pieces of the tree below it as broadcasts, of which one is held at a time."""
 
-    rows = docs.select("text").mapInArrow(count, "part int, blob binary").groupBy("part").applyInArrow(tree, "k int, code int, n binary").collect()
-    by = {k: sorted((r.code, r.n) for r in rows if r.k == k) for k in range(1, DEPTH + 1)}
-    codes = [np.zeros(1, np.int32)] + [np.array([c for c, _ in by[k]], np.int32) for k in by]
-    tables = [np.array([np.frombuffer(n, np.float64) for _, n in by[k]]).reshape(-1, SYMBOLS) for k in by]
-    return SuffixTree(alphabet, codes, [tables[0].sum(0, keepdims=True), *tables])
+    def __init__(self, root: Root, shipped: list[Shipped], parts: int, piece_of: np.ndarray):
+        self.root, self.shipped, self.parts, self.piece_of = np.log10(root.one).ravel(), shipped, parts, piece_of
+        self.held: tuple[int, Piece | None] = (-1, None)
 
+    def piece(self, i: int) -> Piece:
+        if self.held[0] != i:
+            self.held = (-1, None)
+            self.held = (i, Piece(self.shipped[i].value))
+            if len(self.shipped) > 1:
+                del self.shipped[i].held
+        return self.held[1]
 
-def score(docs: DataFrame, least_share: float = 2e-5, divergence: float = 40.0) -> DataFrame:
+    def log10(self, texts: list[bytes]) -> np.ndarray:
+        """log10 of the probability of each text, its end included."""
+        out = np.zeros(len(texts))
+        for i in range(max(1, len(self.shipped))):
+            for doc, context, next_ in runs(texts):
+                if not self.shipped:
+                    logs = self.root[(context & U(255)).astype(np.int64) * 256 + next_]
+                elif len(self.shipped) == 1:
+                    logs = self.piece(0).log10(context, next_, self.root)
+                else:
+                    mine = self.piece_of[part_of(context, self.parts)] == i
+                    doc, logs = doc[mine], self.piece(i).log10(context[mine], next_[mine], self.root)
+                out += np.bincount(doc, logs, len(texts))
+        return out
+
+
+def fit(docs: DataFrame, least: int = 500, divergence: float = 40.0) -> SuffixTree:
+    """The tree of all texts of docs."""
+    spark: SparkSession = docs.sparkSession
+    small_batches(spark)
+    parts = max(64, exchange.shuffle_partitions(docs))
+    string = lambda context, next_: low(context, NEAR) << U(8) | next_.astype(np.uint64)
+    near = checkpointed(counted(docs, string, parts, lambda keys: part_of(keys >> U(8), parts), NEAR))
+
+    def two(batches):
+        total = np.zeros(1 << 16, np.int64)
+        for b in batches:
+            for blob in b.column(0).to_pylist():
+                keys, n = unsqueezed(blob, np.uint64, np.int64)
+                total += np.bincount((keys & U(0xFFFF)).astype(np.int64), n, 1 << 16).astype(np.int64)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["pair", "n"])
+
+    pairs = np.zeros(1 << 16)
+    for r in near.select("blob").mapInArrow(two, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():
+        pairs[r.pair] = r.n
+    root = Root(pairs.reshape(256, 256), least, divergence)
+    often = Shipped(spark, np.packbits(slots(near, NEAR, least)))
+
+    def candidates(context: np.ndarray, next_: np.ndarray) -> np.ndarray:
+        mine = bits_of(often)
+        for j in range(FAR - NEAR):
+            context = context[mine[slot_of(context >> U(8 * j) & U((1 << 8 * (NEAR + 1)) - 1))]]
+        return mix(context) >> U(32)
+
+    hashes = counted(docs, candidates, parts, lambda keys: (keys % U(parts)).astype(np.int64), FAR)
+    wanted = Shipped(spark, np.packbits(slots(hashes, FAR, least)))
+
+    def chosen(context: np.ndarray, next_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        mine = bits_of(wanted)[slot_of(mix(context) >> U(32))]
+        return context[mine], next_[mine]
+
+    far = far_counts(docs, chosen, parts)
+    one = Shipped(spark, root.one)
+
+    def grow(t: pa.Table) -> pa.Table:
+        """Kept contexts of a part, level by level."""
+        part = t["part"][0].as_py()
+        keys, n = merged(t.filter(pa.compute.equal(t["level"], NEAR)), NEAR)
+        rows, effective = [], None
+        for level in LEVELS[1:]:
+            if level <= NEAR:
+                codes, c = added(keys if level == NEAR else keys & U((1 << 8 * (level + 1)) - 1), n)
+                context, next_ = codes >> U(8), (codes & U(255)).astype(np.uint8)
+            else:
+                context, next_, c = far_of(t)
+                codes = low(context, NEAR) << U(8) | next_.astype(np.uint64)
+            if not len(c):
+                continue
+            if effective is None:
+                below = one.value[(context & U(255)).astype(np.int64), next_]
+            else:
+                short, p = effective
+                below = p[np.searchsorted(short, codes if level > NEAR else codes & U((1 << 8 * level) - 1))]
+            kept, share, use, own, effective_p = tested(context, next_, c, below, least, divergence)
+            effective = codes, effective_p
+            if len(kept):
+                rows.append((part, level, 0, kept.tobytes(), b"", np.log10(share).astype(np.float32).tobytes()))
+                rows.append((part, level, 1, context[use].tobytes(), next_[use].tobytes(), np.log10(own).astype(np.float32).tobytes()))
+        columns = list(zip(*rows)) or [[]] * 6
+        kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], names=[f.split()[0] for f in TREE.split(", ")])
+
+    tree = checkpointed(near.union(far).repartition(parts, "part").groupBy("part").applyInArrow(grow, TREE))
+    sizes = {r.part: r.n for r in tree.groupBy("part").agg((F.sum(F.octet_length("logs")) / 4).alias("n")).collect()}
+    piece_of, shipped, held, mine = np.zeros(parts, np.int64), [], 0, []
+
+    def ship():
+        rows = tree.where(F.col("part").isin(mine)).select("level", "kind", "keys", "next", "logs").collect()
+        shipped.append(Shipped(spark, [(r.level, r.kind, bytes(r["keys"]), bytes(r.next), bytes(r.logs)) for r in rows]))
+
+    for p, n in sorted(sizes.items()):
+        if mine and held + n > PIECE:
+            ship()
+            held, mine = 0, []
+        piece_of[p] = len(shipped)
+        mine.append(p)
+        held += n
+    if mine:
+        ship()
+    return SuffixTree(root, shipped, parts, piece_of)
+
+
+def bits_of(shipped: Shipped) -> np.ndarray:
+    """A shipped bitmap, unpacked once in a task."""
+    if "bits" not in shipped.__dict__:
+        shipped.bits = np.unpackbits(shipped.value).view(bool)
+    return shipped.bits
+
+
+def far_counts(docs: DataFrame, chosen, parts: int) -> DataFrame:
+    """(part, level, blob) of the counts of chosen (context of FAR symbols, next), ordered by context and next."""
+    def run(batches):
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for b in batches:
+            for _, context, next_ in runs(as_bytes(b.column(0))):
+                context, next_ = chosen(context, next_)
+                held.append((*added_pairs(context, next_, np.ones(len(context), np.int64)),))
+                if sum(len(h[0]) for h in held[1:]) > 4_000_000:
+                    held = [added_pairs(*(np.concatenate(x) for x in zip(*held)))]
+        if not held:
+            return
+        context, next_, n = added_pairs(*(np.concatenate(x) for x in zip(*held)))
+        where = part_of(context, parts)
+        for p in np.unique(where).tolist():
+            mine = where == p
+            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([FAR], pa.int32()), pa.array([squeezed(context[mine], n[mine], next_[mine])], pa.binary())], ["part", "level", "blob"])
+
+    return docs.select("text").mapInArrow(run, "part int, level int, blob binary")
+
+
+def added_pairs(context: np.ndarray, next_: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (context, next) in ascending order, with their counts summed."""
+    order = np.lexsort((next_, context))
+    context, next_, n = context[order], next_[order], n[order]
+    first = np.flatnonzero(np.concatenate([[True], (context[1:] != context[:-1]) | (next_[1:] != next_[:-1])])) if len(context) else np.zeros(0, np.int64)
+    return context[first], next_[first], np.add.reduceat(n, first) if len(first) else n[:0]
+
+
+def far_of(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    got = [unsqueezed(b, np.uint64, np.int64, np.uint8) for b, k in zip(t["blob"].to_pylist(), t["level"].to_pylist()) if k == FAR]
+    if not got:
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint8), np.zeros(0, np.int64)
+    context, n, next_ = (np.concatenate(x) for x in zip(*got))
+    return added_pairs(context, next_, n)
+
+
+def score(docs: DataFrame, least: int = 500, divergence: float = 40.0) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row of documents.
 
     Learns from rows whose crc32(doc_id as text) mod 10 is not 0. Tokens are the words
     and one end; base_score is the unigram formula with 0.1 added to each count, over
     exact counts of all training words; score is the suffix tree's log10 probability of
-    the text. A null text is empty: one token, its end. Without training rows counts are
-    zero and the formula still holds (0.1 over 0.1). Repeated rows count each time; an
-    empty table gives an empty table.
+    the text, lower-cased and with a space for each run of white space after a word, as
+    white space is no part of the tokens. A null text is empty: one token, its end. Without training rows counts are zero and the
+    formula still holds (0.1 over 0.1). Repeated rows count each time; other columns are
+    not read; an empty table gives an empty table.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("held_out", crc_bucket("doc_id", 10) == 0)
-    spark = docs.sparkSession
-    tree = Shipped(spark, fit(docs.where("not held_out"), least_share, divergence))
+    tree = fit(docs.where("not held_out"), least, divergence)
     buckets = exchange.sized(docs)
     parts = max(64, buckets)
     dealt = exchange.bucketed(docs, buckets, ["doc_id", "text"])
@@ -286,8 +506,7 @@ def score(docs: DataFrame, least_share: float = 2e-5, divergence: float = 40.0)
         told = np.zeros(int(shared.sum()), TOLD)
         told["at"], told["n"] = index[shared], total[inverse[shared]]
         out = exchange.replied(t["part"][0].as_py(), bucket[shared], told)
-        stats = np.array([(total.sum(), (total > 0).sum())], STATS)
-        return pa.concat_tables([out, exchange.rows_table([(-1, -1, stats.tobytes())])])
+        return pa.concat_tables([out, exchange.rows_table([(-1, -1, int(total.sum()).to_bytes(8, "big") + int((total > 0).sum()).to_bytes(8, "big"))])])
 
     def finish(t: pa.Table, replies: pa.Table) -> pa.Table:
         doc, inverse, keys, n, texts = vocabulary(t)
@@ -300,11 +519,13 @@ def score(docs: DataFrame, least_share: float = 2e-5, divergence: float = 40.0)
             n[order[first[p] + told["at"]]] = told["n"]
         c = n[inverse]
         size = len(texts)
-        columns = [np.bincount(doc, minlength=size), np.bincount(doc, c > 0, size).astype(np.int64), np.bincount(doc, np.log10(c + 0.1), size), tree.value.log10(texts)]
-        return pa.table([t["doc_id"].combine_chunks(), t["held_out"].combine_chunks(), *(pa.array(x) for x in columns)], names=["doc_id", "held_out", "n_tokens", "n_known", "log_sum", "score"])
+        columns = [np.bincount(doc, minlength=size), np.bincount(doc, c > 0, size).astype(np.int64), np.bincount(doc, np.log10(c + 0.1), size), tree.log10(texts)]
+        return pa.table([t["doc_id"].combine_chunks(), t["held_out"].combine_chunks(), *(pa.array(x) for x in columns)], names=[f.split()[0] for f in SCORED.split(", ")])
 
-    replies = checkpointed(exchange.ask(dealt, requests, answer))
-    found = [np.frombuffer(r.blob, STATS)[0] for r in replies.where("part = -1").select("blob").collect()]
-    tokens, distinct = (sum(int(f[k]) for f in found) for k in ("tokens", "distinct"))
+    replies = exchange.ask(dealt, requests, answer)
     scored = exchange.tell(dealt, replies.where("part >= 0"), finish, SCORED)
-    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), (F.col("log_sum") - F.col("n_tokens") * F.lit(float(np.log10(tokens + 0.1 * (distinct + 1))))).alias("base_score"), "score")
+    number = lambda at: F.coalesce(F.sum(F.conv(F.hex(F.substring("blob", at, 8)), 16, 10).cast("long")), F.lit(0)).cast("long")
+    # one row of totals, beside every row
+    totals = replies.where("part = -1").agg(number(1).alias("train_tokens"), number(9).alias("distinct"))
+    base = F.col("log_sum") - F.col("n_tokens") * F.log10(F.col("train_tokens") + 0.1 * (F.col("distinct") + 1))
+    return scored.join(F.broadcast(totals)).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", base.alias("base_score"), "score")

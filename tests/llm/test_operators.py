@@ -263,16 +263,64 @@ def test_suffix_tree_base_is_exact(docs, empty, rows):
     assert suffixtree.score(empty).count() == 0
 
 
-def test_suffix_tree_is_a_distribution(docs):
-    import numpy as np
-
-    tree = suffixtree.fit(docs.where("text is not null"), least_share=1e-4, divergence=5.0)
-    state, logs = tree.tables()
-    assert np.allclose((10 ** logs.reshape(-1, suffixtree.SYMBOLS)).sum(1), 1)
-    long = "abc dea " * 20
-    whole = tree.log10([long.encode()])[0]
-    one = sum(c[2].sum() + logs[state[c[1] >> 6].astype(int) * 64 + (c[1] & 63)].sum() for c in tree.alphabet.runs([long.encode()]))
-    assert abs(whole - one) < 1e-6
+def brute_tree(texts, least, divergence):
+    """log10 of the probability of a text's symbols, by dictionaries over all contexts."""
+    levels = [0, *suffixtree.LEVELS]
+    counts = {k: collections.defaultdict(collections.Counter) for k in levels}
+    for t in texts:
+        padded = bytes([10] * 8) + t + bytes([10])
+        for i in range(8, len(padded)):
+            for k in levels:
+                counts[k][padded[i - k : i]][padded[i]] += 1
+    memo = {}
+
+    def p(context, x):
+        """In the longest kept state of the context."""
+        if (context, x) not in memo:
+            k = len(context)
+            shorter = levels[levels.index(k) - 1] if k else None
+            own = counts[k].get(context, {})
+            n, kinds = sum(own.values()), max(1, len(own))
+            if not k:
+                memo[context, x] = (own.get(x, 0) + kinds / 256) / (n + kinds)
+            else:
+                below = p(context[k - shorter :], x)
+                far = k == suffixtree.FAR and any(sum(counts[suffixtree.NEAR][context[j : j + 5]].values()) < 1 for j in range(4))
+                nats = sum(c * math.log(c / n / p(context[k - shorter :], y)) for y, c in own.items())
+                memo[context, x] = (own.get(x, 0) + kinds * below) / (n + kinds) if n >= least and nats >= divergence and not far else below
+        return memo[context, x]
+
+    def score(t):
+        padded = bytes([10] * 8) + t + bytes([10])
+        return sum(math.log10(p(padded[i - 8 : i], padded[i])) for i in range(8, len(padded)))
+
+    return score
+
+
+def normal(text):
+    """Lower-cased A-Z, runs of white space as one space, none at the start."""
+    import re
+
+    return re.sub(rb"[ \t-\r]+", b" ", bytes(c + 32 if 65 <= c <= 90 else c for c in (text or "").encode())).lstrip(b" ")
+
+
+@pytest.mark.parametrize("piece", [suffixtree.PIECE, 300])
+def test_suffix_tree_scores_match_brute_force(docs, rows, monkeypatch, piece):
+    monkeypatch.setattr(suffixtree, "PIECE", piece)
+    held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 10 == 0
+    want_of = brute_tree([normal(r[1]) for r in rows if not held(r[0])], 20, 8.0)
+    want = collections.defaultdict(list)
+    for r in rows:
+        want[r[0]].append(round(want_of(normal(r[1])), 2))
+    got = collections.defaultdict(list)
+    for r in suffixtree.score(docs, least=20, divergence=8.0).collect():
+        got[r.doc_id].append(r.score)
+    assert set(got) == set(want)
+    for i, scores in got.items():
+        assert all(abs(a - b) < 0.02 + 1e-4 * abs(b) for a, b in zip(sorted(scores), sorted(want[i]))), i
+    tree = suffixtree.fit(docs.where("text is not null"), 20, 8.0)
+    assert piece > 1000 or len(tree.shipped) > 3
+    assert suffixtree.FAR in tree.piece(0).share or piece < 1000
 
 
 def test_repeats_match_brute_force(docs, empty, rows):
@@ -487,3 +535,26 @@ def test_hot_words_match_brute_force(spark, monkeypatch):
     monkeypatch.setattr(linededup, "HOT", 2)
     got = {r.doc_id for r in linededup.dedup(table, report=True).collect() if r.n_removed}
     assert got == want and len(want) > 50
+
+
+@pytest.mark.skipif(not pathlib.Path("/root/testdata/sf0.001").exists(), reason="needs the driver's tables")
+def test_executors_need_no_copy_of_the_repository(tmp_path):
+    """Every query runs from a folder, and with a path, from which workers cannot import this package."""
+    import os
+    import subprocess
+    import sys
+
+    root = str(pathlib.Path(__file__).resolve().parents[2])
+    code = f"""
+import sys; sys.path.insert(0, {root!r})
+from pyspark.sql import SparkSession
+s = SparkSession.builder.master("local[4]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "4").config("spark.checkpoint.dir", {str(tmp_path / "ck")!r}).getOrCreate()
+assert not s.range(1).selectExpr("id").rdd.map(lambda r: __import__("importlib.util").util.find_spec("lodestar") is not None).first()
+from lodestar.llm import registry
+for name, q in registry.QUERIES.items():
+    assert q(s, "/root/testdata/sf0.001").count() > 0, name
+print("all", len(registry.QUERIES))
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=600)
+    assert "all 11" in done.stdout, done.stderr[-3000:]
