@@ -31,11 +31,15 @@ from .textops import U, as_bytes, checkpointed, mix, powers, sorted_set, unpower
 
 GRAM = 32
 #: Neighbouring strings that are ranked together before each is ranked alone.
-STEP = 16
+STEP = 32
+#: Slots of text hashes by which texts that are not asked for are left where they are. They bound what is broadcast.
+SLOTS = 1 << 20
 KEY = np.dtype("<u8")
+STRING = np.dtype([("h1", "<u8"), ("h2", "<u8"), ("open", "u1")])
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 #: done: settled within the bucket, without ranks. twice: the span occurs again in the bucket.
 ANCHORS = "bucket int, text long, first int, last int, anchor int, done boolean, twice boolean, rank long, r1 long, r2 long, l1 long, l2 long, s1 long, s2 long"
+FOUND = "bucket int, text long, first int, last int"
 STEPS = "bucket int, text long, anchor int, first int, last int, open boolean, rank long, core long, h1 long, h2 long"
 
 
@@ -125,7 +129,8 @@ class Bucket:
 
 def none_of(schema: str) -> pa.Table:
     """No rows of a schema."""
-    return pa.schema([(f.split()[0], {"int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_()}[f.split()[1]]) for f in schema.split(", ")]).empty_table()
+    kinds = {"int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_(), "string": pa.string(), "binary": pa.binary()}
+    return pa.schema([(f.split()[0], kinds[f.split()[1]]) for f in schema.split(", ")]).empty_table()
 
 
 def signed(x: np.ndarray) -> pa.Array:
@@ -172,6 +177,13 @@ def anchors(t: pa.Table, told: pa.Table, length: int) -> pa.Table:
     stands = np.zeros(len(inverse), bool)
     stands[first] = True
     twice = (n > 1)[inverse] | a["twice"]
+    # runs that are settled here and follow each other in a text are one
+    follows = np.zeros(len(inverse), bool)
+    follows[1:] = ~stands[1:] & ~stands[:-1] & (a["text"][1:] == a["text"][:-1]) & (a["first"][1:] == a["last"][:-1] + 1)
+    begins = np.flatnonzero(~follows)
+    a["last"] = a["last"][np.append(begins[1:], len(inverse)) - 1]
+    a |= {k: v[begins] for k, v in a.items() if k != "last"}
+    inverse, stands, twice = inverse[begins], stands[begins], twice[begins]
     ints = lambda x: pa.array(x.astype(np.int32))
     columns = [ints(np.full(len(inverse), b.number)), pa.array(a["text"]), ints(a["first"]), ints(a["last"]), ints(a["anchor"]), pa.array(~stands), pa.array(twice), *(signed(a[k]) for k in ("rank", "r1", "r2", "l1", "l2", "s1", "s2"))]
     return pa.table(columns, names=[f.split()[0] for f in ANCHORS.split(", ")])
@@ -215,6 +227,26 @@ def steps(t: pa.Table, told: pa.Table, length: int, step: int) -> pa.Table:
     return pa.table([pa.array(flat[f.split()[0]].astype(kinds[f.split()[1]])) for f in STEPS.split(", ")], names=names)
 
 
+def single(t: pa.Table, told: pa.Table, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, start, STRING entry) of each string of what is still in question; equal strings have equal names of their halves."""
+    q = steps(t, told, length, 1)
+    entries = np.zeros(len(q), STRING)
+    entries["h1"], entries["h2"], entries["open"] = (q[c].to_numpy() for c in ("h1", "h2", "open"))
+    return q["text"].to_numpy(), q["first"].to_numpy(), entries
+
+
+def string_names(entries: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(np.stack([entries["h1"], entries["h2"]], axis=1)).view([("a", "<u8"), ("b", "<u8")]).ravel()
+
+
+def repeated_strings(t: pa.Table) -> pa.Table:
+    """To each bucket its open strings that were sent more than once."""
+    entries, bucket, _ = exchange.unpacked(t, STRING)
+    _, inverse, n = np.unique(string_names(entries), return_inverse=True, return_counts=True)
+    use = (n > 1)[inverse] & (entries["open"] == 1)
+    return exchange.replied(t["part"][0].as_py(), bucket[use], entries[use])
+
+
 def among(asked: np.ndarray, sorted_keys: np.ndarray) -> np.ndarray:
     if not len(sorted_keys):
         return np.zeros(len(asked), bool)
@@ -275,6 +307,15 @@ def remove_repeats(docs: DataFrame, length: int = 400, text: bool = False) -> Da
     buckets = exchange.sized(docs, of=4 << 20)
     parts = max(64, buckets)
     dealt = exchange.bucketed(docs, buckets, ["doc_id", "text"])
+    slot = lambda c: F.pmod(F.col(c), F.lit(SLOTS)).alias("slot")
+
+    def slots(told: DataFrame) -> DataFrame:
+        """The slots of the texts that are told something: SLOTS rows at most."""
+        return F.broadcast(told.select(slot("text")).distinct())
+
+    def asked_for(told: DataFrame) -> DataFrame:
+        """The documents of those slots, dealt as before; others stay."""
+        return exchange.bucketed(docs.join(slots(told), slot("name") == F.col("slot"), "left_semi"), buckets, ["doc_id", "text"])
 
     def requests(t: pa.Table) -> pa.Table:
         keys = gram_names(t, length)
@@ -296,23 +337,41 @@ def remove_repeats(docs: DataFrame, length: int = 400, text: bool = False) -> Da
         side = standing.where(F.col(one) != 0).withColumns({"first": lo, "last": hi}).where("first <= last").select("bucket", "text", "first", "last", "anchor", "open", "place", "rank", one, two)
         side = reranked(reranked(side, ["rank", one]), ["rank", two])
         sides.append(side.select("bucket", "text", "anchor", "first", "last", "open", "rank"))
-    left = sides[0].union(sides[1])
-
-    def in_steps(step: int):
-        return lambda t, told: steps(t, told, length, step)
-
-    gone = []
-    for step in (STEP, 1):
-        asked = exchange.tell(dealt, left, in_steps(step), STEPS)
-        made = checkpointed(asked.withColumn("place", F.monotonically_increasing_id()))
-        kept = reranked(made, ["rank", "core"])
-        hulls = settled_by(kept.withColumn("never", F.lit(False)), ["rank", "h1", "h2"], "never")
-        hulls = checkpointed(hulls) if step > 1 else hulls
-        gone.append(hulls.where("open and settled").select("bucket", "text", "first", "last"))
-        left = hulls.where("stands").select("bucket", "text", "anchor", "first", "last", (F.col("open") & ~F.col("settled")).alias("open"), "rank")
+    left = checkpointed(sides[0].union(sides[1]))
+
+    # steps of neighbours: unlike in what all have in common they drop out, alike as a whole they are settled
+    asked = exchange.tell(asked_for(left), left, lambda t, told: steps(t, told, length, STEP), STEPS)
+    made = checkpointed(asked.withColumn("place", F.monotonically_increasing_id()))
+    hulls = checkpointed(settled_by(reranked(made, ["rank", "core"]).withColumn("never", F.lit(False)), ["rank", "h1", "h2"], "never").drop("core", "h1", "h2", "never"))
+    left = hulls.where("stands").select("bucket", "text", "anchor", "first", "last", (F.col("open") & ~F.col("settled")).alias("open"), "rank")
+
+    # string by string, packed
+    def strings(t: pa.Table, told: pa.Table) -> pa.Table:
+        if not len(t):
+            return exchange.rows_table([])
+        _, _, entries = single(t, told, length)
+        distinct, n = np.unique(entries, return_counts=True)
+        entries = np.repeat(distinct, np.minimum(n, 2))
+        return exchange.rows_table(exchange.packed(entries, exchange.part_of(entries["h1"], parts), exchange.bucket_of(t)))
+
+    def again(t: pa.Table, told: pa.Table) -> pa.Table:
+        if not len(t):
+            return none_of(FOUND)
+        texts, starts, entries = single(t, told.filter(told["blob"].is_null()), length)
+        known = np.concatenate([np.zeros(0, STRING), *(np.frombuffer(b, STRING) for b in told["blob"].to_pylist() if b)])
+        hit = np.isin(string_names(entries), string_names(known)) & (entries["open"] == 1)
+        texts, starts = texts[hit], starts[hit]
+        return pa.table([pa.array(np.full(len(texts), exchange.bucket_of(t), np.int32)), pa.array(texts), pa.array(starts), pa.array(starts)], names=["bucket", "text", "first", "last"])
+
+    texts_left = asked_for(left)
+    replies = exchange.tell(texts_left, left, strings, exchange.BLOB).groupBy("part").applyInArrow(repeated_strings, exchange.BLOB)
+    told = left.withColumn("blob", F.lit(None).cast("binary")).unionByName(replies.select("bucket", "blob"), allowMissingColumns=True)
+    gone = [hulls.where("open and settled").select("bucket", "text", "first", "last"), checkpointed(exchange.tell(texts_left, told, again, FOUND))]
     spans = ranked.where("settled").select("bucket", "text", "first", "last").union(found.where("done").select("bucket", "text", "first", "last")).union(gone[0]).union(gone[1])
 
     def finish(t: pa.Table, told: pa.Table) -> pa.Table:
+        if not len(t):
+            return none_of(SCHEMA + (", kept binary" if text else ""))
         names, texts = np.array(t["name"].to_pylist(), np.int64), as_bytes(t["text"])
         owner, first, last = (np.array(told[c].to_pylist(), np.int64) for c in ("text", "first", "last"))
         distinct, inverse = np.unique(names, return_inverse=True)
@@ -328,4 +387,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, text: bool = False) -> Da
         }
         return pa.table(columns | ({"kept": pa.array(left, pa.binary())} if text else {}))
 
-    return exchange.tell(dealt, spans, finish, SCHEMA + (", kept binary" if text else ""))
+    cut = exchange.tell(asked_for(spans), spans, finish, SCHEMA + (", kept binary" if text else ""))
+    whole = docs.join(slots(spans), slot("name") == F.col("slot"), "left_anti")
+    same = whole.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"), *([F.col("text").cast("binary").alias("kept")] if text else []))
+    return cut.union(same)
