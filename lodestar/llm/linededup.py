@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import exchange
-from .textops import LOWER, U, as_bytes, mix, sorted_set, span_hashes, word_spans
+from .textops import LOWER, U, as_bytes, mix, sorted_set, span_hashes, unused, word_spans
 
 #: A word is known by its part and 32 bits of its hash here: words that share them only share a count.
 COUNT = np.dtype([("key", "<u4"), ("n", "<u2")])
@@ -236,6 +236,11 @@ def dedup(docs: DataFrame, threshold: float = 0.8, report: bool = False) -> Data
     if report:
         docs = docs.select("doc_id", "text")
     names = docs.columns
+    # exchange.BUCKET holds the bucket; a column of that name steps aside
+    (aside,) = unused(docs, "aside")
+    if exchange.BUCKET.lower() in {c.lower() for c in names}:
+        original = next(c for c in names if c.lower() == exchange.BUCKET.lower())
+        return dedup(docs.withColumnRenamed(original, aside), threshold).withColumnRenamed(aside, original)
     buckets = exchange.sized(docs, of=BUCKET_BYTES)
     parts = max(64, buckets)
     dealt = exchange.bucketed(docs, buckets, ["doc_id", "text"])

@@ -21,7 +21,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .textops import checkpointed
+from .textops import checkpointed, unused
 
 #: Documents that one bucket of a source's line holds, on average.
 PER_BUCKET = 20_000
@@ -97,32 +97,34 @@ def mix(docs: DataFrame, schedule: Callable[[Column], Column] = cycling, most: i
     """
     made = ["size", "source_size", "target", "taken", "positions", "position"]
     docs = docs.drop(*made)
+    h, source, bucket, own, s_, b_, offset, pieces, total, goal_ = unused(docs, "h", "source", "bucket", "own", "s", "b", "offset", "pieces", "total", "goal")
     text = F.col("text").cast("string")
     key = F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit(NULL_SOURCE))
     buckets = max(16, -(-docs.count() // PER_BUCKET))
-    keyed = docs.withColumns({"size": size_of(text), "__h": F.md5(F.concat_ws(":", F.col("doc_id").cast("string"), text)), "__source": key})
+    keyed = docs.withColumns({"size": size_of(text), h: F.md5(F.concat_ws(":", F.col("doc_id").cast("string"), text)), source: key})
     # the line is in hash order, so buckets are ranges of the hash
-    keyed = keyed.withColumn("__bucket", F.floor(F.conv(F.substring("__h", 1, 8), 16, 10).cast("double") * buckets / float(1 << 32)).cast("int"))
-    sums = checkpointed(keyed.groupBy(F.col("__source").alias("source"), F.col("__bucket").alias("b")).agg(F.sum("size").alias("words")))
+    keyed = keyed.withColumn(bucket, F.floor(F.conv(F.substring(h, 1, 8), 16, 10).cast("double") * buckets / float(1 << 32)).cast("int"))
+    sums = checkpointed(keyed.groupBy(F.col(source).alias("source"), F.col(bucket).alias("b")).agg(F.sum("size").alias("words")))
     of = targets(sums.groupBy("source").agg(F.sum("words").alias("source_size")), schedule, most).withColumnRenamed("source", "s")
     ahead = Window.partitionBy("source").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    of = sums.select(F.col("source").alias("__s"), F.col("b").alias("__b"), F.coalesce(F.sum("words").over(ahead), F.lit(0)).alias("__offset")).join(of, F.col("__s") == F.col("s")).drop("s", "rank").withColumnsRenamed({"pieces": "__pieces", "total": "__total"})
-    within = Window.partitionBy("__source", "__bucket").orderBy("__h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = keyed.withColumn("__own", F.coalesce(F.sum("size").over(within), F.lit(0)))
-    joined = placed.join(of, (F.col("__source") == F.col("__s")) & (F.col("__bucket") == F.col("__b")))
-    goal = F.round("target").cast("long")
-    starts = F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda k: F.col("__offset") + F.col("__own") + k * F.col("source_size"))
+    of = sums.select("source", "b", F.coalesce(F.sum("words").over(ahead), F.lit(0)).alias("offset")).join(of, F.col("source") == F.col("s"))
+    of = of.select(F.col("source").alias(s_), F.col("b").alias(b_), F.col("offset").alias(offset), "source_size", "target", F.col("pieces").alias(pieces), F.col("total").alias(total))
+    within = Window.partitionBy(source, bucket).orderBy(h, "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    placed = keyed.withColumn(own, F.coalesce(F.sum("size").over(within), F.lit(0)))
+    joined = placed.join(of, (F.col(source) == F.col(s_)) & (F.col(bucket) == F.col(b_))).withColumn(goal_, F.round("target").cast("long"))
+    goal = F.col(goal_)
+    starts = F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda k: F.col(offset) + F.col(own) + k * F.col("source_size"))
     turns = F.filter(starts, lambda x: x < goal)
     share = lambda x: F.least(F.lit(1.0), x.cast("double") / F.nullif(F.col("target"), F.lit(0.0)))
     out = joined.withColumns({
         "taken": F.aggregate(turns, F.lit(0).cast("long"), lambda a, x: a + F.least(F.col("size"), goal - x)),
-        "positions": F.transform(turns, lambda x: inverse(F.col("__pieces"), F.col("__total"), share(x))),
+        "positions": F.transform(turns, lambda x: inverse(F.col(pieces), F.col(total), share(x))),
     })
     return out.withColumn("position", F.get("positions", F.lit(0))).select(*docs.columns, *made)
 
 
 def in_order(mixed: DataFrame) -> DataFrame:
-    """The training stream: one row for each time a document is taken, range-sorted by position."""
+    """The training stream: one row for each time a document is taken, range-sorted by position; documents that are not taken go."""
     return mixed.withColumn("position", F.explode("positions")).drop("positions").orderBy("position", "doc_id")
 
 

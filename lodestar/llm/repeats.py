@@ -15,6 +15,11 @@ left is ranked in steps of STEP neighbouring strings, by the bytes common to the
 last string by string, as the pair of the names of its halves. A name is a 64-bit hash of a
 rolling polynomial; two are only compared where the names before agree, and what is
 removed agrees in a pair of them at least.
+
+Beside that, n_passages tells of shorter passages of words that occur in other texts: of
+RUN runs of WORDS words, one after the other, the one with the smallest hash is picked, so
+that two texts that share WORDS + RUN - 1 words in a row pick a common run. They ride along
+with the first exchange.
 """
 
 from __future__ import annotations
@@ -27,16 +32,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import exchange
-from .textops import U, as_bytes, checkpointed, mix, powers, sorted_set, unpowers
+from .textops import U, all_words, as_bytes, checkpointed, mix, powers, sorted_set, unpowers
 
 GRAM = 32
 #: Neighbouring strings that are ranked together before each is ranked alone.
 STEP = 32
 #: Slots of text hashes by which texts that are not asked for are left where they are. They bound what is broadcast.
 SLOTS = 1 << 20
+#: Words of a run, and how many runs in a row have one picked.
+WORDS, RUN = 32, 19
 KEY = np.dtype("<u8")
 STRING = np.dtype([("h1", "<u8"), ("h2", "<u8"), ("open", "u1")])
-SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passages long"
 #: done: settled within the bucket, without ranks. twice: the span occurs again in the bucket.
 ANCHORS = "bucket int, text long, first int, last int, anchor int, done boolean, twice boolean, rank long, r1 long, r2 long, l1 long, l2 long, s1 long, s2 long"
 FOUND = "bucket int, text long, first int, last int"
@@ -137,10 +144,25 @@ def signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x, np.uint64).view(np.int64))
 
 
+def passages(texts: list[bytes]) -> list[np.ndarray]:
+    """The names of the picked runs of words of each text, each once."""
+    doc, h = all_words(texts)
+    cut = np.searchsorted(doc, np.arange(len(texts) + 1))
+    out = []
+    for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
+        if b - a < WORDS + RUN - 1:
+            out.append(np.zeros(0, np.uint64))
+            continue
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h[a:b] * powers(b - a), dtype=np.uint64)])
+        named = mix((sums[WORDS:] - sums[:-WORDS]) * unpowers(b - a)[: b - a - WORDS + 1])
+        out.append(sorted_set(mix(named[sorted_set(sliding_argmin(named, RUN))] ^ U(0xC2B2AE3D27D4EB4F))))
+    return out
+
+
 def gram_names(t: pa.Table, length: int) -> np.ndarray:
-    """The gram names of a bucket's anchors, each once, or twice if the bucket has it at several anchors."""
+    """The gram names of a bucket's anchors and its picked runs of words, each once, or twice if the bucket has it several times."""
     b = Bucket(t)
-    got = [np.zeros(0, np.uint64)]
+    got = [np.zeros(0, np.uint64), *passages(list(b.distinct.values()))]
     for name, text in b.distinct.items():
         h = Hashed(text)
         _, _, anchor = segments(h, len(text), length)
@@ -162,6 +184,7 @@ def anchors(t: pa.Table, told: pa.Table, length: int) -> pa.Table:
     b = Bucket(t)
     known = sorted_set(np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(x, KEY) for x in told["blob"].to_pylist())]))
     found: dict[str, list] = {}
+    shared = [int(among(x, known).sum()) for x in passages(list(b.distinct.values()))] if len(known) else []
     for name, text in b.distinct.items() if len(known) else ():
         h = Hashed(text)
         got = blocks(h, len(text), length)
@@ -172,6 +195,7 @@ def anchors(t: pa.Table, told: pa.Table, length: int) -> pa.Table:
         found.setdefault("twice", []).append(np.full(int(use.sum()), b.again(name)))
     if not found:
         return none_of(ANCHORS)
+    told_of = [(name, n) for name, n in zip(b.distinct, shared) if n]
     a = {k: np.concatenate(v) for k, v in found.items()}
     _, first, inverse, n = np.unique(np.stack([a["s1"], a["s2"]], axis=1).view([("a", "<u8"), ("b", "<u8")]).ravel(), return_index=True, return_inverse=True, return_counts=True)
     stands = np.zeros(len(inverse), bool)
@@ -181,12 +205,14 @@ def anchors(t: pa.Table, told: pa.Table, length: int) -> pa.Table:
     follows = np.zeros(len(inverse), bool)
     follows[1:] = ~stands[1:] & ~stands[:-1] & (a["text"][1:] == a["text"][:-1]) & (a["first"][1:] == a["last"][:-1] + 1)
     begins = np.flatnonzero(~follows)
-    a["last"] = a["last"][np.append(begins[1:], len(inverse)) - 1]
+    a["last"] = a["last"][(np.append(begins[1:], len(inverse)) - 1)[: len(begins)]]
     a |= {k: v[begins] for k, v in a.items() if k != "last"}
     inverse, stands, twice = inverse[begins], stands[begins], twice[begins]
     ints = lambda x: pa.array(x.astype(np.int32))
+    # rows of a text's shared passages: none is at -1, their number stands for the last
+    extra = pa.table([ints(np.full(len(told_of), b.number)), pa.array([x for x, _ in told_of], pa.int64()), ints(np.full(len(told_of), -1)), pa.array([n for _, n in told_of], pa.int32()), ints(np.full(len(told_of), -1)), pa.array([True] * len(told_of), pa.bool_()), pa.array([False] * len(told_of), pa.bool_()), *[pa.array([0] * len(told_of), pa.int64())] * 7], names=[f.split()[0] for f in ANCHORS.split(", ")])
     columns = [ints(np.full(len(inverse), b.number)), pa.array(a["text"]), ints(a["first"]), ints(a["last"]), ints(a["anchor"]), pa.array(~stands), pa.array(twice), *(signed(a[k]) for k in ("rank", "r1", "r2", "l1", "l2", "s1", "s2"))]
-    return pa.table(columns, names=[f.split()[0] for f in ANCHORS.split(", ")])
+    return pa.concat_tables([pa.table(columns, names=extra.schema.names), extra])
 
 
 def steps(t: pa.Table, told: pa.Table, length: int, step: int) -> pa.Table:
@@ -296,9 +322,10 @@ def kept_of(text: bytes, runs: np.ndarray) -> bytes:
 
 
 def remove_repeats(docs: DataFrame, length: int = 400, text: bool = False) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row of documents.
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passages) of every row of documents.
 
-    With text=True the remaining bytes follow in column kept. A null text is empty; a text
+    n_passages counts picked runs of words that occur in another place too; nothing is
+    removed for them. With text=True the remaining bytes follow in column kept. A null text is empty; a text
     shorter than `length` bytes keeps everything. Strings of the same row count as
     elsewhere if they start at another byte, overlapping or not; repeated rows are each
     other's elsewhere. Other columns are not read. An empty table gives an empty table.
@@ -375,6 +402,8 @@ def remove_repeats(docs: DataFrame, length: int = 400, text: bool = False) -> Da
         names, texts = np.array(t["name"].to_pylist(), np.int64), as_bytes(t["text"])
         owner, first, last = (np.array(told[c].to_pylist(), np.int64) for c in ("text", "first", "last"))
         distinct, inverse = np.unique(names, return_inverse=True)
+        shared = dict(zip(owner[first < 0].tolist(), last[first < 0].tolist()))
+        owner, first, last = owner[first >= 0], first[first >= 0], last[first >= 0]
         runs = removal(list(range(len(distinct))), np.searchsorted(distinct, owner), first, last, length)
         runs = [runs[i] for i in inverse]
         left = [kept_of(x, r) for x, r in zip(texts, runs)]
@@ -384,10 +413,11 @@ def remove_repeats(docs: DataFrame, length: int = 400, text: bool = False) -> Da
             "n_removed": pa.array([len(x) - len(y) for x, y in zip(texts, left)], pa.int64()),
             "n_spans": pa.array([len(r) for r in runs], pa.int64()),
             "kept_sha256": pa.array([hashlib.sha256(y).hexdigest() for y in left], pa.string()),
+            "n_passages": pa.array([shared.get(x, 0) for x in names.tolist()], pa.int64()),
         }
         return pa.table(columns | ({"kept": pa.array(left, pa.binary())} if text else {}))
 
     cut = exchange.tell(asked_for(spans), spans, finish, SCHEMA + (", kept binary" if text else ""))
     whole = docs.join(slots(spans), slot("name") == F.col("slot"), "left_anti")
-    same = whole.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"), *([F.col("text").cast("binary").alias("kept")] if text else []))
+    same = whole.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"), F.lit(0).cast("long").alias("n_passages"), *([F.col("text").cast("binary").alias("kept")] if text else []))
     return cut.union(same)

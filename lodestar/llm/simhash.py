@@ -18,9 +18,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, VariantType
 
 from .components import connected_components
-from .textops import U, as_bytes, checkpointed, mix, small_batches
+from .textops import U, as_bytes, checkpointed, mix, small_batches, unused
 
 BITS = 64
 
@@ -356,7 +357,10 @@ def one_of_each_group(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
     entries = firsts.select("id", F.explode("keys").alias("key"))
     roots = similar_roots(distinct, entries, keyed, shingle, similarity)
     chosen = distinct.join(roots, distinct.id == roots.node, "left").groupBy(F.coalesce("root", "id").alias("root")).agg(F.min("first").alias("first")).select("first.*")
-    kept = docs.withColumns({"__doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "__h": F.xxhash64(F.col("text").cast("string"))})
-    kept = kept.join(chosen, (F.col("__doc") == F.col("doc")) & (F.col("__h") == F.col("h")), "left_semi")
-    # the join has brought equal keys together: of equal rows one stays
-    return kept.dropDuplicates(["__doc", "__h"]).drop("__doc", "__h")
+    doc, h, first_doc, first_h = unused(docs, "doc", "h", "first_doc", "first_h")
+    kept = docs.withColumns({doc: F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), h: F.xxhash64(F.col("text").cast("string"))})
+    kept = kept.join(chosen.toDF(first_doc, first_h), (F.col(doc) == F.col(first_doc)) & (F.col(h) == F.col(first_h)), "left_semi")
+    # the join has brought equal keys together: of rows with one doc_id and text the least stays
+    columns = [F.col(c) for c in docs.columns]
+    orderable = [c for c, t in zip(docs.columns, docs.schema) if not isinstance(t.dataType, (MapType, VariantType))]
+    return kept.groupBy(doc, h).agg(F.min_by(F.struct(*columns), F.struct(*orderable)).alias("row")).select("row.*")

@@ -98,6 +98,17 @@ class Shipped:
         return {"box": self.box}
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each after as many underscores as it takes for df to have no such column, case aside."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while f"_{name}".lower() in taken:
+            name = f"_{name}"
+        taken.add(f"_{name}".lower())
+        out.append(f"_{name}")
+    return out
+
+
 def crc_bucket(column: str, n: int):
     """crc32(column as text) mod n; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % n
