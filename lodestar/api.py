@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import platform
+import re
 import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -59,15 +60,34 @@ def scanned(df: DataFrame, *columns: str) -> DataFrame:
 
 
 class Tools:
-    def __init__(self, store: SnapshotStore, allow: list[str] | None = None, deny: list[str] | None = None, verbose_errors: bool = False, limits: Buckets | None = None):
-        self.store, self.spark = store, store.spark
+    def __init__(self, store: SnapshotStore, allow: list[str] | None = None, deny: list[str] | None = None, verbose_errors: bool = False, limits: Buckets | None = None, audit: Callable[[dict], None] | None = None, patterns: list[str] | None = None):
+        """audit is given an entry for each call that the limit lets through, with what matches the patterns redacted."""
+        self.store, self.spark, self.audit, self.patterns = store, store.spark, audit, patterns or []
         self.allow, self.deny, self.verbose, self.limits = allow or [], deny or [], verbose_errors, limits or Buckets()
 
     def call(self, tool: str, **arguments) -> str:
-        """A tool by name; errors come back as JSON with an error code."""
+        """A tool by name: first the limit, then the audit around the tool; errors come back as JSON with an error code."""
         wait = self.limits.take(tool)
         if wait:
             return json.dumps({"error": "rate_limited", "retryAfterMs": wait})
+        began = time.time()
+        response = self.run(tool, arguments)
+        if self.audit is not None:
+            self.audit(self.entry(tool, arguments, response, began))
+        return response
+
+    def entry(self, tool: str, arguments: dict, response: str, began: float) -> dict:
+        """What the audit tells of a call: names and lengths of its arguments, never their values."""
+        try:
+            error = json.loads(response).get("error") if response.startswith("{") else None
+        except ValueError:
+            error = None
+        summary = ", ".join(f"{k}({len(str(v)) if v is not None else 0})" for k, v in arguments.items()) or "(no args)"
+        for pattern in self.patterns:
+            summary = re.sub(pattern, "[REDACTED]", summary, flags=re.I)
+        return {"timestamp": began, "tool": tool, "inputSummary": summary, "responseBytes": len(response.encode()), "success": error is None, "errorCode": error, "duration": time.time() - began}
+
+    def run(self, tool: str, arguments: dict) -> str:
         run = getattr(self, tool, None)
         if run is None or tool not in TOOLS:
             return json.dumps(govern.error_payload("invalid_input", f"no tool {tool}"))
@@ -93,7 +113,7 @@ class Tools:
 
     def snapshot(self, version: str | None) -> tuple[str, DataFrame, DataFrame]:
         version = version or self.store.latest()
-        return (version, *self.store.load(version))
+        return (version, *self.store.cached(version))
 
     def resolved(self, nodes: DataFrame, name: str) -> str:
         """An id, or the id of a qualified name."""
@@ -210,38 +230,69 @@ class Tools:
             nodes, edges = nodes.unionByName(extract_json.nodes(snapshots)), edges.unionByName(extract_json.edges(snapshots))
         return nodes, edges, files.scan(self.spark, folder).select("path", "sha256")
 
-    def ingest_folder(self, folder: str, project: str | None, force: bool, include=None, exclude=None) -> dict:
+    def ingest_folder(self, folder: str, project: str | None, force: bool, include=None, exclude=None, solution: str = "") -> dict:
         """Saves a snapshot of a folder unless its files are those of the project's last one; a failed index is only reported."""
         project = project or Path(folder).resolve().name
-        hashes_at = f"{self.store.folder}/file_hashes/project={project}"
+        hashes_at = self.store.hashes_at(project, solution)
         nodes, edges, hashes = self.read_folder(folder, include, exclude)
         before = self.spark.read.parquet(hashes_at) if self.store.exists(hashes_at) else None
         changes = ingest.manifest_diff(before, hashes)
         counts = {r.change: r["count"] for r in changes.groupBy("change").count().collect()}
         if before is not None and not counts and not force:
-            return {"status": "skipped", "project": project, "snapshot": self.store.latest(project), "changes": {}}
+            return {"status": "skipped", "project": project, "snapshot": self.store.latest(project), "changes": {}, **self.sizes(self.store.latest(project))}
         hash_ = self.store.save(nodes, edges, project)
         graph.stored(hashes).write.mode("overwrite").parquet(hashes_at)
-        done = {"status": "ok", "project": project, "snapshot": hash_, "changes": counts}
+        done = {"status": "ok", "project": project, "snapshot": hash_, "changes": counts, **self.sizes(hash_)}
         try:
             self.store.build_index(hash_)
         except Exception as e:  # the snapshot stands without its index
             done["indexError"] = str(e)[:200]
         return done
 
+    def sizes(self, hash_: str) -> dict:
+        found = self.store.entries().where(F.col("content_hash") == hash_).first()
+        return {"nodes": found.node_count, "edges": found.edge_count}
+
+    @staticmethod
+    def summed(done: list[dict]) -> dict:
+        """Projects with their outcomes, and the sums of nodes and edges of all that have a snapshot."""
+        states = [d["status"] for d in done]
+        total = lambda k: sum(d.get(k, 0) for d in done)
+        return {"projects": done, "ingested": states.count("ok"), "skipped": states.count("skipped"), "failed": states.count("error"), "totalNodes": total("nodes"), "totalEdges": total("edges")}
+
+    def update(self, config: dict, force: bool = False) -> str:
+        """The batch verb: a primary source and its secondaries ({"primary": path, "secondary": [{"type": "dotnet" | "typescript", "path": path}]}) in one line of JSON.
+
+        The primary's failure ends it; a secondary's is reported beside the others.
+        """
+        if not config.get("primary"):
+            return json.dumps(govern.error_payload("invalid_input", "no primary source"))
+        first = json.loads(self.call("ingest_solution" if config["primary"].endswith((".sln", ".slnx")) else "ingest_project", path=config["primary"], force=force))
+        if "error" in first:
+            return json.dumps(first)
+        done = first["projects"] if "projects" in first else [first]
+        for source in config.get("secondary") or []:
+            tool = "ingest_typescript" if source.get("type") == "typescript" else "ingest_project"
+            got = json.loads(self.call(tool, path=source.get("path", ""), force=force))
+            done.append({"status": "error", "project": source.get("path"), "message": got.get("message", got["error"])} if "error" in got else got)
+        return json.dumps(self.summed(done))
+
     def ingest_project(self, path: str, project: str | None = None, include: list[str] | None = None, exclude: list[str] | None = None, force: bool = False) -> str:
         return json.dumps(self.ingest_folder(path, project, force, include, exclude))
 
     def ingest_solution(self, path: str, force: bool = False) -> str:
-        """Each project folder of a solution on its own; unchanged ones are skipped, a failing one is reported."""
-        done = []
-        for p in files.discover(path).projects:
+        """Each project folder of a solution on its own; unchanged ones are skipped, a failing one is reported, hashes of projects that left it go."""
+        done, found = [], files.discover(path)
+        solution = Path(path).resolve().name
+        for p in found.projects:
             try:
-                done.append(self.ingest_folder(str(Path(p).parent), Path(p).stem, force))
+                done.append(self.ingest_folder(str(Path(p).parent), Path(p).stem, force, solution=solution))
             except (InvalidInput, OSError) as e:
                 done.append({"status": "error", "project": Path(p).stem, "message": str(e)})
-        states = [d["status"] for d in done]
-        return json.dumps({"projects": done, "ingested": states.count("ok"), "skipped": states.count("skipped"), "failed": states.count("error")})
+        gone = self.store.forget_others(solution, [Path(p).stem for p in found.projects])
+        if last := next((d["snapshot"] for d in reversed(done) if d["status"] == "ok"), None):
+            self.store.point(solution, last)
+        return json.dumps(self.summed(done) | {"forgotten": gone, "pointer": self.store.pointed(solution)})
 
     def ingest_typescript(self, path: str, force: bool = False) -> str:
         """The extractor's JSON beside a tsconfig.json, as a project of the folder's name."""
@@ -254,7 +305,7 @@ class Tools:
                 done.append(self.ingest_folder(str(Path(p).parent), None, force))
             except (InvalidInput, OSError) as e:
                 done.append({"status": "error", "project": str(Path(p).parent), "message": str(e)})
-        return json.dumps({"projects": done})
+        return json.dumps(self.summed(done))
 
 
 TOOLS = [

@@ -67,3 +67,37 @@ def test_limits():
     assert [buckets.take("get_symbol") for _ in range(3)] == [0, 0, 60000] and buckets.take("ingest_project") == 0
     now[0] = 61
     assert buckets.take("get_symbol") == 0
+
+
+def test_audit_sees_calls_that_the_limit_lets_through(tools):
+    seen = []
+    audited = Tools(tools.store, limits=Buckets({"query": 2, "ingestion": 1}), audit=seen.append, patterns=["symbol"])
+    got(audited, "get_symbol", symbol="M:none"), got(audited, "get_diagnostic_info"), got(audited, "get_diagnostic_info")
+    assert [(e["tool"], e["inputSummary"], e["success"], e["errorCode"]) for e in seen] == [("get_symbol", "[REDACTED](6)", False, "not_found"), ("get_diagnostic_info", "(no args)", True, None)]
+    assert all(e["responseBytes"] > 0 and e["duration"] >= 0 for e in seen)
+
+
+def test_update_sums_sources_and_solutions_forget_projects(tools, tmp_path):
+    for name in ("a", "b"):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / f"{name.upper()}.csproj").write_text("")
+        (tmp_path / name / "Dockerfile").write_text("FROM x\nRUN dotnet build\n")
+    lines = [f'Project("{{X}}") = "{n.upper()}", "{n}\\{n.upper()}.csproj", "{{Y}}"\n' for n in ("a", "b")]
+    (tmp_path / "s.sln").write_text("".join(lines))
+    (tmp_path / "more").mkdir()
+    (tmp_path / "more" / "x.sh").write_text("dotnet test\n")
+    done = json.loads(tools.update({"primary": str(tmp_path / "s.sln"), "secondary": [{"type": "dotnet", "path": str(tmp_path / "more")}, {"type": "dotnet", "path": str(tmp_path / "none")}]}))
+    assert (done["ingested"], done["skipped"], done["failed"]) == (3, 0, 1) and done["totalNodes"] == 2 * 2 + 1 and done["totalEdges"] == 2 * 2 + 1
+    assert tools.store.pointed("s.sln") == done["projects"][1]["snapshot"] and tools.store.pointed("other") is None
+    (tmp_path / "s.sln").write_text(lines[0])
+    again = got(tools, "ingest_solution", path=str(tmp_path / "s.sln"))
+    assert again["skipped"] == 1 and again["forgotten"] == ["project=B"] and again["totalNodes"] == 2
+    assert json.loads(tools.update({"primary": str(tmp_path / "gone")}))["error"] == "invalid_input"
+
+
+def test_lookups_of_one_hash_share_a_cache(tools):
+    one = tools.store.cached(tools.a)
+    assert tools.store.cached(tools.a)[0] is one[0] and one[0].storageLevel.useMemory
+    assert tools.store.cached(tools.b)[0] is not one[0] and not one[0].storageLevel.useMemory
+    tools.store.release()
+    assert tools.store.held is None

@@ -124,3 +124,20 @@ def test_impact_and_explanations(spark):
     assert row.why_it_matters == "This Return type changed from 'string' to 'int'. Any caller will fail to compile."
     assert only(review.breaking(c)).display_name == "f"
     assert review.explain(c, after, "M:y").count() == 0
+
+
+def test_of_repeated_ids_the_greatest_row_counts(spark):
+    small, great = node("M:A", returns="int"), node("M:A", returns="string")
+    for before in ([small, great], [great, small]):
+        assert changes(spark, before, [great]).count() == 0
+        assert only(changes(spark, before, [small])).description == "Return type changed from 'string' to 'int'."
+
+
+def test_a_mass_change_marks_its_parent_once(spark):
+    before = [node("T:A", "Type"), *(node(f"M:A.{i}") for i in range(7))]
+    after = [node("T:A", "Type"), *(node(f"M:A.{i}", returns="int") for i in range(7))]
+    own = [("T:A", f"M:A.{i}", "Contains") for i in range(7)]
+    made = changes(spark, before, after, own, own)
+    odd = only(review.unusual(made))
+    assert (odd.kind, odd.id) == ("MassSignatureChange", "T:A") and "7 signature changes" in odd.description and odd.remediation
+    assert {r.severity for r in review.findings(made).collect()} == {"Breaking"}

@@ -116,3 +116,36 @@ def test_solution_rollups(spark):
     assert {r.project: r.status for r in solution.project_changes(n, b).collect()} == {"A": "surviving", "B": "removed", "C": "added"}
     assert [(r.project_origin, r.category) for r in solution.inner_diff(n, e.where("scope = 'x'"), b, e.where("scope = 'x'")).collect()] == [("A", "Signature")]
     assert {r.status for r in solution.cross_edge_changes(n, e, b, e.limit(0)).collect()} == {"removed"}
+
+
+def test_projects_between_cycles_are_on_none(spark):
+    pairs = [("A", "b"), ("B", "A"), ("b", "X"), ("X", "C"), ("C", "D"), ("D", "C"), ("D", "E"), ("S", "S"), ("Q", "A")]
+    table = spark.createDataFrame(pairs, "from_project string, to_project string")
+    assert ids(graph.cyclic(table), "name") == ["a", "b", "c", "d", "s"]
+    listed = {}
+    for r in graph.cycle_list(table).orderBy("cycle", "place").collect():
+        listed.setdefault(r.cycle, []).append(r.name)
+    assert sorted(listed.values()) == [["a", "b", "a"], ["c", "d", "c"], ["s", "s"]]
+    assert graph.cyclic(table.limit(0)).count() == 0 and graph.cycle_list(table.limit(0)).count() == 0
+
+
+def test_overlapping_cycles_match_brute_force(spark):
+    import random
+
+    rng = random.Random(3)
+    for _ in range(3):
+        pairs = [(f"n{rng.randrange(14)}", f"n{rng.randrange(14)}") for _ in range(18)]
+        reach = {a: {b for x, b in pairs if x == a} for a, _ in pairs}
+        for _ in range(14):
+            for a in reach:
+                reach[a] |= set().union(*(reach.get(b, set()) for b in reach[a]))
+        assert ids(graph.cyclic(spark.createDataFrame(pairs, "from_project string, to_project string")), "name") == sorted(a for a in reach if a in reach[a])
+
+
+def test_attributes_opt_out_of_coverage(spark):
+    from pyspark.sql import functions as F
+
+    from lodestar.operators import coverage
+
+    tagged = nodes(spark, node("M:a"), node("M:b"), node("M:c")).withColumn("attributes", F.when(F.col("id") == "M:a", F.array(F.lit("ExcludeFromDocCoverageAttribute"))).when(F.col("id") == "M:b", F.array(F.lit("Other"))))
+    assert ids(coverage.parity(tagged)) == ["M:b", "M:c"] and coverage.overall(tagged).first().total == 2
