@@ -58,6 +58,24 @@ def details(nodes: DataFrame, edges: DataFrame, id_: str | None = None) -> DataF
     return out.select("id", "parent_id", F.coalesce("child_ids", none).alias("child_ids"), F.coalesce("related_ids", none).alias("related_ids"))
 
 
+def neighbour_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, children, related) of all real symbols: how long the lists of details() would be, without gathering them; a hub costs no more than its edges."""
+    both = edges.where("kind <> 'Contains'").select(F.col("from_id").alias("id"), F.col("to_id").alias("end")).union(edges.where("kind <> 'Contains'").select("to_id", "from_id"))
+    related = both.distinct().groupBy("id").agg(F.count("*").alias("related"))
+    children = edges.where("kind = 'Contains'").groupBy(F.col("from_id").alias("id")).agg(F.count("*").alias("children"))
+    return real(nodes).select("id").join(children, "id", "left").join(related, "id", "left").fillna(0, ["children", "related"]).select("id", "children", "related")
+
+
+def neighbours(edges: DataFrame, id_: str, relation: str = "children", offset: int = 0, limit: int = 200) -> DataFrame:
+    """(id) a page of a symbol's children (repeats kept) or related symbols, in order."""
+    if relation == "children":
+        ends = edges.where((F.col("from_id") == id_) & (F.col("kind") == "Contains")).select(F.col("to_id").alias("id"))
+    else:
+        near = edges.where((F.col("kind") != "Contains") & ((F.col("from_id") == id_) | (F.col("to_id") == id_)))
+        ends = near.select(F.explode(F.filter(F.array(F.when(near.from_id == id_, near.to_id), F.when(near.to_id == id_, near.from_id)), lambda e: e.isNotNull())).alias("id")).distinct()
+    return ends.orderBy("id").offset(offset).limit(min(limit, 200))
+
+
 def references(nodes: DataFrame, edges: DataFrame, id_: str, cross_project_only: bool = False, offset: int = 0, limit: int = 0) -> DataFrame:
     """A bag of edges that leave or reach a symbol (a self-loop twice), with the projects of both ends.
 

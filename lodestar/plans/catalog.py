@@ -183,6 +183,17 @@ def symbol_details_of_types(spark, d):
     return graph.details(types, g.edges(spark, d)).withColumns({c: joined(c) for c in ("child_ids", "related_ids")})
 
 
+@query(""", o AS (SELECT DISTINCT id, e FROM (SELECT from_id AS id, to_id AS e FROM g_edges WHERE kind <> 'Contains' UNION ALL SELECT to_id, from_id FROM g_edges WHERE kind <> 'Contains'))
+SELECT n.id, coalesce(c.n, 0) AS children, coalesce(r.n, 0) AS related FROM g_nodes n LEFT JOIN (SELECT from_id, count(*) AS n FROM g_edges WHERE kind = 'Contains' GROUP BY 1) c ON n.id = c.from_id LEFT JOIN (SELECT id, count(*) AS n FROM o GROUP BY 1) r ON n.id = r.id WHERE node_kind = 'Real'""")
+def symbol_neighbour_counts(spark, d):
+    return graph.neighbour_counts(g.nodes(spark, d), g.edges(spark, d))
+
+
+@query("SELECT DISTINCT CASE WHEN from_id = 'P:s3' THEN to_id ELSE from_id END AS id FROM g_edges WHERE kind <> 'Contains' AND 'P:s3' IN (from_id, to_id) ORDER BY id LIMIT 50 OFFSET 20")
+def symbol_neighbours_page(spark, d):
+    return graph.neighbours(g.edges(spark, d), "P:s3", "related", offset=20, limit=50)
+
+
 RESOLVE = """, f AS (SELECT * FROM g_nodes WHERE node_kind = 'Real' AND fqn = '{0}') SELECT count(*) AS matches, coalesce(string_agg(DISTINCT project_origin, ',' ORDER BY project_origin), '') AS projects,
   CASE WHEN count(DISTINCT project_origin) <= 1 THEN min(id) END AS id, CASE WHEN count(*) = 0 THEN 'none' WHEN count(DISTINCT project_origin) > 1 THEN 'ambiguous' ELSE 'found' END AS status FROM f"""
 
@@ -420,6 +431,11 @@ def review_impact(spark, d):
     return review.impact(found, g.after(spark, d)[1]).select("id", "category", "severity", joined("impact_scope").alias("impact_scope"))
 
 
+@query(FINDINGS + ", sc AS (SELECT to_id, count(*) AS n FROM b_edges GROUP BY 1) SELECT id, category, severity, coalesce(n, 0) AS impacted FROM fi LEFT JOIN sc ON id = to_id")
+def review_impact_counts(spark, d):
+    return review.impact_counts(review.findings(changes(spark, d)), g.after(spark, d)[1]).select("id", "category", "severity", "impacted")
+
+
 @query(CHANGES + "SELECT id, list_extract(string_split(id, '.'), -1) AS display_name, change_type, category, description FROM ch WHERE severity = 'Breaking'")
 def breaking_changes(spark, d):
     return review.breaking(changes(spark, d))
