@@ -69,25 +69,18 @@ class Hashed:
 
 
 def sliding_argmin(x: np.ndarray, width: int) -> np.ndarray:
-    """Index of the leftmost minimum of each window of x."""
-    n = len(x) - width + 1
-    rows = -(-len(x) // width)
+    """Index of the leftmost minimum of each window of x, whose lowest bits, as many as a place in a window takes, do not count."""
+    n, rows = len(x) - width + 1, -(-len(x) // width)
+    bits = U((width - 1).bit_length())
     padded = np.full(rows * width, np.iinfo(np.uint64).max)
     padded[: len(x)] = x
-    block = padded.reshape(rows, width)
-    prefix = np.minimum.accumulate(block, axis=1).ravel()
-    suffix = np.minimum.accumulate(block[:, ::-1], axis=1)[:, ::-1].ravel()
-    least = np.minimum(suffix[:n], prefix[width - 1 : width - 1 + n])
-    # the leftmost place of the minimum: the next index, from the window's start, that holds it
-    changes = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
-    out = np.empty(n, np.int64)
-    for lo, hi in zip(changes.tolist(), [*changes[1:].tolist(), n]):
-        places = lo + np.flatnonzero(x[lo : hi + width - 1] == least[lo])
-        if len(places) == 1:
-            out[lo:hi] = places[0]
-        else:
-            out[lo:hi] = places[np.searchsorted(places, np.arange(lo, hi))]
-    return out
+    # a place in a block of the window's width stands in for the lowest bits
+    block = padded.reshape(rows, width) >> bits << bits | np.arange(width, dtype=np.uint64)
+    prefix = np.minimum.accumulate(block, axis=1).ravel()[width - 1 : width - 1 + n]
+    suffix = np.minimum.accumulate(block[:, ::-1], axis=1)[:, ::-1].ravel()[:n]
+    at, mask = np.arange(n), (U(1) << bits) - U(1)
+    # a window is the end of one block and the start of the next; of equals the left one counts
+    return np.where(suffix >> bits <= prefix >> bits, at // width * width + (suffix & mask).astype(np.int64), (at + width - 1) // width * width + (prefix & mask).astype(np.int64))
 
 
 def segments(h: Hashed, size: int, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
