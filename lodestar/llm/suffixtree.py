@@ -28,20 +28,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import exchange
-from .textops import CHUNK, SPACE, Shipped, U, all_words, as_bytes, checkpointed, crc_bucket, laid_out, mix, pieces, small_batches
+from .textops import SPACE, Shipped, U, all_words, as_bytes, checkpointed, crc_bucket, laid_out, mix, pieces, small_batches, sorted_set
 
 NEAR, FAR = 5, 8
 END_SYMBOL = 10
 LEVELS = (*range(1, NEAR + 1), FAR)
-#: Slots of the filters between the passes, in bits, and the segments that they are merged by.
-SLOT_BITS, SEGMENTS = 25, 64
+#: The most slots of the filters between the passes, in bits, and the segments that they are merged by.
+MOST_BITS, SEGMENTS = 33, 64
+#: Symbols that are worked on at once, about; few enough for a processor's cache.
+RUN = 1 << 18
 #: Entries of a piece of the tree.
 PIECE = 4_000_000
 ASKED = np.dtype([("key", "<u8"), ("n", "<u4")])
 TOLD = np.dtype([("at", "<u4"), ("n", "<u8")])
 END = U(0xA5A5F00DE17DBEEF)
+#: What stands in an empty slot of a table. A key of this value is never looked for: as a context it is eight bytes of 0xFF, which no text has.
+EMPTY = U(0xFFFFFFFFFFFFFFFF)
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, log_sum double, score double"
-#: Rows of the tree: kind 0 has contexts with the logarithm of their share for unseen symbols, kind 1 context and next symbol with the logarithm of the probability.
+#: Rows of the tree: kind 0 has contexts with the logarithm of their share for unseen symbols, kind 1 context and next symbol with the logarithm of the
+#: probability, kind 2 frequent strings of NEAR + 1 symbols with that of their last symbol in the longest kept state of NEAR symbols at most.
 TREE = "part int, level int, kind int, keys binary, next binary, logs binary"
 
 
@@ -50,7 +55,7 @@ TREE = "part int, level int, kind int, keys binary, next binary, logs binary"
 def sequences(texts: list[bytes]):
     """Yields (document index, symbols before, symbols) of each piece of each text, in order."""
     doc, before = -1, np.full(FAR, END_SYMBOL, np.uint8)
-    for chunk in pieces(texts):
+    for chunk in pieces(texts, RUN):
         buf, docs, at = laid_out(chunk)
         space = SPACE[buf]
         keep = ~space
@@ -69,14 +74,16 @@ def runs(texts: list[bytes]):
     """Yields (document, context, next) arrays, an entry for each predicted symbol; a context is its FAR last symbols, the newest lowest."""
     docs: list[int] = []
     held: list[np.ndarray] = []
+    size = 0
     for doc, before, s in sequences(texts):
         if docs and docs[-1] != doc:
             held[-1] = np.append(held[-1], np.uint8(END_SYMBOL))
-            if sum(map(len, held)) > CHUNK:
+            if size > RUN:
                 yield coded(docs, held)
-                docs, held = [], []
+                docs, held, size = [], [], 0
         docs.append(doc)
         held.append(np.concatenate([before, s]))
+        size += len(s)
     if docs:
         held[-1] = np.append(held[-1], np.uint8(END_SYMBOL))
         yield coded(docs, held)
@@ -84,15 +91,14 @@ def runs(texts: list[bytes]):
 
 def coded(docs: list[int], held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     flat = np.concatenate(held)
-    context = np.zeros(len(flat), np.uint64)
-    for j in range(FAR):
-        context[FAR:] |= flat[j : len(flat) - FAR + j].astype(np.uint64) << U(8 * (FAR - 1 - j))
     sizes = np.array([len(h) for h in held])
-    real = np.ones(len(flat), bool)
-    first = np.cumsum(sizes) - sizes
+    real = np.ones(len(flat) - FAR, bool)
+    first = np.cumsum(sizes)[:-1]
     for j in range(FAR):
-        real[first + j] = False
-    return np.repeat(docs, sizes - FAR), context[real], flat[real]
+        real[first - FAR + j] = False
+    # every place's FAR symbols, read as one number where they lie
+    context = np.ndarray(len(flat) - FAR, ">u8", flat, strides=(1,))
+    return np.repeat(docs, sizes - FAR), context[real].astype(np.uint64), flat[FAR:][real]
 
 
 def low(context: np.ndarray, k: int) -> np.ndarray:
@@ -105,8 +111,26 @@ def part_of(context: np.ndarray, parts: int) -> np.ndarray:
     return (mix(low(context, 2)) % U(parts)).astype(np.int64)
 
 
-def slot_of(x: np.ndarray) -> np.ndarray:
-    return (mix(x) >> U(64 - SLOT_BITS)).astype(np.int64)
+def slot_of(x: np.ndarray, bits: int) -> np.ndarray:
+    return (x * U(0x9E3779B97F4A7C15) >> U(64 - bits)).astype(np.int64)
+
+
+class Bits:
+    """A bitmap of slots of keys, packed to stay in a processor's cache."""
+
+    def __init__(self, packed: np.ndarray):
+        self.packed, self.bits = packed, int(np.log2(len(packed) * 8))
+
+    @staticmethod
+    def of(keys: np.ndarray) -> Bits:
+        bits = max(10, int(np.log2(max(1, len(keys)))) + 4)
+        marks = np.zeros(1 << bits, bool)
+        marks[slot_of(keys, bits)] = True
+        return Bits(np.packbits(marks, bitorder="little"))
+
+    def has(self, x: np.ndarray) -> np.ndarray:
+        at = slot_of(x, self.bits)
+        return (self.packed[at >> 3] >> (at & 7).astype(np.uint8) & np.uint8(1)).view(bool)
 
 
 # -- counts ----------------------------------------------------------------------------------------
@@ -122,7 +146,7 @@ def added(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Counter:
     """Counts of 64-bit keys, merged whenever many are waiting."""
 
-    def __init__(self, wait: int = 4_000_000):
+    def __init__(self, wait: int = 2_000_000):
         self.wait, self.keys, self.n = wait, [], []
 
     def add(self, keys: np.ndarray, n: np.ndarray | None = None) -> None:
@@ -160,12 +184,12 @@ def unsqueezed(blob: bytes, *kinds) -> list[np.ndarray]:
 
 
 def counted(docs: DataFrame, keys_of, parts: int, part, level: int) -> DataFrame:
-    """(part, level, blob) of the counts of all keys that keys_of(context, next) gives, in parts by part(keys)."""
+    """(part, level, blob) of the counts of all keys that keys_of(document, context, next) gives, in parts by part(keys)."""
     def run(batches):
         held = Counter()
         for b in batches:
-            for _, context, next_ in runs(as_bytes(b.column(0))):
-                held.add(keys_of(context, next_))
+            for run_ in runs(as_bytes(b.column(0))):
+                held.add(keys_of(*run_))
         keys, n = held.total()
         where = part(keys)
         for p in np.unique(where).tolist():
@@ -183,31 +207,31 @@ def merged(t: pa.Table, level: int) -> tuple[np.ndarray, np.ndarray]:
     return held.total()
 
 
-def slots(counts: DataFrame, level: int, least: int) -> np.ndarray:
+def often(counts: DataFrame, level: int, least: int, bits: int) -> Bits:
     """A bitmap of the slots of all keys of the counts that occur `least` times or more; segments of it are joined on the executors."""
-    width = (1 << SLOT_BITS) // 8 // SEGMENTS
+    width = (1 << bits) // 8 // SEGMENTS
 
     def mark(t: pa.Table) -> pa.Table:
         keys, n = merged(t, level)
-        at = np.unique(slot_of(keys[n >= least]))
+        at = np.unique(slot_of(keys[n >= least], bits))
         rows = []
         for segment in np.unique(at // (8 * width)).tolist():
-            bits = np.zeros(8 * width, bool)
-            bits[at[at // (8 * width) == segment] % (8 * width)] = True
-            rows.append((segment, pa.compress(np.packbits(bits).tobytes(), codec="zstd", asbytes=True)))
+            marks = np.zeros(8 * width, bool)
+            marks[at[at // (8 * width) == segment] % (8 * width)] = True
+            rows.append((segment, pa.compress(np.packbits(marks, bitorder="little").tobytes(), codec="zstd", asbytes=True)))
         return pa.table([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["segment", "bits"])
 
     def join(t: pa.Table) -> pa.Table:
-        bits = np.zeros(width, np.uint8)
+        marks = np.zeros(width, np.uint8)
         for b in t["bits"].to_pylist():
-            bits |= np.frombuffer(pa.decompress(b, decompressed_size=width, codec="zstd", asbytes=True), np.uint8)
-        return pa.table([t["segment"].slice(0, 1), pa.array([bits.tobytes()], pa.binary())], names=["segment", "bits"])
+            marks |= np.frombuffer(pa.decompress(b, decompressed_size=width, codec="zstd", asbytes=True), np.uint8)
+        return pa.table([t["segment"].slice(0, 1), pa.array([marks.tobytes()], pa.binary())], names=["segment", "bits"])
 
     rows = counts.groupBy("part").applyInArrow(mark, "segment int, bits binary").groupBy("segment").applyInArrow(join, "segment int, bits binary").collect()
     out = np.zeros((SEGMENTS, width), np.uint8)
     for r in rows:
         out[r.segment] = np.frombuffer(r.bits, np.uint8)
-    return np.unpackbits(out.ravel()).view(bool)
+    return Bits(out.ravel())
 
 
 # -- the tree --------------------------------------------------------------------------------------
@@ -232,31 +256,34 @@ class Table:
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
         self.bits = max(4, int(np.ceil(np.log2(max(1, len(keys)) * 2.5))))
-        home = (mix(keys) >> U(64 - self.bits)).astype(np.int64)
+        home = slot_of(keys, self.bits)
         order = np.argsort(home, kind="stable")
         at = np.maximum.accumulate(home[order] - np.arange(len(keys))) + np.arange(len(keys)) if len(keys) else home
         self.far = int((at - home[order]).max()) if len(keys) else 0
-        self.keys, self.values, self.used = np.zeros((1 << self.bits) + self.far + 1, np.uint64), np.zeros((1 << self.bits) + self.far + 1, np.float32), np.zeros((1 << self.bits) + self.far + 1, bool)
-        self.keys[at], self.values[at], self.used[at] = keys[order], values[order], True
+        # key and value side by side; an empty slot has a key that no slot of its place can have
+        self.rows = np.zeros(((1 << self.bits) + self.far + 1, 2), np.uint64)
+        self.rows[:, 0] = EMPTY
+        self.rows[at, 0], self.rows[at, 1] = keys[order], values[order].astype(np.float64).view(np.uint64)
 
     def get(self, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(found, values) of the asked keys."""
-        at = (mix(asked) >> U(64 - self.bits)).astype(np.int64)
-        found, value = np.zeros(len(asked), bool), np.zeros(len(asked), np.float32)
-        todo = np.arange(len(asked))
-        for d in range(self.far + 1):
-            here = at[todo] + d
-            todo, here = todo[self.used[here]], here[self.used[here]]
+        at = slot_of(asked, self.bits)
+        rows = self.rows[at]
+        found = rows[:, 0] == asked
+        value = rows[:, 1].view(np.float64)
+        todo = np.flatnonzero(~found & (rows[:, 0] != EMPTY))
+        for d in range(1, self.far + 1):
             if not len(todo):
                 break
-            hit = self.keys[here] == asked[todo]
-            found[todo[hit]], value[todo[hit]] = True, self.values[here[hit]]
-            todo = todo[~hit]
+            rows = self.rows[at[todo] + d]
+            hit = rows[:, 0] == asked[todo]
+            found[todo[hit]], value[todo[hit]] = True, rows[hit, 1].view(np.float64)
+            todo = todo[~hit & (rows[:, 0] != EMPTY)]
         return found, value
 
 
 def pair_key(context: np.ndarray, next_: np.ndarray) -> np.ndarray:
-    return mix(context + U(0x632BE59BD9B4E019)) ^ (next_.astype(np.uint64) + U(1)) * U(0x9E3779B97F4A7C15)
+    return context * U(0xD6E8FEB86659FD93) + (next_.astype(np.uint64) + U(1)) * U(0xA0761D6478BD642F)
 
 
 class Root:
@@ -278,19 +305,24 @@ class Piece:
 
     def __init__(self, rows: list):
         self.share, self.pairs = {}, {}
+        self.far: Bits | None = None
+        usual = [(np.frombuffer(k, np.uint64), np.frombuffer(v, np.float32)) for _, kind, k, _, v in rows if kind == 2]
+        self.usual = Table(*(np.concatenate(x) for x in zip(*usual))) if usual else Table(np.zeros(0, np.uint64), np.zeros(0, np.float32))
         for level in LEVELS[1:]:
-            mine = [r for r in rows if r[0] == level]
+            mine = [r for r in rows if r[0] == level and r[1] < 2]
             contexts = [np.frombuffer(k, np.uint64) for _, kind, k, _, _ in mine if kind == 0]
             if sum(map(len, contexts)):
+                if level == FAR:
+                    self.far = Bits.of(np.concatenate(contexts))
                 self.share[level] = Table(np.concatenate(contexts), np.concatenate([np.frombuffer(v, np.float32) for _, kind, _, _, v in mine if kind == 0]))
                 keys = [pair_key(np.frombuffer(k, np.uint64), np.frombuffer(x, np.uint8)) for _, kind, k, x, _ in mine if kind == 1]
                 self.pairs[level] = Table(np.concatenate(keys), np.concatenate([np.frombuffer(v, np.float32) for _, kind, _, _, v in mine if kind == 1]))
 
-    def log10(self, context: np.ndarray, next_: np.ndarray, root: np.ndarray) -> np.ndarray:
-        """log10 of the probability of each next symbol in the longest kept state of its context."""
+    def near(self, context: np.ndarray, next_: np.ndarray, root: np.ndarray) -> np.ndarray:
+        """log10 of the probability of each next symbol in the longest kept state of NEAR symbols at most."""
         out = np.zeros(len(context))
         todo = np.arange(len(context))
-        for level in sorted(self.share, reverse=True):
+        for level in sorted((k for k in self.share if k <= NEAR), reverse=True):
             c = low(context[todo], level)
             kept, share = self.share[level].get(c)
             mine = np.flatnonzero(kept)
@@ -302,6 +334,23 @@ class Piece:
         out[todo] += root[(context[todo] & U(255)).astype(np.int64) * 256 + next_[todo]]
         return out
 
+    def log10(self, context: np.ndarray, next_: np.ndarray, root: np.ndarray) -> np.ndarray:
+        """log10 of the probability of each next symbol in the longest kept state of its context.
+
+        Frequent strings are looked up as a whole, the others level by level.
+        """
+        found, out = self.usual.get(low(context, NEAR) << U(8) | next_.astype(np.uint64))
+        rest = np.flatnonzero(~found)
+        out[rest] = self.near(context[rest], next_[rest], root)
+        if FAR in self.share:
+            mine = np.flatnonzero(self.far.has(context))
+            seen, value = self.pairs[FAR].get(pair_key(context[mine], next_[mine]))
+            out[mine[seen]] = value[seen]
+            mine = mine[~seen]
+            kept, share = self.share[FAR].get(context[mine])
+            out[mine[kept]] += share[kept]
+        return out
+
 
 class SuffixTree:
     """A root, and the pieces of the tree below it as broadcasts, of which one is held at a time."""
@@ -314,8 +363,7 @@ class SuffixTree:
         if self.held[0] != i:
             self.held = (-1, None)
             self.held = (i, Piece(self.shipped[i].value))
-            if len(self.shipped) > 1:
-                del self.shipped[i].held
+            self.shipped[i].release()
         return self.held[1]
 
     def log10(self, texts: list[bytes]) -> np.ndarray:
@@ -339,7 +387,7 @@ def fit(docs: DataFrame, least: int = 500, divergence: float = 40.0) -> SuffixTr
     spark: SparkSession = docs.sparkSession
     small_batches(spark)
     parts = max(64, exchange.shuffle_partitions(docs))
-    string = lambda context, next_: low(context, NEAR) << U(8) | next_.astype(np.uint64)
+    string = lambda doc, context, next_: low(context, NEAR) << U(8) | next_.astype(np.uint64)
     near = checkpointed(counted(docs, string, parts, lambda keys: part_of(keys >> U(8), parts), NEAR))
 
     def two(batches):
@@ -355,19 +403,25 @@ def fit(docs: DataFrame, least: int = 500, divergence: float = 40.0) -> SuffixTr
     for r in near.select("blob").mapInArrow(two, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():
         pairs[r.pair] = r.n
     root = Root(pairs.reshape(256, 256), least, divergence)
-    often = Shipped(spark, np.packbits(slots(near, NEAR, least)))
-
-    def candidates(context: np.ndarray, next_: np.ndarray) -> np.ndarray:
-        mine = bits_of(often)
-        for j in range(FAR - NEAR):
-            context = context[mine[slot_of(context >> U(8 * j) & U((1 << 8 * (NEAR + 1)) - 1))]]
-        return mix(context) >> U(32)
+    # no more keys than this occur so often; eight slots for each
+    bits = min(MOST_BITS, max(16, int(np.log2(max(1, pairs.sum() / least))) + 4))
+    near_often = Shipped(spark, often(near, NEAR, least, bits))
+
+    def candidates(doc: np.ndarray, context: np.ndarray, next_: np.ndarray) -> np.ndarray:
+        # the strings in a context are the newest ones of the contexts before, so each is looked up once;
+        # a text's first symbols have the padding in their contexts, which short contexts tell as well
+        newest = near_often.value.has(low(context, NEAR + 1))
+        back = FAR - NEAR - 1
+        use = newest[back:] & (doc[back:] == doc[: len(doc) - back])
+        for j in range(1, back + 1):
+            use &= newest[back - j : len(newest) - j]
+        return hashed(context[back:][use])
 
     hashes = counted(docs, candidates, parts, lambda keys: (keys % U(parts)).astype(np.int64), FAR)
-    wanted = Shipped(spark, np.packbits(slots(hashes, FAR, least)))
+    wanted = Shipped(spark, often(hashes, FAR, least, bits))
 
     def chosen(context: np.ndarray, next_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        mine = bits_of(wanted)[slot_of(mix(context) >> U(32))]
+        mine = wanted.value.has(hashed(context))
         return context[mine], next_[mine]
 
     far = far_counts(docs, chosen, parts)
@@ -394,6 +448,8 @@ def fit(docs: DataFrame, least: int = 500, divergence: float = 40.0) -> SuffixTr
                 below = p[np.searchsorted(short, codes if level > NEAR else codes & U((1 << 8 * level) - 1))]
             kept, share, use, own, effective_p = tested(context, next_, c, below, least, divergence)
             effective = codes, effective_p
+            if level == NEAR and (usual := c >= least // 2).any():
+                rows.append((part, level, 2, codes[usual].tobytes(), b"", np.log10(effective_p[usual]).astype(np.float32).tobytes()))
             if len(kept):
                 rows.append((part, level, 0, kept.tobytes(), b"", np.log10(share).astype(np.float32).tobytes()))
                 rows.append((part, level, 1, context[use].tobytes(), next_[use].tobytes(), np.log10(own).astype(np.float32).tobytes()))
@@ -421,26 +477,31 @@ def fit(docs: DataFrame, least: int = 500, divergence: float = 40.0) -> SuffixTr
     return SuffixTree(root, shipped, parts, piece_of)
 
 
-def bits_of(shipped: Shipped) -> np.ndarray:
-    """A shipped bitmap, unpacked once in a task."""
-    if "bits" not in shipped.__dict__:
-        shipped.bits = np.unpackbits(shipped.value).view(bool)
-    return shipped.bits
+def hashed(context: np.ndarray) -> np.ndarray:
+    """32 bits of a hash of each context."""
+    return context * U(0xD6E8FEB86659FD93) >> U(32)
 
 
 def far_counts(docs: DataFrame, chosen, parts: int) -> DataFrame:
-    """(part, level, blob) of the counts of chosen (context of FAR symbols, next), ordered by context and next."""
+    """(part, level, blob) of the counts of chosen (context of FAR symbols, next).
+
+    A task counts 56 bits of a hash of the context with the symbol, and keeps the distinct contexts to tell
+    the hashes by: two sorts of numbers in place of one of pairs.
+    """
     def run(batches):
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held, contexts = Counter(), Counter()
         for b in batches:
             for _, context, next_ in runs(as_bytes(b.column(0))):
                 context, next_ = chosen(context, next_)
-                held.append((*added_pairs(context, next_, np.ones(len(context), np.int64)),))
-                if sum(len(h[0]) for h in held[1:]) > 4_000_000:
-                    held = [added_pairs(*(np.concatenate(x) for x in zip(*held)))]
-        if not held:
+                held.add(named(context) | next_.astype(np.uint64))
+                contexts.add(context)
+        keys, n = held.total()
+        if not len(keys):
             return
-        context, next_, n = added_pairs(*(np.concatenate(x) for x in zip(*held)))
+        distinct = contexts.total()[0]
+        names = named(distinct)
+        order = np.argsort(names)
+        context, next_ = distinct[order[np.searchsorted(names[order], keys & U(0xFFFFFFFFFFFFFF00))]], (keys & U(255)).astype(np.uint8)
         where = part_of(context, parts)
         for p in np.unique(where).tolist():
             mine = where == p
@@ -449,9 +510,15 @@ def far_counts(docs: DataFrame, chosen, parts: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "part int, level int, blob binary")
 
 
+def named(context: np.ndarray) -> np.ndarray:
+    """56 bits of a hash of each context, above a free byte."""
+    return context * U(0x9E3779B97F4A7C15) & U(0xFFFFFFFFFFFFFF00)
+
+
 def added_pairs(context: np.ndarray, next_: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (context, next) in ascending order, with their counts summed."""
-    order = np.lexsort((next_, context))
+    """Distinct (context, next), those of a context together, with their counts summed."""
+    # by 56 bits of a hash of the context and the symbol: one sort, and equal pairs still meet
+    order = np.argsort(named(context) | next_.astype(np.uint64))
     context, next_, n = context[order], next_[order], n[order]
     first = np.flatnonzero(np.concatenate([[True], (context[1:] != context[:-1]) | (next_[1:] != next_[:-1])])) if len(context) else np.zeros(0, np.int64)
     return context[first], next_[first], np.add.reduceat(n, first) if len(first) else n[:0]
@@ -492,7 +559,13 @@ def score(docs: DataFrame, least: int = 500, divergence: float = 40.0) -> DataFr
         return doc, inverse, keys, np.bincount(inverse, train[doc], len(keys)).astype(np.uint32), texts
 
     def requests(t: pa.Table) -> pa.Table:
-        _, _, keys, n, _ = vocabulary(t)
+        texts = as_bytes(t["text"])
+        doc, h = all_words(texts)
+        train = ~np.array(t["held_out"].to_pylist(), bool)
+        keys = sorted_set(np.append(h, END))
+        learnt, times = np.unique(np.append(h[train[doc]], np.full(int(train.sum()), END)), return_counts=True)
+        n = np.zeros(len(keys), np.uint32)
+        n[np.searchsorted(keys, learnt)] = times
         entries = np.zeros(len(keys), ASKED)
         entries["key"], entries["n"] = keys, n
         return exchange.rows_table(exchange.packed(entries, exchange.part_of(keys, parts), exchange.bucket_of(t)))

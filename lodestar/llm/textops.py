@@ -94,6 +94,11 @@ class Shipped:
             self.held = pickle.loads(self.box.value)  # noqa: S301  our own bytes
         return self.held
 
+    def release(self) -> None:
+        """Frees a worker's copies; the value can be had again."""
+        self.__dict__.pop("held", None)
+        self.box.__dict__.pop("_value", None)
+
     def __getstate__(self):
         return {"box": self.box}
 
