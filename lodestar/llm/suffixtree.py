@@ -144,25 +144,42 @@ def added(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Counter:
-    """Counts of 64-bit keys, merged whenever many are waiting."""
-
-    def __init__(self, wait: int = 2_000_000):
-        self.wait, self.keys, self.n = wait, [], []
-
-    def add(self, keys: np.ndarray, n: np.ndarray | None = None) -> None:
-        if n is None:
-            keys = np.sort(keys)
-            cut = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]])) if len(keys) else np.zeros(1, np.int64)
-            keys, n = keys[cut[:-1]], np.diff(cut)
+    """Counts of 64-bit keys; keys wait as they are, to be sorted many at a time, and counts wait to be merged."""
+
+    def __init__(self, wait: int = 6_000_000):
+        self.wait, self.raw, self.waiting = wait, [], 0
+        self.keys, self.n, self.counted = [], [], 0
+
+    def add(self, keys: np.ndarray) -> None:
+        self.raw.append(keys)
+        self.waiting += len(keys)
+        if self.waiting > self.wait:
+            self.count()
+
+    def count(self) -> None:
+        keys = np.sort(np.concatenate([np.zeros(0, np.uint64), *self.raw]))
+        self.raw, self.waiting = [], 0
+        cut = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]])) if len(keys) else np.zeros(1, np.int64)
+        self.put(keys[cut[:-1]], np.diff(cut))
+
+    def put(self, keys: np.ndarray, n: np.ndarray) -> None:
+        """Adds keys that are counted already."""
         self.keys.append(keys)
         self.n.append(n.astype(np.int64))
-        if len(self.keys) > 1 and sum(map(len, self.keys[1:])) > self.wait:
-            self.total()
+        self.counted += len(keys)
+        if len(self.keys) > 1 and self.counted > max(self.wait, 2 * len(self.keys[0])):
+            self.merge()
 
-    def total(self) -> tuple[np.ndarray, np.ndarray]:
+    def merge(self) -> None:
         keys, n = added(np.concatenate([np.zeros(0, np.uint64), *self.keys]), np.concatenate([np.zeros(0, np.int64), *self.n]))
-        self.keys, self.n = [keys], [n]
-        return keys, n
+        self.keys, self.n, self.counted = [keys], [n], len(keys)
+
+    def total(self) -> tuple[np.ndarray, np.ndarray]:
+        if self.raw:
+            self.count()
+        if len(self.keys) != 1:
+            self.merge()
+        return self.keys[0], self.n[0]
 
 
 def squeezed(*columns: np.ndarray) -> bytes:
@@ -200,10 +217,10 @@ def counted(docs: DataFrame, keys_of, parts: int, part, level: int) -> DataFrame
 
 
 def merged(t: pa.Table, level: int) -> tuple[np.ndarray, np.ndarray]:
-    held = Counter(1_000_000)
+    held = Counter(2_000_000)
     for blob, k in zip(t["blob"].to_pylist(), t["level"].to_pylist()):
         if k == level:
-            held.add(*unsqueezed(blob, np.uint64, np.int64))
+            held.put(*unsqueezed(blob, np.uint64, np.int64))
     return held.total()
 
 
