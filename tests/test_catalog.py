@@ -34,3 +34,26 @@ def test_twins_agree(spark, name):
 @pytest.mark.skipif(not DATA.exists(), reason="needs the driver's tables")
 def test_flagship(spark):
     assert entry.entry(spark).count() > 0
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="needs the driver's tables")
+def test_executors_need_no_copy_of_the_repository(tmp_path):
+    """Queries that run Python on executors, from a folder and with a path from which workers cannot import this package."""
+    import os
+    import subprocess
+    import sys
+
+    root = str(Path(__file__).resolve().parents[1])
+    code = f"""
+import sys; sys.path.insert(0, {root!r})
+from pyspark.sql import SparkSession
+s = SparkSession.builder.master("local[4]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "4").config("spark.checkpoint.dir", {str(tmp_path / "ck")!r}).getOrCreate()
+assert not s.range(1).rdd.map(lambda r: __import__("importlib.util").util.find_spec("lodestar") is not None).first()
+from lodestar.plans import catalog
+for name in ("xlang_detect", "dockerfile_parse", "shell_parse", "powershell_parse", "msbuild_parse", "dotnet_tools_parse", "workflow_parse", "xmldoc_parse"):
+    assert catalog.QUERIES[name](s, {str(DATA)!r}).count() > 0, name
+print("all")
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "all" in done.stdout, done.stderr[-3000:]
