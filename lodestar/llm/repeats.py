@@ -155,7 +155,7 @@ def passages(texts: list[bytes]) -> list[np.ndarray]:
 def gram_names(t: pa.Table, length: int) -> np.ndarray:
     """The gram names of a bucket's anchors and its picked runs of words, each once, or twice if the bucket has it several times."""
     b = Bucket(t)
-    got = [np.zeros(0, np.uint64), *passages(list(b.distinct.values()))]
+    got = [np.zeros(0, np.uint64), *(np.repeat(x, 1 + b.again(name)) for name, x in zip(b.distinct, passages(list(b.distinct.values()))))]
     for name, text in b.distinct.items():
         h = Hashed(text)
         _, _, anchor = segments(h, len(text), length)

@@ -364,8 +364,9 @@ def test_shared_passages_are_told(spark):
     prose = lambda n: " ".join("".join(rng.choice("abcdefg") for _ in range(rng.randint(2, 5))) for _ in range(n))
     passage, short = prose(50), prose(31)
     rows = [(0, prose(80) + " " + passage + " " + prose(40)), (1, prose(7) + " " + passage), (2, prose(300)), (3, short + " " + prose(90)), (4, prose(90) + " " + short), (5, None), (6, "few words")]
+    rows += [(7, rows[2][1] + " end"), (8, rows[2][1] + " end")]
     got = {r.doc_id: r for r in repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert {i for i, r in got.items() if r.n_passages} == {0, 1} and not any(r.n_removed for r in got.values())
+    assert {i for i, r in got.items() if r.n_passages} == {0, 1, 2, 7, 8} and {i for i, r in got.items() if r.n_removed} == {2, 7, 8}
 
 
 CONVERSATIONS = [
