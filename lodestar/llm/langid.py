@@ -228,27 +228,32 @@ def identify(docs: DataFrame, per_language: int = 500) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, per_language: int = 500) -> DataFrame:
-    """docs, all columns, without the rows that identification rejects: no letter, or no language that they belong to.
-
-    A text belongs to no learned language if its letter trigrams are clearly likelier drawn
-    evenly from all bins than from those of any language's training rows: lettered noise, or a
-    script that no training row has. The machines always name some language, so their votes
-    are no measure of that. Learns from the rows of docs themselves that have
-    a lang, as identify() does; without any, nothing can be told apart and only texts
-    without a letter go.
+    """docs, all columns, lang as identified, without the rows that identification rejects: no letter, or no language that they belong to.
+
+    lang becomes what identify() names, whatever it was, null included. A text belongs to no
+    learned language if its letter trigrams are clearly likelier drawn evenly from all bins
+    than from those of any language's training rows: lettered noise, or a script that no
+    training row has. The machines always name some language, so their votes are no measure
+    of that. Learns from the rows of docs themselves that have a lang, as identify() does;
+    without any, nothing can be told apart: only texts without a letter go and lang stays.
     """
     spark = docs.sparkSession
     small_batches(spark)
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     shipped = Shipped(spark, fit(known.where(crc_bucket("doc_id", 4) != 2), per_language))
+    at = [c.lower() for c in docs.columns].index("lang")
 
     def run(batches):
         model = shipped.value
         for b in batches:
             texts = as_bytes(b.column("text"))
-            lettered = [i for i, t in enumerate(texts) if has_letter(t)]
-            if model and lettered:
-                lettered = [i for i in lettered if model.belongs(texts[i])]
-            yield b.take(pa.array(lettered, pa.int64()))
+            kept = [i for i, t in enumerate(texts) if has_letter(t)]
+            if model:
+                kept = [i for i in kept if model.belongs(texts[i])]
+            out = b.take(pa.array(kept, pa.int64()))
+            if model and kept:
+                lang, _ = model.predict(features([texts[i] for i in kept]))
+                out = out.set_column(at, out.schema.field(at), pa.array(lang, pa.string()).cast(out.schema.field(at).type))
+            yield out
 
     return docs.mapInArrow(run, docs.schema)
