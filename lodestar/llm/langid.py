@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import itertools
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -59,6 +60,22 @@ def bins(text: bytes) -> np.ndarray:
     return out
 
 
+def packed(row: np.ndarray) -> bytes:
+    """A row as compressed half floats; most of its bins are empty."""
+    return zlib.compress(row.astype(np.float16).tobytes(), 1)
+
+
+def unpacked(row: bytes) -> bytes:
+    return zlib.decompress(row)
+
+
+def some(x: np.ndarray | list[bytes], at: np.ndarray) -> np.ndarray:
+    """The rows of x that are asked for: of an array, or of a list of packed() rows, which is never unpacked as a whole."""
+    if isinstance(x, list):
+        return np.array([np.frombuffer(unpacked(x[i]), np.float16) for i in np.flatnonzero(at)], np.float32)
+    return x[at]
+
+
 def svm(x: np.ndarray, y: np.ndarray, c: float = 20.0, rounds: int = 150) -> tuple[np.ndarray, float]:
     """Weights and bias of a linear SVM with squared hinge loss, classes weighed evenly (accelerated gradient)."""
     x = np.hstack([x, np.ones((len(x), 1), np.float32)])
@@ -101,13 +118,13 @@ def vote(x: np.ndarray, machines: list, n: int) -> tuple[np.ndarray, np.ndarray]
     return best, score[np.arange(len(x)), best]
 
 
-def fit_here(tasks: list, x: np.ndarray, of: np.ndarray, label: np.ndarray) -> list:
+def fit_here(tasks: list, x: np.ndarray | list[bytes], of: np.ndarray, label: np.ndarray) -> list:
     """(level, a, b, weights, bias) of each task (level, a, b): level -1 tells families a and b apart, level k languages of family k."""
     out = []
     for level, a, b in tasks:
         kind = of if level < 0 else label
         rows = (kind == a) | (kind == b)
-        out.append((level, a, b, *svm(x[rows], np.where(kind[rows] == a, 1.0, -1.0))))
+        out.append((level, a, b, *svm(some(x, rows), np.where(kind[rows] == a, 1.0, -1.0))))
     return out
 
 
@@ -115,12 +132,13 @@ class LanguageModel:
     """A family classifier and, in each family, a language classifier.
 
     With a session, each pair of classes is fitted by a task of its own; without one, here.
+    x and counts are arrays, or lists of packed() rows, of which a language's are unpacked at a time.
     """
 
-    def __init__(self, x: np.ndarray, langs: list[str], counts: np.ndarray | None = None, spark=None):
+    def __init__(self, x: np.ndarray | list[bytes], langs: list[str], counts: np.ndarray | list[bytes] | None = None, spark=None):
         self.langs = sorted(set(langs))
         label = np.searchsorted(np.array(self.langs, object), np.array(langs, object))
-        means = np.array([x[label == i].mean(0) for i in range(len(self.langs))])
+        means = np.array([some(x, label == i).mean(0) for i in range(len(self.langs))])
         means /= np.maximum(np.linalg.norm(means, axis=1, keepdims=True), 1e-9)
         self.families = families_of(means @ means.T)
         of = np.zeros(len(self.langs), np.int64)
@@ -134,23 +152,24 @@ class LanguageModel:
         self.inner = [[(place[a][1], place[b][1], w, bias) for level, a, b, w, bias in fitted if level == k] for k in range(len(self.families))]
         #: log-share of each bin among a language's trigrams, and that of a bin drawn evenly.
         if counts is not None:
-            total = np.array([counts[label == i].sum(0) for i in range(len(self.langs))], float) + 0.5
+            total = np.array([some(counts, label == i).sum(0) for i in range(len(self.langs))], float) + 0.5
             self.log_share = np.log(total / total.sum(1, keepdims=True))
 
     @staticmethod
-    def spread(spark, tasks: list, x: np.ndarray, of: np.ndarray, label: np.ndarray) -> list:
+    def spread(spark, tasks: list, x: np.ndarray | list[bytes], of: np.ndarray, label: np.ndarray) -> list:
         """fit_here() of the tasks, dealt over the executors."""
         if not tasks:
             return []
-        shipped = Shipped(spark, (tasks, x.astype(np.float16), of, label))
+        shipped = Shipped(spark, (tasks, x if isinstance(x, list) else [packed(r) for r in x], of, label))
 
         def run(batches):
             tasks, x, of, label = shipped.value
             for b in batches:
-                got = fit_here([tasks[i] for i in b.column(0).to_pylist()], x.astype(np.float32), of, label)
+                got = fit_here([tasks[i] for i in b.column(0).to_pylist()], x, of, label)
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array([w.astype(np.float32).tobytes() for *_, w, _ in got], pa.binary()), pa.array([g[-1] for g in got], pa.float64())], ["task", "w", "bias"])
 
         rows = spark.range(0, len(tasks), 1, min(len(tasks), 512)).mapInArrow(run, "task long, w binary, bias double").collect()
+        shipped.box.destroy()
         return [(*tasks[r.task], np.frombuffer(r.w, np.float32), r.bias) for r in sorted(rows)]
 
     def predict(self, x: np.ndarray) -> tuple[list[str], np.ndarray]:
@@ -179,15 +198,16 @@ def fit(train: DataFrame, per_language: int = 500) -> LanguageModel | None:
         for b in batches:
             texts = as_bytes(b.column(0))
             keep = [i for i, t in enumerate(texts) if has_letter(t)]
-            x = features([texts[i] for i in keep]).astype(np.float16)
-            n = np.array([bins(texts[i]) for i in keep], np.float32).reshape(len(keep), FEATURES)
-            yield pa.RecordBatch.from_arrays([b.column(1).take(pa.array(keep, pa.int64())), pa.array([r.tobytes() for r in x], pa.binary()), pa.array([r.astype(np.float16).tobytes() for r in np.minimum(n, 60000)], pa.binary())], ["lang", "x", "n"])
+            x = [packed(r) for r in features([texts[i] for i in keep])]
+            n = [packed(np.minimum(bins(texts[i]), 60000)) for i in keep]
+            yield pa.RecordBatch.from_arrays([b.column(1).take(pa.array(keep, pa.int64())), pa.array(x, pa.binary()), pa.array(n, pa.binary())], ["lang", "x", "n"])
 
     rows = known.join(F.broadcast(ids), ["lang", "doc_id"], "left_semi").select("text", "lang").mapInArrow(run, "lang string, x binary, n binary").collect()
     if not rows:
         return None
-    rows.sort()
-    return LanguageModel(np.array([np.frombuffer(r.x, np.float16) for r in rows], np.float32), [r.lang for r in rows], np.array([np.frombuffer(r.n, np.float16) for r in rows], np.float32), spark)
+    rows.sort(key=lambda r: r.lang)
+    rows = [r for _, same in itertools.groupby(rows, lambda r: r.lang) for r in sorted(same, key=lambda r: (unpacked(r.x), unpacked(r.n)))]
+    return LanguageModel([r.x for r in rows], [r.lang for r in rows], [r.n for r in rows], spark)
 
 
 def predict(docs: DataFrame, model: LanguageModel | None, keep: list[str], schema: str) -> DataFrame:

@@ -173,6 +173,38 @@ def test_families_on_the_drivers_languages(spark):
     assert max(map(len, model.families)) >= 2 and any(model.inner)
 
 
+def test_training_rows_stay_small_on_the_driver(spark):
+    """2000 rows of 4096 bins, twice, are 33 MB even as half floats; the driver never has them all unpacked."""
+    import tracemalloc
+
+    rng = random.Random(3)
+    langs = ["aa", "bb", "cc", "dd"]
+    rows = [(i, " ".join("".join(rng.choices(langs[i % 4] + "xyz", k=5)) for _ in range(300)), langs[i % 4]) for i in range(2000)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    tracemalloc.start()
+    try:
+        model = langid.fit(table)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert model.langs == langs and model.predict(langid.features([r[1].encode() for r in rows]))[0] == [r[2] for r in rows]
+    assert peak < 33e6
+
+
+def test_packed_training_rows_give_the_same_model():
+    import numpy as np
+
+    rng = random.Random(4)
+    texts = ["".join(rng.choices("abcdef"[i % 3 :] + " ", k=200)).encode() for i in range(90)]
+    langs = ["xyz"[i % 3] for i in range(90)]
+    x, n = langid.features(texts).astype(np.float16), np.array([langid.bins(t) for t in texts])
+    plain = langid.LanguageModel(x.astype(np.float32), langs, n.astype(np.float32))
+    small = langid.LanguageModel([langid.packed(r) for r in x], langs, [langid.packed(r) for r in n])
+    assert small.families == plain.families and (small.log_share == plain.log_share).all()
+    for a, b in zip([*small.top, *sum(small.inner, [])], [*plain.top, *sum(plain.inner, [])], strict=True):
+        assert a[:2] == b[:2] and (a[2] == b[2]).all() and a[3] == b[3]
+
+
 def test_toxicity_learns_and_is_exact(spark, empty):
     import numpy as np
 
