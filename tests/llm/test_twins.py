@@ -26,4 +26,4 @@ def test_twins_agree(spark, name):
 
 def test_every_operator_is_registered():
     assert [n for n in registry.QUERIES if n.startswith("op")] == sorted((n for n in registry.QUERIES if n.startswith("op")), key=lambda n: int(n[2:].split("_")[0]))
-    assert len(registry.QUERIES) == 11
+    assert len(registry.QUERIES) == 14
