@@ -13,7 +13,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Each step replaces edges by edges to a smaller neighbour, so the table never grows
     beyond its first size; every step is checkpointed, and the loop ends when a pass
-    changes no edge. Nodes without an edge to another node do not appear. Null ends,
+    changes no edge, which the count and two sums of full 64-bit hashes of the edges tell. Nodes without an edge to another node do not appear. Null ends,
     loops and repeated edges are ignored; an empty table gives an empty table.
     """
     e = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
@@ -27,7 +27,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         linked = large.join(least, "u")
         small = linked.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", "m")).distinct()
         e = checkpointed(small)
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003)).first()
+        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")), F.sum(F.xxhash64("v", "u").cast("decimal(20,0)"))).first()
         if now == mark:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select("v", "v").distinct())
         mark = now

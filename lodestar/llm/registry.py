@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import chat, decontaminate, filteraudit, infill, langid, linededup, mixing, prefixhash, repeats, simhash, suffixtree, toxicity
+from . import chat, decontaminate, filteraudit, infill, jaccardjoin, langid, linededup, mixing, prefixhash, repeats, simhash, suffixtree, toxicity
 from .textops import table
 
 
@@ -60,5 +60,9 @@ def op12_filteraudit(spark, sf_dir):
     return filteraudit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_simhash, op3_lines, op4_language, op5_suffixtree, op6_repeats, op7_chat, op8_decontaminate, op9_mixing, op10_prefixhash, op11_infill, op12_filteraudit)} | {"pipeline": corpus_pipeline.run}
-ORACLE = {"op3_lines": linededup.ORACLE_SQL, "op7_chat": chat.ORACLE_SQL, "op8_decontaminate": decontaminate.oracle_sql(), "op9_mixing": mixing.ORACLE_SQL, "op11_infill": infill.ORACLE_SQL, "op12_filteraudit": filteraudit.ORACLE_SQL} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+def op13_jaccardjoin(spark, sf_dir):
+    return jaccardjoin.similar_documents(table(spark, sf_dir, "documents"), shingle=4, percent=85)
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_simhash, op3_lines, op4_language, op5_suffixtree, op6_repeats, op7_chat, op8_decontaminate, op9_mixing, op10_prefixhash, op11_infill, op12_filteraudit, op13_jaccardjoin)} | {"pipeline": corpus_pipeline.run}
+ORACLE = {"op3_lines": linededup.ORACLE_SQL, "op7_chat": chat.ORACLE_SQL, "op8_decontaminate": decontaminate.oracle_sql(), "op9_mixing": mixing.ORACLE_SQL, "op11_infill": infill.ORACLE_SQL, "op12_filteraudit": filteraudit.ORACLE_SQL, "op13_jaccardjoin": jaccardjoin.ORACLE_SQL} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
