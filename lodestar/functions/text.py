@@ -13,10 +13,19 @@ STOP_WORDS = "a an and are as at be but by for if in into is it no not of on or
 SUSPICIOUS = [r"ignore\s+previous\s+instructions?", r"you\s+are\s+now\b", r"\bsystem\s+prompt\b", r"forget\s+everything", r"\bact\s+as\b", r"\bdisregard\b"]
 
 
+def camel_parts(token: str) -> list[str]:
+    """The camel-case parts of a token: a capital behind a small letter begins one, and a capital behind a capital if a small letter follows."""
+    kind = ["U" if "A" <= c <= "Z" else "l" if "a" <= c <= "z" else "-" for c in token] + ["-"]
+    cuts = [i for i in range(1, len(token)) if kind[i] == "U" and (kind[i - 1] == "l" or (kind[i - 1] == "U" and kind[i + 1] == "l"))]
+    return [token[a:b] for a, b in zip([0, *cuts], [*cuts, len(token)])]
+
+
 def camel_tokens(text: Column) -> Column:
-    """Lower-cased tokens between white space, each followed by its camel-case parts if it has several."""
+    """Lower-cased tokens between white space, each followed by its camel-case parts (see camel_parts) if it has several."""
     def expand(token: Column) -> Column:
-        parts = F.split(token, "(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])")
+        # tokens have no space, so one can mark where a part begins
+        spaced = F.regexp_replace(F.regexp_replace(token, "([A-Z])([A-Z][a-z])", "$1 $2"), "([a-z])([A-Z])", "$1 $2")
+        parts = F.split(spaced, " ")
         return F.when(F.size(parts) > 1, F.concat(F.array(token), parts)).otherwise(F.array(token))
 
     tokens = F.filter(F.split(F.coalesce(text, F.lit("")), "[ \\t\\r\\n]+"), lambda t: t != "")

@@ -90,9 +90,18 @@ def enrich(edges: DataFrame, detected: DataFrame) -> DataFrame:
 
 def framework_version(name: Column) -> Column:
     """(major, minor) of a project name's framework suffix: (netX.Y) gives X+100 and Y, (netNN) gives 0 and NN, in tenths where under 100."""
-    major, minor, old = (F.try_to_number(F.nullif(F.regexp_extract(name, p, g), F.lit("")), F.lit("9999999")).cast("int") for p, g in ((r"\(net(\d+)\.(\d+)\)$", 1), (r"\(net(\d+)\.(\d+)\)$", 2), (r"\(net(\d+)\)$", 1)))
+    inside = F.when(name.contains("(") & name.endswith(")"), F.substring_index(F.rtrim(name, F.lit(")")), "(", -1))
+    # one bracket closes the suffix, and a suffix of another kind has no version
+    inside = F.when(F.concat(F.lit("("), inside, F.lit(")")) == F.right(name, F.length(inside) + 2), inside)
+    numbers = F.when(F.startswith(inside, F.lit("net")), F.split(F.substring(inside, 4, 1 << 20), "\\."))
+    digits = F.transform(numbers, lambda x: F.when((x != "") & (F.translate(x, "0123456789", "") == ""), x).try_cast("int"))
+    first, second = F.get(digits, 0), F.get(digits, 1)
     made = lambda a, b: F.struct(a.cast("int").alias("major"), b.cast("int").alias("minor"))
-    return F.when(major.isNotNull(), made(major + 100, minor)).when(old.isNotNull(), made(F.lit(0), F.when(old < 100, old * 10).otherwise(old))).otherwise(made(F.lit(0), F.lit(0)))
+    return (
+        F.when((F.size(digits) == 2) & first.isNotNull() & second.isNotNull(), made(first + 100, second))
+        .when((F.size(digits) == 1) & first.isNotNull(), made(F.lit(0), F.when(first < 100, first * 10).otherwise(first)))
+        .otherwise(made(F.lit(0), F.lit(0)))
+    )
 
 
 def latest_framework(projects: DataFrame) -> DataFrame:

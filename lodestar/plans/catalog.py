@@ -16,20 +16,8 @@ from ..operators import coverage, crosslang, diff, govern, graph, ingest, review
 from ..sources import parsers
 from ..store import SnapshotStore
 from . import demo_graph as g
-
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
-
-
-def query(sql: str | None = None, graph_sql: bool = True):
-    """Registers a function by its name; sql continues the graph's WITH clause if graph_sql."""
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE[f.__name__] = (g.SQL + sql) if graph_sql else sql
-        return f
-
-    return register
+from . import indexes  # noqa: F401  registers its queries
+from .registered import ORACLE, QUERIES, query
 
 
 def joined(column: str, sep: str = ",") -> F.Column:
@@ -112,7 +100,7 @@ h AS (SELECT p.*, times, count(*) OVER (PARTITION BY field, p.term) AS df FROM p
 w AS (SELECT h.*, documents, average_length, CASE WHEN h.field = 'doc' THEN 1.2 ELSE 2.0 END AS k1, CASE WHEN h.field = 'doc' THEN 0.75 ELSE 0.5 END AS b FROM h JOIN st ON h.field = st.field),
 s AS (SELECT id, sum(times * ln(1 + (documents - df + 0.5) / (df + 0.5)) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / average_length))) AS score FROM w GROUP BY id),
 r AS (SELECT n.id, round(score, 4) AS score, n.kind, n.display_name, n.project_origin, score AS exact FROM s JOIN g_nodes n ON s.id = n.id {extra}),
-top AS (SELECT *, row_number() OVER (ORDER BY exact DESC, id) AS place FROM r QUALIFY place <= 50)
+top AS (SELECT *, row_number() OVER (ORDER BY round(exact, 10) DESC, id) AS place FROM r QUALIFY place <= 50)
 """
 
 

@@ -12,7 +12,8 @@ DATA = Path("/root/testdata/sf0.001")
 
 def test_names_match():
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert set(catalog.ORACLE) == set(catalog.QUERIES)
+    # recall is no matter of equality; test_vectors holds it
+    assert set(catalog.QUERIES) - set(catalog.ORACLE) == {"vector_search"}
 
 
 @pytest.mark.skipif(not DATA.exists(), reason="needs the driver's tables")
@@ -50,7 +51,7 @@ from pyspark.sql import SparkSession
 s = SparkSession.builder.master("local[4]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "4").config("spark.checkpoint.dir", {str(tmp_path / "ck")!r}).getOrCreate()
 assert not s.range(1).rdd.map(lambda r: __import__("importlib.util").util.find_spec("lodestar") is not None).first()
 from lodestar.plans import catalog
-for name in ("xlang_detect", "dockerfile_parse", "shell_parse", "powershell_parse", "msbuild_parse", "dotnet_tools_parse", "workflow_parse", "xmldoc_parse"):
+for name in ("xlang_detect", "dockerfile_parse", "shell_parse", "powershell_parse", "msbuild_parse", "dotnet_tools_parse", "workflow_parse", "xmldoc_parse", "vector_search"):
     assert catalog.QUERIES[name](s, {str(DATA)!r}).count() > 0, name
 print("all")
 """
