@@ -16,12 +16,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .textops import give_back
+
 BLOB = "part int, bucket int, blob binary"
 SCHEMA = pa.schema([("part", pa.int32()), ("bucket", pa.int32()), ("blob", pa.binary())])
 #: Bytes of text in a bucket, on average; a single longer text is a larger bucket.
 BUCKET_BYTES = 6 << 20
-#: Buckets up to which only their number grows, how many times larger they become at most, and the partitions of a shuffle.
-FEW, LARGER, MOST_PARTITIONS = 2048, 8, 20_000
+#: Partitions of a shuffle.
+MOST_PARTITIONS = 20_000
 #: The column of a document's bucket; tables may have columns of any other name.
 BUCKET = "__bucket"
 
@@ -33,13 +35,12 @@ def shuffle_partitions(df: DataFrame) -> int:
 def sized(docs: DataFrame, column: str = "text", of: int = BUCKET_BYTES) -> int:
     """Buckets of about `of` bytes of text each; of less, half a MB at least, if the shuffle has more partitions.
 
-    Beyond FEW buckets they grow in size as well as in number, by the square root of the
-    input up to LARGER times `of`, so the messages between buckets and parts keep their
-    length for longer. Past that messages become short; there are never more than keys.
+    A bucket's size does not grow with the corpus, so neither does what a task holds; the
+    number of buckets does, and with it messages between buckets and parts become short.
+    There are never more than keys.
     """
     total = docs.agg(F.sum(F.octet_length(column))).first()[0] or 0
-    buckets = max(-(-total // of), min(shuffle_partitions(docs), -(-total // (1 << 19))), 1)
-    return max(1, round(buckets / min(LARGER, max(1.0, (buckets / FEW) ** 0.5))))
+    return max(-(-total // of), min(shuffle_partitions(docs), -(-total // (1 << 19))), 1)
 
 
 def bucketed(docs: DataFrame, buckets: int, key: list[str]) -> DataFrame:
@@ -98,11 +99,33 @@ def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
     return ((keys >> np.uint64(40)) % np.uint64(parts)).astype(np.int64)
 
 
+def one(f: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    """f of a group, which gives back what memory it took."""
+
+    def run(t: pa.Table) -> pa.Table:
+        out = f(t)
+        give_back()
+        return out
+
+    return run
+
+
+def two(f: Callable[[pa.Table, pa.Table], pa.Table]) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """f of two groups, which gives back what memory it took."""
+
+    def run(t: pa.Table, other: pa.Table) -> pa.Table:
+        out = f(t, other)
+        give_back()
+        return out
+
+    return run
+
+
 def ask(dealt: DataFrame, requests: Callable[[pa.Table], pa.Table], answer: Callable[[pa.Table], pa.Table]) -> DataFrame:
     """Rows (part, bucket, blob) that answer what the buckets of `dealt` ask."""
-    return dealt.groupBy(BUCKET).applyInArrow(requests, BLOB).groupBy("part").applyInArrow(answer, BLOB)
+    return dealt.groupBy(BUCKET).applyInArrow(one(requests), BLOB).groupBy("part").applyInArrow(one(answer), BLOB)
 
 
 def tell(dealt: DataFrame, replies: DataFrame, finish: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
     """finish(documents of a bucket, replies to it) for every bucket."""
-    return dealt.groupBy(BUCKET).cogroup(replies.groupBy("bucket")).applyInArrow(finish, schema)
+    return dealt.groupBy(BUCKET).cogroup(replies.groupBy("bucket")).applyInArrow(two(finish), schema)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textops import LOWER, SPACE, Shipped, as_bytes, crc_bucket, small_batches, smallest
+from .textops import LOWER, SPACE, Shipped, as_bytes, crc_bucket, lean, small_batches, smallest
 
 FEATURES = 4096
 #: How much less likely a trigram of a text that is kept may be than an evenly drawn one, in nats.
@@ -168,7 +168,7 @@ class LanguageModel:
                 got = fit_here([tasks[i] for i in b.column(0).to_pylist()], x, of, label)
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array([w.astype(np.float32).tobytes() for *_, w, _ in got], pa.binary()), pa.array([g[-1] for g in got], pa.float64())], ["task", "w", "bias"])
 
-        rows = spark.range(0, len(tasks), 1, min(len(tasks), 512)).mapInArrow(run, "task long, w binary, bias double").collect()
+        rows = spark.range(0, len(tasks), 1, min(len(tasks), 512)).mapInArrow(lean(run, shipped), "task long, w binary, bias double").collect()
         shipped.box.destroy()
         return [(*tasks[r.task], np.frombuffer(r.w, np.float32), r.bias) for r in sorted(rows)]
 
@@ -202,7 +202,7 @@ def fit(train: DataFrame, per_language: int = 500) -> LanguageModel | None:
             n = [packed(np.minimum(bins(texts[i]), 60000)) for i in keep]
             yield pa.RecordBatch.from_arrays([b.column(1).take(pa.array(keep, pa.int64())), pa.array(x, pa.binary()), pa.array(n, pa.binary())], ["lang", "x", "n"])
 
-    rows = known.join(F.broadcast(ids), ["lang", "doc_id"], "left_semi").select("text", "lang").mapInArrow(run, "lang string, x binary, n binary").collect()
+    rows = known.join(F.broadcast(ids), ["lang", "doc_id"], "left_semi").select("text", "lang").mapInArrow(lean(run), "lang string, x binary, n binary").collect()
     if not rows:
         return None
     rows.sort(key=lambda r: r.lang)
@@ -229,7 +229,7 @@ def predict(docs: DataFrame, model: LanguageModel | None, keep: list[str], schem
                 score[lettered] = sure
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(lang, pa.string()), pa.array(score)], [*keep, "lang_pred", "score"])
 
-    return docs.select(*keep, *({"text"} - set(keep))).mapInArrow(run, schema)
+    return docs.select(*keep, *({"text"} - set(keep))).mapInArrow(lean(run, shipped), schema)
 
 
 def identify(docs: DataFrame, per_language: int = 500) -> DataFrame:
@@ -276,4 +276,4 @@ def keep_identified(docs: DataFrame, per_language: int = 500) -> DataFrame:
                 out = out.set_column(at, out.schema.field(at), pa.array(lang, pa.string()).cast(out.schema.field(at).type))
             yield out
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run, shipped), docs.schema)

@@ -100,12 +100,12 @@ class Lines:
             end = len(self.all) if end < 0 else end
             buf = LOWER[np.frombuffer(b"\n" + self.all[at:end] + b"\n", np.uint8)]
             starts, ends = word_spans(buf)
-            breaks = np.cumsum(buf == 10)
-            got.append((line + breaks[starts] - 1, span_hashes(buf, starts, ends)))
+            breaks = np.cumsum(buf == 10, dtype=np.int32)
+            got.append(((line + breaks[starts] - 1).astype(np.int32), span_hashes(buf, starts, ends)))
             line += int(breaks[-1]) - 1
             at = end + 1
         if not got:
-            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+            return np.zeros(0, np.int32), np.zeros(0, np.uint64)
         return np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])
 
     def doc_of(self, line: np.ndarray) -> np.ndarray:
@@ -467,12 +467,12 @@ def dedup(docs: DataFrame, threshold: float = 0.8, report: bool = False) -> Data
     nothing = pa.table({"doc_id": pa.array([], pa.int64()), "n_lines": pa.array([], pa.int32()), "n_removed": pa.array([], pa.int32()), "removed": pa.array([], pa.list_(pa.int32())), "kept_sha256": pa.array([], pa.string())})
     n = exchange.partitions(docs, buckets)
     counts = exchange.ask(dealt, ask_counts, tell_counts)
-    met = exchange.once(exchange.tell(dealt, counts, offer, ROWS).groupBy("part").applyInArrow(meet, ROWS), n)
+    met = exchange.once(exchange.tell(dealt, counts, offer, ROWS).groupBy("part").applyInArrow(exchange.one(meet), ROWS), n)
     # what readers leave out they leave out themselves: a filter would move below the exchange and split it
     parities = exchange.tell(dealt, met, lambda t, asked: send(t, asked, WANT_PARITIES), ROWS)
-    narrowed = exchange.once(met.groupBy("part").cogroup(parities.groupBy("part")).applyInArrow(narrow, ROWS), n)
+    narrowed = exchange.once(met.groupBy("part").cogroup(parities.groupBy("part")).applyInArrow(exchange.two(narrow), ROWS), n)
     sent = exchange.tell(dealt, met.union(narrowed), lambda t, asked: send(t, asked, WANT_SET), ROWS)
-    verified = met.groupBy("part").cogroup(sent.groupBy("part")).applyInArrow(verify, ROWS)
+    verified = met.groupBy("part").cogroup(sent.groupBy("part")).applyInArrow(exchange.two(verify), ROWS)
     schema = "doc_id long, n_lines int, n_removed int, removed array<int>, kept_sha256 string" if report else docs.schema
     return exchange.tell(dealt, met.union(verified), finish, schema)
 

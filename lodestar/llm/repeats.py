@@ -384,7 +384,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, text: bool = False) -> Da
         return pa.table([pa.array(np.full(len(texts), exchange.bucket_of(t), np.int32)), pa.array(texts), pa.array(starts), pa.array(starts)], names=["bucket", "text", "first", "last"])
 
     texts_left = asked_for(left)
-    replies = exchange.tell(texts_left, left, strings, exchange.BLOB).groupBy("part").applyInArrow(repeated_strings, exchange.BLOB)
+    replies = exchange.tell(texts_left, left, strings, exchange.BLOB).groupBy("part").applyInArrow(exchange.one(repeated_strings), exchange.BLOB)
     told = left.withColumn("blob", F.lit(None).cast("binary")).unionByName(replies.select("bucket", "blob"), allowMissingColumns=True)
     gone = [hulls.where("open and settled").select("bucket", "text", "first", "last"), checkpointed(exchange.tell(texts_left, told, again, FOUND))]
     spans = ranked.where("settled").select("bucket", "text", "first", "last").union(found.where("done").select("bucket", "text", "first", "last")).union(gone[0]).union(gone[1])

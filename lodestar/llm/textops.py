@@ -7,6 +7,8 @@ about 2**-64, so counts and set overlaps over hashes are taken as exact.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import pickle
 import tempfile
 
@@ -82,6 +84,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def forget_shuffles(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of DataFrames that nothing refers to any more; it does so when the driver collects garbage."""
+    gc.collect()
+    spark._jvm.java.lang.System.gc()
+
+
 class Shipped:
     """A broadcast value whose classes travel with it, so workers need not be able to import this package."""
 
@@ -103,6 +111,28 @@ class Shipped:
         return {"box": self.box}
 
 
+def give_back() -> None:
+    """Returns freed memory to the system; a reused worker otherwise keeps the most that any of its tasks took."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim:
+        trim(0)
+
+
+def lean(run, *shipped: Shipped):
+    """run, a function of batches, which lets go of the shipped values and gives memory back when it ends."""
+
+    def lean_run(batches):
+        try:
+            yield from run(batches)
+        finally:
+            for s in shipped:
+                s.release()
+            give_back()
+
+    return lean_run
+
+
 def unused(df: DataFrame, *names: str) -> list[str]:
     """The names, each after as many underscores as it takes for df to have no such column, case aside."""
     taken, out = {c.lower() for c in df.columns}, []
@@ -140,11 +170,12 @@ def as_bytes(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bounds the rows of an Arrow batch, as texts can be long; lower settings stay."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= rows:
-        spark.conf.set(key, str(rows))
+def small_batches(spark: SparkSession, rows: int = 1000, size: int = 4 << 20) -> None:
+    """Bounds the rows and the bytes of an Arrow batch, as texts can be long; lower settings stay. A longer row is a batch."""
+    for key, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
+        key = f"spark.sql.execution.arrow.{key}"
+        if not 0 < int(spark.conf.get(key).removesuffix("b")) <= most:
+            spark.conf.set(key, str(most))
 
 
 def pieces(texts: list[bytes], limit: int = CHUNK):

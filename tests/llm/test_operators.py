@@ -620,4 +620,4 @@ print("all", len(registry.QUERIES))
 """
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=600)
-    assert "all 11" in done.stdout, done.stderr[-3000:]
+    assert "all 14" in done.stdout, done.stderr[-3000:]
