@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textops import checkpointed
+from .textops import checkpointed, forget_shuffles
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -29,5 +29,6 @@ def connected_components(edges: DataFrame) -> DataFrame:
         e = checkpointed(small)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")), F.sum(F.xxhash64("v", "u").cast("decimal(20,0)"))).first()
         if now == mark:
+            forget_shuffles(e.sparkSession)
             return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select("v", "v").distinct())
         mark = now

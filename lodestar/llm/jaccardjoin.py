@@ -18,9 +18,9 @@ The boundary is the size at which both ways together are estimated to cost least
 exact counts of the sets, subsets and list entries of each size.
 
 A list's sets are not all paired. Neighbours in the order of the sets' min-hashes are
-linked first. Lists that still hold sets of different components are looked at again: two
-rounds take one pair for each pair of groups that seems to be linked, the last takes every
-pair of sets in different components that no round has tried. A long list is dealt into
+linked first. Lists that still hold sets of different components are looked at again: one
+round takes one pair for each pair of groups that seems to be linked, the last takes every
+pair of sets in different components that was not tried before. A long list is dealt into
 squares of TILE by TILE sets, so no task holds more of it.
 """
 
@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from . import exchange
 from .components import connected_components
 from .linededup import COUNT, TOLD, squeezed, unsqueezed
-from .textops import U, all_words, as_bytes, checkpointed, mix, small_batches
+from .textops import U, all_words, as_bytes, checkpointed, lean, mix, small_batches
 
 #: Bytes of text in a bucket.
 BUCKET_BYTES = 4 << 20
@@ -76,7 +76,7 @@ def shingled(texts: list[bytes], shingle: int) -> tuple[np.ndarray, np.ndarray]:
     whole = np.arange(max(0, len(doc) - shingle + 1))
     whole = whole[doc[whole] == doc[whole + shingle - 1]]
     few = np.flatnonzero((count > 0) & (count < shingle))
-    full = np.full(len(whole), U(shingle) * ODD[-1])
+    full = np.full(len(whole), int(ODD[-1]) * shingle % (1 << 64), np.uint64)
     short = count[few].astype(np.uint64) * ODD[-1]
     for j in range(shingle):
         full += word[whole + j] * ODD[j]
@@ -211,12 +211,12 @@ def light_links(sets: DataFrame, most: int, percent: int) -> DataFrame:
                         if c > s:
                             continue
                         without = np.array(list(itertools.combinations(range(s), s - c)), np.int64).reshape(math.comb(s, c), s - c)
-                        h = mix(table.sum(1, dtype=np.uint64)[:, None] - table[:, without].sum(2, dtype=np.uint64) + U(c) * ODD[11])
+                        h = mix(table.sum(1, dtype=np.uint64)[:, None] - table[:, without].sum(2, dtype=np.uint64) + ODD[11:12] * U(c))
                         many = h.shape[1]
                         columns = (h.ravel().view(np.int64), np.repeat(ids[mine], many), np.full(h.size, size, np.int64), np.full(h.size, c, np.int64))
                         yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["key", "id", "n", "c"])
 
-    made = sets.where(F.col("n") <= most).select("id", "n", "keys").mapInArrow(run, "key long, id long, n long, c long")
+    made = sets.where(F.col("n") <= most).select("id", "n", "keys").mapInArrow(lean(run), "key long, id long, n long, c long")
     first = made.groupBy("key").agg(F.min(F.struct("n", "id")).alias("first"), F.count("*").alias("m")).where("m > 1")
     met = made.join(first, "key").where((F.col("id") != F.col("first.id")) & (sql_need(F.col("n") + F.col("first.n"), percent) <= F.col("c")))
     return met.select(F.least("id", "first.id").alias("u"), F.greatest("id", "first.id").alias("v")).distinct()
@@ -241,7 +241,7 @@ def list_entries(sets: DataFrame, least: int, percent: int) -> DataFrame:
             whole = np.concatenate(rows) if rows else np.zeros((0, len(ENTRY)), np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in whole.T], ENTRY)
 
-    made = checkpointed(sets.where(F.col("n") >= least).select("id", "n", "keys").mapInArrow(run, ", ".join(f"{c} long" for c in ENTRY)))
+    made = checkpointed(sets.where(F.col("n") >= least).select("id", "n", "keys").mapInArrow(lean(run), ", ".join(f"{c} long" for c in ENTRY)))
     long = made.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
     return checkpointed(made.join(long, "key"))
 
@@ -338,7 +338,7 @@ def open_pairs(entries: DataFrame, roots: DataFrame, percent: int, every: bool,
             yield pa.RecordBatch.from_arrays([pa.array(found[:, k].copy()) for k in (0, 1)], ["u", "v"])
 
     dealt = rows.repartition(exchange.shuffle_partitions(entries), "key", "a", "b").sortWithinPartitions("key", "a", "b")
-    return dealt.mapInArrow(run, PAIR).distinct()
+    return dealt.mapInArrow(lean(run), PAIR).distinct()
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -351,7 +351,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             either = b.column("un").to_numpy() + b.column("vn").to_numpy() - both
             yield b.select(["u", "v"]).filter(pa.array(100 * both >= percent * either))
 
-    return pairs.join(u, "u").join(v, "v").select("u", "v", "un", "vn", "uk", "vk").mapInArrow(run, PAIR)
+    return pairs.join(u, "u").join(v, "v").select("u", "v", "un", "vn", "uk", "vk").mapInArrow(lean(run), PAIR)
 
 
 def set_roots(sets: DataFrame, percent: int) -> DataFrame:
@@ -361,9 +361,9 @@ def set_roots(sets: DataFrame, percent: int) -> DataFrame:
     entries = list_entries(sets, partner(most + 1, percent), percent)
     tested = checkpointed(neighbours(entries, percent))
     links = checkpointed(links.union(verified(tested, sets, percent)))
-    for turn in range(3):
+    for turn in range(2):
         roots = connected_components(links)
-        pairs = checkpointed(open_pairs(entries, roots, percent, turn == 2, turn).join(tested, ["u", "v"], "left_anti"))
+        pairs = checkpointed(open_pairs(entries, roots, percent, turn == 1, turn).join(tested, ["u", "v"], "left_anti"))
         if not pairs.isEmpty():
             tested = tested.union(pairs)
             links = checkpointed(links.union(verified(pairs, sets, percent)))
