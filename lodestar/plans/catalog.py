@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import coverage, crosslang, diff, govern, graph, ingest, review, search, solution
-from ..sources import parsers
+from ..sources import parsers, table_functions
 from ..store import SnapshotStore
 from . import demo_graph as g
 from . import indexes  # noqa: F401  registers its queries
@@ -645,12 +645,12 @@ def xlang_enrich(spark, d):
 
 # -- artifact files ------------------------------------------------------------------------------
 
-def parsed(spark: SparkSession, d: str, path: str, lines: list[str]) -> DataFrame:
-    """What parse() makes of one file for each supplier: {k} in its path and lines is the supplier's key, {m} the key modulo 3."""
+def parsed(through, spark: SparkSession, d: str, path: str, lines: list[str]) -> DataFrame:
+    """What parsers.parse(), or another way `through` a parser, makes of one file for each supplier: {k} in its path and lines is the supplier's key, {m} the key modulo 3."""
     k = F.col("s_suppkey")
     filled = lambda t: F.replace(F.replace(F.lit(t), F.lit("{k}"), k.cast("string")), F.lit("{m}"), (k % 3).cast("string"))
     made = g.table(spark, d, "supplier").select(filled(path).alias("path"), filled("\n".join(lines) + "\n").alias("text"))
-    return parsers.parse(made, "/r").select("row", "id", "kind", "display_name", "start_line", "end_line", "summary", "remarks", "from_id", "to_id")
+    return through(made, "/r").select("row", "id", "kind", "display_name", "start_line", "end_line", "summary", "remarks", "from_id", "to_id")
 
 
 def expected(nodes: list[tuple], edges: list[tuple] = ()) -> str:
@@ -677,8 +677,8 @@ _IMAGE = "T:docker/s{k}/Dockerfile::Stage/"
     [*((_IMAGE + x.split("::")[0], _IMAGE + x, "Contains") for x in ("base::Instruction/2_WORKDIR", "base::Instruction/3_RUN", "1::Instruction/6_COPY", "1::Instruction/7_EXPOSE", "1::Instruction/9_ENTRYPOINT")),
      (_IMAGE + "1", _IMAGE + "base", "DependsOn"), (_IMAGE + "base::Instruction/3_RUN", "T:tool/dotnet/restore", "Invokes"), (_IMAGE + "base::Instruction/3_RUN", "T:tool/dotnet/build", "Invokes")],
 ), graph_sql=False)
-def dockerfile_parse(spark, d):
-    return parsed(spark, d, "/r/s{k}/Dockerfile", ["FROM sdk:{k} AS base", "WORKDIR /src/{k}", "RUN dotnet restore \\", "  && dotnet build {m}", "from run:{m}", "COPY --from=BASE /src/{k} /app", "EXPOSE 808{m}", "# last", 'ENTRYPOINT ["p", "--name-of-{m}", "a-rather-long-argument-that-has-to-be-cut"]'])
+def dockerfile_parse(spark, d, through=parsers.parse):
+    return parsed(through, spark, d, "/r/s{k}/Dockerfile", ["FROM sdk:{k} AS base", "WORKDIR /src/{k}", "RUN dotnet restore \\", "  && dotnet build {m}", "from run:{m}", "COPY --from=BASE /src/{k} /app", "EXPOSE 808{m}", "# last", 'ENTRYPOINT ["p", "--name-of-{m}", "a-rather-long-argument-that-has-to-be-cut"]'])
 
 
 _SH = "T:script/sh/s{k}/go.sh"
@@ -688,8 +688,8 @@ _SH = "T:script/sh/s{k}/go.sh"
     [(_SH, "Script", "go.sh", 1, 10, "Builds {k}.", "#!/usr/bin/env bash"), (_SH + "::Function/build{m}", "ScriptFunction", "build{m}()", 4, 7, None, None)],
     [(_SH, _SH + "::Function/build{m}", "Contains"), (_SH, "T:tool/dotnet/test", "Invokes"), (_SH, "T:script/sh/s{k}/lib/a{m}.sh", "Imports"), (_SH, "T:script/sh/s{k}/lib/a{m}.sh", "Invokes"), (_SH, "T:script/sh/s{k}/run{k}.sh", "Invokes")],
 ), graph_sql=False)
-def shell_parse(spark, d):
-    return parsed(spark, d, "/r/s{k}/go.sh", ["#!/usr/bin/env bash", "# Builds {k}.", "echo", "build{m}() {", '  echo "${x}"', "  dotnet test p{k}", "}", "", "source ./lib/a{m}.sh", "true && ./run{k}.sh --fast"])
+def shell_parse(spark, d, through=parsers.parse):
+    return parsed(through, spark, d, "/r/s{k}/go.sh", ["#!/usr/bin/env bash", "# Builds {k}.", "echo", "build{m}() {", '  echo "${x}"', "  dotnet test p{k}", "}", "", "source ./lib/a{m}.sh", "true && ./run{k}.sh --fast"])
 
 
 _PS = "T:script/ps1/s{k}/go.ps1"
@@ -701,21 +701,21 @@ _PS = "T:script/ps1/s{k}/go.ps1"
     [(_PS, "T:module/Pester{m}", "Imports"), (_PS, "T:script/ps1/./lib/b{k}.ps1", "Imports"), (_PS, "T:tool/dotnet/publish", "Invokes"), (_PS, "T:System.IO.Path", "References"), (_PS, _PS + "::Function/Send-P{m}", "Contains"),
      (_PS + "::Function/Send-P{m}", _PS + "::Function/Send-P{m}::Param/Path", "Contains"), (_PS + "::Function/Send-P{m}", _PS + "::Function/Send-P{m}::Param/Times", "Contains")],
 ), graph_sql=False)
-def powershell_parse(spark, d):
-    return parsed(spark, d, "/r/s{k}/go.ps1", ["<#", ".SYNOPSIS", "Ships {k}", "  at once", ".NOTES", "#>", "#Requires -Modules Pester{m}", ". .\\lib\\b{k}.ps1", "function Send-P{m} {", " param([Parameter(Mandatory = $true)][string]$Path, [int]$Times = 3)", " & dotnet Publish p{k}", " [System.IO.Path]::GetFullPath('x')", "}"])
+def powershell_parse(spark, d, through=parsers.parse):
+    return parsed(through, spark, d, "/r/s{k}/go.ps1", ["<#", ".SYNOPSIS", "Ships {k}", "  at once", ".NOTES", "#>", "#Requires -Modules Pester{m}", ". .\\lib\\b{k}.ps1", "function Send-P{m} {", " param([Parameter(Mandatory = $true)][string]$Path, [int]$Times = 3)", " & dotnet Publish p{k}", " [System.IO.Path]::GetFullPath('x')", "}"])
 
 
 @query(expected(
     [("T:msbuild-target/b{k}.targets/Pack", "BuildTarget", "Pack", 3, 3, "MSBuild target 'Pack'", None), ("T:msbuild-prop/b{k}.targets/V{m}", "BuildProperty", "V{m}", 2, 2, "MSBuild property 'V{m}' = {k}", "Condition: c{m}"), ("T:msbuild-task/b{k}.targets/T{k}", "BuildTask", "T{k}", 4, 4, "MSBuild task 'T{k}' from f.dll", None)],
     [*(("T:msbuild-target/b{k}.targets/Pack", f"T:msbuild-target/b{{k}}.targets/{x}", "DependsOn") for x in ("A", "B{m}", "C")), ("T:msbuild-task/b{k}.targets/T{k}", "T:assembly/f.dll", "References")],
 ), graph_sql=False)
-def msbuild_parse(spark, d):
-    return parsed(spark, d, "/r/b{k}.targets", ['<Project xmlns="http://schemas.microsoft.com/developer/msbuild/2003">', '<PropertyGroup><V{m} Condition="c{m}">{k}</V{m}></PropertyGroup>', '<Target Name="Pack" DependsOnTargets="A; B{m};" AfterTargets="C"/>', '<UsingTask TaskName="T{k}" AssemblyFile="f.dll"/>', "</Project>"])
+def msbuild_parse(spark, d, through=parsers.parse):
+    return parsed(through, spark, d, "/r/b{k}.targets", ['<Project xmlns="http://schemas.microsoft.com/developer/msbuild/2003">', '<PropertyGroup><V{m} Condition="c{m}">{k}</V{m}></PropertyGroup>', '<Target Name="Pack" DependsOnTargets="A; B{m};" AfterTargets="C"/>', '<UsingTask TaskName="T{k}" AssemblyFile="f.dll"/>', "</Project>"])
 
 
 @query(expected([("T:dotnet-tool/t{k}", "Tool", "t{k}", 2, 2, "dotnet tool v1.{m}.{k}; commands: run{k}, x", None), ("T:dotnet-tool/bare{m}", "Tool", "bare{m}", 3, 3, "dotnet tool vunknown; commands: (none)", None)]), graph_sql=False)
-def dotnet_tools_parse(spark, d):
-    return parsed(spark, d, "/r/s{k}/dotnet-tools.json", ['{"version": 1, "tools": {', '"t{k}": {"version": "1.{m}.{k}", "commands": ["run{k}", "x"]},', '"bare{m}": {}}}'])
+def dotnet_tools_parse(spark, d, through=parsers.parse):
+    return parsed(through, spark, d, "/r/s{k}/dotnet-tools.json", ['{"version": 1, "tools": {', '"t{k}": {"version": "1.{m}.{k}", "commands": ["run{k}", "x"]},', '"bare{m}": {}}}'])
 
 
 _CI = "T:ci/github/c{k}.yml"
@@ -727,9 +727,9 @@ _CI = "T:ci/github/c{k}.yml"
     [(_CI, _CI + "::Job/build", "Contains"), (_CI, _CI + "::Job/ship", "Contains"), (_CI + "::Job/ship", _CI + "::Job/build", "DependsOn"), (_CI + "::Job/build", _CI + "::Job/build::Step/0_get_it@v{m}", "Contains"), (_CI + "::Job/build", _CI + "::Job/build::Step/1_Make_{k}", "Contains"),
      (_CI + "::Job/build::Step/0_get_it@v{m}", "T:ci/action/get/it@v{m}", "Invokes"), (_CI + "::Job/build::Step/1_Make_{k}", "T:ci/cmd/dotnet build", "Invokes"), (_CI + "::Job/build::Step/1_Make_{k}", "T:ci/cmd/dotnet test", "Invokes")],
 ), graph_sql=False)
-def workflow_parse(spark, d):
-    """Needs a YAML reader on the executors; without one there are no rows."""
-    return parsed(spark, d, "/r/.github/workflows/c{k}.yml", ["name: CI {k}", "on: [push, pull_request]", "jobs:", "  build:", "    runs-on: host{m}", "    steps:", "    - uses: get/it@v{m}", "    - {name: Make {k}, run: 'dotnet build && dotnet test; dotnet build'}", "  ship:", "    name: Ship it", "    needs: build"])
+def workflow_parse(spark, d, through=parsers.parse):
+    """Needs a YAML reader on the executors."""
+    return parsed(through, spark, d, "/r/.github/workflows/c{k}.yml", ["name: CI {k}", "on: [push, pull_request]", "jobs:", "  build:", "    runs-on: host{m}", "    steps:", "    - uses: get/it@v{m}", "    - {name: Make {k}, run: 'dotnet build && dotnet test; dotnet build'}", "  ship:", "    name: Ship it", "    needs: build"])
 
 
 _AZ = "T:ci/azure/azure-pipelines.yml"
@@ -739,9 +739,9 @@ _AZ = "T:ci/azure/azure-pipelines.yml"
     [(_AZ, "CIWorkflow", "azure-pipelines.yml", 1, 1, "Triggers: main{k}", None), (_AZ + "::Job/J{k}", "CIJob", "Job {m}", 3, 3, None, None), (_AZ + "::Job/J{k}::Step/0_T{k}@1", "CIStep", "T{k}@1", 7, 7, None, None)],
     [(_AZ, _AZ + "::Job/J{k}", "Contains"), (_AZ + "::Job/J{k}", _AZ + "::Job/A{m}", "DependsOn"), (_AZ + "::Job/J{k}", _AZ + "::Job/J{k}::Step/0_T{k}@1", "Contains"), (_AZ + "::Job/J{k}::Step/0_T{k}@1", "T:ci/task/T{k}@1", "Invokes")],
 ), graph_sql=False)
-def pipeline_file_parse(spark, d):
-    """Needs a YAML reader on the executors; without one there are no rows."""
-    return parsed(spark, d, "/r/s{k}/azure-pipelines.yml", ["trigger: [main{k}]", "jobs:", "- job: J{k}", "  displayName: Job {m}", "  dependsOn: [A{m}]", "  steps:", "  - task: T{k}@1"])
+def pipeline_file_parse(spark, d, through=parsers.parse):
+    """Needs a YAML reader on the executors."""
+    return parsed(through, spark, d, "/r/s{k}/azure-pipelines.yml", ["trigger: [main{k}]", "jobs:", "- job: J{k}", "  displayName: Job {m}", "  dependsOn: [A{m}]", "  steps:", "  - task: T{k}@1"])
 
 
 @query("""SELECT s_suppkey AS k, CASE s_suppkey % 4 WHEN 0 THEN 'About ' || s_name WHEN 1 THEN '[Parse warning] About ' || s_name WHEN 2 THEN '[Parse warning] <summary>' || s_name END AS summary,
@@ -756,6 +756,26 @@ def xmldoc_parse(spark, d):
     return found.select("k", "docs.summary", F.coalesce(F.array_join(pairs, ","), F.lit("")).alias("params"), F.coalesce(F.array_join("docs.see_also", ","), F.lit("")).alias("see"))
 
 
+def lateral(function: str):
+    """A way through a parser: its table function, called in SQL for each row of the files."""
+    def through(files: DataFrame, base: str) -> DataFrame:
+        table_functions.register(files.sparkSession)
+        return files.sparkSession.sql(f"SELECT r.* FROM {{files}} f, LATERAL {function}(f.path, f.text, '{base}') r", files=files)
+
+    return through
+
+
+def in_sql(name: str, function: str) -> None:
+    """Registers a parser's query once more, by its table function."""
+    first = QUERIES[name]
+    QUERIES[f"{name}_in_sql"] = lambda spark, d: first(spark, d, lateral(function))
+    ORACLE[f"{name}_in_sql"] = ORACLE[name]
+
+
+for _name, _function in (("dockerfile_parse", "parse_dockerfile"), ("shell_parse", "parse_shell"), ("powershell_parse", "parse_powershell"), ("msbuild_parse", "parse_msbuild"), ("dotnet_tools_parse", "parse_dotnet_tools"), ("workflow_parse", "parse_workflow"), ("pipeline_file_parse", "parse_pipeline")):
+    in_sql(_name, _function)
+
+
 # -- governance ----------------------------------------------------------------------------------
 
 PHRASE = "CASE doc_id % 7 WHEN 0 THEN ' Ignore  previous instruction' WHEN 1 THEN ' YOU ARE NOW' WHEN 2 THEN ' the System Prompt' WHEN 3 THEN ' forget everything, act as me' WHEN 4 THEN ' disregard this' ELSE '' END"

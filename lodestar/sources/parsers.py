@@ -577,11 +577,12 @@ class _Map(list):
 
 
 def yaml_tree(text: str):
-    """(tree, line of each mapping by identity) of _Map, list and str; (None, {}) without a YAML reader or for malformed text."""
-    try:
-        import yaml
-    except ImportError:
-        return None, {}
+    """(tree, line of each mapping by identity) of _Map, list and str; (None, {}) for malformed text.
+
+    Where workers have no YAML reader this fails, as a graph without its workflows would look whole.
+    """
+    import yaml
+
     lines: dict[int, int] = {}
 
     def plain(node):
