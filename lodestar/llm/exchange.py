@@ -121,6 +121,13 @@ def two(f: Callable[[pa.Table, pa.Table], pa.Table]) -> Callable[[pa.Table, pa.T
     return run
 
 
+def by_part(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order, part): the order of distinct keys by part and then their lower 32 bits, and the part of each key in it."""
+    joint = part_of(keys, parts).astype(np.uint64) << np.uint64(32) | keys & np.uint64(0xFFFFFFFF)
+    order = np.argsort(joint)
+    return order, (joint[order] >> np.uint64(32)).astype(np.int64)
+
+
 def ask(dealt: DataFrame, requests: Callable[[pa.Table], pa.Table], answer: Callable[[pa.Table], pa.Table]) -> DataFrame:
     """Rows (part, bucket, blob) that answer what the buckets of `dealt` ask."""
     return dealt.groupBy(BUCKET).applyInArrow(one(requests), BLOB).groupBy("part").applyInArrow(one(answer), BLOB)

@@ -39,14 +39,14 @@ from .components import connected_components
 from .linededup import COUNT, TOLD, squeezed, unsqueezed
 from .textops import U, all_words, as_bytes, checkpointed, lean, mix, small_batches
 
-#: Bytes of text in a bucket.
-BUCKET_BYTES = 4 << 20
+#: Bytes of text in a bucket, and that are taken apart at a time, so that arrays stay in a core's cache.
+BUCKET_BYTES, PIECE = 4 << 20, 1 << 17
 #: Sets of more shingles are never light: their subsets are too many at any cost of lists.
 MOST_LIGHT = 20
 #: The cost of comparing two entries of a list against that of making a row.
 COMPARE = 0.05
-#: Sets of a list that one task compares with as many others.
-TILE = 4096
+#: Sets of a list that one task compares with as many others, and that it links in order, about.
+TILE, NEAR = 1024, 256
 #: 64-bit words of a set's parities.
 WORDS = 4
 ODD = np.array([pow(0x9E3779B97F4A7C15, 2 * k + 1, 1 << 64) for k in range(64)], np.uint64)
@@ -70,7 +70,7 @@ def sql_need(both: Column, percent: int) -> Column:
 
 def shingled(texts: list[bytes], shingle: int) -> tuple[np.ndarray, np.ndarray]:
     """(document, hash) of the distinct shingles of each text, in ascending order; fewer words are one shingle."""
-    doc, word = all_words(texts)
+    doc, word = all_words(texts, PIECE)
     count = np.bincount(doc, minlength=len(texts))
     first = np.cumsum(count) - count
     whole = np.arange(max(0, len(doc) - shingle + 1))
@@ -83,7 +83,8 @@ def shingled(texts: list[bytes], shingle: int) -> tuple[np.ndarray, np.ndarray]:
         has = count[few] > j
         short[has] += word[first[few[has]] + j] * ODD[j]
     docs, h = np.concatenate([doc[whole], few]), mix(np.concatenate([full, short]))
-    order = np.lexsort((h, docs))
+    order = np.argsort(h)
+    order = order[np.argsort(docs[order].astype(np.uint16 if len(texts) < 1 << 16 else np.int64), kind="stable")]
     docs, h = docs[order], h[order]
     new = np.ones(len(h), bool)
     new[1:] = (docs[1:] != docs[:-1]) | (h[1:] != h[:-1])
@@ -112,8 +113,8 @@ def marked(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
         first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
         entries = np.zeros(len(first), COUNT)
         entries["key"], entries["n"] = h[first] & U(0xFFFFFFFF), np.minimum(np.diff(np.append(first, len(h))), 65535)
-        order = np.argsort(entries["key"], kind="stable")
-        made = exchange.packed(entries[order], exchange.part_of(h[first][order], parts), exchange.bucket_of(t))
+        order, part = exchange.by_part(h[first], parts)
+        made = exchange.packed(entries[order], part, exchange.bucket_of(t))
         return exchange.rows_table((p, b, squeezed(np.frombuffer(blob, COUNT))) for p, b, blob in made)
 
     def answer(t: pa.Table) -> pa.Table:
@@ -137,9 +138,8 @@ def marked(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
         texts = as_bytes(t["text"]) if len(t) else []
         doc, h = shingled(texts, shingle)
         keys, word, n = np.unique(h, return_inverse=True, return_counts=True)
-        part = exchange.part_of(keys, parts)
-        by_part = np.lexsort((keys & U(0xFFFFFFFF), part))
-        start = np.searchsorted(part[by_part], np.arange(parts))
+        by_part, part = exchange.by_part(keys, parts)
+        start = np.searchsorted(part, np.arange(parts))
         for p, blob in zip(counts["part"].to_pylist(), counts["blob"].to_pylist()):
             told = unsqueezed(blob, TOLD)
             n[by_part[start[p] + told["at"]]] = told["n"]
@@ -151,7 +151,9 @@ def marked(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
         np.add.at(sums, doc, mix(h ^ ODD[5]))
         ids = mix(sums + sizes.astype(np.uint64) * ODD[7]).view(np.int64)
         use = np.flatnonzero(may[doc] & (df > 1))
-        use = use[np.lexsort((h[use], df[use], doc[use]))]
+        # hashes of a document ascend already
+        use = use[np.argsort(df[use].astype(np.uint16), kind="stable")]
+        use = use[np.argsort(doc[use].astype(np.uint16 if len(texts) < 1 << 16 else np.int64), kind="stable")]
         first = np.searchsorted(doc[use], np.arange(len(texts) + 1))
         blobs, reach, seen = [None] * len(texts), [None] * len(texts), set()
         for i in np.flatnonzero(may).tolist():
@@ -256,7 +258,7 @@ def may_link(a: dict[str, Column], b: dict[str, Column], percent: int) -> Column
 
 def neighbours(entries: DataFrame, percent: int) -> DataFrame:
     """(u, v): each set of a list with the one before it by min-hash, if they may be linked. A long list's min-hashes are dealt into ranges."""
-    salt = F.pmod(F.xxhash64("least"), F.ceil(F.col("m") / F.lit(TILE)))
+    salt = F.pmod(F.xxhash64("least"), F.ceil(F.col("m") / F.lit(NEAR)))
     order = Window.partitionBy("key", "salt").orderBy("least", "n", "id")
     mine = ["id", "n", "s", "place", *(f"f{k}" for k in range(WORDS))]
     beside = entries.withColumn("salt", salt).select(*mine, F.lag(F.struct(*mine)).over(order).alias("p")).where("p is not null")

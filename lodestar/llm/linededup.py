@@ -41,7 +41,8 @@ GONE, ENTRIES, WANT_PARITIES, WANT_SET, PARITIES, SETS, STATE = range(7)
 #: Sets of more words differ in as many of 64 parities by chance as similar ones may; they are met by 512.
 SHORT = 80
 BUCKET_BYTES = 8 << 20
-CHUNK = 1 << 21
+#: Bytes that are taken apart at a time: few enough that their arrays stay in a core's cache.
+CHUNK = 1 << 17
 #: Entries of a word from which its pairs are sought by classes.
 HOT = 512
 
@@ -251,8 +252,8 @@ def dedup(docs: DataFrame, threshold: float = 0.8, report: bool = False) -> Data
         first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
         entries = np.zeros(len(first), COUNT)
         entries["key"], entries["n"] = h[first] & U(0xFFFFFFFF), np.minimum(np.diff(np.append(first, len(h))), 65535)
-        order = np.argsort(entries["key"], kind="stable")
-        made = exchange.packed(entries[order], exchange.part_of(h[first][order], parts), exchange.bucket_of(t))
+        order, part = exchange.by_part(h[first], parts)
+        made = exchange.packed(entries[order], part, exchange.bucket_of(t))
         return exchange.rows_table((p, b, squeezed(np.frombuffer(blob, COUNT))) for p, b, blob in made)
 
     def tell_counts(t: pa.Table) -> pa.Table:
@@ -274,14 +275,14 @@ def dedup(docs: DataFrame, threshold: float = 0.8, report: bool = False) -> Data
         lines, bucket = Lines(t), exchange.bucket_of(t)
         line, h = lines.words()
         keys, word, n = np.unique(h, return_inverse=True, return_counts=True)
-        part = exchange.part_of(keys, parts)
-        by_part = np.lexsort((keys & U(0xFFFFFFFF), part))
-        start = np.searchsorted(part[by_part], np.arange(parts))
+        by_part, part = exchange.by_part(keys, parts)
+        start = np.searchsorted(part, np.arange(parts))
         for p, blob in zip(counts["part"].to_pylist(), counts["blob"].to_pylist()):
             told = unsqueezed(blob, TOLD)
             n[by_part[start[p] + told["at"]]] = told["n"]
         rank = np.empty(len(keys), np.int64)
-        by_rarity = np.lexsort((keys, n))
+        # counts that are told end at 65535; of equal counts the smaller key, as keys ascend
+        by_rarity = np.argsort(np.minimum(n, 65535).astype(np.uint16), kind="stable")
         rank[by_rarity] = np.arange(len(keys))
         # words of each line once, the rarest first
         ordered = sorted_set(line.astype(np.int64) << 32 | rank[word])

@@ -228,16 +228,16 @@ def sorted_set(x: np.ndarray) -> np.ndarray:
     return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
 
 
-def words(texts: list[bytes], space: np.ndarray = SPACE):
-    """Yields (document index of each word, hash of each word) by chunk, in order."""
-    for chunk in pieces(texts):
+def words(texts: list[bytes], space: np.ndarray = SPACE, limit: int = CHUNK):
+    """Yields (document index of each word, hash of each word) by chunk of about limit bytes, in order."""
+    for chunk in pieces(texts, limit):
         buf, docs, at = laid_out(chunk)
         starts, ends = word_spans(buf, space)
         yield docs[np.searchsorted(at, starts, side="right") - 1], span_hashes(buf, starts, ends)
 
 
-def all_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    got = list(words(texts))
+def all_words(texts: list[bytes], limit: int = CHUNK) -> tuple[np.ndarray, np.ndarray]:
+    got = list(words(texts, limit=limit))
     if not got:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     return np.concatenate([x[0] for x in got]), np.concatenate([x[1] for x in got])
