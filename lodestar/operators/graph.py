@@ -39,23 +39,34 @@ def ambiguous_fqns(nodes: DataFrame) -> DataFrame:
     return real(nodes).groupBy("fqn").agg(F.count("*").alias("matches"), F.countDistinct(F.coalesce("project_origin", F.lit(UNKNOWN))).alias("projects")).where("projects > 1")
 
 
-def details(nodes: DataFrame, edges: DataFrame, id_: str | None = None) -> DataFrame:
-    """(id, parent_id, child_ids, related_ids) of one real symbol or of all.
+def details(nodes: DataFrame, edges: DataFrame, id_: str | None = None, most: int | None = None) -> DataFrame:
+    """(id, parent_id, child_ids, related_ids) of one real symbol or of all that nodes has.
 
     The parent is the greatest source of incoming Contains edges, children keep repeats,
-    and related symbols are the distinct other ends of edges of other kinds.
+    and related symbols are the distinct other ends of edges of other kinds. Only edges of
+    these symbols are gathered. With `most`, lists end after so many, in order, and
+    child_count and related_count tell how many there are; a hub then costs no long row.
     """
     ids = (symbol(nodes, id_) if id_ else real(nodes)).select("id")
     touching = edges if id_ is None else edges.where((F.col("from_id") == id_) | (F.col("to_id") == id_))
+    of = lambda ends: ends.join(ids.distinct(), "id", "left_semi")
     contains = touching.where("kind = 'Contains'")
     other = touching.where("kind <> 'Contains'")
-    parent = contains.groupBy(F.col("to_id").alias("id")).agg(F.max("from_id").alias("parent_id"))
-    children = contains.groupBy(F.col("from_id").alias("id")).agg(F.array_sort(F.collect_list("to_id")).alias("child_ids"))
-    both = other.select(F.col("from_id").alias("id"), F.col("to_id").alias("end")).union(other.select("to_id", "from_id"))
-    related = both.groupBy("id").agg(F.array_sort(F.collect_set("end")).alias("related_ids"))
-    none = F.array().cast("array<string>")
+    parent = of(contains.select(F.col("to_id").alias("id"), F.col("from_id").alias("end"))).groupBy("id").agg(F.max("end").alias("parent_id"))
+    children = of(contains.select(F.col("from_id").alias("id"), F.col("to_id").alias("end")))
+    related = of(other.select(F.col("from_id").alias("id"), F.col("to_id").alias("end")).union(other.select("to_id", "from_id")))
+    none, counts = F.array().cast("array<string>"), []
+    if most is not None:
+        counts = ["child_count", "related_count"]
+        numbered = []
+        for ends, count in ((children, counts[0]), (related.distinct(), counts[1])):
+            own = Window.partitionBy("id")
+            numbered.append(ends.withColumns({"n": F.row_number().over(own.orderBy("end")), count: F.count("*").over(own)}).where(F.col("n") <= most))
+        children, related = numbered
+    children = children.groupBy("id").agg(F.array_sort(F.collect_list("end")).alias("child_ids"), *(F.max(c).alias(c) for c in counts[:1]))
+    related = related.groupBy("id").agg(F.array_sort(F.collect_set("end")).alias("related_ids"), *(F.max(c).alias(c) for c in counts[1:]))
     out = ids.join(parent, "id", "left").join(children, "id", "left").join(related, "id", "left")
-    return out.select("id", "parent_id", F.coalesce("child_ids", none).alias("child_ids"), F.coalesce("related_ids", none).alias("related_ids"))
+    return out.select("id", "parent_id", F.coalesce("child_ids", none).alias("child_ids"), F.coalesce("related_ids", none).alias("related_ids"), *(F.coalesce(c, F.lit(0)).alias(c) for c in counts))
 
 
 def neighbour_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -127,17 +129,25 @@ def stubs(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return wanted.where(~F.col("fqn").isin(PRIMITIVES)).join(nodes.select("id"), "id", "left_anti").select("id", F.element_at(F.split("fqn", r"\."), -1).alias("display_name"))
 
 
+def digest(columns: list[str]) -> list[Column]:
+    """Aggregates of a table's rows that do not hang on their order: their number n, and sums s0 to s7 of pieces of their hashes."""
+    line = F.sha2(F.to_json(F.struct(*sorted(columns))), 256)
+    piece = [F.conv(F.substring(line, 1 + 8 * i, 8), 16, 10).cast("decimal(38,0)") for i in range(8)]
+    return [F.count(F.lit(1)).alias("n"), *(F.coalesce(F.sum(p), F.lit(0)).alias(f"s{i}") for i, p in enumerate(piece))]
+
+
+def hash_of(nodes: dict, edges: dict) -> str:
+    """The content hash from the digests of both tables, by name."""
+    text = lambda d: "{" + ",".join(f'"{k}":{int(d[k])}' for k in ("n", *(f"s{i}" for i in range(8)))) + "}"
+    return hashlib.sha256(f"{text(nodes)}|{text(edges)}".encode()).hexdigest()
+
+
 def content_hash(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """One row (content_hash): independent of row order and time stamps.
 
     Rows are hashed apart and their hashes summed over a modulus, so nothing is gathered.
     """
-    def digest(df: DataFrame, columns: list[str]) -> DataFrame:
-        line = F.sha2(F.to_json(F.struct(*columns)), 256)
-        piece = [F.conv(F.substring(line, 1 + 8 * i, 8), 16, 10).cast("decimal(38,0)") for i in range(8)]
-        return df.agg(F.count("*").alias("n"), *(F.coalesce(F.sum(p), F.lit(0)).alias(f"s{i}") for i, p in enumerate(piece)))
-
-    a, b = digest(nodes, sorted(nodes.columns)), digest(edges, sorted(edges.columns))
+    a, b = (df.agg(*digest(df.columns)) for df in (nodes, edges))
     text = lambda df: F.to_json(F.struct("*"))
     both = a.select(text(a).alias("a")).join(F.broadcast(b.select(text(b).alias("b"))))
     return both.select(F.sha2(F.concat_ws("|", "a", "b"), 256).alias("content_hash"))

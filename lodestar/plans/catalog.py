@@ -16,7 +16,7 @@ from ..operators import coverage, crosslang, diff, govern, graph, ingest, review
 from ..sources import parsers, table_functions
 from ..store import SnapshotStore
 from . import demo_graph as g
-from . import indexes  # noqa: F401  registers its queries
+from . import events, indexes  # noqa: F401  register their queries
 from .registered import ORACLE, QUERIES, query
 
 

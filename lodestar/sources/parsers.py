@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..model import DOCS, normalised
+from ..operators.graph import stored
 
 ROWS = (
     "row string, id string, kind string, display_name string, fqn string, summary string, remarks string, file_path string, start_line int, end_line int, "
@@ -137,7 +138,8 @@ def resolve_inherited(docs: DataFrame, natural: DataFrame | None = None, depth:
     """(id, xml) with the XML that inheritdoc leads to; null where it leads nowhere, round in a circle or too deep.
 
     Every round joins the symbols still looking to what they inherit from: a cref, or the
-    natural base (id, base_id) for those without one, which counts as one place.
+    natural base (id, base_id) for those without one, which counts as one place. A round is
+    written to the checkpoint folder, and the rounds end when nobody looks any further.
     """
     cref = F.pandas_udf(lambda s: s.map(inherited_from), "string")
     table = docs.select("id", "xml")
@@ -147,10 +149,13 @@ def resolve_inherited(docs: DataFrame, natural: DataFrame | None = None, depth:
         natural = docs.sparkSession.createDataFrame([], "id string, base_id string")
     done = None
     for _ in range(depth):
-        asked = going.withColumn("cref", cref("at_xml"))
+        asked = stored(going.withColumn("cref", cref("at_xml")))
         ended = asked.where("cref is null").select("id", F.col("at_xml").alias("xml"))
         done = ended if done is None else done.union(ended)
-        more = asked.where(F.col("cref").isNotNull() & ~F.array_contains("seen", F.col("cref"))).join(natural, "id", "left")
+        looking = asked.where("cref is not null")
+        if looking.isEmpty():
+            break
+        more = looking.where(~F.array_contains("seen", F.col("cref"))).join(natural, "id", "left")
         target = F.when(F.col("cref") == "", F.col("base_id")).otherwise(F.col("cref"))
         going = more.withColumn("target", target).join(bases, "target", "left").select("id", F.col("next_xml").alias("at_xml"), F.array_append("seen", F.col("cref")).alias("seen"))
     return table.select("id").join(done.dropDuplicates(["id"]), "id", "left")

@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.govern import INGEST_LIMIT, QUERY_LIMIT, WINDOW_SECONDS, audit_lines, bucket_of
+from ..operators.govern import WINDOW_SECONDS, audit_lines
+from .limits import limited
 
 
 def write_audit(calls: DataFrame, folder: str, checkpoint: str, patterns: list[str] | None = None, verbose: bool = False) -> StreamingQuery:
@@ -19,35 +16,26 @@ def write_audit(calls: DataFrame, folder: str, checkpoint: str, patterns: list[s
     return lines.writeStream.format("text").option("path", folder).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def token_buckets(calls: DataFrame, limits: dict[str, int] | None = None, seconds: int = WINDOW_SECONDS, keys: tuple[str, ...] = ()) -> DataFrame:
-    """(call_id, tool, accepted, retry_after_ms) of a stream of (call_id, tool, timestamp).
+def token_buckets(calls: DataFrame, limits: dict[str, int] | None = None, seconds: int = WINDOW_SECONDS, keys: tuple[str, ...] = (), late: str = "10 minutes") -> DataFrame:
+    """(call_id, tool, accepted, retry_after_ms) of a stream of (call_id, tool, timestamp): limits.limited() without a queue."""
+    return limited(calls, limits, seconds, keys, late=late).select("call_id", "tool", "accepted", "retry_after_ms")
+
+
+def once_each(calls: DataFrame, late: str = "10 minutes") -> DataFrame:
+    """A stream of calls without repeats of a call_id that come within `late` of the first; state is let go after that."""
+    return calls.withWatermark("timestamp", late).dropDuplicatesWithinWatermark(["call_id"])
+
+
+def sessions(calls: DataFrame, gap: str = "30 minutes", keys: tuple[str, ...] = ("caller",), late: str | None = None) -> DataFrame:
+    """(keys, began, ended, calls, tools): runs of calls of a caller with pauses under `gap`; ended is the last call's time.
 
-    Each bucket starts full and is filled by its limit every `seconds`; a call takes a
-    token or is turned away. State is one row for each bucket, kept between batches. With
-    `keys`, columns such as the caller, each of their values has buckets of its own, and a
-    busy stream is spread over them.
+    Of a stream each session comes once, when the watermark (`late` behind) has passed its end
+    by the gap; calls later than that are left out.
     """
-    limits = limits or {"query": QUERY_LIMIT, "ingestion": INGEST_LIMIT}
-
-    def take(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        most = limits[key[0]]
-        tokens, since = state.get if state.exists else (most, None)
-        calls_ = pd.concat(list(frames)).sort_values(["timestamp", "call_id"])
-        out = []
-        for call_id, tool, at in zip(calls_["call_id"], calls_["tool"], calls_["timestamp"]):
-            now = at.timestamp()
-            since = now if since is None else since
-            periods = int((now - since) // seconds)
-            if periods > 0:
-                tokens, since = min(most, tokens + periods * most), since + periods * seconds
-            ok = tokens > 0
-            tokens -= ok
-            out.append((call_id, tool, bool(ok), 0 if ok else int(-(-(since + seconds - now) * 1000 // 1))))
-        state.update((int(tokens), float(since)))
-        yield pd.DataFrame(out, columns=["call_id", "tool", "accepted", "retry_after_ms"])
-
-    grouped = calls.withColumn("bucket", bucket_of(F.col("tool"))).groupBy("bucket", *keys)
-    return grouped.applyInPandasWithState(take, "call_id long, tool string, accepted boolean, retry_after_ms long", "tokens int, since double", "append", GroupStateTimeout.NoTimeout)
+    if late is not None:
+        calls = calls.withWatermark("timestamp", late)
+    made = calls.groupBy(*keys, F.session_window("timestamp", gap).alias("session")).agg(F.min("timestamp").alias("began"), F.max("timestamp").alias("ended"), F.count("*").alias("calls"), F.approx_count_distinct("tool").alias("tools"))
+    return made.select(*keys, "began", "ended", "calls", "tools")
 
 
 def rolling_counts(calls: DataFrame, window: str = "1 minute", late: str = "10 minutes") -> DataFrame:
