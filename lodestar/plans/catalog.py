@@ -833,3 +833,6 @@ def parse_json_props(spark, d):
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ranked search over the demo graph."""
     return search_bm25(spark, sf_dir)
+
+
+from . import ingestion  # noqa: E402, F401  registers its queries, which use what is defined here
