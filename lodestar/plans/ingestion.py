@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.text import namespace_of
-from ..operators import coverage, govern, graph, ingest, search, sketches
+from ..operators import coverage, govern, graph, ingest, lookup, search, sketches
 from ..sources import extract_json, files, jsdoc, parsers
 from . import demo_graph as g
 from .catalog import bm25_sql, joined, ranked, saved
@@ -182,3 +182,14 @@ def neighbours_of_regions(spark, d):
     edges = g.edges(spark, d)
     rows = [graph.neighbours(edges, id_, "children", limit=200).withColumn("of", F.lit(id_)) for id_ in ("N:r0", "N:r1")]
     return rows[0].union(rows[1]).groupBy(F.col("of").alias("id")).agg(F.count("*").alias("n"), joined(F.array_sort(F.collect_list("id"))).alias("targets"))
+
+
+@query(""", x AS (SELECT id FROM a_nodes WHERE node_kind = 'Real' AND kind IN ('Type', 'Property')) SELECT x.id, (SELECT max(from_id) FROM a_edges WHERE kind = 'Contains' AND to_id = x.id) AS parent_id,
+coalesce((SELECT string_agg(to_id, ',' ORDER BY to_id) FROM a_edges WHERE kind = 'Contains' AND from_id = x.id), '') AS child_ids,
+coalesce((SELECT string_agg(DISTINCT e, ',' ORDER BY e) FROM (SELECT to_id AS e FROM a_edges WHERE kind <> 'Contains' AND from_id = x.id UNION ALL SELECT from_id FROM a_edges WHERE kind <> 'Contains' AND to_id = x.id)), '') AS related_ids FROM x""")
+def symbol_details_stored(spark, d):
+    """Details of types and properties from the stored tables by id."""
+    store = saved(spark, d)
+    found = store.lookup(store.latest("demo"))
+    some = lookup.Lookup(found.nodes.where("kind in ('Type', 'Property')"), found.ends)
+    return lookup.details(some).withColumns({c: joined(c) for c in ("child_ids", "related_ids")})
