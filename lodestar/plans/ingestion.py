@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import namespace_of
 from ..operators import coverage, govern, graph, ingest, lookup, search, sketches
-from ..sources import extract_json, files, jsdoc, parsers
+from ..sources import extract_json, files, jsdoc, open_json, parsers
 from . import demo_graph as g
 from .catalog import bm25_sql, joined, ranked, saved
 from .registered import query
@@ -193,3 +193,23 @@ def symbol_details_stored(spark, d):
     found = store.lookup(store.latest("demo"))
     some = lookup.Lookup(found.nodes.where("kind in ('Type', 'Property')"), found.ends)
     return lookup.details(some).withColumns({c: joined(c) for c in ("child_ids", "related_ids")})
+
+
+@query("SELECT event_type, count(*) AS n, sum((props->>'$.k')::BIGINT)::BIGINT AS total, count(*) FILTER ((props->>'$.k')::BIGINT IS NULL) AS without, 'OBJECT<k: BIGINT>' AS shape FROM events GROUP BY 1", graph_sql=False)
+def open_props(spark, d):
+    """Members of props without a schema, and the schema that they turn out to have."""
+    v = g.table(spark, d, "events").select("event_type", F.try_parse_json("props").alias("v"))
+    k = F.try_variant_get("v", "$.k", "bigint")
+    return v.groupBy("event_type").agg(F.count("*").alias("n"), F.sum(k).alias("total"), F.count_if(k.isNull()).alias("without"), F.schema_of_variant_agg("v").alias("shape"))
+
+
+@query("""SELECT s_suppkey AS k, CASE s_suppkey % 3 WHEN 0 THEN 'E' || s_nationkey || '=if ' || s_suppkey WHEN 1 THEN 'E' || s_nationkey || '=;F=when ' || s_suppkey ELSE 'E' || s_nationkey || '=so' END AS thrown,
+CASE s_suppkey % 3 WHEN 1 THEN 'a;b' || s_suppkey ELSE 'a' || s_suppkey END AS see, CASE s_suppkey % 3 WHEN 2 THEN '{"since":' || s_suppkey || '}' END AS unknown FROM supplier""", graph_sql=False)
+def open_docs(spark, d):
+    """Doc comments in three forms of throws and see, with members that nobody knows."""
+    k = F.col("k") % 3
+    body = F.when(k == 0, filled('{"throws": {"E{m}": "if {k}"}, "see": "a{k}"}')).when(k == 1, filled('{"throws": [{"type": "E{m}"}, "F: when {k}"], "see": ["a", "b{k}"]}')).otherwise(filled('{"throws": "E{m} so", "see": {"first": "a{k}"}, "since": {k}}'))
+    v = suppliers(spark, d).select("k", F.try_parse_json(body).alias("v"))
+    found = v.select("k", open_json.docs(F.col("v")).alias("d"), open_json.unknown(F.col("v")).alias("unknown"))
+    thrown = F.array_join(F.transform("d.exceptions", lambda e: F.concat(e["type"], F.lit("="), e["description"])), ";")
+    return found.select("k", thrown.alias("thrown"), F.array_join("d.see_also", ";").alias("see"), "unknown")
