@@ -6,10 +6,12 @@ bytes in it (leftmost of equals). Equal strings pick the same anchor, so strings
 equal only where their anchors have equal surroundings, and no string is lost.
 
 Anchors are ranked by prefix doubling. A rank starts as the name of the GRAM bytes at the
-anchor; every round pairs it with the name of the bytes at the next offset, Spark sorts
-the pairs, a group's new rank is its first place, and anchors of a rank of their own drop
-out. Offsets grow to half a string to the right of the anchor, and likewise to the left, as
-every string has one of the two halves. Where a whole span of strings that pick an anchor
+anchor. A round pairs it with the name of the bytes at the next offset; pairs are brought
+together by their hash, a group's new rank is its first place, and anchors of a rank of
+their own drop out. There are two rounds to each side, which take the offset to half a
+string right of the anchor, and left of it, as every string has one of the two halves.
+(The second of a pair is a name and not a rank, as there is no anchor at the offset.)
+Where a whole span of strings that pick an anchor
 is repeated, they are settled at once, and one anchor stands for all of that span. What is
 left is ranked in steps of STEP neighbouring strings, by the bytes common to them, and at
 last string by string, as the pair of the names of its halves. A name is a 64-bit hash of a

@@ -75,3 +75,8 @@ def test_empty_tables(spark):
 def test_the_lattice():
     assert len(filteraudit.edges()) == 80 and len(filteraudit.steps()) == 600
     assert {(s, f) for _, _, s, f in filteraudit.steps()} == set(filteraudit.edges())
+
+
+def test_long_texts(spark):
+    rows = [(1, "Word " * 400_000, None, "s", None, None), (2, " ".join(map(str, range(200_000))), None, "s", None, None), (3, "Word " * 400_000, None, "s", None, None)]
+    assert set(map(tuple, filteraudit.audit(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame([(3, 1, 1)], "doc_id long, quality int, toxic int")).collect())) == brute(rows, [(3, 1, 1)])

@@ -101,3 +101,13 @@ def test_a_passage_that_thousands_share_links_nobody(spark):
     got = found(spark, rows)
     assert {(i, c) for i, _, c in got if i < 2000} == {(i, i) for i in range(1500)}
     assert {c for i, _, c in got if i >= 2000} == {2000}
+
+
+def test_texts_longer_than_a_piece(spark):
+    rng = random.Random(9)
+    words = [f"w{rng.randrange(5000)}" for _ in range(200_000)]
+    other = [*words[:190_000], *(f"x{i}" for i in range(6_000))]
+    rows = [(1, " ".join(words)), (2, "\n".join(other)), (3, " ".join(words[:60_000])), (4, "y" * 700_000), (5, "y" * 700_000)]
+    assert len(rows[0][1]) > 4 * jaccardjoin.PIECE
+    assert found(spark, rows) == brute(rows)
+    assert {c for i, _, c in brute(rows) if i < 3} == {1}
