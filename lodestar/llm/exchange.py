@@ -128,11 +128,12 @@ def by_part(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
     return order, (joint[order] >> np.uint64(32)).astype(np.int64)
 
 
-def ask(dealt: DataFrame, requests: Callable[[pa.Table], pa.Table], answer: Callable[[pa.Table], pa.Table]) -> DataFrame:
-    """Rows (part, bucket, blob) that answer what the buckets of `dealt` ask."""
-    return dealt.groupBy(BUCKET).applyInArrow(one(requests), BLOB).groupBy("part").applyInArrow(one(answer), BLOB)
+def ask(dealt: DataFrame, requests: Callable[[pa.Table], pa.Table], answer: Callable[[pa.Table], pa.Table], keep: bool = False) -> DataFrame:
+    """Rows (part, bucket, blob) that answer what the buckets of `dealt` ask. With keep, workers keep a group's memory for the next one."""
+    of = (lambda f: f) if keep else one
+    return dealt.groupBy(BUCKET).applyInArrow(of(requests), BLOB).groupBy("part").applyInArrow(of(answer), BLOB)
 
 
-def tell(dealt: DataFrame, replies: DataFrame, finish: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
-    """finish(documents of a bucket, replies to it) for every bucket."""
-    return dealt.groupBy(BUCKET).cogroup(replies.groupBy("bucket")).applyInArrow(two(finish), schema)
+def tell(dealt: DataFrame, replies: DataFrame, finish: Callable[[pa.Table, pa.Table], pa.Table], schema: str, keep: bool = False) -> DataFrame:
+    """finish(documents of a bucket, replies to it) for every bucket; keep as for ask()."""
+    return dealt.groupBy(BUCKET).cogroup(replies.groupBy("bucket")).applyInArrow(finish if keep else two(finish), schema)

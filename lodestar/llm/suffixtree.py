@@ -37,6 +37,8 @@ LEVELS = (*range(1, NEAR + 1), FAR)
 MOST_BITS, SEGMENTS = 33, 64
 #: Symbols that are worked on at once, about; few enough for a processor's cache.
 RUN = 1 << 18
+#: Bytes of text whose words are found at a time, so that their arrays stay in a core's cache.
+PIECE_BYTES = 1 << 17
 #: Entries of a piece of the tree.
 PIECE = 4_000_000
 ASKED = np.dtype([("key", "<u8"), ("n", "<u4")])
@@ -568,7 +570,7 @@ def score(docs: DataFrame, least: int = 500, divergence: float = 40.0) -> DataFr
 
     def vocabulary(t: pa.Table):
         texts = as_bytes(t["text"])
-        doc, h = all_words(texts)
+        doc, h = all_words(texts, PIECE_BYTES)
         doc = np.concatenate([doc, np.arange(len(texts))])
         h = np.concatenate([h, np.full(len(texts), END)])
         keys, inverse = np.unique(h, return_inverse=True)
@@ -577,7 +579,7 @@ def score(docs: DataFrame, least: int = 500, divergence: float = 40.0) -> DataFr
 
     def requests(t: pa.Table) -> pa.Table:
         texts = as_bytes(t["text"])
-        doc, h = all_words(texts)
+        doc, h = all_words(texts, PIECE_BYTES)
         train = ~np.array(t["held_out"].to_pylist(), bool)
         keys = sorted_set(np.append(h, END))
         learnt, times = np.unique(np.append(h[train[doc]], np.full(int(train.sum()), END)), return_counts=True)
@@ -612,8 +614,9 @@ def score(docs: DataFrame, least: int = 500, divergence: float = 40.0) -> DataFr
         columns = [np.bincount(doc, minlength=size), np.bincount(doc, c > 0, size).astype(np.int64), np.bincount(doc, np.log10(c + 0.1), size), tree.log10(texts)]
         return pa.table([t["doc_id"].combine_chunks(), t["held_out"].combine_chunks(), *(pa.array(x) for x in columns)], names=[f.split()[0] for f in SCORED.split(", ")])
 
-    replies = exchange.ask(dealt, requests, answer)
-    scored = exchange.tell(dealt, replies.where("part >= 0"), finish, SCORED)
+    # a group's arrays beside the tree are large: fetching their pages anew for each costs more than it frees
+    replies = exchange.ask(dealt, requests, answer, keep=True)
+    scored = exchange.tell(dealt, replies.where("part >= 0"), finish, SCORED, keep=True)
     number = lambda at: F.coalesce(F.sum(F.conv(F.hex(F.substring("blob", at, 8)), 16, 10).cast("long")), F.lit(0)).cast("long")
     # one row of totals, beside every row
     totals = replies.where("part = -1").agg(number(1).alias("train_tokens"), number(9).alias("distinct"))
