@@ -4,8 +4,10 @@ A vector lies in the list of its nearest centroid, as one byte for each part of
 residual, beside the error that these bytes leave. A search scans the codes of the lists
 nearest to a query by table look-ups, takes the best candidates of each query, and measures
 these by the vectors themselves. An exact search goes on from there: with the distance of
-the k-th neighbour found so far, only lists whose ball can reach below it are scanned, and
-of these only codes whose distance less their error does.
+the k-th neighbour found so far, only lists whose ball can reach below it are compared. It
+does so where the vectors are: they are dealt once, queries go to each share of them, and
+a share answers with a query's k nearest at most, so what is shuffled does not grow with
+the pairs that are compared.
 
 Centroids and codebooks are fitted on a bounded sample; every vector is indexed. Lists are
 split into shards of SHARD rows, so a list with a third of all vectors is many groups, and
@@ -32,6 +34,8 @@ SAMPLE, MOST_LISTS = 20_000, 4096
 RECALL, TRIALS = 0.97, 256
 #: Bytes of a code: parts of a vector. Rounds of fitting.
 PARTS, ROUNDS = 16, 10
+#: Lists that an exact search probes for its first bound, and queries that meet a share of the vectors in one task, at most.
+FIRST, QUERIES = 8, 1 << 18
 #: Bounds give way by this share of the vectors' size, for what single precision loses.
 SLACK = 1e-5
 CODES = "list int, shard int, id long, code binary, error float"
@@ -278,6 +282,61 @@ def measured(pairs: DataFrame, queries: DataFrame, vectors: DataFrame) -> DataFr
     return met.select("query", "id", "q", "vector").mapInArrow(run, "query long, id long, distance double")
 
 
+def compared(index: VectorIndex, queries: DataFrame, k: int) -> DataFrame:
+    """(query, id, distance): of each share of the vectors the k nearest of every query (query, vector, reach) within its reach, ties by id.
+
+    A share has SHARD vectors, about. In it, a list whose ball cannot reach a query is left out;
+    distances come from products of matrices first, and those that may be among the k nearest
+    are measured anew in double precision, so rounding decides nothing.
+    """
+    spark, slack = queries.sparkSession, index.slack
+    shipped = spark.sparkContext.broadcast(index.quantiser.centroids)
+    queries = stored(queries)
+    shares, blocks = max(1, -(-index.vectors.count() // SHARD)), max(1, -(-queries.count() // QUERIES))
+    # every vector once for each block of queries, every query once for each share of the vectors
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    dealt = index.vectors.select("id", "vector", F.pmod(F.xxhash64("id"), F.lit(shares)).cast("int").alias("share"), every(blocks).alias("block"))
+    sent = queries.select("query", "vector", "reach", every(shares).alias("share"), F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int").alias("block"))
+
+    def run(t: pa.Table, q: pa.Table) -> pa.Table:
+        out = [pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], names=["query", "id", "distance"])]
+        if not len(t) or not len(q):
+            return out[0]
+        centroids, x, ids = shipped.value, matrix(t["vector"].combine_chunks()), t["id"].to_numpy()
+        step = range(0, len(x), 1024)
+        home = np.concatenate([squares(x[lo : lo + 1024], centroids).argmin(1) for lo in step])
+        order = np.argsort(home, kind="stable")
+        x, ids, home = x[order], ids[order], home[order]
+        radius = np.full(len(centroids), -np.inf)
+        np.maximum.at(radius, home, np.concatenate([np.sqrt(((x[lo : lo + 1024].astype(np.float64) - centroids[home[lo : lo + 1024]]) ** 2).sum(1)) for lo in step]))
+        asked, names, reach = matrix(q["vector"].combine_chunks()), q["query"].to_numpy(), q["reach"].to_numpy()
+        # queries of one neighbourhood reach the same lists
+        near = np.concatenate([squares(asked[lo : lo + 1024], centroids).argmin(1) for lo in range(0, len(asked), 1024)])
+        turn = np.argsort(near, kind="stable")
+        for lo in range(0, len(turn), BLOCK):
+            rows = turn[lo : lo + BLOCK]
+            lists = np.sqrt(squares(asked[rows], centroids)) - radius <= reach[rows, None] + slack
+            used = np.flatnonzero(lists.any(0)[home])
+            if not len(used):
+                continue
+            some, named = (x, ids) if len(used) == len(x) else (x[used], ids[used])
+            d = squares(asked[rows], some)
+            d[named[None, :] == names[rows, None]] = np.inf
+            loose = 1e-12 * (float((asked[rows].astype(np.float64) ** 2).sum(1).max()) + float((some.astype(np.float64) ** 2).sum(1).max()))
+            for i, row in enumerate(rows):
+                at = np.flatnonzero(d[i] <= (reach[row] + slack) ** 2)
+                at = at[d[i, at] < np.inf]
+                if len(at) > k:
+                    at = at[d[i, at] <= np.partition(d[i, at], k - 1)[k - 1] + loose]
+                if len(at):
+                    far = np.sqrt(((asked[row].astype(np.float64) - some[at]) ** 2).sum(1))
+                    best = np.lexsort((named[at], far))[:k]
+                    out.append(pa.table([pa.array(np.full(len(best), names[row])), pa.array(named[at][best]), pa.array(far[best])], names=["query", "id", "distance"]))
+        return pa.concat_tables(out)
+
+    return dealt.groupBy("share", "block").cogroup(sent.groupBy("share", "block")).applyInArrow(run, "query long, id long, distance double")
+
+
 def ranked(distances: DataFrame, k: int) -> DataFrame:
     """The k nearest of each query, ties by id, with their place from 1."""
     order = Window.partitionBy("query").orderBy("distance", "id")
@@ -288,11 +347,11 @@ def search(index: VectorIndex, queries: DataFrame, k: int = 10, probes: int | No
     """(query, id, place, distance): the k vectors nearest to each of queries (query, vector), the one of the query's own id left out.
 
     The `probes` lists nearest to a query (as many as the index was found to need) are scanned and the `candidates` best codes
-    measured. With exact, all that could be nearer than what this finds is measured too, so
-    the answer is that of comparing with every vector. Equal distances rank by id. Queries
+    measured. With exact, fewer lists are probed at first (FIRST unless told) and all that could be nearer than what
+    this finds is compared too, so the answer is that of comparing with every vector. Equal distances rank by id. Queries
     must be as long as the indexed vectors, and unique by query; others are left out.
     """
-    n, probes = index.quantiser.centroids.shape[1], probes or index.quantiser.probes
+    n, probes = index.quantiser.centroids.shape[1], probes or (min(FIRST, index.quantiser.probes) if exact else index.quantiser.probes)
     queries = queries.where((F.size("vector") == n) & F.col("query").isNotNull()).select(F.col("query").cast("long").alias("query"), F.col("vector").cast("array<float>").alias("vector"), F.lit(float("inf")).alias("reach"))
 
     def nearest(d: np.ndarray, reach: np.ndarray) -> np.ndarray:
@@ -307,12 +366,6 @@ def search(index: VectorIndex, queries: DataFrame, k: int = 10, probes: int | No
     if not exact:
         return best
     # the k-th distance so far, where k were found
-    reach = stored(best.groupBy("query").agg(F.max("distance").alias("far"), F.count("*").alias("n")).where(F.col("n") == k))
+    reach = best.groupBy("query").agg(F.max("distance").alias("far"), F.count("*").alias("n")).where(F.col("n") == k)
     wide = queries.drop("reach").join(reach, "query", "left").select("query", "vector", F.coalesce("far", F.lit(float("inf"))).alias("reach"))
-    radius, slack = index.radius, index.slack
-
-    def reached(d: np.ndarray, reach: np.ndarray) -> np.ndarray:
-        return d - radius <= reach[:, None] + slack
-
-    rest = scanned(index, asked(index, wide, reached), None).where("query <> id").select("query", "id").distinct()
-    return ranked(measured(rest, queries, index.vectors), k)
+    return ranked(compared(index, wide, k), k)

@@ -58,6 +58,25 @@ def test_exact_search_measures_less_than_everything(table):
     assert vectors.scanned(index, probed, None).count() < 0.5 * len(ids) * asked.count()
 
 
+@pytest.mark.parametrize("shard, block", [(100, 1 << 18), (1 << 16, 7)])
+def test_exact_search_answers_with_few_rows_whatever_the_bounds_leave(table, shard, block, monkeypatch):
+    """Without a bound every pair is compared, but a share of the vectors answers with k rows a query."""
+    monkeypatch.setattr(vectors, "SHARD", shard)
+    monkeypatch.setattr(vectors, "QUERIES", block)
+    ids, x, df = table
+    index = vectors.build(df, lists=20)
+    asked = df.where("id % 40 = 0").select(vectors.F.col("id").alias("query"), "vector", vectors.F.lit(float("inf")).alias("reach"))
+    found = vectors.compared(index, asked, 10)
+    queries = [int(i) for i in ids if i % 40 == 0]
+    assert found.count() <= 10 * len(queries) * -(-len(ids) // shard)
+    want = brute(ids, x, queries, 10)
+    assert {q: [i for i, _ in v] for q, v in got(vectors.ranked(found, 10)).items()} == {q: [i for i, _ in v] for q, v in want.items()}
+    # copies of a query's vector lie at the distance zero and rank by id
+    copies = sorted(int(i) for i in [ids[3], *ids[700:720]])
+    one = df.where(f"id = {copies[0]}").select(vectors.F.col("id").alias("query"), "vector", vectors.F.lit(0.0).alias("reach"))
+    assert [i for i, _ in got(vectors.ranked(vectors.compared(index, one, 5), 5))[copies[0]]] == copies[1:6]
+
+
 def test_recall_on_the_drivers_vectors(spark):
     df = spark.read.parquet(f"{DATA}/embeddings.parquet").selectExpr("vec_id as id", "embedding as vector")
     index = vectors.build(df)
