@@ -97,8 +97,8 @@ class BKTree:
             todo += [children[k] for k in range(d - radius, d + radius + 1) if k in children]
 
 
-def shard_links(members: list[int], radius: int) -> list[tuple[int, int]]:
-    """(member, representative) links that join the members of a shard just as all its links would."""
+def shard_links(members: list[int], radius: int, near_only: bool = False) -> list[tuple[int, int]]:
+    """(member, representative) links that join the members of a shard just as all its links would; with near_only both ends lie within the radius."""
     root = {m: m for m in members}
 
     def find(x):
@@ -107,18 +107,21 @@ def shard_links(members: list[int], radius: int) -> list[tuple[int, int]]:
             x = root[x]
         return x
 
-    tree = BKTree(members[0])
+    tree, met = BKTree(members[0]), []
     for m in members[1:]:
         for near in tree.within(m, radius):
             a, b = find(m), find(near)
             if a != b:
                 root[max(a, b)] = min(a, b)
+                met.append((m, near))
         tree.add(m)
+    if near_only:
+        return met
     return [(m, r) for m in members if (r := find(m)) != m]
 
 
-def fingerprint_links(distinct: DataFrame, radius: int) -> DataFrame:
-    """(u, v) links between the fingerprints (fp) that keep all components of the within-radius graph.
+def fingerprint_links(distinct: DataFrame, radius: int, near_only: bool = False) -> DataFrame:
+    """(u, v) links between the fingerprints (fp) that keep all components of the within-radius graph; with near_only they are edges of that graph.
 
     Shards of one member drop out by a count before their members are gathered.
     """
@@ -130,7 +133,7 @@ def fingerprint_links(distinct: DataFrame, radius: int) -> DataFrame:
 
         def links(shard, fps):
             fps = sorted({x & (1 << 64) - 1 for x in fps})
-            return shard_links(fps, radius) if len(fps) > 1 else []
+            return shard_links(fps, radius, near_only) if len(fps) > 1 else []
 
         def table(pairs):
             a = np.array(pairs, np.uint64).reshape(-1, 2).view(np.int64)
@@ -172,7 +175,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataF
     return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-# -- similarity of 0.8 or more: rare shingles propose, wide fingerprints thin out, shingle sets decide ----
+# -- similarity of 0.8 or more: BK-trees of SimHash words and then rare shingles propose, wide fingerprints thin out, shingle sets decide ----
 
 WIDE = 4
 #: Rows of the sample that tells common shingles, in how many of them a shingle is common, and how many are sent out.
@@ -278,17 +281,31 @@ def verified(pairs: DataFrame, distinct: DataFrame, keyed: DataFrame, shingle: i
     return full.select("u", "v", "us", "vs").mapInArrow(decide, "u long, v long")
 
 
-def similar_roots(distinct: DataFrame, entries: DataFrame, keyed: DataFrame, shingle: int, similarity: float) -> DataFrame:
+def proposed(distinct: DataFrame, radius: int) -> DataFrame:
+    """(u, v): pairs of ids that the BK-trees of operator 2 propose, by the first SimHash word of each.
+
+    Each two fingerprints that a tree links are a pair by their smallest ids, and ids of one
+    fingerprint are pairs with the smallest of them.
+    """
+    least = checkpointed(distinct.groupBy(F.col("f0").alias("fp")).agg(F.min("id").alias("least")))
+    near = fingerprint_links(least.select("fp"), radius, near_only=True)
+    met = near.join(least.toDF("u", "a"), "u").join(least.toDF("v", "b"), "v").select("a", "b")
+    same = distinct.select(F.col("f0").alias("fp"), "id").join(least, "fp").where("id <> least").select("least", "id")
+    return met.union(same).select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))
+
+
+def similar_roots(distinct: DataFrame, entries: DataFrame, keyed: DataFrame, shingle: int, similarity: float, radius: int) -> DataFrame:
     """(node, root) of the components of all pairs at the similarity.
 
-    Each shingle's members (key, id) are linked to their neighbours by id first, so a large
-    group becomes one component by a few links; then every pair of members that is in
+    What the BK-trees propose is verified first, with neighbours by id among each shingle's members (key, id), so a large
+    group becomes one component by a few links; at the similarity many fingerprints lie beyond the radius, so then every pair of members that is in
     different components still is verified, so no link that joins components is left out.
     """
     order = Window.partitionBy("key").orderBy("id")
     beside = entries.select("key", "id", F.lag("id").over(order).alias("before"), F.lead("id").over(order).alias("after"))
     shared = checkpointed(beside.where("before is not null or after is not null"))
-    first = shared.where("before is not null").select(F.col("before").alias("u"), F.col("id").alias("v")).distinct()
+    first = shared.where("before is not null").select(F.col("before").alias("u"), F.col("id").alias("v"))
+    first = checkpointed(proposed(distinct, radius).union(first).distinct())
     links = checkpointed(verified(first, distinct, keyed, shingle, similarity))
     roots = connected_components(links)
     placed = shared.select("key", "id").join(roots, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("root", "id").alias("root"))
@@ -326,12 +343,14 @@ def similar_roots(distinct: DataFrame, entries: DataFrame, keyed: DataFrame, shi
     return connected_components(links.union(verified(rest, distinct, keyed, shingle, similarity)))
 
 
-def one_of_each_group(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+def one_of_each_group(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 2) -> DataFrame:
     """docs, all columns, with one row of each group of near-duplicates: the one with the smallest (doc_id, text hash).
 
     Groups are the components of all pairs of texts whose sets of shingles (five words)
-    have a Jaccard similarity of `similarity` or more. Pairs that share a shingle among
-    the rarest of each set are candidates, which loses none; those whose wide SimHash
+    have a Jaccard similarity of `similarity` or more. Candidates are pairs whose SimHash
+    words differ in `radius` bits at most, found by BK-trees in shards, and, for similar texts
+    beyond it, pairs that share a shingle among the rarest of each set, which loses none;
+    those whose wide SimHash
     fingerprints cannot be of similar texts go, and the others' sets are compared. Texts
     with one word sequence, letter case aside, are one node, and of equal rows one stays.
     A null text counts as empty; empty texts are one group. A null doc_id comes first. An
@@ -355,7 +374,7 @@ def one_of_each_group(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
     distinct = checkpointed(fps.groupBy(*prints).agg(F.min(F.struct("doc", "h")).alias("first")))
     firsts = fps.join(distinct.select("id", "first.doc", "first.h"), ["id", "doc", "h"], "left_semi").dropDuplicates(["id"])
     entries = firsts.select("id", F.explode("keys").alias("key"))
-    roots = similar_roots(distinct, entries, keyed, shingle, similarity)
+    roots = similar_roots(distinct, entries, keyed, shingle, similarity, radius)
     chosen = distinct.join(roots, distinct.id == roots.node, "left").groupBy(F.coalesce("root", "id").alias("root")).agg(F.min("first").alias("first")).select("first.*")
     doc, h, first_doc, first_h = unused(docs, "doc", "h", "first_doc", "first_h")
     kept = docs.withColumns({doc: F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), h: F.xxhash64(F.col("text").cast("string"))})
