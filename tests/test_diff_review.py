@@ -141,3 +141,25 @@ def test_a_mass_change_marks_its_parent_once(spark):
     odd = only(review.unusual(made))
     assert (odd.kind, odd.id) == ("MassSignatureChange", "T:A") and "7 signature changes" in odd.description and odd.remediation
     assert {r.severity for r in review.findings(made).collect()} == {"Breaking"}
+
+
+def test_diff_shuffles_each_edge_once_and_filters_reach_the_inputs(spark, tmp_path):
+    """Both sides meet in one exchange by id; a filter on id is applied before it, so one symbol's changes need not deal all."""
+    made = [nodes(spark, node("a", returns="int"), node("b")), edges(spark, ("a", "b", "Calls")), nodes(spark, node("a"), node("c")), edges(spark, ("a", "c", "Calls"))]
+    tables = []
+    for k, df in enumerate(made):
+        df.write.parquet(f"{tmp_path}/{k}")
+        tables.append(spark.read.parquet(f"{tmp_path}/{k}"))
+    changes = diff.semantic_diff(*tables)
+    plan = changes._jdf.queryExecution().optimizedPlan().toString()
+    assert "FullOuter" not in plan
+    one = changes.where("id = 'a'")
+    assert sorted((r.category, r.change_type) for r in one.collect()) == [("Dependency", "Modified"), ("Signature", "Modified")]
+    scans = one._jdf.queryExecution().executedPlan().toString().split("PushedFilters: ")[1:]
+    assert scans and all("EqualTo(id,a)" in x or "EqualTo(from_id,a)" in x or "EqualTo(to_id,a)" in x for x in scans)
+
+
+def test_null_ids_of_two_sides_stay_apart(spark):
+    first, second = (nodes(spark, node("a")).withColumn("id", diff.F.lit(None).cast("string")) for _ in range(2))
+    none = edges(spark, ("a", "b", "Calls")).limit(0)
+    assert sorted(r.change_type for r in diff.semantic_diff(first, none, second, none).collect()) == ["Added", "Removed"]
