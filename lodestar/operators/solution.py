@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from . import diff
 from .coverage import candidates, percent
-from .graph import real
+from .graph import UNKNOWN, real
 
 
 def owned(nodes: DataFrame, project_name: str) -> DataFrame:
@@ -67,7 +67,34 @@ def cross_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def cross_edge_changes(before: DataFrame, before_edges: DataFrame, after: DataFrame, after_edges: DataFrame) -> DataFrame:
-    """(source, target, kind, status): cross-project edges added and removed; a change of scope alone is none."""
-    a, b = cross_edges(before, before_edges), cross_edges(after, after_edges)
-    keys = ["source", "target", "kind"]
-    return b.join(a, keys, "left_anti").withColumn("status", F.lit("added")).union(a.join(b, keys, "left_anti").withColumn("status", F.lit("removed")))
+    """(source, target, kind, status): cross-project edges added and removed; a change of scope alone is none.
+
+    Both sides' edges are dealt by source once and by target once, and those whose ends
+    keep their projects cancel there. Names decide about the rest. Edges with other ids could
+    only have the same names where a colon leaves open what the project is: these never cancel by ids.
+    """
+    later = F.col("later")
+    cross = "scope = 'CrossProject'"
+    dealt = diff.sides(before_edges.where(cross), after_edges.where(cross), "from_id", "to_id", "kind").repartition("from_id")
+    edges = dealt.groupBy("from_id", "to_id", "kind").agg(F.bool_or(~later).alias("was"), F.bool_or(later).alias("stays"))
+    name = F.coalesce("project_origin", F.lit(UNKNOWN))
+    of = diff.sides(real(before), real(after), "id", "project_origin").groupBy("id").agg(*(F.array_sort(F.collect_set(F.when(later == side, name))).alias(c) for c, side in (("x", False), ("y", True))))
+    named = edges.join(of.toDF("from_id", "ax", "ay"), "from_id", "left").join(of.toDF("to_id", "bx", "by"), "to_id", "left")
+    projects = ["ax", "ay", "bx", "by"]
+    none = F.array(F.lit(UNKNOWN))
+    named = named.withColumns({c: F.when(F.size(c) > 0, F.col(c)).otherwise(none) for c in projects})
+    known = F.col("from_id").isNotNull() & F.col("to_id").isNotNull() & F.col("kind").isNotNull()
+    same = F.col("was") & F.col("stays") & (F.col("ax") == F.col("ay")) & (F.col("bx") == F.col("by"))
+    open_ = F.exists(F.concat(*projects), lambda p: p.contains(":"))
+    for i in ("from_id", "to_id"):
+        open_ = open_ | F.col(i).startswith(":") | F.col(i).contains("::")
+    side = lambda held, a, b, value: F.when(F.col(held), F.struct(F.col(a).alias("a"), F.col(b).alias("b"), F.lit(value).alias("later")))
+    both = F.filter(F.array(side("was", "ax", "bx", False), side("stays", "ay", "by", True)), lambda s: s.isNotNull())
+    left = named.where(~(known & same) | open_).select("from_id", "to_id", "kind", F.explode(both).alias("s"))
+    pairs = left.select("from_id", "to_id", "kind", "s.later", "s.b", F.explode("s.a").alias("p")).select("from_id", "to_id", "kind", "later", "p", F.explode("b").alias("q"))
+    end = lambda p, i: F.concat(p, F.lit("::"), i)
+    rows = pairs.select(end("p", "from_id").alias("source"), end("q", "to_id").alias("target"), "kind", "later")
+    # a null equals nothing: such rows of the two sides stay apart
+    apart = F.when(F.col("source").isNull() | F.col("target").isNull() | F.col("kind").isNull(), later)
+    told = rows.groupBy("source", "target", "kind", apart.alias("apart")).agg(F.bool_and(later).alias("added"), F.bool_and(~later).alias("removed"))
+    return told.where("added or removed").select("source", "target", "kind", F.when(F.col("added"), "added").otherwise("removed").alias("status"))
