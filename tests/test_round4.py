@@ -13,6 +13,28 @@ def plan(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_a_row_is_hashed_once(spark):
+    made = ingest.content_hash(nodes(spark, node("M:A")), edges(spark, ("a", "b", "Calls")))
+    # one of each table's rows, one of the text of their sums
+    assert plan(made).count("sha2(") == 3
+
+
+def test_every_row_and_repeat_counts_in_the_digest(spark):
+    rows = [("a", "b", "Calls"), ("a", "c", "Calls"), ("b", "c", "Inherits")]
+    told = lambda *r: ingest.hashed(edges(spark, *r)).agg(*ingest.digest()).first()
+    assert told(*rows) == told(*rows[::-1])
+    assert len({tuple(told(*r)) for r in (rows, rows[:2], [*rows, rows[0]], [*rows, rows[1]], [("a", "b", "Uses"), *rows[1:]])}) == 5
+
+
+def test_an_index_keeps_its_places_only(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(blockmax, "stored", lambda df, of=blockmax.stored: kept.append(df) or of(df))
+    index = blockmax.build(nodes(spark, node("M:B", name="RedRed", docs=doc("red x red y red")), node("M:A", name="x", docs=None)))
+    found = {(r.field, r.term, r.id): (r.tf, r.length) for r in index.postings().collect() if r.field == "doc"}
+    assert found == {("doc", "red", "M:B"): (3, 5), ("doc", "x", "M:B"): (1, 5), ("doc", "y", "M:B"): (1, 5)}
+    assert len(kept) == 1
+
+
 def two_sides(spark):
     rng = random.Random(4)
     pick = lambda xs: rng.choice(xs)
