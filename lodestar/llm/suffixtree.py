@@ -43,6 +43,8 @@ PIECE_BYTES = 1 << 17
 PIECE = 4_000_000
 ASKED = np.dtype([("key", "<u8"), ("n", "<u4")])
 TOLD = np.dtype([("at", "<u4"), ("n", "<u8")])
+#: A slot of a table: key and value side by side, fetched as one.
+SLOT = np.dtype([("key", "<u8"), ("value", "<f8")])
 END = U(0xA5A5F00DE17DBEEF)
 #: What stands in an empty slot of a table. A key of this value is never looked for: as a context it is eight bytes of 0xFF, which no text has.
 EMPTY = U(0xFFFFFFFFFFFFFFFF)
@@ -202,6 +204,16 @@ def unsqueezed(blob: bytes, *kinds) -> list[np.ndarray]:
     return out
 
 
+def in_parts(part: np.ndarray, level: int, *columns: np.ndarray):
+    """Yields a batch (part, level, blob) for each part that the columns have rows of, which keep their order."""
+    # places of 16 bits are sorted by counting
+    order = np.argsort(part.astype(np.uint16) if part.max(initial=0) < 1 << 16 else part, kind="stable")
+    part, columns = part[order], [c[order] for c in columns]
+    first = np.flatnonzero(np.diff(part, prepend=-1))
+    for lo, hi in zip(first.tolist(), np.append(first[1:], len(part)).tolist()):
+        yield pa.RecordBatch.from_arrays([pa.array([part[lo]], pa.int32()), pa.array([level], pa.int32()), pa.array([squeezed(*(c[lo:hi] for c in columns))], pa.binary())], ["part", "level", "blob"])
+
+
 def counted(docs: DataFrame, keys_of, parts: int, part, level: int) -> DataFrame:
     """(part, level, blob) of the counts of all keys that keys_of(document, context, next) gives, in parts by part(keys)."""
     def run(batches):
@@ -210,10 +222,7 @@ def counted(docs: DataFrame, keys_of, parts: int, part, level: int) -> DataFrame
             for run_ in runs(as_bytes(b.column(0))):
                 held.add(keys_of(*run_))
         keys, n = held.total()
-        where = part(keys)
-        for p in np.unique(where).tolist():
-            mine = where == p
-            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([level], pa.int32()), pa.array([squeezed(keys[mine], n[mine])], pa.binary())], ["part", "level", "blob"])
+        yield from in_parts(part(keys), level, keys, n)
 
     return docs.select("text").mapInArrow(run, "part int, level int, blob binary").repartition(parts, "part")
 
@@ -274,30 +283,34 @@ class Table:
     """64-bit keys to numbers by open addressing, for arrays of keys at once."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.bits = max(4, int(np.ceil(np.log2(max(1, len(keys)) * 2.5))))
-        home = slot_of(keys, self.bits)
-        order = np.argsort(home, kind="stable")
-        at = np.maximum.accumulate(home[order] - np.arange(len(keys))) + np.arange(len(keys)) if len(keys) else home
-        self.far = int((at - home[order]).max()) if len(keys) else 0
-        # key and value side by side; an empty slot has a key that no slot of its place can have
-        self.rows = np.zeros(((1 << self.bits) + self.far + 1, 2), np.uint64)
-        self.rows[:, 0] = EMPTY
-        self.rows[at, 0], self.rows[at, 1] = keys[order], values[order].astype(np.float64).view(np.uint64)
+        self.bits = max(4, int(np.ceil(np.log2(max(1, len(keys)) * 2))))
+        number = np.arange(len(keys))
+        # home and number as one key: a sort of numbers in place of one of their order
+        joint = np.sort(slot_of(keys, self.bits) << 31 | number)
+        home, order = joint >> 31, joint & ((1 << 31) - 1)
+        at = np.maximum.accumulate(home - number) + number if len(keys) else home
+        self.far = int((at - home).max()) if len(keys) else 0
+        filled = np.zeros(len(keys), SLOT)
+        filled["key"], filled["value"] = keys[order], values[order]
+        # an empty slot has a key that no slot of its place can have
+        self.rows = np.zeros((1 << self.bits) + self.far + 1, SLOT)
+        self.rows["key"] = EMPTY
+        self.rows[at] = filled
 
     def get(self, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(found, values) of the asked keys."""
         at = slot_of(asked, self.bits)
         rows = self.rows[at]
-        found = rows[:, 0] == asked
-        value = rows[:, 1].view(np.float64)
-        todo = np.flatnonzero(~found & (rows[:, 0] != EMPTY))
+        found, value = rows["key"] == asked, rows["value"]
+        todo = np.flatnonzero(~found)
+        todo = todo[rows["key"][todo] != EMPTY]
         for d in range(1, self.far + 1):
             if not len(todo):
                 break
             rows = self.rows[at[todo] + d]
-            hit = rows[:, 0] == asked[todo]
-            found[todo[hit]], value[todo[hit]] = True, rows[hit, 1].view(np.float64)
-            todo = todo[~hit & (rows[:, 0] != EMPTY)]
+            hit = rows["key"] == asked[todo]
+            found[todo[hit]], value[todo[hit]] = True, rows["value"][hit]
+            todo = todo[~hit & (rows["key"] != EMPTY)]
         return found, value
 
 
@@ -356,18 +369,24 @@ class Piece:
     def log10(self, context: np.ndarray, next_: np.ndarray, root: np.ndarray) -> np.ndarray:
         """log10 of the probability of each next symbol in the longest kept state of its context.
 
-        Frequent strings are looked up as a whole, the others level by level.
+        Symbols seen after a kept context of FAR symbols are settled by it. Of the others, frequent strings
+        are looked up as a whole, the rest level by level.
         """
-        found, out = self.usual.get(low(context, NEAR) << U(8) | next_.astype(np.uint64))
-        rest = np.flatnonzero(~found)
-        out[rest] = self.near(context[rest], next_[rest], root)
+        out = np.zeros(len(context))
+        todo = np.ones(len(context), bool)
         if FAR in self.share:
             mine = np.flatnonzero(self.far.has(context))
             seen, value = self.pairs[FAR].get(pair_key(context[mine], next_[mine]))
-            out[mine[seen]] = value[seen]
+            out[mine[seen]], todo[mine[seen]] = value[seen], False
             mine = mine[~seen]
             kept, share = self.share[FAR].get(context[mine])
-            out[mine[kept]] += share[kept]
+            out[mine[kept]] = share[kept]
+        todo = np.flatnonzero(todo)
+        context, next_ = context[todo], next_[todo]
+        found, logs = self.usual.get(low(context, NEAR) << U(8) | next_.astype(np.uint64))
+        rest = np.flatnonzero(~found)
+        logs[rest] = self.near(context[rest], next_[rest], root)
+        out[todo] += logs
         return out
 
 
@@ -521,10 +540,7 @@ def far_counts(docs: DataFrame, chosen, parts: int) -> DataFrame:
         names = named(distinct)
         order = np.argsort(names)
         context, next_ = distinct[order[np.searchsorted(names[order], keys & U(0xFFFFFFFFFFFFFF00))]], (keys & U(255)).astype(np.uint8)
-        where = part_of(context, parts)
-        for p in np.unique(where).tolist():
-            mine = where == p
-            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([FAR], pa.int32()), pa.array([squeezed(context[mine], n[mine], next_[mine])], pa.binary())], ["part", "level", "blob"])
+        yield from in_parts(part_of(context, parts), FAR, context, n, next_)
 
     return docs.select("text").mapInArrow(run, "part int, level int, blob binary")
 

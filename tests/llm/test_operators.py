@@ -7,6 +7,7 @@ import pathlib
 import random
 import zlib
 
+import numpy as np
 import pytest
 import xxhash
 
@@ -355,6 +356,40 @@ def test_suffix_tree_scores_match_brute_force(docs, rows, monkeypatch, piece):
     assert suffixtree.FAR in tree.piece(0).share or piece < 1000
 
 
+def test_suffix_tree_looks_up_once(docs):
+    rng = np.random.default_rng(4)
+    keys = np.unique(rng.integers(0, 1 << 62, 14_000, dtype=np.uint64))
+    table = suffixtree.Table(keys, np.arange(len(keys)))
+    assert table.rows.ndim == 1 and len(table.rows) < 4 * len(keys)  # a slot is fetched as one record
+    found, value = table.get(np.concatenate([keys, keys + np.uint64(1 << 63)]))
+    assert found[: len(keys)].all() and not found[len(keys) :].any() and (value[: len(keys)] == np.arange(len(keys))).all()
+    tree = suffixtree.fit(docs.where("text is not null"), 20, 8.0)
+    piece, asked = tree.piece(0), []
+    get = piece.usual.get
+    piece.usual.get = lambda x: asked.append(len(x)) or get(x)
+    settled = total = 0
+    for _, context, next_ in suffixtree.runs([r.text.encode() for r in docs.where("text is not null").select("text").collect()]):
+        settled += int(piece.pairs[suffixtree.FAR].get(suffixtree.pair_key(context, next_))[0].sum())
+        total += len(context)
+        piece.log10(context, next_, tree.root)
+    assert settled > 0 and sum(asked) == total - settled  # what a long context settles is not looked up again
+
+
+def test_suffix_tree_counts_go_to_their_parts():
+    rng = np.random.default_rng(5)
+    keys = np.unique(rng.integers(0, 1 << 62, 3000, dtype=np.uint64))
+    n, mark = rng.integers(1, 9, len(keys)), rng.integers(0, 256, len(keys)).astype(np.uint8)
+    for parts in (7, 70_000):
+        part = (keys % np.uint64(parts)).astype(np.int64)
+        batches = list(suffixtree.in_parts(part, 8, keys, n, mark))
+        assert [b.column(0)[0].as_py() for b in batches] == np.unique(part).tolist()
+        for b in batches:
+            mine = part == b.column(0)[0].as_py()
+            got = suffixtree.unsqueezed(b.column(2)[0].as_py(), np.uint64, np.int64, np.uint8)
+            assert all((x == y[mine]).all() for x, y in zip(got, (keys, n, mark)))
+    assert not list(suffixtree.in_parts(np.zeros(0, np.int64), 8, keys[:0], n[:0]))
+
+
 def test_repeats_match_brute_force(docs, empty, rows):
     length = 400
     where = collections.Counter()
