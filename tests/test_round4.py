@@ -6,7 +6,7 @@ import pytest
 from graphs import doc, edges, node, nodes, param
 from pyspark.sql import functions as F
 
-from lodestar.operators import blockmax, diff, ingest, review, solution
+from lodestar.operators import blockmax, diff, graph, ingest, review, solution
 
 
 def plan(df):
@@ -87,3 +87,18 @@ def test_cross_edges_cancel_as_their_names_do(spark):
         got = solution.cross_edge_changes(an, ae, bn, be)
         assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
     assert "LeftAnti" not in plan(got)
+
+
+def test_first_ends_are_sorted_once_and_equal_whole_lists(spark):
+    rng = random.Random(5)
+    names = [f"M:{i}" for i in range(9)]
+    rows = [(rng.choice(names), rng.choice(names), rng.choice(("Contains", "Contains", "Calls", "Inherits"))) for _ in range(120)]
+    n = nodes(spark, *(node(x) for x in [*names, "M:0", "M:alone"]), node("M:stub", node_kind="Stub"))
+    e = edges(spark, *rows, ("M:stub", "M:1", "Calls"))
+    whole = graph.details(n, e)
+    for id_ in (None, "M:1"):
+        want = [(r.id, r.parent_id, r.child_ids[:3], r.related_ids[:3], len(r.child_ids), len(r.related_ids)) for r in whole.collect() if id_ in (None, r.id)]
+        assert sorted(map(tuple, graph.details(n, e, id_, most=3).collect())) == sorted(want)
+    text = plan(graph.details(n, e, most=3))
+    # one order of all ends, and the edges are read once
+    assert text.count("Window [") == 1 and text.count("inline(") == 1 and "Union" not in text
