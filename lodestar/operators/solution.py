@@ -88,13 +88,17 @@ def cross_edge_changes(before: DataFrame, before_edges: DataFrame, after: DataFr
     open_ = F.exists(F.concat(*projects), lambda p: p.contains(":"))
     for i in ("from_id", "to_id"):
         open_ = open_ | F.col(i).startswith(":") | F.col(i).contains("::")
-    side = lambda held, a, b, value: F.when(F.col(held), F.struct(F.col(a).alias("a"), F.col(b).alias("b"), F.lit(value).alias("later")))
-    both = F.filter(F.array(side("was", "ax", "bx", False), side("stays", "ay", "by", True)), lambda s: s.isNotNull())
-    left = named.where(~(known & same) | open_).select("from_id", "to_id", "kind", F.explode(both).alias("s"))
-    pairs = left.select("from_id", "to_id", "kind", "s.later", "s.b", F.explode("s.a").alias("p")).select("from_id", "to_id", "kind", "later", "p", F.explode("b").alias("q"))
+    # where names tell their ids, only the names of one pair of ids can cancel each other: decided in its row, without a shuffle
+    crossed = lambda held, a, b: F.when(F.col(held), F.flatten(F.transform(a, lambda p: F.transform(b, lambda q: F.struct(p.alias("p"), q.alias("q")))))).otherwise(F.array().cast("array<struct<p:string,q:string>>"))
+    left = named.where(~(known & same) | open_).select("from_id", "to_id", "kind", (known & ~open_).alias("alone"), crossed("was", "ax", "bx").alias("b"), crossed("stays", "ay", "by").alias("a"))
+    alone = F.col("alone")
+    rest = lambda x, y, value: F.transform(F.when(alone, F.array_except(x, y)).otherwise(F.col(x)), lambda e: F.struct(e["p"].alias("p"), e["q"].alias("q"), F.lit(value).alias("later"), alone.alias("settled")))
+    pairs = left.select("from_id", "to_id", "kind", F.inline(F.concat(rest("b", "a", False), rest("a", "b", True))))
     end = lambda p, i: F.concat(p, F.lit("::"), i)
-    rows = pairs.select(end("p", "from_id").alias("source"), end("q", "to_id").alias("target"), "kind", "later")
+    rows = pairs.select(end("p", "from_id").alias("source"), end("q", "to_id").alias("target"), "kind", "later", "settled")
+    status = lambda added: F.when(added, "added").otherwise("removed").alias("status")
     # a null equals nothing: such rows of the two sides stay apart
     apart = F.when(F.col("source").isNull() | F.col("target").isNull() | F.col("kind").isNull(), later)
-    told = rows.groupBy("source", "target", "kind", apart.alias("apart")).agg(F.bool_and(later).alias("added"), F.bool_and(~later).alias("removed"))
-    return told.where("added or removed").select("source", "target", "kind", F.when(F.col("added"), "added").otherwise("removed").alias("status"))
+    told = rows.where("not settled").groupBy("source", "target", "kind", apart.alias("apart")).agg(F.bool_and(later).alias("added"), F.bool_and(~later).alias("removed"))
+    out = lambda df, added: df.select("source", "target", "kind", status(F.col(added)))
+    return out(rows.where("settled"), "later").union(out(told.where("added or removed"), "added"))
